@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard
+from .warc import archive_and_read
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,6 +48,19 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(node) AS co
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("virtual_finish")
 
@@ -84,8 +98,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op9_mixing": OP9_SQL}
