@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard
+from .urlfilter import url_filter
 from .warc import archive_and_read
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -61,6 +62,57 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+ROUNDS, DAMPING = 9, 0.85
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), RULES, threshold=0.5, rounds=ROUNDS, damping=DAMPING)
+
+
+def _op6_sql() -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    host = lower(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
+    link = r"""regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''>\s]+)', 1)"""
+    by_length = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in by_length]
+    case = lambda out: "CASE " + " ".join(f"WHEN {f} THEN '{o}'" for f, o in zip(fits, out, strict=True)) + " END"
+    steps = "".join(
+        f""", r{k} AS MATERIALIZED (
+  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+    SELECT w.dst AS host, t * trust * {DAMPING} AS trust, d * distrust * {DAMPING} AS distrust FROM ways w JOIN r{k - 1} r ON r.host = w.src
+    UNION ALL SELECT host, trust * (1 - {DAMPING}), distrust * (1 - {DAMPING}) FROM r0) GROUP BY host)"""
+        for k in range(1, ROUNDS + 1)
+    )
+    return rf"""
+WITH p0 AS (SELECT page_id, html, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p AS MATERIALIZED (SELECT *, {case([h + q for _, h, q in by_length])} AS rule, {case([v for v, _, _ in by_length])} AS said FROM p0),
+h AS (SELECT host, sum((said IS NOT NULL AND said = 'allow')::INT)::DOUBLE AS trust, sum((said IS NOT NULL AND said = 'block')::INT)::DOUBLE AS distrust
+  FROM p WHERE host <> '' GROUP BY host),
+r0 AS MATERIALIZED (
+  SELECT host, CASE WHEN sum(trust) OVER () > 0 THEN trust / sum(trust) OVER () ELSE 0 END AS trust,
+         CASE WHEN sum(distrust) OVER () > 0 THEN distrust / sum(distrust) OVER () ELSE 0 END AS distrust FROM h),
+found AS (SELECT DISTINCT page_id, host AS src, {lower("unnest(list_distinct(" + link + "))")} AS dst FROM p),
+links AS (SELECT src, dst, count(*)::DOUBLE AS links FROM found WHERE src <> '' AND src <> dst GROUP BY ALL),
+names AS (SELECT DISTINCT string_split(host, '.') AS l FROM (SELECT host FROM h UNION ALL SELECT dst FROM links)),
+kin AS (
+  SELECT DISTINCT array_to_string(l[k:], '.') AS src, array_to_string(l[k + 1:], '.') AS dst
+  FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM names WHERE len(l) > 2)),
+e AS (SELECT src, dst, sum(links) AS links FROM (
+  SELECT * FROM links UNION ALL SELECT src, dst, 1.0 FROM kin UNION ALL SELECT dst, src, 1.0 FROM kin) GROUP BY ALL),
+n AS (SELECT *, links / sum(links) OVER (PARTITION BY src) AS o, links / sum(links) OVER (PARTITION BY dst) AS i FROM e),
+ways AS MATERIALIZED (
+  SELECT src, dst, sum(t) AS t, sum(d) AS d FROM (SELECT src, dst, o AS t, 0 AS d FROM n UNION ALL SELECT dst, src, 0, i FROM n) GROUP BY ALL)
+{steps},
+b AS (SELECT host FROM r{ROUNDS} WHERE trust + distrust > 0 AND round(trust / (trust + distrust), 6) < 0.5)
+SELECT page_id, p.host, path, rule, coalesce(said, CASE WHEN b.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN b ON b.host = p.host
+"""
+
+
+OP6_SQL = _op6_sql()
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("virtual_finish")
 
@@ -98,8 +150,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op6_url_filter": op6_url_filter, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_mixing": OP9_SQL}
