@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import contaminated
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .mixing import mix
@@ -62,6 +63,10 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=20, recall=0.995)
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 ROUNDS, DAMPING = 9, 0.85
 
@@ -150,7 +155,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op6_url_filter": op6_url_filter, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
