@@ -38,6 +38,8 @@ MAX_REPEATS = 48
 PUNCTUATION = string.punctuation.encode()
 MULT = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 22
+#: Words of documents searched at once, rounded up to whole documents.
+RUN_WORDS = 100_000
 RESULT = "doc_id long, item_id long, edits int, item_words int, at_word long"
 
 
@@ -95,16 +97,16 @@ class Family:
             if j in steps:
                 key = grow(key, word)
                 if j:
-                    table = np.zeros(1 << TABLE_BITS >> 3 << 3, bool)
+                    table = np.zeros(1 << TABLE_BITS, bool)
                     table[slot(key[live])] = True
                     tables.append(table)
             i = i + bits[j][np.maximum(word, 0)]
         order = np.argsort(key[live], kind="stable")
         self.repeats.append((steps, bits, tables, key[live][order], np.flatnonzero(live)[order]))
 
-    def collisions(self, text: np.ndarray) -> set[tuple[int, int]]:
-        """(item number here, window start of the whole item in ``text``, maybe negative)."""
-        found: set[tuple[int, int]] = set()
+    def collisions(self, text: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item number here, window start in ``text``, word of the item that this window starts at)."""
+        found: set[tuple[int, int, int]] = set()
         start = np.flatnonzero(self.first[text])
         tail = np.zeros(self.steps, text.dtype)
         text = np.concatenate([text, tail])
@@ -125,7 +127,7 @@ class Family:
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
                 for n, o in self.where[owners[a:b]]:
-                    found.add((int(n), int(p - o)))
+                    found.add((int(n), int(p), int(o)))
         return found
 
 
@@ -167,32 +169,48 @@ class Searcher:
         while len(family.repeats) < 4 or (len(missed) > (1 - recall) * len(trials) and len(family.repeats) < MAX_REPEATS):
             family.add_repeat()
             old, family.repeats = family.repeats, family.repeats[-1:]
-            missed = [t for t in missed if trials[t][0] not in {n for n, _ in family.collisions(trials[t][1])}]
+            missed = [t for t in missed if trials[t][0] not in {n for n, _, _ in family.collisions(trials[t][1])}]
             family.repeats = old
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, edits, item words, first word of the window) of every item that the text holds."""
-        coded = self.code(words(text))
-        out = []
-        for family in self.families if len(coded) else ():
-            hits: dict[int, list[int]] = {}
-            for n, p in family.collisions(coded):
-                hits.setdefault(n, []).append(p)
-            for n, starts in hits.items():
-                item, best = family.items[n], None
+    def find(self, texts: Sequence[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text number, item id, edits, item words, first word of the window) of every item that a text holds.
+
+        Texts are searched some ``RUN_WORDS`` words at a time, with a gap of no item's words between them.
+        """
+        run: list[tuple[int, np.ndarray]] = []
+        held = 0
+        for number, text in enumerate(texts):
+            run.append((number, self.code(words(text))))
+            held += len(run[-1][1])
+            if held >= RUN_WORDS:
+                yield from self.find_run(run)
+                run, held = [], 0
+        yield from self.find_run(run)
+
+    def find_run(self, run: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
+        gap = np.zeros(STEPS, np.int64)
+        joined = np.concatenate([x for _, c in run for x in (c, gap)] or [gap])
+        begins = np.cumsum([0] + [len(c) + STEPS for _, c in run])
+        for family in self.families:
+            hits: dict[tuple[int, int], set[int]] = {}
+            for n, p, o in family.collisions(joined):
+                k = int(np.searchsorted(begins, p, "right")) - 1
+                hits.setdefault((k, n), set()).add(p - o - int(begins[k]))
+            for (k, n), starts in sorted(hits.items()):
+                number, coded = run[k]
+                item, best, done = family.items[n], None, None
                 allowed = self.percent * len(item) // 100
-                slack, done = allowed + ANCHOR, None
+                slack = allowed + ANCHOR
                 for p in sorted(starts):
                     if done is not None and p - done <= slack:
                         continue  # inside the stretch just searched
                     done = p
                     low = max(0, p - 2 * slack)
-                    edits, end = fitting_edits(item, coded[low : p + len(item) + 2 * slack])
+                    edits, end = fitting_edits(item, coded[low : max(0, p) + len(item) + 2 * slack])
                     if edits <= allowed and (best is None or edits < best[0]):
                         best = edits, max(0, low + end - len(item))
                 if best:
-                    out.append((family.numbers[n], best[0], len(item), best[1]))
-        return out
+                    yield number, family.numbers[n], best[0], len(item), best[1]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 20, recall: float = 0.995) -> DataFrame:
@@ -208,7 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 20, recal
         def run(batches: Iterator[pd.DataFrame], searcher=searcher) -> Iterator[pd.DataFrame]:
             find = searcher.value.find
             for batch in batches:
-                rows = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in find(t)]
+                ids = batch["doc_id"].tolist()
+                rows = [(ids[k], *hit) for k, *hit in find(batch["text"].tolist())]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "item_words", "at_word"])
 
         part = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInPandas(run, RESULT)
