@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import contaminated
 from .exact_dedup import exact_dedup
+from .langid import identify
 from .minhash import near_duplicates
 from .mixing import mix
 from .sharding import shard
@@ -63,6 +64,10 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), docs_per_lang=150)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=20, recall=0.995)
 
@@ -155,7 +160,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
