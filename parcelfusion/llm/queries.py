@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import contaminated
 from .exact_dedup import exact_dedup
 from .langid import identify
+from .licenses import scan
 from .minhash import near_duplicates
 from .mixing import mix
 from .quality import quality
@@ -128,6 +129,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train_rows=20_000)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), sample_docs=200)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("virtual_finish")
 
@@ -165,7 +170,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op7_quality": op7_quality, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op7_quality": op7_quality, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
