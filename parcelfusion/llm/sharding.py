@@ -29,6 +29,7 @@ from .mixing import shuffle_key
 
 #: Partitions at most; rows a partition should have while there are fewer.
 MAX_PARTS, PART_ROWS = 4096, 1000
+NAMES = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
 
 
 def hypergeometric(good: int, bad: int, drawn: int, u: float) -> int:
@@ -67,28 +68,36 @@ def communication_matrix(counts: list[int], shards: int, seed: int = 0) -> list[
     return rows
 
 
-def shard(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
-    """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
+def shard(docs: DataFrame, shards: int = 24, seed: int = 0, keep_columns: bool = False) -> DataFrame:
+    """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
+
+    With ``keep_columns`` the documents themselves are exchanged: their other columns come along, unless they
+    have one of these names.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = stored(docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "shard-rows")
-    n = rows.count()
+    place, order = shuffle_key(F.col("doc_id"), f"local:{seed}:"), shuffle_key(F.col("doc_id"), f"shard:{seed}:")
+    others = [c for c in docs.columns if c.lower() not in NAMES]
+    body = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc")] if keep_columns and others else []
+    n = docs.count()
     parts = min(MAX_PARTS, 1 << max(0, math.ceil(math.log2(max(1, n) / PART_ROWS))))
-    place = shuffle_key(F.col("doc_id"), f"local:{seed}:")
-    rows = rows.withColumn("place", place).withColumn("part", (F.conv(F.substring("place", 1, 3), 16, 10).cast("int") % parts).cast("int"))
-    counts = dict(rows.groupBy("part").count().collect())  # at most MAX_PARTS rows
+    part = (F.conv(F.substring(place, 1, 3), 16, 10).cast("int") % parts).cast("int").alias("part")
+    counts = dict(docs.groupBy(part).count().collect())  # at most MAX_PARTS rows
     matrix = communication_matrix([counts.get(i, 0) for i in range(parts)], shards, seed)
     ends = json.dumps(np.cumsum(matrix, axis=1).tolist())
     runs = spark.range(1).select(F.posexplode(F.from_json(F.lit(ends), "array<array<bigint>>")).alias("part", "ends"))
+    size, checksum = (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    rows = docs.select("doc_id", size, checksum, place.alias("place"), order.alias("order"), part, *body)
     local = F.row_number().over(W.partitionBy("part").orderBy("place", "doc_id", "text_crc32", "size")) - 1
     sent = rows.withColumn("local", local).join(F.broadcast(runs), "part")
-    sent = sent.select("doc_id", "size", "text_crc32", F.size(F.filter("ends", lambda e: e <= F.col("local"))).alias("shard"))
-    sent = stored(sent.withColumn("order", shuffle_key(F.col("doc_id"), f"shard:{seed}:")).withColumn("bucket", F.substring("order", 1, 3)), "shard-sent")
+    sent = sent.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("local")))).withColumn("bucket", F.substring("order", 1, 3))
+    sent = stored(sent.drop("part", "ends", "local", "place"), "shard-sent")
     earlier = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     inside = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("order", "doc_id", "text_crc32", "size")) - 1
     return sent.join(offsets.hint("merge"), ["shard", "bucket"]).select(
         "doc_id",
+        *(["doc.*"] if body else []),
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
