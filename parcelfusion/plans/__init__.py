@@ -1,0 +1 @@
+"""Derived parcel tables, the registered queries, and the SQL that checks them."""
