@@ -236,7 +236,7 @@ def centroid_cte(name: str, edges: str) -> str:
   FROM (SELECT a.*, o.ox, o.oy, (ax - o.ox) * (by_ - o.oy) - (bx - o.ox) * (ay - o.oy) AS w FROM {edges} a JOIN (SELECT id, ax AS ox, ay AS oy FROM {edges} WHERE i = 1) o USING (id)) e GROUP BY e.id)"""
 
 
-GNSS = f"""gp AS (SELECT g.point_id AS pt, p.parcel_id, g.x AS px, g.y AS py FROM gnss g JOIN parcels p ON p.full_survey = g.survey_no),
+GNSS = f"""gp AS MATERIALIZED (SELECT row_number() OVER () AS pt, p.parcel_id, g.x AS px, g.y AS py FROM gnss g JOIN parcels p ON p.full_survey = g.survey_no),
 gi AS (
   SELECT parcel_id, feature_id, pt, sum(CASE WHEN (ay > py) <> (by_ > py) AND px < ax + (py - ay) * (bx - ax) / (by_ - ay) THEN 1 ELSE 0 END) % 2 = 1 OR min({DIST}) < 0.75 AS ok FROM (
     SELECT c.parcel_id, c.feature_id, pt, px, py, ax, ay, bx, by_, bx - ax AS dx, by_ - ay AS dy, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t
