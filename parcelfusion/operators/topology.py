@@ -27,7 +27,7 @@ def validation_issues(parcels: DataFrame, overlaps: DataFrame, gnss: DataFrame)
     return (
         row(parcels.where(ring.isNull() | (F.size(ring) < 3)), "legacy", pid, "Missing Geometry", "High")
         .unionByName(row(parcels.where(G.crosses_itself(ring)), "legacy", pid, "Self Intersection", "High"))
-        .unionByName(row(sized.where((F.col("_length") > 0) & ((F.col("_area") / (F.col("_length") * F.col("_length")) < SLIVER_RATIO) | (F.col("_area") < SLIVER_AREA))), "legacy", pid, "Sliver", "Medium"))
+        .unionByName(row(sized.where((F.col("_length") > 0) & ((F.col("_area") / (F.col("_length") * F.col("_length")) < SLIVER_RATIO) | (F.col("_area") < SLIVER_AREA)) & ~G.crosses_itself(ring)), "legacy", pid, "Sliver", "Medium"))
         .unionByName(row(overlaps, "legacy", F.concat_ws("|", "a", "b"), "Overlap", "High"))
         .unionByName(row(gnss.where((F.abs("latitude") > 90) | (F.abs("longitude") > 180) | F.col("latitude").isNull() | F.col("longitude").isNull()), "gnss", F.col("point_id"), "GNSS Out Of Range", "Medium"))
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import match_queries
+from . import layer_queries, match_queries
 
-_ALL = match_queries.QUERIES
+_ALL = match_queries.QUERIES | layer_queries.QUERIES
 
 
 def queries() -> dict:

@@ -1,0 +1 @@
+"""Readers and writers of the engine's file formats."""

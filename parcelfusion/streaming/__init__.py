@@ -1,0 +1 @@
+"""Structured Streaming forms of the loaders and of snapshot sync."""
