@@ -7,10 +7,11 @@
 2. Documents with identical sets are one class; only its smallest doc_id goes on.
 3. Documents that share a band value are a bucket. Each member is compared with the bucket's smallest id
    alone; sketches discard, full sets confirm; links give components.
-4. A bucket whose members are all in one component can add nothing. In the others, every member outside
-   the bucket's most frequent component is compared with all members that are in another component, in
-   blocks of bounded size, so no link that could join two components is left untested and pairs inside
-   a component, the bulk of a large group, are never formed.
+4. A bucket whose members are all in one component can add nothing. In the others, the documents outside
+   the bucket's most frequent component are compared with all that meet that component in a bucket and are in another
+   one, in blocks of bounded size: sketches first, full sets next, until two components are joined. No
+   link that could join two components is left untested, and pairs inside a component, the bulk of a large
+   group, are never formed.
 
 With 40 bands of 5, a pair at similarity 0.8 misses all bands with probability (1 - 0.8^5)^40 = 1e-7. The
 sketch cut (an estimate below ``SKETCH_CUT``) lies more than four standard deviations under 0.8.
@@ -30,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, stored
+from .common import LOWER_BYTES, sized_join, stored
 from .components import connected_components
 
 K, ROWS, BITS = 200, 5, 1024
 BANDS = K // ROWS
 SKETCH_CUT = 0.64
-#: Members of a bucket in one block: those compared, and those compared with.
-BLOCK_A, BLOCK_B = 512, 4096
+#: Documents in one block, those compared and those compared with, and bytes of their sets in either.
+BLOCK_A, BLOCK_B, BLOCK_BYTES = 512, 4096, 16_000_000
 GOLDEN, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,38 +160,80 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return pairs.join(at_a.hint("merge"), "a").join(at_b.hint("merge"), "b").mapInPandas(run, "a long, b long")
 
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of bucket members in two components that the sketches don't rule out, each pair once."""
+def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of ``one`` (sorted) each of ``others`` holds."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    begins = np.cumsum([0] + [len(o) for o in others[:-1]])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), begins)
+
+
+def block_links(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of ``a`` and rows of ``b`` in other components, enough to join every two components that any link joins."""
+    if not len(a) or not len(b):
+        return []
+    x, y = (np.frombuffer(b"".join(map(bytes, f["sketch"])), np.uint8).reshape(len(f), BITS // 8).view(np.uint64) for f in (a, b))
+    sets_a, sets_b = ([np.frombuffer(v, np.uint64) for v in f["shingles"]] for f in (a, b))
+    size_b = np.array([len(v) for v in sets_b])
+    ids, other, inside = a["doc_id"].to_numpy(), b["doc_id"].to_numpy(), (b["component"] == b["main"]).to_numpy()
+    of, part = a["component"].to_numpy(), b["component"].to_numpy()
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (p := root.get(v, v)) != v:
+            root[v] = root.get(p, p)
+            v = p
+        return v
+
+    found = []
+    for k in range(len(a)):
+        one, n = sets_a[k], len(sets_a[k])
+        # Two that are both outside meet twice: the smaller id asks. Sizes further apart than the threshold can't link.
+        fits = (100 * np.minimum(n, size_b) >= percent * np.maximum(n, size_b)) & (part != of[k]) & (inside | (other > ids[k]))
+        ask = np.flatnonzero(fits)
+        near = estimate(x[k], y[ask])
+        ask = ask[near >= SKETCH_CUT][np.argsort(-near[near >= SKETCH_CUT], kind="stable")]
+        while len(ask):
+            now, ask = ask[:64], ask[64:]
+            shared = shared_counts(one, [sets_b[m] for m in now])
+            for m in now[100 * shared >= percent * (n + size_b[now] - shared)]:
+                u, v = find(int(of[k])), find(int(part[m]))
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    found.append((int(ids[k]), int(other[m])))
+            mine = find(int(of[k]))
+            ask = ask[[find(int(c)) != mine for c in part[ask]]] if len(ask) else ask
+    return found
+
+
+def rest_links(buckets: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join components which meet in a bucket: a, b."""
     seen = buckets.join(labels.withColumnRenamed("v", "doc_id").hint("merge"), "doc_id", "left")
-    seen = seen.select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    seen = seen.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     per = seen.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("parts"))
-    main = main.where("parts > 1").select("key", F.col("main.component").alias("main"), "members", (F.col("members") - F.col("main.n")).alias("others"))
-    open_ = seen.join(stored(main, "near-open").hint("merge"), "key")
-    open_ = open_.join(reps.select("doc_id", "sketch", "bands").hint("merge"), "doc_id")
-    open_ = stored(open_.withColumn("na", F.ceil(F.col("others") / BLOCK_A).cast("int")).withColumn("nb", F.ceil(F.col("members") / BLOCK_B).cast("int")), "near-members")
+    main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    main = stored(main.select("key", F.col("most.component").alias("main")), "near-open")
+    # A document once for each component it meets, however many buckets they share.
+    met = stored(seen.join(main.hint("merge"), "key").select("main", "doc_id", "component").distinct(), "near-met")
+    sets = sets_of(docs, stored(met.select("doc_id").distinct(), "near-ids"), width).dropDuplicates(["doc_id"])
+    whole = stored(reps.select("doc_id", "sketch").join(sets.hint("merge"), "doc_id"), "near-sets")
+    outside = F.col("component") != F.col("main")
+    load = F.octet_length("shingles")
+    sizes = met.join(whole.select("doc_id", load.alias("load")).hint("merge"), "doc_id").groupBy("main")
+    blocks = lambda rows, size, row_limit: F.greatest(F.ceil(F.sum(rows) / row_limit), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int")
+    sizes = sizes.agg(
+        blocks(F.when(outside, 1).otherwise(0), F.when(outside, F.col("load")).otherwise(0), BLOCK_A).alias("na"), blocks(F.lit(1), F.col("load"), BLOCK_B).alias("nb")
+    )
+    met = met.join(stored(sizes, "near-blocks").hint("merge"), "main").join(whole.hint("merge"), "doc_id")
     at = F.pmod(F.xxhash64("doc_id"), F.lit(2**30)).cast("int")
-    body = ["key", "band", "doc_id", "component", "sketch", "bands"]
-    a = open_.where("component <> main").select(*body, (at % F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    b = open_.select(*body, (F.col("component") == F.col("main")).alias("inside"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), (at % F.col("nb")).alias("j"))
+    body = [F.col(c).alias(c) for c in ("main", "doc_id", "component", "sketch", "shingles")]  # a plain column would be ambiguous
+    a = met.where(outside).select(*body, (at % F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    b = met.select(*body, F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), (at % F.col("nb")).alias("j"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        if len(a) and len(b):
-            band = int(a["band"].iloc[0])
-            x, y = (np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), BITS // 8).view(np.uint64) for f in (a, b))
-            u, v = (np.array(f["bands"].tolist(), np.int64)[:, :band] for f in (a, b))
-            ids, other, part, inside, of = a["doc_id"].to_numpy(), b["doc_id"].to_numpy(), b["component"].to_numpy(), b["inside"].to_numpy(), a["component"].to_numpy()
-            for k in range(len(a)):
-                # Two that are both outside meet twice: the smaller id asks. An earlier shared band has asked already.
-                ask = np.flatnonzero((part != of[k]) & (inside | (other > ids[k])))
-                ask = ask[estimate(x[k], y[ask]) >= SKETCH_CUT]
-                ask = ask[~(v[ask] == u[k]).any(axis=1)] if band else ask
-                out_a.append(np.full(len(ask), ids[k]))
-                out_b.append(other[ask])
-        return pd.DataFrame({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
-
-    return a.groupBy("key", "i", "j").cogroup(b.groupBy("key", "i", "j")).applyInPandas(run, "a long, b long")
+        return pd.DataFrame(block_links(a, b, percent), columns=["a", "b"], dtype="int64")
+
+    return a.groupBy("main", "i", "j").cogroup(b.groupBy("main", "i", "j")).applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -204,17 +247,24 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     reps = member.where((rep == F.col("doc_id")) & F.col("sketch").isNotNull()).dropDuplicates(["doc_id"])
     reps = stored(reps.select("doc_id", "sketch", "bands"), "near-reps")
 
-    values = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    values = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = values.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = stored(values.join(shared.hint("merge"), "key"), "near-buckets")
     stars = buckets.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stored(confirmed(stored(sketch_filter(stars, reps), "near-stars"), docs, width, percent), "near-links")
     labels = connected_components(links)
-    rest = stored(rest_pairs(buckets, labels, reps), "near-rest")
-    if not rest.isEmpty():
-        more = stored(confirmed(rest, docs, width, percent), "near-more")
-        if not more.isEmpty():
-            labels = connected_components(links.unionByName(more))
+    more = stored(rest_links(buckets, labels, reps, docs, width, percent), "near-rest")
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more))
     found = members.join(labels.withColumnRenamed("v", "rep").hint("merge"), "rep", "left")
     component = F.coalesce("component", "rep")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group; all columns stay, and rows with a null doc_id."""
+    found = stored(near_duplicates(docs, width, percent).select(F.col("doc_id").alias("_copy"), "kept"), "near-found")
+    gone = found.where("not kept").select("_copy").distinct()
+    kept = sized_join(docs, gone, F.col("doc_id") == F.col("_copy"), "left_anti", gone.count())
+    ids = found.where("kept").agg(F.count("_copy"), F.countDistinct("_copy")).first()
+    return kept if ids[0] == ids[1] else kept.dropDuplicates(["doc_id"])
