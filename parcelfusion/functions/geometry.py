@@ -1,15 +1,20 @@
 """Planar geometry as Column functions over rings: arrays of (x, y) structs, first vertex not repeated.
 
-Everything here runs inside Spark expressions. Rings are taken counter-clockwise (see ``ccw``) and in
+All but the edge-by-edge comparisons in ``kernels`` runs inside Spark expressions. Rings are taken counter-clockwise (see ``ccw``) and in
 metres; ``to_utm`` and ``from_utm`` convert from and to degrees.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
+
+from . import kernels
 
 
 def zero() -> Column:
@@ -91,28 +96,30 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return (a["minx"] <= b["maxx"]) & (b["minx"] <= a["maxx"]) & (a["miny"] <= b["maxy"]) & (b["miny"] <= a["maxy"])
 
 
+def flat(ring: Column) -> Column:
+    """The ring as x, y, x, y, ..., which Arrow hands over as plain numbers."""
+    return F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+
+
+def _hinted(kernel, columns: int):
+    """The kernel with the types that tell Spark how to call it."""
+    kernel.__annotations__ = {"batches": Iterator[tuple[(pd.Series,) * columns]], "return": Iterator[pd.Series]}
+    return kernel
+
+
 def intersection_area(a: Column, b: Column) -> Column:
-    """Area shared by two counter-clockwise rings.
+    """Area shared by two rings, whichever way they run (an Arrow kernel, see ``kernels``)."""
+    return F.pandas_udf(_hinted(kernels.pairwise(kernels.overlap), 2), DoubleType())(flat(a), flat(b))
+
 
-    Between the x's that two edges share, the area under the lower of them is added if both run the same way
-    and taken off if not; over all pairs of edges this leaves the area under both polygons' overlap.
-    """
+def hausdorff(a: Column, b: Column) -> Column:
+    """Vertex-sampled Hausdorff distance of two boundaries (an Arrow kernel)."""
+    return F.pandas_udf(_hinted(kernels.pairwise(kernels.hausdorff), 2), DoubleType())(flat(a), flat(b))
 
-    def under_lower(e: Column, f: Column) -> Column:
-        low = F.greatest(F.least(e["x1"], e["x2"]), F.least(f["x1"], f["x2"]))
-        high = F.least(F.greatest(e["x1"], e["x2"]), F.greatest(f["x1"], f["x2"]))
-        y = lambda g, x: g["y1"] + (g["y2"] - g["y1"]) * F.try_divide(x - g["x1"], g["x2"] - g["x1"])
-        e0, e1, f0, f1 = y(e, low), y(e, high), y(f, low), y(f, high)
-        d0, d1 = e0 - f0, e1 - f1
-        apart = F.abs(d0) + F.abs(d1)
-        gap = F.when(d0 * d1 >= 0, apart).otherwise(F.try_divide(d0 * d0 + d1 * d1, apart))
-        sign = F.when((e["x2"] < e["x1"]) == (f["x2"] < f["x1"]), 1.0).otherwise(-1.0)
-        return F.when(high > low, sign * (high - low) * ((e0 + e1 + f0 + f1) - gap) / 4).otherwise(0.0)
 
-    x0, y0 = F.get(a, F.lit(0))["x"], F.get(a, F.lit(0))["y"]
-    near = lambda ring: edges(F.transform(ring, lambda p: point(p["x"] - x0, p["y"] - y0)))
-    eb = near(b)
-    return F.greatest(zero(), F.aggregate(near(a), zero(), lambda acc, e: acc + total(eb, lambda f: under_lower(e, f))))
+def contains_within(ring: Column, px: Column, py: Column, margin: float) -> Column:
+    """Whether the point is inside the ring grown by ``margin`` (an Arrow kernel)."""
+    return F.pandas_udf(_hinted(kernels.inside_kernel(margin), 3), BooleanType())(flat(ring), px, py)
 
 
 def segment_distance(px: Column, py: Column, e: Column) -> Column:
@@ -139,11 +146,6 @@ def contains_point(ring: Column, px: Column, py: Column) -> Column:
     return F.aggregate(edges(ring), F.lit(0), lambda acc, e: acc + crossed(e)) % 2 == 1
 
 
-def contains_within(ring: Column, px: Column, py: Column, margin: float) -> Column:
-    """Whether the point is inside the ring grown by ``margin``."""
-    return contains_point(ring, px, py) | (boundary_distance(px, py, edges(ring)) < margin)
-
-
 def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
@@ -181,13 +183,6 @@ def ring_distance(ring: Column, other: Column, other_edges: Column) -> Column:
     return F.when(ring_meets(ring, other, other_edges), 0.0).otherwise(F.least(one, two))
 
 
-def hausdorff(a: Column, b: Column) -> Column:
-    """Vertex-sampled Hausdorff distance of two boundaries."""
-    ea, eb = edges(a), edges(b)
-    far = lambda ring, other: F.array_max(F.transform(ring, lambda p: boundary_distance(p["x"], p["y"], other)))
-    return F.greatest(far(a, eb), far(b, ea))
-
-
 def vertex_ratio(a: Column, b: Column) -> Column:
     """Smaller over larger vertex count, each ring counted closed."""
     n, m = F.size(a) + 1, F.size(b) + 1
