@@ -33,12 +33,17 @@ def _boundary(ring: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _distances(points: np.ndarray, start: np.ndarray, ahead: np.ndarray) -> np.ndarray:
-    """Least distance of each point from the edges."""
-    square = (ahead * ahead).sum(axis=1)
-    away = points[:, None, :] - start[None, :, :]
-    t = np.clip((away * ahead).sum(axis=2) / np.where(square > 0, square, 1.0), 0.0, 1.0)
-    gap = away - t[:, :, None] * ahead
-    return np.sqrt((gap * gap).sum(axis=2)).min(axis=1)
+    """Least distance of each point from the edges, edge by edge, so memory stays that of the points."""
+    x, y = np.ascontiguousarray(points[:, 0]), np.ascontiguousarray(points[:, 1])
+    best = np.full(len(points), np.inf)
+    for (ax, ay), (dx, dy) in zip(start.tolist(), ahead.tolist(), strict=True):
+        px, py = x - ax, y - ay
+        t = (px * dx + py * dy) / ((dx * dx + dy * dy) or 1.0)
+        np.clip(t, 0.0, 1.0, out=t)
+        px -= t * dx
+        py -= t * dy
+        np.minimum(best, px * px + py * py, out=best)
+    return np.sqrt(best)
 
 
 def deviation_profile(a: np.ndarray, b: np.ndarray, tolerance: float = S.TOLERANCE, step: float = S.SAMPLE_STEP) -> tuple[float, ...]:
@@ -81,6 +86,17 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     return df.withColumns({"iou": share("union_area"), "coverage_source": share("p_area"), "coverage_candidate": share("q_area")})
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt out by their ids for the kernels that follow.
+
+    A pair is a few hundred bytes but costs a boundary profile, so partitions joined together for their small
+    size would leave most cores idle. Joins on the ids that come later need no further exchange.
+    """
+    spark = pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return pairs.repartition(n, "parcel_id", "feature_id")
+
+
 def gnss_inside(pairs: DataFrame, gnss: DataFrame, margin: float = S.GNSS_MARGIN) -> DataFrame:
     """parcel_id, feature_id, points, inside: survey points of the parcel, and those inside the candidate's margin.
 
@@ -94,7 +110,7 @@ def gnss_inside(pairs: DataFrame, gnss: DataFrame, margin: float = S.GNSS_MARGIN
 
 def evidence(parcels: DataFrame, drone: DataFrame, gnss: DataFrame, radius: float = S.RADIUS) -> DataFrame:
     """One row per candidate pair with every metric, the score and the limits that it breaks."""
-    pairs = overlaps(candidates(parcels, drone, radius))
+    pairs = overlaps(spread(candidates(parcels, drone, radius)))
     counted = gnss_inside(pairs, gnss)
     df = pairs.join(counted.hint("merge"), ["parcel_id", "feature_id"], "left").withColumn("profile", boundary_profile("ring", "d_ring"))
     c, d = G.centroid(F.col("ring")), G.centroid(F.col("d_ring"))

@@ -43,7 +43,7 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d = _tables(spark, sf_dir, "parcels", "drone")
     names = ["inter", "union_area", "iou", "coverage_source", "coverage_candidate"]
-    return M.overlaps(candidates(p, d)).select("parcel_id", "feature_id", *[rounded(F.col(c), 4).alias(c) for c in names])
+    return M.overlaps(M.spread(candidates(p, d))).select("parcel_id", "feature_id", *[rounded(F.col(c), 4).alias(c) for c in names])
 
 
 EVIDENCE = ["area_pct", "area_diff", "centroid_dist", "centroid_pct", "mean_dev", "median_dev", "p90_dev", "p95_dev", "p99_dev", "max_dev", "hausdorff", "conformance", "gnss_pct", "gnss_state", "attribute_pct", "proximity_pct", "raw_score", "score", "rank"]
@@ -80,7 +80,7 @@ def match_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def second_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d, g = _tables(spark, sf_dir, "parcels", "drone", "gnss")
-    pairs = candidates(p, d)
+    pairs = M.spread(candidates(p, d))
     counted = M.gnss_inside(pairs, g)
     pairs = pairs.join(counted.hint("merge"), ["parcel_id", "feature_id"], "left")
     support = F.coalesce(F.col("inside") / F.col("points") >= 0.9, F.lit(False))
