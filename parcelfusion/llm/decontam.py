@@ -37,7 +37,8 @@ LONG, STEPS, SAMPLES, SHORT_STEPS, SHORT_SAMPLES = 12, 18, 6, 5, 3
 MAX_REPEATS = 48
 PUNCTUATION = string.punctuation.encode()
 MULT = np.uint64(0x9E3779B97F4A7C15)
-TABLE_BITS = 22
+#: Lookup tables of grown keys have 2^SPARE slots a window of the items, so that few slots are taken.
+SPARE = 6
 #: Words of documents searched at once, rounded up to whole documents.
 RUN_WORDS = 100_000
 RESULT = "doc_id long, item_id long, edits int, item_words int, at_word long"
@@ -53,8 +54,8 @@ def grow(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(29))
 
 
-def slot(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def slot(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def fitting_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -83,6 +84,7 @@ class Family:
         self.padded = np.full((len(items), longest + steps), -1, np.int64)
         for n, x in enumerate(items):
             self.padded[n, : len(x)] = x
+        self.bits = min(24, max(10, int(np.ceil(np.log2(len(starts)))) + SPARE))
         self.first = np.zeros(size, bool)
         self.first[self.padded[self.where[:, 0], self.where[:, 1]]] = True
 
@@ -97,8 +99,8 @@ class Family:
             if j in steps:
                 key = grow(key, word)
                 if j:
-                    table = np.zeros(1 << TABLE_BITS, bool)
-                    table[slot(key[live])] = True
+                    table = np.zeros(1 << self.bits, bool)
+                    table[slot(key[live], self.bits)] = True
                     tables.append(table)
             i = i + bits[j][np.maximum(word, 0)]
         order = np.argsort(key[live], kind="stable")
@@ -120,7 +122,7 @@ class Family:
                 word = text[i]
                 if j and j in steps:
                     key = grow(key, word)
-                    on = tables[level][slot(key)]
+                    on = tables[level][slot(key, self.bits)]
                     level += 1
                     at, i, key, word = at[on], i[on], key[on], word[on]
                 i = i + bits[j][word]
