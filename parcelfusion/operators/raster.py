@@ -112,7 +112,7 @@ def region_report(labels: DataFrame, difference: DataFrame, pixel_area: float =
     both = labels.join(difference.hint("merge"), ["px_row", "px_col"])
     found = both.groupBy("region").agg(
         F.count("*").alias("pixels"), F.min("px_row").alias("row_min"), F.max("px_row").alias("row_max"), F.min("px_col").alias("col_min"), F.max("px_col").alias("col_max"),
-        rounded(F.avg("g1"), 3).alias("mean_1"), rounded(F.avg("g2"), 3).alias("mean_2"),
+        rounded(F.avg("g1") + 1e-9, 3).alias("mean_1"), rounded(F.avg("g2") + 1e-9, 3).alias("mean_2"),  # ties go up, whatever the order of the sum
     )
     return found.where(F.col("pixels") >= least).withColumn("area", F.col("pixels") * pixel_area).withColumn("kind", region_class(F.col("mean_2") - F.col("mean_1"), F.col("pixels")))
 

@@ -404,7 +404,7 @@ bh AS (SELECT parcel_id, building_id FROM lb JOIN pe e ON e.id = lb.parcel_id JO
     "raster_difference": (raster_difference, check(DIFF, "SELECT * FROM df", "pixels_1", "pixels_2")),
     "raster_mask": (raster_mask, check(f"{DIFF},\n{MORPH}", "SELECT * FROM m4", "pixels_1", "pixels_2")),
     "change_regions": (change_regions, check(f"{DIFF},\n{REGIONS}", "SELECT region, count(*) AS pixels FROM rr GROUP BY region", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
-    "change_region_report": (change_region_report, check(f"{DIFF},\n{REGIONS},\nq AS (SELECT region, count(*) AS pixels, count(*) * 0.25::DOUBLE AS area, min(px_row) AS row_min, max(px_row) AS row_max, min(px_col) AS col_min, max(px_col) AS col_max, {rnd('avg(g1)', 3)} AS mean_1, {rnd('avg(g2)', 3)} AS mean_2 FROM rr JOIN df USING (px_row, px_col) GROUP BY region HAVING count(*) >= 3)",
+    "change_region_report": (change_region_report, check(f"{DIFF},\n{REGIONS},\nq AS (SELECT region, count(*) AS pixels, count(*) * 0.25::DOUBLE AS area, min(px_row) AS row_min, max(px_row) AS row_max, min(px_col) AS col_min, max(px_col) AS col_max, {rnd('avg(g1) + 1e-9', 3)} AS mean_1, {rnd('avg(g2) + 1e-9', 3)} AS mean_2 FROM rr JOIN df USING (px_row, px_col) GROUP BY region HAVING count(*) >= 3)",
         "SELECT *, CASE WHEN mean_2 - mean_1 > 35 THEN 'ADDED' WHEN mean_2 - mean_1 < -35 THEN 'REMOVED' WHEN abs(mean_2 - mean_1) > 15 AND pixels < 1500 THEN 'EXPANSION' ELSE 'LAND_COVER' END AS kind FROM q", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
     "affine_residuals": (affine_residuals, check(_AFFINE, f"SELECT sheet_id, any_value(n) AS n, {rnd('sqrt(avg(sq))', 4)} AS rmse, {rnd('avg(sqrt(sq))', 4)} AS mean_residual, {rnd('sqrt(max(sq))', 4)} AS max_residual, sqrt(avg(sq)) <= 2.5 AS accepted FROM r GROUP BY sheet_id", "control_points")),
     "affine_to_map": (affine_to_map, check(_AFFINE, f"SELECT point_id, {rnd('mx', 3)} AS x, {rnd('my', 3)} AS y FROM r WHERE sheet_id % 3 <> 0", "control_points")),
