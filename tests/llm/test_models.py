@@ -92,6 +92,22 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0), sample_docs=50).count() == 0
 
 
+def test_licence_inside_a_long_line(spark):
+    ordinary = " ".join(t for _, t, _ in texts(300)).replace("\n", " ").replace(".", "").split()
+    middle = lambda n, *notices: " ".join(w for k, t in enumerate(notices) for w in [*ordinary[k * n : k * n + n // 2], t, *ordinary[k * n + n // 2 : k * n + n]])
+    short = {"reserved": "All rights reserved.", "mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0."}
+    long = {f: licenses.TEMPLATES[f][0] for f in ("apache", "gpl", "agpl", "mit")}
+    cases = [(n, {f: t}) for n in (40, 160, 1000) for f, t in [*short.items(), *long.items()]] + [(1000, short)]
+    rows = [(i, t) for i, t, _ in texts(200)] + [(1000 + k, middle(n, *c.values())) for k, (n, c) in enumerate(cases)]
+    rows += [(2000, middle(1000, "under no licence of"))]
+    got: dict[int, set] = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), sample_docs=50).collect():
+        got.setdefault(r.doc_id, set()).add((r.family, r.confirmed))
+    for k, (n, c) in enumerate(cases):
+        assert got.get(1000 + k) == {(f, True) for f in c}, (n, c)
+    assert got.get(2000, set()) <= {("unknown", False)}
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
