@@ -7,8 +7,8 @@ bits and its own sample of steps; the words written at those steps are the LSH k
 
 Items are embedded at every ``ANCHOR``-th word (short ones at every word), documents at every word of the whole text. The first step is always
 among the sampled ones and keys are looked up as they grow, so nearly all windows of a clean document end after two
-samples. Repetitions are added until simulated items with the most edits allowed are found at the target
-recall. What collides is checked exactly: least edits, in words, that turn the item into some stretch of
+samples. Items of similar length form a family with its own repetitions, which are added until simulated items with the
+most edits allowed are found at the target recall at every length (``strata``). What collides is checked exactly: least edits, in words, that turn the item into some stretch of
 the document.
 
 Items are taken in blocks of bounded size, each broadcast against all documents: a stated query set in
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, sized_join, stored
 
 MIN_WORDS, ANCHOR, BLOCK_ITEMS = 5, 4, 20_000
-#: Walk steps and samples for long items, and for those under LONG words.
+#: Walk steps and samples for long items, and for those under LONG words; least words of the items of each family.
 LONG, STEPS, SAMPLES, SHORT_STEPS, SHORT_SAMPLES = 12, 18, 6, 5, 3
-MAX_REPEATS = 48
+CLASSES = [MIN_WORDS, LONG, 15, 20, 30]
+#: Simulated items a length; repetitions after which a family that still misses the target is an error.
+TRIALS, MAX_REPEATS = 400, 400
 PUNCTUATION = string.punctuation.encode()
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Lookup tables of grown keys have 2^SPARE slots a window of the items, so that few slots are taken.
@@ -106,13 +108,35 @@ class Family:
         order = np.argsort(key[live], kind="stable")
         self.repeats.append((steps, bits, tables, key[live][order], np.flatnonzero(live)[order]))
 
+    def caught(self, trials: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Whether the last repetition finds each trial's item (its number here) in the trial's text."""
+        if not trials:
+            return np.zeros(0, bool)
+        gap = np.zeros(self.steps, np.int64)
+        joined = np.concatenate([x for _, t in trials for x in (t, gap)])
+        begins = np.cumsum([0] + [len(t) + self.steps for _, t in trials[:-1]])
+        found, wanted = np.zeros(len(trials), bool), np.array([n for n, _ in trials])
+        for at, lo, hi, owners in self.hits(joined, self.repeats[-1:]):
+            of = np.searchsorted(begins, at, "right") - 1
+            for k, a, b in zip(of, lo, hi, strict=True):
+                found[k] = found[k] or (self.where[owners[a:b], 0] == wanted[k]).any()
+        return found
+
     def collisions(self, text: np.ndarray) -> set[tuple[int, int, int]]:
         """(item number here, window start in ``text``, word of the item that this window starts at)."""
         found: set[tuple[int, int, int]] = set()
+        for at, lo, hi, owners in self.hits(text, self.repeats):
+            for p, a, b in zip(at, lo, hi, strict=True):
+                for n, o in self.where[owners[a:b]]:
+                    found.add((int(n), int(p), int(o)))
+        return found
+
+    def hits(self, text: np.ndarray, repeats: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By repetition: starts of windows whose key an item has, and the range of its owners."""
         start = np.flatnonzero(self.first[text])
         tail = np.zeros(self.steps, text.dtype)
         text = np.concatenate([text, tail])
-        for steps, bits, tables, keys, owners in self.repeats:
+        for steps, bits, tables, keys, owners in repeats:
             at, i = start, start
             key = grow(np.zeros(len(at), np.uint64), text[i])
             level = 0
@@ -127,10 +151,24 @@ class Family:
                     at, i, key, word = at[on], i[on], key[on], word[on]
                 i = i + bits[j][word]
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                for n, o in self.where[owners[a:b]]:
-                    found.add((int(n), int(p), int(o)))
-        return found
+            yield at[hi > lo], lo[hi > lo], hi[hi > lo], owners
+
+
+def strata(items: list[np.ndarray]) -> dict[int, list[int]]:
+    """Numbers of the items by length, those of 30 words and more by doubled length."""
+    out: dict[int, list[int]] = {}
+    for n, x in enumerate(items):
+        out.setdefault(len(x) if len(x) < 30 else 30 + int(np.log2(len(x) / 30)), []).append(n)
+    return out
+
+
+def edited(item: np.ndarray, percent: int, rng: np.random.Generator) -> np.ndarray:
+    """``item`` after the most edits allowed."""
+    x = item.tolist()
+    for _ in range(percent * len(x) // 100):
+        k, kind = int(rng.integers(0, len(x))), rng.integers(0, 3)
+        x[k : k + 1] = [[], [0], [x[k], 0]][kind]
+    return np.array(x, np.int64)
 
 
 class Searcher:
@@ -145,11 +183,11 @@ class Searcher:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)  # 0: a word of no item
         coded = [(i, self.code(w)) for i, w in split]
         self.families = []
-        for short in (False, True):
-            own = [(i, x) for i, x in coded if (len(x) < LONG) == short]
+        for k, least in enumerate(CLASSES):
+            own = [(i, x) for i, x in coded if least <= len(x) < (*CLASSES, np.inf)[k + 1]]
             if own:
-                shape = (SHORT_STEPS, SHORT_SAMPLES) if short else (STEPS, SAMPLES)
-                family = Family([x for _, x in own], [i for i, _ in own], len(self.vocabulary) + 1, *shape, seed + short)
+                shape = (SHORT_STEPS, SHORT_SAMPLES) if least < LONG else (STEPS, SAMPLES)
+                family = Family([x for _, x in own], [i for i, _ in own], len(self.vocabulary) + 1, *shape, seed + k)
                 self.tune(family, recall, seed)
                 self.families.append(family)
 
@@ -158,21 +196,19 @@ class Searcher:
         return np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
 
     def tune(self, family: Family, recall: float, seed: int) -> None:
-        """Add repetitions until edited items are found at the target recall."""
+        """Add repetitions until edited items of every stratum of length are found at the target recall."""
         rng = np.random.default_rng([seed, 1])
-        trials = []
-        for n in rng.integers(0, len(family.items), 400):
-            x = family.items[n].tolist()
-            for _ in range(self.percent * len(x) // 100):
-                k, kind = int(rng.integers(0, len(x))), rng.integers(0, 3)
-                x[k : k + 1] = [[], [0], [x[k], 0]][kind]
-            trials.append((int(n), np.array(x, np.int64)))
-        missed = list(range(len(trials)))
-        while len(family.repeats) < 4 or (len(missed) > (1 - recall) * len(trials) and len(family.repeats) < MAX_REPEATS):
+        of, trials = [], []
+        for stratum, numbers in strata(family.items).items():
+            for n in rng.choice(numbers, TRIALS):
+                of.append(stratum)
+                trials.append((int(n), edited(family.items[n], self.percent, rng)))
+        missed, of = np.arange(len(trials)), np.array(of)
+        while len(family.repeats) < 4 or np.bincount(of[missed], minlength=1).max() > (1 - recall) * TRIALS:
+            if len(family.repeats) == MAX_REPEATS:
+                raise ValueError(f"recall {recall} at {self.percent} % of edits is not reached in {MAX_REPEATS} repetitions, for items of {min(map(len, family.items))} words and more")
             family.add_repeat()
-            old, family.repeats = family.repeats, family.repeats[-1:]
-            missed = [t for t in missed if trials[t][0] not in {n for n, _, _ in family.collisions(trials[t][1])}]
-            family.repeats = old
+            missed = missed[~family.caught([trials[t] for t in missed])]
 
     def find(self, texts: Sequence[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item id, edits, item words, first word of the window) of every item that a text holds.

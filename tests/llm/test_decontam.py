@@ -1,5 +1,8 @@
 import numpy as np
 
+import pytest
+
+from parcelfusion.llm import decontam
 from parcelfusion.llm.decontam import Searcher, contaminated, decontaminate, fitting_edits, words
 
 
@@ -56,3 +59,23 @@ def test_empty_tables(spark):
 
 def test_repeats_follow_recall():
     assert len(Searcher([(1, " ".join(f"w{i}" for i in range(40)))], recall=0.5).families[0].repeats) <= 8
+
+
+def test_every_length_reaches_the_recall():
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 20_000, n))
+    # Mostly items of 30 words and more, which are the easiest to find.
+    lengths = [5, 6, 8, 10, 12, 13, 15, 20]
+    items = [say(n) for n in [*rng.integers(30, 60, 600), *np.repeat(lengths, 10)]]
+    searcher = Searcher(list(enumerate(items)))
+    for n in lengths:
+        tried = [(k, decontam.edited(np.arange(1, n + 1), 20, rng)) for k in np.repeat([k for k, t in enumerate(items) if len(t.split()) == n], 60)]
+        texts = [" ".join(items[k].split()[w - 1] if w else "new" for w in x) for k, x in tried]
+        found = {(at, k) for at, k, *_ in searcher.find(texts)}
+        assert sum((at, k) in found for at, (k, _) in enumerate(tried)) >= 0.985 * len(tried), n
+
+
+def test_a_recall_out_of_reach_is_an_error(monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_REPEATS", 4)
+    with pytest.raises(ValueError, match="not reached"):
+        Searcher([(1, " ".join(f"w{i}" for i in range(12)))], recall=0.9999)
