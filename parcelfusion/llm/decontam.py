@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
 
-Texts are word sequences (A-Z lower-cased, ASCII punctuation removed). A CGK random walk reads a window:
+Texts are word sequences (A-Z lower-cased, ASCII punctuation removed); in scripts without spaces every character is a
+word, and their punctuation is none. A CGK random walk reads a window:
 at step j it writes the word under its pointer and moves on by a random bit that depends on j and the word,
 so windows a few edits apart write strings a small Hamming distance apart. Each repetition draws its own
 bits and its own sample of steps; the words written at those steps are the LSH key.
@@ -11,16 +12,19 @@ samples. Items of similar length form a family with its own repetitions, which a
 most edits allowed are found at the target recall at every length (``strata``). What collides is checked exactly: least edits, in words, that turn the item into some stretch of
 the document.
 
+Items under ``MIN_WORDS`` words are found by equal runs of words: one with k edits allowed is cut into k + 1 pieces, of which
+one stays whole.
+
 Items are taken in blocks of bounded size, each broadcast against all documents: a stated query set in
 blocks. Result rows are only documents that hold an item.
 
-Edge cases: null texts and items match nothing; items under ``MIN_WORDS`` words are too short to tell and
-match nothing; equal items are reported each; repeated documents are reported each; empty tables give an
+Edge cases: null texts and items, and items without words, match nothing; equal items are reported each; repeated documents are reported each; empty tables give an
 empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator, Sequence
 
@@ -37,6 +41,9 @@ LONG, STEPS, SAMPLES, SHORT_STEPS, SHORT_SAMPLES = 12, 18, 6, 5, 3
 CLASSES = [MIN_WORDS, LONG, 15, 20, 30]
 #: Simulated items a length; repetitions after which a family that still misses the target is an error.
 TRIALS, MAX_REPEATS = 400, 400
+#: Thai to Tibetan, Myanmar, Khmer, kana and Han; CJK and full-width punctuation.
+SPACELESS = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+STOPS = re.compile("[\u3000-\u3004\u3008-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 PUNCTUATION = string.punctuation.encode()
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Lookup tables of grown keys have 2^SPARE slots a window of the items, so that few slots are taken.
@@ -47,7 +54,10 @@ RESULT = "doc_id long, item_id long, edits int, item_words int, at_word long"
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(LOWER_BYTES, PUNCTUATION).split()
+    text = text or ""
+    if not text.isascii() and SPACELESS.search(text):
+        text = SPACELESS.sub(r" \1 ", STOPS.sub(" ", text))
+    return text.encode("utf-8", "replace").translate(LOWER_BYTES, PUNCTUATION).split()
 
 
 def grow(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -154,6 +164,44 @@ class Family:
             yield at[hi > lo], lo[hi > lo], hi[hi > lo], owners
 
 
+class Runs:
+    """The items too short for a walk, by equal runs of words."""
+
+    def __init__(self, items: list[np.ndarray], numbers: list[int], percent: int, size: int):
+        self.items, self.numbers = items, numbers
+        self.first = np.zeros(size, bool)
+        #: By length of the piece, and by its key: (item number here, word of the item that the piece starts at).
+        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for n, x in enumerate(items):
+            cuts = np.array_split(np.arange(len(x)), min(len(x), percent * len(x) // 100 + 1))
+            for cut in cuts:
+                self.first[x[cut[0]]] = True
+                key = int(self.keys(x[cut], len(cut))[0])
+                self.pieces.setdefault(len(cut), {}).setdefault(key, []).append((n, int(cut[0])))
+        self.known = {k: np.array(sorted(v), np.uint64) for k, v in self.pieces.items()}
+
+    @staticmethod
+    def keys(text: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
+        at = np.arange(len(text) - length + 1) if at is None else at
+        key = np.zeros(len(at), np.uint64)
+        for j in range(length):
+            key = grow(key, text[at + j])
+        return key
+
+    def collisions(self, text: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item number here, start of the piece in ``text``, word of the item that the piece starts at)."""
+        found: set[tuple[int, int, int]] = set()
+        start = np.flatnonzero(self.first[text])
+        for length, known in self.known.items():
+            at = start[start <= len(text) - length]
+            key = self.keys(text, length, at)
+            on = np.isin(key, known)
+            for p, k in zip(at[on].tolist(), key[on].tolist(), strict=True):
+                for n, o in self.pieces[length][k]:
+                    found.add((n, p, o))
+        return found
+
+
 def strata(items: list[np.ndarray]) -> dict[int, list[int]]:
     """Numbers of the items by length, those of 30 words and more by doubled length."""
     out: dict[int, list[int]] = {}
@@ -177,12 +225,12 @@ class Searcher:
     def __init__(self, items: Sequence[tuple[int, str]], percent: int = 20, recall: float = 0.995, seed: int = 5):
         self.percent, self.vocabulary = percent, {}
         split = [(i, words(t)) for i, t in items]
-        split = [(i, w) for i, w in split if len(w) >= MIN_WORDS]
+        split = [(i, w) for i, w in split if w]
         for _, ws in split:
             for w in ws:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)  # 0: a word of no item
         coded = [(i, self.code(w)) for i, w in split]
-        self.families = []
+        self.families: list[Family | Runs] = []
         for k, least in enumerate(CLASSES):
             own = [(i, x) for i, x in coded if least <= len(x) < (*CLASSES, np.inf)[k + 1]]
             if own:
@@ -190,6 +238,9 @@ class Searcher:
                 family = Family([x for _, x in own], [i for i, _ in own], len(self.vocabulary) + 1, *shape, seed + k)
                 self.tune(family, recall, seed)
                 self.families.append(family)
+        few = [(i, x) for i, x in coded if len(x) < MIN_WORDS]
+        if few:
+            self.families.append(Runs([x for _, x in few], [i for i, _ in few], percent, len(self.vocabulary) + 1))
 
     def code(self, ws: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -240,6 +291,8 @@ class Searcher:
                 allowed = self.percent * len(item) // 100
                 slack = allowed + ANCHOR
                 for p in sorted(starts):
+                    if best and not best[0]:
+                        break
                     if done is not None and p - done <= slack:
                         continue  # inside the stretch just searched
                     done = p

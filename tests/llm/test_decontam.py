@@ -79,3 +79,17 @@ def test_a_recall_out_of_reach_is_an_error(monkeypatch):
     monkeypatch.setattr(decontam, "MAX_REPEATS", 4)
     with pytest.raises(ValueError, match="not reached"):
         Searcher([(1, " ".join(f"w{i}" for i in range(12)))], recall=0.9999)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Mount Kilimanjaro"), (2, "blue whale, 1952"), (3, "Zanzibar"), (4, "水の沸点は何度ですか？"), (5, "北京"), (6, "กรุงเทพมหานคร"), (7, "..."), (8, "who wrote it?")]
+    docs = [(1, "They saw mount kilimanjaro, at dawn"), (2, "mount\nKilimanjaro"), (3, "Kilimanjaro mount"), (4, "a blue whale 1952"), (5, "a blue big whale 1952"), (6, "zanzibars"), (7, "to Zanzibar"), (8, "質問。水の沸点は何度ですか。答え"), (9, "水の沸点は何度でしょうか"), (10, "我住在北京市"), (11, "京北"), (12, "ไปกรุงเทพมหานครกัน"), (13, "wrote it who"), (14, "… and who wrote it"), (15, "水は百度で沸く")]
+    want = {(1, 1), (2, 1), (4, 2), (7, 3), (8, 4), (9, 4), (10, 5), (12, 6), (14, 8)}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = contaminated(*frames).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert {r.edits for r in got if r.item_words < 5} == {0}
+    assert {r.doc_id for r in decontaminate(*frames).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    # With edits allowed in them, short items are still found wherever one is.
+    loose = Searcher([(1, "one two three four")], percent=30)
+    assert [h[:3] for h in loose.find(["x one two other four x", "one two", "three x four two one", "two three four"])] == [(0, 1, 1), (3, 1, 1)]
