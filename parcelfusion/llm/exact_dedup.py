@@ -5,8 +5,8 @@ Copies are pre-aggregated into one entry per text before anything is shuffled by
 copies of any size is one entry. A directory over the leading bits of the key starts with one bucket
 and doubles until no bucket holds more than ``capacity`` entries (or the last depth is reached; such a
 bucket just grows). Entries are written in key ranges: the task that owns a range holds whole
-buckets. Entries of one key form a chain; the texts of every chain with more than one member are then
-compared byte by byte, by grouping on the text itself.
+buckets. The grouping decides what is a copy, not a lookup in a bucket: the texts of every entry with more
+than one copy are compared byte by byte, by grouping on the text itself.
 
 Only text of documents that have a copy is shuffled, after map-side aggregation.
 
