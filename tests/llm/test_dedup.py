@@ -3,6 +3,9 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from parcelfusion.llm import exact_dedup as X
 from parcelfusion.llm import minhash as M
 from parcelfusion.llm.components import connected_components
 from parcelfusion.llm.exact_dedup import directory, exact_dedup, records
@@ -26,12 +29,38 @@ def exact_rows():
 def test_exact_against_brute_force(documents):
     rows = exact_rows()
     want = brute_exact(rows)
-    for how in ({}, {"key_bits": 2, "capacity": 3}, {"key_bits": 8, "capacity": 1, "broadcast_rows": 0}):
+    ways = ({}, {"key_bits": 2, "capacity": 3}, {"key_bits": 8, "capacity": 1, "broadcast_rows": 0}, {"key_bits": 2, "digest_bytes": 0}, {"key_bits": 1, "digest_bytes": 0, "broadcast_rows": 0})
+    for how in ways:
         got = exact_dedup(documents(rows), **how)
         assert sorted(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
     assert exact_dedup(documents([])).count() == 0
 
 
+def test_exact_null_and_long_ids(spark):
+    big = 2**53 + 1
+    rows = [(None, "a"), (big, "A"), (None, "alone"), (None, None), (None, ""), (big - 1, "b")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept").collect()
+    want = [(None, big, 2, False), (big, big, 2, True), (None, None, 1, True), (None, None, 2, True), (None, None, 2, True), (big - 1, big - 1, 1, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_results_come_through_the_index(documents, monkeypatch):
+    rows = exact_rows()
+    real = X.directory
+
+    def half(keys, capacity, *rest):
+        return real(keys, capacity, *rest).where("bucket < 0")
+
+    _, chains, index = X.build_index(documents(rows), capacity=2)
+    assert index.select("bucket").distinct().count() > 1
+    # Buckets are ranges of unsigned keys that don't overlap.
+    ends = [(min(k), max(k)) for k in ([r.key % 2**64 for r in index.where(F.col("bucket") == b).collect()] for (b,) in index.select("bucket").distinct().collect())]
+    assert all(a[1] < b[0] for a, b in zip(sorted(ends), sorted(ends)[1:], strict=False))
+    assert index.count() == chains.count() == len({(t or "").translate(UPPER) for _, t, _ in rows})
+    monkeypatch.setattr(X, "directory", half)  # a directory without slots: nothing is found any more
+    assert exact_dedup(documents(rows)).where("group_size > 1").count() == 0
+
+
 def test_directory_splits_only_overfull_buckets(documents):
     slots = directory(records(documents([(i, f"t{i}", "s") for i in range(500)])), 40).collect()
     held = {}
