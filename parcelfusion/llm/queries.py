@@ -134,7 +134,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("virtual_finish")
+    return mix(table(spark, sf_dir, "documents"))
 
 
 OP9_SQL = r"""
@@ -155,13 +155,14 @@ goal AS (
          ELSE (s3.weight::DOUBLE * f."left"::DOUBLE) / f.den::DOUBLE END AS target
   FROM s3 CROSS JOIN f),
 q AS (
-  SELECT d.*, goal.source_size, goal.target, floor(goal.target)::BIGINT AS words,
-         (sum(size) OVER (PARTITION BY d.src ORDER BY d.place, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
-  FROM d JOIN goal ON d.src = goal.src)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
-        + greatest(0, least(size, words - start - 2 * source_size)))::BIGINT AS taken
-FROM q
+  SELECT d.*, goal.source_size, goal.target, sum(size) OVER (PARTITION BY d.src ORDER BY d.place, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS done
+  FROM d JOIN goal ON d.src = goal.src),
+c AS (
+  SELECT doc_id, src, place, size, turn, CASE WHEN target > 0 THEN (done + turn * source_size)::DOUBLE / target ELSE 0 END AS finish
+  FROM q, (SELECT unnest(range(3))::BIGINT AS turn)),
+r AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, src, place, doc_id, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM c),
+t AS (SELECT doc_id, sum(greatest(0, least(size, size - running + (SELECT sum(size) FROM d))))::BIGINT AS taken FROM r GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN target > 0 THEN done::DOUBLE / target END AS virtual_finish FROM q JOIN t USING (doc_id)
 """
 
 
