@@ -6,12 +6,12 @@ multivariate hypergeometric distribution, given the shard sizes. Each partition
 cut into runs of the drawn lengths; the runs are exchanged; each shard is permuted again. The law is
 ``rows``: shard sizes differ by one document at most.
 
-The matrix has at most 4,096 x shards counts, whatever the input; it is drawn on the driver from the
+The matrix has at most 65,536 x shards counts, whatever the input; it is drawn on the driver from the
 partition counts. Hash-ordered buckets keep every sort bounded: no task holds a shard.
 
-Edge cases: null text has 8 bytes of size and the checksum of the empty text; null doc_id hashes as
-empty; repeated rows are separate documents; an empty table gives an empty result; extra columns are
-ignored.
+Edge cases: null text has 8 bytes of size and the checksum of the empty text; a null doc_id hashes by its
+text; repeated rows are separate documents; an empty table gives an empty result; extra columns are
+ignored, or kept on request, where one with the name of a result column becomes ``document_<name>``.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .mixing import shuffle_key
 
-#: Partitions at most; rows a partition should have while there are fewer.
-MAX_PARTS, PART_ROWS = 4096, 1000
+#: Bits of the number of partitions at most; rows a partition should have while there are fewer.
+MAX_BITS, PART_ROWS = 16, 1000
 NAMES = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
 
 
@@ -71,26 +71,30 @@ def communication_matrix(counts: list[int], shards: int, seed: int = 0) -> list[
 def shard(docs: DataFrame, shards: int = 24, seed: int = 0, keep_columns: bool = False) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law).
 
-    With ``keep_columns`` the documents themselves are exchanged: their other columns come along, unless they
-    have one of these names.
+    With ``keep_columns`` the documents themselves are exchanged: their other columns come along.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    place, order = shuffle_key(F.col("doc_id"), f"local:{seed}:"), shuffle_key(F.col("doc_id"), f"shard:{seed}:")
-    others = [c for c in docs.columns if c.lower() not in NAMES]
-    body = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc")] if keep_columns and others else []
-    n = docs.count()
-    parts = min(MAX_PARTS, 1 << max(0, math.ceil(math.log2(max(1, n) / PART_ROWS))))
-    part = (F.conv(F.substring(place, 1, 3), 16, 10).cast("int") % parts).cast("int").alias("part")
-    counts = dict(docs.groupBy(part).count().collect())  # at most MAX_PARTS rows
+    place, order = shuffle_key(F.col("doc_id"), f"local:{seed}:", text), shuffle_key(F.col("doc_id"), f"shard:{seed}:", text)
+    others = [c for c in docs.columns if c != "doc_id"] if keep_columns else []
+    body = [F.struct(*[F.col(f"`{c}`").alias(f"document_{c}" if c.lower() in NAMES else c) for c in others]).alias("doc")] if others else []
+    fine = F.conv(F.substring(place, 1, MAX_BITS // 4), 16, 10).cast("int")
+    found = docs.groupBy(fine.alias("part")).count().collect()  # at most 2^MAX_BITS rows
+    n = sum(c for _, c in found)
+    parts = min(1 << MAX_BITS, 1 << max(0, math.ceil(math.log2(max(1, n) / PART_ROWS))))
+    part = (fine % parts).cast("int").alias("part")
+    counts: dict[int, int] = {}
+    for i, c in found:
+        counts[i % parts] = counts.get(i % parts, 0) + c
     matrix = communication_matrix([counts.get(i, 0) for i in range(parts)], shards, seed)
+    digits = max(1, math.ceil(math.log(max(1, n) / shards / PART_ROWS, 16)))
     ends = json.dumps(np.cumsum(matrix, axis=1).tolist())
     runs = spark.range(1).select(F.posexplode(F.from_json(F.lit(ends), "array<array<bigint>>")).alias("part", "ends"))
     size, checksum = (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     rows = docs.select("doc_id", size, checksum, place.alias("place"), order.alias("order"), part, *body)
     local = F.row_number().over(W.partitionBy("part").orderBy("place", "doc_id", "text_crc32", "size")) - 1
     sent = rows.withColumn("local", local).join(F.broadcast(runs), "part")
-    sent = sent.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("local")))).withColumn("bucket", F.substring("order", 1, 3))
+    sent = sent.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("local")))).withColumn("bucket", F.substring("order", 1, digits))
     sent = stored(sent.drop("part", "ends", "local", "place"), "shard-sent")
     earlier = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
