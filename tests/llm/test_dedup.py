@@ -125,7 +125,21 @@ def test_one_of_each(documents):
     rows = near_rows() + [(193, "one", "s")]
     kept = M.one_of_each(documents(rows), 5, 80)
     assert kept.columns == documents(rows[:1]).columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i, _, _, k in brute_near(near_rows(), 5, 80) if k]
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted([i for i, _, _, k in brute_near(near_rows(), 5, 80) if k])
+
+
+def test_near_null_and_repeated_ids(spark):
+    big = 2**53 + 1
+    text = " ".join(f"w{k}" for k in range(40))
+    other, third = " ".join(f"v{k}" for k in range(40)), " ".join(f"u{k}" for k in range(40))
+    rows = [(None, text), (big, text + " x"), (1, other), (1, third), (None, "alone here"), (None, third + " y"), (2, text), (2, text), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in M.near_duplicates(docs, 5, 80).collect())))
+    n = 36
+    want = [(None, n, 2, False), (big, n + 1, 2, False), (1, n, 1, True), (1, n, 1, True), (None, 1, None, True), (None, n + 1, 1, False), (2, n, 2, True), (2, n, 2, True), (None, 0, None, True), (None, 0, None, True)]
+    assert got == sorted(map(str, want))
+    kept = sorted(map(str, (tuple(r) for r in M.one_of_each(docs, 5, 80).collect())))
+    assert kept == sorted(map(str, [(2, text), (1, other), (1, third), (None, "alone here"), (None, None), (None, "")]))
 
 
 def test_odd_sketch_estimates():
