@@ -18,24 +18,27 @@ one stays whole.
 Items are taken in blocks of bounded size, each broadcast against all documents: a stated query set in
 blocks. Result rows are only documents that hold an item.
 
-Edge cases: null texts and items, and items without words, match nothing; equal items are reported each; repeated documents are reported each; empty tables give an
-empty result; extra columns are ignored.
+Edge cases: null texts and items, and items without words, match nothing; equal items are reported each; repeated documents are
+reported each, and so are rows that share a doc_id; ids may be null and pass through as they are; ``decontaminate`` judges each row by its
+own text; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, sized_join, stored
+from .common import LOWER_BYTES
 
-MIN_WORDS, ANCHOR, BLOCK_ITEMS = 5, 4, 20_000
+MIN_WORDS, ANCHOR, BLOCK_ITEMS = 5, 4, 50_000
 #: Walk steps and samples for long items, and for those under LONG words; least words of the items of each family.
 LONG, STEPS, SAMPLES, SHORT_STEPS, SHORT_SAMPLES = 12, 18, 6, 5, 3
 CLASSES = [MIN_WORDS, LONG, 15, 20, 30]
@@ -51,6 +54,7 @@ SPARE = 6
 #: Words of documents searched at once, rounded up to whole documents.
 RUN_WORDS = 100_000
 RESULT = "doc_id long, item_id long, edits int, item_words int, at_word long"
+NAMES, KINDS = ["doc_id", "item_id", "edits", "item_words", "at_word"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
 
 def words(text: str | None) -> list[bytes]:
@@ -118,8 +122,8 @@ class Family:
         order = np.argsort(key[live], kind="stable")
         self.repeats.append((steps, bits, tables, key[live][order], np.flatnonzero(live)[order]))
 
-    def caught(self, trials: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """Whether the last repetition finds each trial's item (its number here) in the trial's text."""
+    def caught(self, trials: list[tuple[int, np.ndarray]], percent: int) -> np.ndarray:
+        """Whether the last repetition finds each trial's item (its number here) where the exact check will confirm it."""
         if not trials:
             return np.zeros(0, bool)
         gap = np.zeros(self.steps, np.int64)
@@ -128,8 +132,10 @@ class Family:
         found, wanted = np.zeros(len(trials), bool), np.array([n for n, _ in trials])
         for at, lo, hi, owners in self.hits(joined, self.repeats[-1:]):
             of = np.searchsorted(begins, at, "right") - 1
-            for k, a, b in zip(of, lo, hi, strict=True):
-                found[k] = found[k] or (self.where[owners[a:b], 0] == wanted[k]).any()
+            for k, p, a, b in zip(of, at, lo, hi, strict=True):
+                n, o = self.where[owners[a:b]].T
+                slack = percent * len(self.items[wanted[k]]) // 100 + ANCHOR
+                found[k] = found[k] or ((n == wanted[k]) & (np.abs(p - begins[k] - o) <= slack)).any()
         return found
 
     def collisions(self, text: np.ndarray) -> set[tuple[int, int, int]]:
@@ -259,7 +265,7 @@ class Searcher:
             if len(family.repeats) == MAX_REPEATS:
                 raise ValueError(f"recall {recall} at {self.percent} % of edits is not reached in {MAX_REPEATS} repetitions, for items of {min(map(len, family.items))} words and more")
             family.add_repeat()
-            missed = missed[~family.caught([trials[t] for t in missed])]
+            missed = missed[~family.caught([trials[t] for t in missed], self.percent)]
 
     def find(self, texts: Sequence[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item id, edits, item words, first word of the window) of every item that a text holds.
@@ -304,29 +310,48 @@ class Searcher:
                     yield number, family.numbers[n], best[0], len(item), best[1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 20, recall: float = 0.995) -> DataFrame:
-    """doc_id, item_id, edits, item_words, at_word: each benchmark item that a document holds, its closest place."""
-    spark = docs.sparkSession
+def searchers(benchmark: DataFrame, percent: int, recall: float) -> list[Broadcast]:
+    """A searcher for each block of items, broadcast; a block has some ``BLOCK_ITEMS`` items."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
-    found = None
+    out = []
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text")
-        searcher = spark.sparkContext.broadcast(Searcher([(r[0], r[1]) for r in block.collect()], percent, recall))
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Searcher([(r[0], r[1]) for r in block.collect()], percent, recall)))
+    return out
 
-        def run(batches: Iterator[pd.DataFrame], searcher=searcher) -> Iterator[pd.DataFrame]:
-            find = searcher.value.find
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 20, recall: float = 0.995) -> DataFrame:
+    """doc_id, item_id, edits, item_words, at_word: each benchmark item that a document holds, its closest place."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
+    found = None
+    for block in searchers(benchmark, percent, recall):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch["doc_id"].tolist()
-                rows = [(ids[k], *hit) for k, *hit in find(batch["text"].tolist())]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "item_words", "at_word"])
+                hits = list(block.value.find(batch.column("text").to_pylist()))
+                rows, *columns = zip(*hits, strict=True) if hits else ((),) * 5
+                columns = [batch.column("doc_id").take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, KINDS, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInPandas(run, RESULT)
+        part = texts.mapInArrow(run, RESULT)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 20, recall: float = 0.995) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all columns stay."""
-    bad = stored(contaminated(docs, benchmark, percent, recall).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return sized_join(docs, bad, F.col("doc_id") == F.col("_leak"), "left_anti", bad.count())
+    """``docs`` without the rows that hold a benchmark item; all columns stay."""
+    for block in searchers(benchmark, percent, recall):
+        docs = docs.where(clean(block)(F.col("text")))
+    return docs
+
+
+def clean(block: Broadcast) -> Callable[[Column], Column]:
+    """Whether a text holds no item of the block."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            hit = {n for n, *_ in block.value.find(texts.tolist())}
+            yield pd.Series([k not in hit for k in range(len(texts))], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")

@@ -93,3 +93,20 @@ def test_short_items_and_scripts_without_spaces(spark):
     # With edits allowed in them, short items are still found wherever one is.
     loose = Searcher([(1, "one two three four")], percent=30)
     assert [h[:3] for h in loose.find(["x one two other four x", "one two", "three x four two one", "two three four"])] == [(0, 1, 1), (3, 1, 1)]
+
+
+def test_null_long_and_repeated_ids(spark):
+    big, item = 2**53 + 1, " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(None, f"x {item} y"), (big, item), (big, "clean"), (None, "clean too"), (None, None), (3, "")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(big + 2, item), (None, None)], "item_id long, text string")
+    assert sorted(map(str, (tuple(r)[:3] for r in contaminated(docs, items).collect()))) == sorted(map(str, [(None, big + 2, 0), (big, big + 2, 0)]))
+    assert sorted(map(str, map(tuple, decontaminate(docs, items).collect()))) == sorted(map(str, [(big, "clean"), (None, "clean too"), (None, None), (3, "")]))
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    docs, items = corpus()
+    frame, bench = spark.createDataFrame(docs[150:], "doc_id long, text string"), spark.createDataFrame(items[:40], "item_id long, text string")
+    whole = {(r.doc_id, r.item_id) for r in contaminated(frame, bench).collect() if r.edits * 10 <= r.item_words}
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 15)
+    assert whole <= {(r.doc_id, r.item_id) for r in contaminated(frame, bench).collect()}
+    assert not {d for d, _ in whole} & {r.doc_id for r in decontaminate(frame, bench).collect()}
