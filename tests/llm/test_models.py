@@ -42,7 +42,8 @@ def test_switched_words():
     model = langid.Crf(labels, {})
     model.fit([(langid.tokens(t), labels.index(x)) for _, t, x in docs])
     words = "thething shed andthe ingthe thing dieund derschaft keitund überder schaftkeit".split()
-    prob = model.marginals(model.emissions(words), np.array([len(words)]))
+    prob, _ = model.marginals(model.emissions(words), np.array([len(words)]))
+    assert [x[:2] for x in langid.Tagger(model).label(" ".join(words))] == list(zip(words, ["en"] * 5 + ["de"] * 5, strict=True))
     assert [labels[k] for k in prob.argmax(axis=1)] == ["en"] * 5 + ["de"] * 5
     assert np.allclose(prob.sum(axis=1), 1) and (np.diag(model.steps) > model.steps.mean(axis=1)).all()
 
@@ -55,15 +56,62 @@ def test_forward_backward_against_brute_force():
     model.steps = rng.normal(size=(3, 3)).astype(np.float32)
     lengths = np.array([5, 3, 1])
     emit = rng.normal(size=(9, 3)).astype(np.float32)
-    got, at = model.marginals(emit.copy(), lengths), 0
+    pairs, want_pairs, want_z = np.zeros((3, 3)), np.zeros((3, 3)), 0.0
+    (got, log_z), at = model.marginals(emit.copy(), lengths, pairs), 0
     for n in lengths:
-        want = np.zeros((n, 3))
+        want, steps = np.zeros((n, 3)), np.zeros((3, 3))
         for path in product(range(3), repeat=int(n)):
             w = np.exp(sum(emit[at + t, y] for t, y in enumerate(path)) + sum(model.steps[a, b] for a, b in zip(path, path[1:], strict=False)))
             for t, y in enumerate(path):
                 want[t, y] += w
+            for a, b in zip(path, path[1:], strict=False):
+                steps[a, b] += w
+        total = want.sum(axis=1)[0]
+        want_pairs, want_z = want_pairs + steps / total, want_z + np.log(total)
         assert np.allclose(got[at : at + n], want / want.sum(axis=1, keepdims=True), atol=1e-4)
         at += n
+    assert np.allclose(pairs, want_pairs, atol=1e-4) and abs(log_z - want_z) < 1e-3
+
+
+def test_gradients_are_those_of_the_likelihood():
+    labels = sorted(STEMS)
+    docs = [(langid.tokens(t)[:20], labels.index(x)) for _, t, x in texts(12, 7)]
+    model = langid.Crf(labels, {"the": np.array([0, 1, 0], np.float32), "und": np.array([1, 0, 0], np.float32)})
+    rng = np.random.default_rng(2)
+    for name in ("weights", "lexical", "steps"):
+        setattr(model, name, rng.normal(0, 0.3, getattr(model, name).shape))
+    model.weights[langid.SLOTS] = 0
+    sample = langid.Sample(model, docs, 1)
+    _, grads = model.loss(sample)
+    for name, grad in zip(("weights", "lexical", "steps"), grads, strict=True):
+        value = getattr(model, name)
+        at = [tuple(x) for x in np.argwhere(np.abs(grad) > 1e-4)]
+        for k in ([at[int(i)] for i in rng.integers(0, len(at), 12)]):
+            held, ends = value[k], []
+            for step in (1e-4, -1e-4):
+                value[k] = held + step
+                ends.append(model.loss(sample)[0])
+            value[k] = held
+            assert abs((ends[0] - ends[1]) / 2e-4 - grad[k]) < 1e-4 + 0.01 * abs(grad[k]), (name, k)
+
+
+def test_words_of_every_script():
+    assert langid.tokens("½ ² ① 12 _ !?") == [] and langid.tokens("Über l'été") == ["über", "l", "été"]
+    assert langid.tokens("हिन्दी भाषा") == ["हिन्दी", "भाषा"]
+    long = "".join(chr(0x4E00 + k) for k in range(100))
+    assert "".join(langid.tokens(long)) == long and all(len(w.encode()) <= langid.WIDTH for w in langid.tokens(long + "a" * 99))
+    ends = ("漢" * 40, "漢" * 20 + "字" * 20)
+    assert langid.tokens(ends[0]) != langid.tokens(ends[1])
+
+
+def test_language_of_null_and_long_ids(spark):
+    big = 2**53 + 1
+    rows = [(i, t, x) for i, t, x in texts(120)] + [(big, "½ ² ①", "en"), (big, "the thing", None), (None, "der und", "de"), (None, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = sorted(((r.doc_id, r.lang_pred, r.held_out) for r in langid.identify(df, docs_per_lang=40).collect()[-4:]), key=str)
+    assert got == sorted([(big, "und", zlib.crc32(str(big).encode()) % 5 == 0), (big, "en", zlib.crc32(str(big).encode()) % 5 == 0), (None, "de", True), (None, "und", True)], key=str)
+    words = langid.label_words(df.where("doc_id is null"), langid.train(df, 40)).collect()
+    assert [(r.doc_id, r["at"], r.word, r.label) for r in words] == [(None, 0, "der", "de"), (None, 1, "und", "de")]
 
 
 def test_quality(spark):
