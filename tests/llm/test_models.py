@@ -128,6 +128,82 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+def brute_tokens(text):
+    out, before = [], None
+    for m in quality.TOKEN.findall(text or ""):
+        word = quality.plain(m)
+        out.append(word)
+        if word == before:
+            out.append(quality.AGAIN)
+        if len(m) > 1 and m.isupper():
+            out.append(quality.CAPITALS)
+        before = word
+    return out
+
+
+def test_vectors_and_pooling_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [" ".join(rng.choice(["The", "the", "SHOUT", "42", "7", "!!!!", "été", f"w{rng.randrange(30)}"]) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [None, "", "...", "the " * 4000]
+    monkeypatch.setattr(quality, "RUN_TOKENS", 500)
+    sums, counts = {}, {}
+    for t in data:
+        ws = brute_tokens(t)
+        for i, w in enumerate(ws):
+            counts[w] = counts.get(w, 0) + 1
+            v = sums.setdefault(w, np.zeros(quality.DIM))
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(ws):
+                    place, sign = quality.index_vectors([ws[j]])
+                    for m in range(quality.MARKS):
+                        v[place[0, m]] += sign[0, m]
+    for held in (10**6, 12):  # at once, and passed on in between
+        monkeypatch.setattr(quality, "HELD", held)
+        got, of = {}, {}
+        for words, n, v in quality.context_sums(iter([data[:20], data[20:]])):
+            for k, w in enumerate(words):
+                got[w], of[w] = got.get(w, 0) + v[k], of.get(w, 0) + n[k]
+        assert {w: n for w, n in of.items() if n} == counts and all(np.array_equal(got[w], sums[w]) for w in counts)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(data)], "doc_id long, text string")
+    for vocabulary in (1000, 10):
+        vectors = quality.word_vectors(docs, vocabulary)
+        assert vectors.words == (len(counts) if vocabulary == 1000 else vectors.words) <= vocabulary
+        kept = sorted(counts, key=lambda w: -counts[w])[: vectors.words]
+        assert set(vectors.at) <= {w for w in counts if counts[w] >= min(counts[k] for k in kept)}
+        pooled = quality.Pool(vectors).of(data)
+        for t, x in zip(data, pooled, strict=True):
+            ws = brute_tokens(t)
+            if not ws:
+                assert not x.any()
+                continue
+            at = vectors.rows(ws)
+            v, w = vectors.vectors[at].astype(float), vectors.weights[at].astype(float)
+            mean = (w[:, None] * v).sum(axis=0) / w.sum()
+            spread = np.sqrt(np.maximum(0, (w[:, None] * v * v).sum(axis=0) / w.sum() - mean**2))
+            assert np.allclose(x, np.r_[mean, spread, np.log1p(len(ws)) / 10], atol=2e-3)
+    monkeypatch.setattr(quality, "PIECE", 100)
+    assert np.allclose(quality.Pool(vectors).of(data), pooled, atol=2e-2)
+
+
+def test_probabilities_are_calibrated():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 5))
+    y = (rng.random(6000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    score = quality.Network(x[:3000], y[:3000]).score(x[3000:])
+    for lo in (0.0, 0.2, 0.4, 0.6, 0.8):
+        part = (score >= lo) & (score < lo + 0.2)
+        assert abs(score[part].mean() - y[3000:][part].mean()) < 0.08
+
+
+def test_quality_of_null_and_long_ids(spark):
+    big = 2**53 + 1
+    rows = [(i, t) for i, t, _ in texts(80)] + [(None, "the thing"), (big, "and"), (big, "ing shed"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(None, 1), (big, 1)], "doc_id long, quality int")
+    got = quality.quality(docs, labels, train_rows=30).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in rows), key=str)
+    assert all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id == big}) == 2
+
+
 def test_licences(spark):
     notices = {0: ("Released under the MIT License.", "mit"), 1: ("ALL RIGHTS RESERVED", "reserved"), 2: ("Licensed under the  Apache License, Version 2.0", "apache"), 3: ("licensed under cc by-nc 4.0.", "cc-by-nc"), 4: ("This work is licensed under the GNU General Public License version 3", "gpl"), 5: ("The permission to copyright gardens was licensed by nobody here today", None)}
     rows = [(i, t, None) for i, t, _ in texts(200)] + [(1000 + k, f"some words\n{n}\nmore words", None) for k, (n, _) in notices.items()] + [(2000, None, None), (2001, "", None), (2002, "x " * 20_000 + "\nReleased under the MIT License.", None), (1000, "some words\nReleased under the MIT License.\nmore words", None)]
