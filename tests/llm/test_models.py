@@ -1,10 +1,13 @@
 import random
+import textwrap
 import zlib
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from parcelfusion.llm import langid, licenses, quality
+from parcelfusion.llm.common import stored
 from parcelfusion.llm.urlfilter import url_filter
 
 STEMS = {"en": ["the", "thing", "and", "ing", "shed"], "de": ["der", "und", "schaft", "keit", "über"], "fr": ["le", "eau", "é", "que", "ment"]}
@@ -206,16 +209,73 @@ def test_quality_of_null_and_long_ids(spark):
 
 def test_licences(spark):
     notices = {0: ("Released under the MIT License.", "mit"), 1: ("ALL RIGHTS RESERVED", "reserved"), 2: ("Licensed under the  Apache License, Version 2.0", "apache"), 3: ("licensed under cc by-nc 4.0.", "cc-by-nc"), 4: ("This work is licensed under the GNU General Public License version 3", "gpl"), 5: ("The permission to copyright gardens was licensed by nobody here today", None)}
-    rows = [(i, t, None) for i, t, _ in texts(200)] + [(1000 + k, f"some words\n{n}\nmore words", None) for k, (n, _) in notices.items()] + [(2000, None, None), (2001, "", None), (2002, "x " * 20_000 + "\nReleased under the MIT License.", None), (1000, "some words\nReleased under the MIT License.\nmore words", None)]
+    wrapped = {f: "\n".join(textwrap.wrap(licenses.TEMPLATES[f][0], 72)) for f in ("mit", "gpl", "isc", "bsd")}
+    rows = [(i, t, None) for i, t, _ in texts(200)] + [(1000 + k, f"some words\n\n{n}\n \t\nmore words", None) for k, (n, _) in notices.items()]
+    rows += [(1100 + k, f"some words\r\n\r\n{t}\n\nmore", None) for k, t in enumerate(wrapped.values())]
+    rows += [(2000, None, None), (2001, "", None), (2002, "x " * 20_000 + "\n\nReleased under the MIT License.", None), rows[200]]
+    rows += [(3000, wrapped["isc"], None), (3000, wrapped["mit"], None), (None, wrapped["gpl"], None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, line string")
-    got = {(r.doc_id, r.line): r for r in licenses.scan(docs, sample_docs=50).collect()}
+    out = licenses.scan(docs, sample_docs=50).collect()
+    got = {(r.doc_id, r.paragraph, r.family): r for r in out}
+    assert len(got) == len(out)
+    families = lambda d: {(r.paragraph, r.family, r.confirmed) for r in out if r.doc_id == d}
     for k, (_, family) in notices.items():
-        r = got.get((1000 + k, 1))
-        assert (r is None or r.family == "unknown") if family is None else (r.family == family and r.confirmed)
-    assert got[(2002, 1)].family == "mit" and {d for d, _ in got} <= {*range(1000, 1006), 2002}
+        assert families(1000 + k) == {(1, family, True)} if family else families(1000 + k) <= {(1, "unknown", False)}, k
+    for k, f in enumerate(wrapped):
+        assert families(1100 + k) == {(1, f, True)}, f
+    assert families(2002) == {(1, "mit", True)} and families(3000) == {(0, "isc", True), (0, "mit", True)} and families(None) == {(0, "gpl", True)}
+    assert {r.doc_id for r in out} <= {*range(1000, 1006), *range(1100, 1104), 2002, 3000, None}
     assert licenses.scan(docs.limit(0), sample_docs=50).count() == 0
 
 
+def test_anchors_let_no_template_pass():
+    rng = random.Random(4)
+    tokens = {f: [regex.findall(r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*", t.lower()) for t in ts] for f, ts in licenses.TEMPLATES.items()}
+    every = [ws for ts in tokens.values() for ws in ts]
+    rate = {w: rng.randrange(50) for ws in every for w in ws}
+    chosen = set(licenses.anchors(every, rate, 0.6))
+    for ws in every:
+        own = {(w,) for w in ws} | set(zip(ws, ws[1:], strict=False))
+        assert sum(not chosen & set(g) for g in own) < 0.6 * len(own)
+
+
+def brute_windows(ws, chosen):
+    """(start, size) of the windows of a paragraph that are read."""
+    out = {(0, len(ws))} if len(ws) <= licenses.SIZES[-1] else set()
+    for size in licenses.SIZES:
+        if len(ws) > size:
+            out |= {(min(i, len(ws) - size), size) for i in range(0, len(ws) - size + size // 3, size // 3)}
+    return sorted((i, n) for i, n in out if chosen & set(ws[i : i + n]))
+
+
+def test_windows_and_logits_against_brute_force(spark):
+    rng = random.Random(12)
+    chosen = {"licensed", "reserved", "mit"}
+    vocabulary = ["licensed", "under", "mit", "the", "all", "rights", "reserved"] + [f"w{k}" for k in range(60)]
+    parts = [" ".join(rng.choice(vocabulary[3 if n > 3000 else 0 :]) for _ in range(n)) for n in (1, 5, 6, 7, 95, 96, 97, 300, 2048, 2100, 2144, 2145, 4300, 9000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(parts)], "doc_id long, text string")
+    rows = licenses.blocks(licenses.paragraphs(docs), sorted(chosen))
+    found = licenses.windows(stored(rows, "test-blocks")).select("doc_id", "start", "size", "words", licenses.grams(F.col("words")).alias("grams"))
+    got = {}
+    for r in found.collect():
+        assert r.words == parts[r.doc_id].split()[r.start : r.start + r.size]
+        assert set(r.grams) == set(r.words) | {f"{a} {b}" for a, b in zip(r.words, r.words[1:], strict=False)}
+        got.setdefault(r.doc_id, []).append((r.start, r.size))
+    for k, t in enumerate(parts):
+        assert sorted(got.get(k, [])) == brute_windows(t.split(), chosen), k
+    table = {w: [rng.uniform(-1, 1) for _ in range(3)] for w in [*vocabulary[:20], "licensed under", "all rights"]}
+    bias = [0.5, -0.25, 0.0]
+    weights = spark.createDataFrame(list(table.items()), "gram string, w array<double>")
+    some = found.where("doc_id < 8").select(F.concat_ws(":", "doc_id", "start", "size").alias("row"), "grams")
+    sums = {r["row"]: r.logits for r in licenses.logits(some, weights, bias, ["row"]).collect()}
+    for r in some.collect():
+        hit = [table[g] for g in r.grams if g in table]
+        assert np.allclose(sums[r["row"]], np.sum(hit, axis=0) + bias) if hit else r["row"] not in sums
+    soft = spark.createDataFrame([([1.0, 2.0, -3.0],)], "x array<double>").select(licenses.softmax(F.col("x"), 0.7)).first()[0]
+    want = np.exp(np.array([1.0, 2.0, -3.0]) / 0.7)
+    assert np.allclose(soft, want / want.sum())
+
+
 def test_licence_inside_a_long_line(spark):
     ordinary = " ".join(t for _, t, _ in texts(300)).replace("\n", " ").replace(".", "").split()
     middle = lambda n, *notices: " ".join(w for k, t in enumerate(notices) for w in [*ordinary[k * n : k * n + n // 2], t, *ordinary[k * n + n // 2 : k * n + n]])
