@@ -1,7 +1,7 @@
 """WARC archives: written by Spark's text writer, read back by boundary-chain verification.
 
-Writing: a record is a row, its header block and payload one string; the writer's line separator is the
-blank line pair that ends a record. So archives go to any file system that Spark can write, in files of
+Writing: a record is a row, its header block and its block, the HTTP response with the page as payload, one string; the writer's
+line separator is the blank line pair that ends a record. So archives go to any file system that Spark can write, in files of
 bounded record counts.
 
 Reading: a byte scan splits the files at the magic line and gives each piece its offset; every piece is a
@@ -12,7 +12,8 @@ and each pointer spans 2^k records, so rounds grow as the logarithm of a file's
 two reached offsets are put together again as one payload.
 
 Edge cases: null html is an empty payload; null url is an empty target; control characters in a url are
-percent-encoded; repeated rows are separate records; equal payloads of one page_id are all response; an
+percent-encoded; repeated rows are separate records of one name, as the page_id names a record; equal payloads of one page_id are all
+response; payloads are equal when their SHA-256 and length are; a record whose block is no HTTP message is its payload; an
 empty table gives an empty archive and result; extra columns are ignored.
 """
 
@@ -31,6 +32,7 @@ from .common import shared_dir, sized_join, stored
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "2024-01-01T00:00:00Z"
 
@@ -39,11 +41,16 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for a response)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
-        "page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest")
+        "page_id",
+        "url",
+        payload.alias("payload"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha1(payload.cast("binary")).alias("payload_digest"),
+        F.unhex(F.sha2(payload, 256)).alias("same"),  # SHA-1 alone has known collisions, and a false revisit would lose a payload
     )
-    long = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes")
+    long = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("same", "payload_bytes")
     copies = stored(long.agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-copies")
-    rows = sized_join(rows, copies, ["payload_digest", "payload_bytes"], "left", copies.count())
+    rows = sized_join(rows, copies, ["same", "payload_bytes"], "left", copies.count())
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
@@ -51,7 +58,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000, records_per
     """Write one record per page under ``path``."""
     rows = with_revisits(pages, least_bytes)
     revisit = F.col("refers_to").isNotNull()
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    http = F.concat(F.lit(HTTP_HEAD), F.col("payload_bytes"), F.lit(END))
+    body = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     url = F.coalesce(F.col("url"), F.lit(""))
     for code in (13, 10, 0):
         url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
@@ -64,7 +72,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000, records_per
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes")),
         F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to"), F.lit(">")),
         F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
-        F.lit("Content-Type: text/html; charset=utf-8"),
+        F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body)),
     ]
     record = F.concat(F.lit(MAGIC), F.concat_ws("\r\n", *head), F.lit(END), body)
@@ -91,6 +99,12 @@ def header_fields(head: bytes) -> dict[bytes, bytes]:
     return found
 
 
+def payload_start(fields: dict[bytes, bytes], block: bytes) -> int:
+    """Where the payload starts in a record's block: behind the HTTP header, where it has one."""
+    at = block.find(b"\r\n\r\n") if fields.get(b"content-type", b"").lower().startswith(b"application/http") else -1
+    return at + 4 if at >= 0 else 0
+
+
 def whole_number(text: bytes) -> int | None:
     text = text.removeprefix(b"<urn:page:").removesuffix(b">").removeprefix(b"sha1:")
     return int(text) if text.removeprefix(b"-").isdigit() else None
@@ -125,11 +139,14 @@ def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields = header_fields(head) if blank else {}
         length = whole_number(fields.get(b"content-length", b""))
         begin = len(head) + 4
-        digest = None
-        if length is not None and len(body) >= begin + length:
-            digest = hashlib.sha1(body[begin : begin + length]).hexdigest()
+        digest = payload = None
+        if length is not None:
+            skip = payload_start(fields, body[begin : begin + length])
+            payload = length - skip
+            if len(body) >= begin + length:
+                digest = hashlib.sha1(body[begin + skip : begin + length]).hexdigest()
         rows.append((
-            file, block, seq, off, len(body) + len(MAGIC), None if length is None else len(MAGIC) + begin + length + 4, digest, length,
+            file, block, seq, off, len(body) + len(MAGIC), None if length is None else len(MAGIC) + begin + length + 4, digest, payload,
             whole_number(fields.get(b"warc-record-id", b"")), fields.get(b"warc-type", b"").decode("utf-8", "replace"),
             fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("utf-8", "replace"),
             whole_number(fields.get(b"x-payload-length", b"")), whole_number(fields.get(b"warc-refers-to", b"")),
@@ -175,8 +192,9 @@ def cut_payloads(spark: SparkSession, path: str, places: DataFrame) -> DataFrame
         pieces = pieces.sort_values("off")
         body = MAGIC.encode().join(bytes(x) for x in pieces["body"])
         head, _, rest = body.partition(b"\r\n\r\n")
-        length = whole_number(header_fields(head).get(b"content-length", b""))
-        digest = hashlib.sha1(rest[:length]).hexdigest()
+        fields = header_fields(head)
+        whole = rest[: whole_number(fields.get(b"content-length", b""))]
+        digest = hashlib.sha1(whole[payload_start(fields, whole) :]).hexdigest()
         return pd.DataFrame({"file": pieces["file"].iloc[:1], "off": pieces["record"].iloc[:1], "whole_digest": [digest]})
 
     found = read_pieces(spark, path).mapInPandas(bodies, "file string, block long, seq long, body binary")

@@ -1,5 +1,6 @@
 import hashlib
 import tempfile
+from pathlib import Path
 
 from parcelfusion.llm.warc import read_warc, write_warc
 
@@ -53,3 +54,18 @@ def test_split_archives(spark):
 def test_empty(spark):
     got, _ = archive(spark, [])
     assert got == {}
+
+
+def test_blocks_are_http_messages_and_plain_ones_are_read(spark, tmp_path):
+    _, path = archive(spark, [(1, "http://a/", "é" * 700, "", ""), (2, "http://b/", "é" * 700, "", "")], compression="none")
+    raw = b"".join(p.read_bytes() for p in sorted(Path(path).glob("part-*")))
+    for record in raw.split(b"WARC/1.1\r\n")[1:]:
+        head, _, rest = record.partition(b"\r\n\r\n")
+        fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n"))
+        block = rest[: int(fields[b"Content-Length"])]
+        assert rest == block + b"\r\n\r\n" and block.startswith(b"HTTP/1.1 200 OK\r\n") and b"Content-Length: 1400\r\n\r\n" in block
+        assert block.endswith("é".encode() * 700) == (fields[b"WARC-Type"] == b"response")
+    plain = b"".join(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(t), t) for k, t in enumerate([b"a\r\n\r\nb", b"", b"WARC/1.1\r\nx"]))
+    (tmp_path / "plain.warc").write_bytes(plain)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in read_warc(spark, str(tmp_path / "plain.warc")).collect()}
+    assert got == {k: (len(t), hashlib.sha1(t).hexdigest()) for k, t in enumerate([b"a\r\n\r\nb", b"", b"WARC/1.1\r\nx"])}
