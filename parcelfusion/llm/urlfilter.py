@@ -2,7 +2,8 @@
 
 A page that a rule fits takes the longest rule's verdict. Its host becomes a seed, weighed by its pages:
 of trust if the rule allows, of distrust if it blocks. Personalised PageRank carries trust along host
-edges and distrust against them; a page without a rule takes its host's verdict, blocked where trust is
+edges and distrust against them, ``rounds`` steps far (walks that are longer, which hold damping^(rounds + 1) of the whole at most, are left out,
+and what reaches a host without edges stays there); a page without a rule takes its host's verdict, blocked where trust is
 under ``threshold`` of the two together. A host that neither reaches is allowed.
 
 Host edges are the absolute and scheme-relative links of the pages, and both ways between a host and its parent domain (two
