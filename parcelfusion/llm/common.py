@@ -45,7 +45,7 @@ _written: list[list[str]] = []
 
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, what :func:`stored` wrote inside; what is still to be read must be kept or written elsewhere."""
+    """Deletes, at its end, what :func:`stored` wrote inside; a result that is still to be read belongs to an outer block or to none."""
     _written.append([])
     try:
         yield
@@ -55,12 +55,15 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives a lost executor."""
+def stored(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives a lost executor.
+
+    Inside ``temporary`` it is deleted when the block ends, or the one ``outer`` blocks around it; without such a block it stays.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _written and not keep:
-        _written[-1].append(path)
+    if len(_written) > outer:
+        _written[-1 - outer].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
