@@ -3,13 +3,17 @@
 Language ID drops undetermined documents; near-dedup keeps one document of each group (five-word
 shingles, similarity 0.8); decontamination drops documents that hold a benchmark item; mixing repeats
 or leaves out documents to meet the source targets; sharding exchanges what is left into 24 shards.
+
+Rows are judged by their own text: null and repeated ids lose nothing, and a null text, having no language, is dropped first. All
+stages but the last return the columns of their input; the last adds its own, and a column of a document with the name of one of
+those becomes ``document_<name>``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelfusion.llm.common import stored
+from parcelfusion.llm.common import stored, temporary
 from parcelfusion.llm.decontam import decontaminate
 from parcelfusion.llm.langid import keep_identified
 from parcelfusion.llm.minhash import one_of_each
@@ -50,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage; each stage's is written to the shared folder and read again."""
+    """The result of the last stage. Each stage's result is written to the shared folder and read again; what stages wrote
+    on the way is deleted after them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with temporary(spark):
+        for name, stage in STAGES[:-1]:
+            with temporary(spark):
+                docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", outer=1)
+        name, stage = STAGES[-1]
+        return stored(stage(spark, docs, sf_dir), f"pipeline-{name}", outer=1)
