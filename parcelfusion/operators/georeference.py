@@ -10,32 +10,22 @@ from ..functions.numbers import rounded
 TOLERANCE = 2.5
 
 
-def _det(m: list[list[Column]]) -> Column:
-    (a, b, c), (d, e, f), (g, h, i) = m
-    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-
-
 def affine_fit(points: DataFrame) -> DataFrame:
     """sheet_id, n, a..f of map_x = a x + b y + c and map_y = d x + e y + f; nulls if three points don't span a plane.
 
-    Sums of products about the sheet's means make 3 x 3 normal equations, solved by Cramer's rule in columns.
+    Means and (co)variances, which Spark adds up about the mean and so keeps exact far from the origin, make 2 x 2 normal equations.
     """
-    x, y, u, v = F.col("img_x"), F.col("img_y"), F.col("map_x"), F.col("map_y")
-    s = points.groupBy("sheet_id").agg(
-        F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"),
-        F.sum(u).alias("su"), F.sum(v).alias("sv"), F.sum(x * u).alias("sxu"), F.sum(y * u).alias("syu"), F.sum(x * v).alias("sxv"), F.sum(y * v).alias("syv"),
-    )
+    pairs = {"xx": ("img_x", "img_x"), "xy": ("img_x", "img_y"), "yy": ("img_y", "img_y"), "xu": ("img_x", "map_x"), "yu": ("img_y", "map_x"), "xv": ("img_x", "map_y"), "yv": ("img_y", "map_y")}
+    means = {"mx": "img_x", "my": "img_y", "mu": "map_x", "mv": "map_y"}
+    s = points.groupBy("sheet_id").agg(F.count("*").alias("n"), *[F.covar_pop(p, q).alias(k) for k, (p, q) in pairs.items()], *[F.avg(c).alias(k) for k, c in means.items()])
     c = F.col
-    m = [[c("sxx"), c("sxy"), c("sx")], [c("sxy"), c("syy"), c("sy")], [c("sx"), c("sy"), c("n").cast("double")]]
-    det = _det(m)
-
-    def solve(right: list[Column], k: int) -> Column:
-        swapped = [[right[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]
-        return F.when(F.abs(det) > 1e-6, F.try_divide(_det(swapped), det))
-
-    to_u, to_v = [c("sxu"), c("syu"), c("su")], [c("sxv"), c("syv"), c("sv")]
-    names = {"a": (to_u, 0), "b": (to_u, 1), "c": (to_u, 2), "d": (to_v, 0), "e": (to_v, 1), "f": (to_v, 2)}
-    return s.select("sheet_id", "n", *[solve(r, k).alias(n) for n, (r, k) in names.items()])
+    det = c("xx") * c("yy") - c("xy") * c("xy")
+    solved = lambda top: F.when(F.abs(det) * F.pow(c("n"), 3) > 1e-6, F.try_divide(top, det))
+    s = s.withColumns({
+        "a": solved(c("xu") * c("yy") - c("yu") * c("xy")), "b": solved(c("yu") * c("xx") - c("xu") * c("xy")),
+        "d": solved(c("xv") * c("yy") - c("yv") * c("xy")), "e": solved(c("yv") * c("xx") - c("xv") * c("xy")),
+    })
+    return s.select("sheet_id", "n", "a", "b", (c("mu") - c("a") * c("mx") - c("b") * c("my")).alias("c"), "d", "e", (c("mv") - c("d") * c("mx") - c("e") * c("my")).alias("f"))
 
 
 def residuals(points: DataFrame, fit: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -49,8 +39,8 @@ def residuals(points: DataFrame, fit: DataFrame, tolerance: float = TOLERANCE) -
 
 
 def to_map(points: DataFrame, fit: DataFrame) -> DataFrame:
-    """Points (sheet_id, img_x, img_y, ...) with map coordinates x and y by their sheet's transform."""
-    both = points.join(fit.select("sheet_id", "a", "b", "c", "d", "e", "f").hint("merge"), "sheet_id")
+    """Points (sheet_id, img_x, img_y, ...) with map coordinates x and y by their sheet's transform, null where it has none."""
+    both = points.join(fit.select("sheet_id", "a", "b", "c", "d", "e", "f").hint("merge"), "sheet_id", "left")
     x = F.col("a") * F.col("img_x") + F.col("b") * F.col("img_y") + F.col("c")
     y = F.col("d") * F.col("img_x") + F.col("e") * F.col("img_y") + F.col("f")
     return both.select(*points.columns, x.alias("x"), y.alias("y"))

@@ -11,76 +11,64 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import kernels as K
 from ..functions import scoring as S
 from ..functions.numbers import rounded
 from ..functions.text import normalized_survey, survey_similarity
+from ..scratch import stored
 from .spatial_join import candidates
 
 PROFILE = "mean_dev double, median_dev double, p90_dev double, p95_dev double, p99_dev double, max_dev double, hausdorff double, conformance double"
 
 
-def _boundary(ring: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, vectors of the edges, points sampled along them)."""
-    ahead = np.roll(ring, -1, axis=0) - ring
-    length = np.sqrt((ahead * ahead).sum(axis=1))
-    whole = length.sum()
-    gap = max(0.2, min(step, whole / 20.0)) if whole > 0 else 1.0
-    at = np.arange(max(20, int(whole / gap)) if whole > 0 else 0) * gap
-    ends = np.cumsum(length)
-    k = np.minimum(np.searchsorted(ends, at, "right"), len(ring) - 1)
-    part = (at - (ends[k] - length[k])) / np.where(length[k] > 0, length[k], 1.0)
-    return ring, ahead, ring[k] + ahead[k] * part[:, None]
-
-
-def _distances(points: np.ndarray, start: np.ndarray, ahead: np.ndarray) -> np.ndarray:
-    """Least distance of each point from the edges, edge by edge, so memory stays that of the points."""
-    x, y = np.ascontiguousarray(points[:, 0]), np.ascontiguousarray(points[:, 1])
-    best = np.full(len(points), np.inf)
-    for (ax, ay), (dx, dy) in zip(start.tolist(), ahead.tolist(), strict=True):
-        px, py = x - ax, y - ay
-        t = (px * dx + py * dy) / ((dx * dx + dy * dy) or 1.0)
-        np.clip(t, 0.0, 1.0, out=t)
-        px -= t * dx
-        py -= t * dy
-        np.minimum(best, px * px + py * py, out=best)
-    return np.sqrt(best)
+def deviation_profiles(a: K.Rings, b: K.Rings, tolerance: float = S.TOLERANCE, step: float = S.SAMPLE_STEP) -> np.ndarray:
+    """(rows, 8) profiles of the distances of points sampled along each row's boundaries from the other (lower element at each rank)."""
+    rows = len(a.n)
+    parts = [K.sampled(a, step), K.sampled(b, step)]
+    d = np.concatenate([K.nearest_by_edge(at, of, other) for (at, of), other in zip(parts, (b, a), strict=True)])
+    of = np.concatenate([of for _, of in parts])
+    order = np.lexsort((d, of))
+    d, n = d[order], np.bincount(of, minlength=rows)
+    begin = np.cumsum(n) - n
+    some = n > 0
+    at = lambda q: d[(begin + (q * (n - 1)).astype(np.int64))[some]]
+    two = lambda x: np.floor(x * 100.0 + 0.5) / 100.0
+    out = np.zeros((rows, 8))
+    out[:, 7] = 100.0
+    of = of[order]
+    mean, close = np.bincount(of, d, rows)[some] / n[some], np.bincount(of, d <= tolerance, rows)[some] / n[some]
+    out[some] = np.column_stack([two(mean), *(two(at(q)) for q in (0.5, 0.9, 0.95, 0.99, 1.0)), two(K.hausdorff(a, b)[some]), np.floor(close * 100.0 * 10.0 + 0.5) / 10.0])
+    return out
 
 
 def deviation_profile(a: np.ndarray, b: np.ndarray, tolerance: float = S.TOLERANCE, step: float = S.SAMPLE_STEP) -> tuple[float, ...]:
-    """Profile of the distances of points sampled along each boundary from the other (lower element at each rank)."""
-    sa, va, pa = _boundary(a, step)
-    sb, vb, pb = _boundary(b, step)
-    d = np.sort(np.concatenate([_distances(pa, sb, vb), _distances(pb, sa, va)]))
-    if not len(d):
-        return (0.0,) * 7 + (100.0,)
-    far = max(_distances(a, sb, vb).max(), _distances(b, sa, va).max())
-    at = [d[int(q * (len(d) - 1))] for q in (0.5, 0.9, 0.95, 0.99)]
-    two = [np.floor(float(x) * 100.0 + 0.5) / 100.0 for x in (d.mean(), *at, d[-1], far)]
-    return (*two, np.floor((d <= tolerance).mean() * 100.0 * 10.0 + 0.5) / 10.0)
+    """The profile of one pair of rings."""
+    return tuple(deviation_profiles(K.Rings([a.ravel()]), K.Rings([b.ravel()]), tolerance, step)[0].tolist())
 
 
 def boundary_profile(ring_a: str, ring_b: str) -> Column:
     """Boundary deviation of two rings.
 
-    An Arrow kernel: hundreds of samples a pair against every edge are one matrix in numpy, but a nested
-    lambda interpreted per sample in the JVM.
+    An Arrow kernel: the hundreds of samples a pair of a whole run of pairs go against the edges together.
     """
 
     @F.pandas_udf(PROFILE)
     def profile(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PROFILE.split(", ")]
-        coords = lambda flat: np.asarray(flat, np.float64).reshape(-1, 2)
         for a, b in batches:
-            yield pd.DataFrame([deviation_profile(coords(x), coords(y)) for x, y in zip(a, b, strict=True)], columns=names, dtype=float)
+            x, y = K.arrays(a), K.arrays(b)
+            sizes = np.array([100 * (len(u) + len(v)) for u, v in zip(x, y, strict=True)], np.int64)
+            found = K.in_runs(lambda u, v: deviation_profiles(K.Rings(u), K.Rings(v)), sizes, x, y, empty=np.zeros((0, 8)))
+            yield pd.DataFrame(found, columns=names, dtype=float)
 
-    flat = lambda ring: F.flatten(F.transform(F.col(ring), lambda p: F.array(p["x"], p["y"])))
-    return profile(flat(ring_a), flat(ring_b))
+    return profile(G.flat(F.col(ring_a)), G.flat(F.col(ring_b)))
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:
     """Adds areas, intersection, union, IoU and coverages (percent) of ring and d_ring."""
     inter = G.intersection_area(G.ccw(F.col("ring")), G.ccw(F.col("d_ring")))
-    df = pairs.withColumns({"p_area": G.area(F.col("ring")), "q_area": G.area(F.col("d_ring")), "inter": inter})
+    known = "m" in pairs.columns
+    df = pairs.withColumns({"p_area": F.col("m.area") if known else G.area(F.col("ring")), "q_area": F.col("d_m.area") if known else G.area(F.col("d_ring")), "inter": inter})
     df = df.withColumn("union_area", F.col("p_area") + F.col("q_area") - F.col("inter"))
     share = lambda of: F.when(F.col(of) > 0, F.col("inter") / F.col(of) * 100.0).otherwise(0.0)
     return df.withColumns({"iou": share("union_area"), "coverage_source": share("p_area"), "coverage_candidate": share("q_area")})
@@ -97,24 +85,46 @@ def spread(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(n, "parcel_id", "feature_id")
 
 
+def measured(polygons: DataFrame) -> DataFrame:
+    """Adds m: area, centroid and compactness of the ring."""
+    ring = F.col("ring")
+    return polygons.withColumn("m", F.struct(G.area(ring).alias("area"), G.centroid(ring).alias("centroid"), G.compactness(ring).alias("compactness")))
+
+
+def pairs_of(parcels: DataFrame, drone: DataFrame, radius: float = S.RADIUS) -> DataFrame:
+    """Candidate pairs with the measures m and d_m of their polygons, dealt out for the kernels.
+
+    Polygons are measured before the join, once each; the pairs are written, as what follows reads them more than once.
+    """
+    return spread(stored(candidates(measured(parcels), measured(drone), radius).drop("p_box", "d_box"), "candidate-pairs"))
+
+
+def with_gnss_key(parcels: DataFrame, gnss: DataFrame) -> DataFrame:
+    """Adds gnss_key: the full survey number where survey points carry it, else the survey number alone."""
+    known = gnss.select(F.col("survey_no").alias("full_survey")).distinct().withColumn("known", F.lit(True))
+    out = parcels.join(known.hint("merge"), "full_survey", "left")
+    return out.select(*parcels.columns, F.when(F.col("known"), F.col("full_survey")).otherwise(F.col("survey_no")).alias("gnss_key"))
+
+
 def gnss_inside(pairs: DataFrame, gnss: DataFrame, margin: float = S.GNSS_MARGIN) -> DataFrame:
-    """parcel_id, feature_id, points, inside: survey points of the parcel, and those inside the candidate's margin.
+    """parcel_id, feature_id, points, inside: survey points of the parcel (by gnss_key), and those inside the candidate's margin.
 
     Points go to the candidates of their parcel and are counted at once, so no list of points is built.
     """
-    points = gnss.select(F.col("survey_no").alias("full_survey"), F.col("x").alias("gx"), F.col("y").alias("gy"))
-    met = pairs.select("parcel_id", "feature_id", "full_survey", "d_ring").join(points.hint("merge"), "full_survey")
+    points = gnss.select(F.col("survey_no").alias("gnss_key"), F.col("x").alias("gx"), F.col("y").alias("gy"))
+    met = pairs.select("parcel_id", "feature_id", "gnss_key", "d_ring").join(points.hint("merge"), "gnss_key")
     inside = G.contains_within(F.col("d_ring"), F.col("gx"), F.col("gy"), margin)
     return met.groupBy("parcel_id", "feature_id").agg(F.count("*").alias("points"), F.sum(F.when(inside, 1).otherwise(0)).alias("inside"))
 
 
 def evidence(parcels: DataFrame, drone: DataFrame, gnss: DataFrame, radius: float = S.RADIUS) -> DataFrame:
     """One row per candidate pair with every metric, the score and the limits that it breaks."""
-    pairs = overlaps(spread(candidates(parcels, drone, radius)))
+    pairs = pairs_of(parcels if "gnss_key" in parcels.columns else with_gnss_key(parcels, gnss), drone, radius)
+    pairs = overlaps(pairs)
     counted = gnss_inside(pairs, gnss)
     df = pairs.join(counted.hint("merge"), ["parcel_id", "feature_id"], "left").withColumn("profile", boundary_profile("ring", "d_ring"))
-    c, d = G.centroid(F.col("ring")), G.centroid(F.col("d_ring"))
     df = df.select("*", "profile.*").drop("profile")
+    c, d = F.col("m.centroid"), F.col("d_m.centroid")
     df = df.withColumns(
         {
             "centroid_dist": rounded(F.hypot(c["x"] - d["x"], c["y"] - d["y"]), 2),
@@ -140,14 +150,14 @@ def ranked(scored: DataFrame) -> DataFrame:
 def best_matches(parcels: DataFrame, scored: DataFrame, least: float = S.LEAST_SCORE) -> DataFrame:
     """Every parcel with its first candidate, or nulls if none scores ``least``."""
     best = ranked(scored).where((F.col("rank") == 1) & (F.col("score") >= least))
-    names = [c for c in best.columns if c not in parcels.columns and c not in ("p_box", "d_box")]
+    names = [c for c in best.columns if c not in parcels.columns ]
     return parcels.join(best.select("parcel_id", *names).hint("merge"), "parcel_id", "left")
 
 
 def second_ranking(pairs: DataFrame, gnss_support: Column, utility_conflict: Column, agreement: Column) -> DataFrame:
-    """The second scorer over pairs with ring and d_ring: base score, confidence, gates, decision, tier, reasons."""
+    """The second scorer over pairs with ring, d_ring and their measures (``pairs_of``): base score, confidence, gates, decision, tier, reasons."""
     df = overlaps(pairs)
-    c, d = G.centroid(F.col("ring")), G.centroid(F.col("d_ring"))
+    c, d = F.col("m.centroid"), F.col("d_m.centroid")
     df = df.withColumns(
         {
             "iou_1": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("iou") / 100.0)),
@@ -155,8 +165,8 @@ def second_ranking(pairs: DataFrame, gnss_support: Column, utility_conflict: Col
             "distance": F.hypot(c["x"] - d["x"], c["y"] - d["y"]),
             "hausdorff": G.hausdorff(F.col("ring"), F.col("d_ring")),
             "vertices": G.vertex_ratio(F.col("ring"), F.col("d_ring")),
-            "compact_a": G.compactness(F.col("ring")),
-            "compact_b": G.compactness(F.col("d_ring")),
+            "compact_a": F.col("m.compactness"),
+            "compact_b": F.col("d_m.compactness"),
             "agreement": agreement,
             "gnss_support": gnss_support,
             "utility_conflict": utility_conflict,
@@ -197,15 +207,26 @@ def revenue_lookup(parcels: DataFrame, revenue: DataFrame) -> DataFrame:
 
 
 def gnss_areas(gnss: DataFrame) -> DataFrame:
-    """survey_no, n_points, gnss_area (null under three points): shoelace over the points in the order of seq.
+    """gnss_key, n_points, gnss_area (null under three points): shoelace over the points in the order of seq.
 
-    A survey number's points are neighbours in the field, so the list of one number is small.
+    Points are dealt out in ranges of (survey number, seq). Each range adds up the terms of neighbours inside it, and a
+    survey number's ranges, a few rows, add those of their ends; so no task holds all points of a number.
     """
-    rings = gnss.groupBy("survey_no").agg(F.collect_list(F.struct("seq", "x", "y")).alias("points"))
-    ring = G.ring_from_points(F.col("points"))
-    return rings.select("survey_no", F.size("points").alias("n_points"), F.when(F.size("points") >= 3, rounded(G.area(ring), 1)).alias("gnss_area"))
+    order = ["seq", "x", "y"]
+    ranges = gnss.select("survey_no", *order).repartitionByRange("survey_no", *order).withColumn("range", F.spark_partition_id())
+    inside = W.partitionBy("survey_no", "range").orderBy(*order)
+    term = F.col("x") * F.lead("y").over(inside) - F.lead("x").over(inside) * F.col("y")
+    parts = ranges.withColumn("term", term).groupBy("survey_no", "range").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("term"), F.lit(0.0)).alias("terms"), F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last")
+    )
+    along = W.partitionBy("survey_no").orderBy("range")
+    whole = W.partitionBy("survey_no").orderBy("range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    after = F.coalesce(F.lead("first").over(along), F.first("first").over(whole))
+    ends = parts.withColumn("after", after).withColumn("joint", F.col("last.x") * F.col("after.y") - F.col("after.x") * F.col("last.y"))
+    found = ends.groupBy("survey_no").agg(F.sum("n").alias("n_points"), (F.abs(F.sum("terms") + F.sum("joint")) / 2).alias("shape"))
+    return found.select(F.col("survey_no").alias("gnss_key"), "n_points", F.when(F.col("n_points") >= 3, rounded(F.col("shape"), 1)).alias("gnss_area"))
 
 
 __all__ = [
-    "best_matches", "boundary_profile", "deviation_profile", "evidence", "gnss_areas", "gnss_inside", "latest", "normalized_survey", "overlaps", "ranked", "revenue_lookup", "second_ranking",
+    "best_matches", "boundary_profile", "deviation_profile", "evidence", "gnss_areas", "gnss_inside", "latest", "measured", "normalized_survey", "overlaps", "pairs_of", "ranked", "revenue_lookup", "second_ranking", "with_gnss_key",
 ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bbox
 from ..functions.numbers import rounded
+from ..scratch import stored
 from .spatial_join import with_cells
 
 NODATA = -9999.0
@@ -82,29 +83,24 @@ def opened_closed(pixels: DataFrame) -> DataFrame:
     return erode(dilate(dilate(erode(pixels))))
 
 
-def regions(pixels: DataFrame, checkpoint=None, limit: int = 1000) -> DataFrame:
-    """px_row, px_col, region: 8-connected regions named by their smallest pixel (row times 2^20 plus column).
+def regions(pixels: DataFrame) -> DataFrame:
+    """px_row, px_col, region: 8-connected regions named by their smallest pixel, a struct of row and column.
 
-    Smallest labels spread to neighbours and then jump along the labels' own labels until none changes.
-    ``checkpoint``: cuts the lineage of a round's labels (a table written by the caller; by default Spark's
-    checkpoint, which needs a checkpoint folder).
+    Smallest labels spread to neighbours and then jump along the labels' own labels until none changes. Each round's
+    labels are written, which cuts the lineage.
     """
-    keep = checkpoint or (lambda df: df.checkpoint())
-    code = (F.col("px_row") * (1 << 20) + F.col("px_col")).cast("long")
-    labels = keep(pixels.select("px_row", "px_col", code.alias("region")))
-    for _ in range(limit):
+    labels = stored(pixels.select("px_row", "px_col", F.struct("px_row", "px_col").alias("region")), "regions")
+    while True:
         step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
         spread = labels.withColumn("dr", step).withColumn("dc", step).select((F.col("px_row") + F.col("dr")).alias("px_row"), (F.col("px_col") + F.col("dc")).alias("px_col"), "region")
         low = spread.groupBy("px_row", "px_col").agg(F.min("region").alias("low"))
         near = labels.join(low.hint("merge"), ["px_row", "px_col"])
         # The smallest label that any pixel of a region has met becomes the whole region's.
         best = near.groupBy("region").agg(F.min("low").alias("best"))
-        new = keep(near.select("px_row", "px_col", "region").join(best.hint("merge"), "region").select("px_row", "px_col", F.col("best").alias("next"), F.col("region").alias("was")))
-        changed = new.where("next <> was").isEmpty()
+        new = stored(near.select("px_row", "px_col", "region").join(best.hint("merge"), "region").select("px_row", "px_col", F.col("best").alias("next"), F.col("region").alias("was")), "regions")
         labels = new.select("px_row", "px_col", F.col("next").alias("region"))
-        if changed:
+        if new.where("next <> was").isEmpty():
             return labels
-    raise RuntimeError("regions still change")
 
 
 def region_report(labels: DataFrame, difference: DataFrame, pixel_area: float = 0.25, least: int = 20) -> DataFrame:

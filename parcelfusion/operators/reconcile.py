@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.numbers import rounded
+from ..scratch import stored
 
 
 def numbered(df: DataFrame, prefix: str, name: str, *order: str) -> DataFrame:
-    """Adds sequential ids such as C-001. For result lists of conflict size: one task numbers them."""
-    n = F.row_number().over(W.orderBy(*order))
-    return df.withColumn(name, F.concat(F.lit(f"{prefix}-"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
+    """Adds sequential ids such as C-001.
+
+    Rows are dealt out in ranges of ``order`` and numbered inside their range, behind the rows of the ranges before it; only
+    the counts, one for each range, are added up in one task.
+    """
+    ranges = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    counts = ranges.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    n = F.row_number().over(W.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    text = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
+    return ranges.join(F.broadcast(counts), "_range").withColumn(name, F.concat(F.lit(f"{prefix}-"), text)).drop("_range", "_before")
 
 
 def assessed(matched: DataFrame) -> DataFrame:

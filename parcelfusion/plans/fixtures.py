@@ -60,7 +60,7 @@ SELECT feature_id, parcel_key, survey_candidate, feature_type, {", ".join(f"x{i}
     "gnss": f"""
 SELECT point_id, parcel_key, survey_no, seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, accuracy_m FROM (
   SELECT l_orderkey * 8 + l_linenumber AS point_id, l_partkey AS parcel_key,
-         CASE WHEN l_partkey % 6 = 0 THEN CAST(100 + {_div("l_partkey", 5)} AS VARCHAR(20)) || '/' || CAST(1 + l_partkey % 5 AS VARCHAR(20)) ELSE CAST(100 + {_div("l_partkey", 5)} AS VARCHAR(20)) || '/' || CAST(1 + l_partkey % 5 AS VARCHAR(20)) END AS survey_no,
+         CASE WHEN l_partkey % 6 = 0 THEN CAST(100 + {_div("l_partkey", 5)} AS VARCHAR(20)) ELSE CAST(100 + {_div("l_partkey", 5)} AS VARCHAR(20)) || '/' || CAST(1 + l_partkey % 5 AS VARCHAR(20)) END AS survey_no,
          l_orderkey * 8 + l_linenumber AS seq,
          l_partkey % {ROW} * {CELL}.0 + 4 + (l_orderkey % 32) + CASE WHEN l_orderkey % 41 = 0 THEN 60 ELSE 0 END AS x,
          {_div("l_partkey", ROW)} * {CELL}.0 + 4 + (l_orderkey % 29) AS y, CAST(l_linenumber AS DOUBLE) / 64 AS accuracy_m
@@ -74,6 +74,11 @@ FROM {{orders}}""",
 SELECT building_id, x1, y1, x1 + w AS x2, y1 AS y2, x1 + w AS x3, y1 + h AS y3, x1 AS x4, y1 + h AS y4 FROM (
   SELECT c_custkey AS building_id, CAST((c_custkey * 7 % 1000) * {CELL} / 10.0 + c_custkey % 11 AS DOUBLE) AS x1, CAST({_div("c_custkey", 10)} * 5.0 + c_custkey % 13 AS DOUBLE) AS y1,
          CAST(6 + c_custkey % 9 AS DOUBLE) AS w, CAST(5 + c_custkey % 8 AS DOUBLE) AS h FROM {{customer}}) b0""",
+    # Some too small, too large, too long, too narrow, and some darts with much outline for their area.
+    "detections": """
+SELECT building_id, x1, y1, x1 + w AS x2, y1 AS y2, CASE WHEN kind = 5 THEN x1 + 1 ELSE x1 + w END AS x3, CASE WHEN kind = 5 THEN y1 + 1 ELSE y1 + h END AS y3, x1 AS x4, y1 + h AS y4 FROM (
+  SELECT building_id, x1, y1, kind, CAST(CASE kind WHEN 1 THEN 2 WHEN 2 THEN 75 WHEN 3 THEN 50 WHEN 4 THEN 60 WHEN 5 THEN 40 ELSE x2 - x1 END AS DOUBLE) AS w, CAST(CASE kind WHEN 1 THEN 3 WHEN 2 THEN 20 WHEN 3 THEN 6 WHEN 4 THEN 40 WHEN 5 THEN 40 ELSE y4 - y1 END AS DOUBLE) AS h
+  FROM (SELECT building_id, x1, y1, x2, y4, building_id % 9 AS kind FROM buildings) t0) t1""",
     "reference_buildings": """
 SELECT building_id AS ref_id, x1 + d AS x1, y1 AS y1, x2 + d AS x2, y2 AS y2, x3 + d AS x3, y3 AS y3, x4 + d AS x4, y4 AS y4 FROM (
   SELECT *, CAST(building_id % 6 AS DOUBLE) AS d FROM buildings WHERE building_id % 4 <> 1) r0""",
@@ -89,12 +94,16 @@ SELECT o_orderkey AS feature_id, CAST(o_custkey AS BIGINT) AS parcel_id, CAST(fl
 SELECT o_orderkey AS feature_id, CAST(o_custkey AS BIGINT) AS parcel_id, CAST(CASE WHEN o_orderkey % 7 = 2 THEN floor(o_totalprice) + 28 ELSE floor(o_totalprice) END AS DOUBLE) AS area,
        CASE WHEN o_orderkey % 5 = 3 THEN 'NEW ' || o_orderpriority ELSE o_orderpriority END AS owner, CASE WHEN o_orderkey % 19 = 6 THEN o_orderkey % 1000 + 1 ELSE o_orderkey % 1000 END AS geom_key
 FROM {orders} WHERE o_orderkey % 13 <> 0""",
-    "pixels_1": """
-SELECT l_partkey % 64 AS px_row, l_suppkey % 64 AS px_col, CAST(max(l_quantity) * 5 AS DOUBLE) AS b1, CAST(min(l_quantity) * 5 AS DOUBLE) AS b2, CAST(count(*) % 256 AS DOUBLE) AS b3
-FROM {lineitem} WHERE l_linenumber % 2 = 1 GROUP BY l_partkey % 64, l_suppkey % 64""",
-    "pixels_2": """
-SELECT l_partkey % 64 AS px_row, l_suppkey % 64 AS px_col, CAST(max(l_quantity) * 5 AS DOUBLE) AS b1, CAST(min(l_quantity) * 5 AS DOUBLE) AS b2, CAST(count(*) % 256 AS DOUBLE) AS b3
-FROM {lineitem} WHERE l_linenumber % 2 = 0 GROUP BY l_partkey % 64, l_suppkey % 64""",
+    "pixels_1": f"""
+SELECT {_div("l_partkey", 64)} AS px_row, l_partkey % 64 AS px_col, CAST(90 + max(l_quantity) % 8 AS DOUBLE) AS b1, CAST(80 + min(l_quantity) % 8 AS DOUBLE) AS b2, CAST(70 + count(*) % 8 AS DOUBLE) AS b3
+FROM {{lineitem}} WHERE l_linenumber % 2 = 1 GROUP BY l_partkey""",
+    # Blocks of 8 x 8 pixels that are brighter, darker or a little brighter, with holes in them and spots beside them.
+    "pixels_2": f"""
+SELECT px_row, px_col, b1 + d AS b1, b2 + d AS b2, b3 + d AS b3 FROM (
+  SELECT px_row, px_col, b1, b2, b3, CAST(CASE WHEN (px_row * 64 + px_col) % 37 = 5 THEN 90 * in_gap WHEN in_gap = 1 THEN 0 WHEN kind = 0 THEN 70 WHEN kind = 1 THEN -60 ELSE 30 END AS DOUBLE) AS d FROM (
+    SELECT px_row, px_col, b1, b2, b3, CASE WHEN px_row % 16 < 8 AND px_col % 16 < 8 THEN 0 ELSE 1 END AS in_gap, (CAST((px_row - px_row % 16) / 16 AS BIGINT) + CAST((px_col - px_col % 16) / 16 AS BIGINT)) % 3 AS kind FROM (
+      SELECT {_div("l_partkey", 64)} AS px_row, l_partkey % 64 AS px_col, CAST(90 + max(l_quantity) % 8 AS DOUBLE) AS b1, CAST(80 + min(l_quantity) % 8 AS DOUBLE) AS b2, CAST(70 + count(*) % 8 AS DOUBLE) AS b3
+      FROM {{lineitem}} WHERE l_linenumber % 2 = 0 GROUP BY l_partkey) q0) q1) q2""",
     "dem": f"""
 SELECT l_suppkey % 5 AS raster_id, l_orderkey * 8 + l_linenumber AS px, CAST(l_partkey % {ROW} * {CELL} + l_orderkey % {CELL} AS DOUBLE) AS x, CAST({_div("l_partkey", ROW)} * {CELL} + l_suppkey % {CELL} AS DOUBLE) AS y,
        CASE WHEN l_quantity = 50 THEN -9999.0 ELSE CAST(400 + l_quantity + l_linenumber AS DOUBLE) END AS elev FROM {{lineitem}}""",

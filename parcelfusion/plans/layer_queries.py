@@ -15,6 +15,7 @@ from ..operators import raster as P
 from ..operators import sync as Y
 from ..operators import topology as T
 from ..operators.spatial_join import self_overlaps
+from ..scratch import stored
 from .fixtures import derived
 from .match_queries import check, edge_rows, inter_cte, meets, rnd, shoelace
 
@@ -155,7 +156,7 @@ au AS (SELECT building_id, parcel_id, {rnd("inside", 2)} AS inside_pct, {rnd("10
 
 
 def plausible_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.plausible(derived(spark, sf_dir, "buildings")).select("building_id")
+    return L.plausible(derived(spark, sf_dir, "detections")).select("building_id")
 
 
 def lod1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +196,8 @@ def dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "value")
-    current = e.where("seq % 3 = 0").groupBy("id").agg(F.max(F.struct("seq", "value")).alias("m")).select("id", "m.seq", "m.value")
-    return Y.upsert(current, e.where("seq % 3 = 1 and id % 2 = 0"), "id", "seq")
+    current = e.where("seq % 2 = 0").groupBy("id").agg(F.max(F.struct("seq", "value")).alias("m")).select("id", "m.seq", "m.value")
+    return Y.upsert(current, e.where("seq % 2 = 1"), "id", "seq")
 
 
 def raster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,31 +248,30 @@ def raster_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-regions-"))
-    return P.regions(P.mask(_difference(spark, sf_dir)))
+    return P.regions(stored(raster_mask(spark, sf_dir), "mask"))
 
 
 def change_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regions(spark, sf_dir).groupBy("region").agg(F.count("*").alias("pixels"))
+    found = _regions(spark, sf_dir).groupBy("region").agg(F.count("*").alias("pixels"))
+    return found.select(F.col("region.px_row").alias("region_row"), F.col("region.px_col").alias("region_col"), "pixels")
 
 
 def change_region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.region_report(_regions(spark, sf_dir), _difference(spark, sf_dir), least=3).select("region", "pixels", "area", "row_min", "row_max", "col_min", "col_max", "mean_1", "mean_2", "kind")
+    found = P.region_report(_regions(spark, sf_dir), _difference(spark, sf_dir), least=3)
+    return found.select(F.col("region.px_row").alias("region_row"), F.col("region.px_col").alias("region_col"), "pixels", "area", "row_min", "row_max", "col_min", "col_max", "mean_1", "mean_2", "kind")
 
 
 _LUM = rnd("0.0::DOUBLE + 0.299::DOUBLE * b1 + 0.587::DOUBLE * b2 + 0.114::DOUBLE * b3", 6)
 DIFF = f"""df AS MATERIALIZED (SELECT px_row, px_col, g1, g2, floor(abs(g1 - g2))::INT AS diff FROM (SELECT px_row, px_col, {_LUM} AS g1 FROM pixels_1) x JOIN (SELECT px_row, px_col, {_LUM} AS g2 FROM pixels_2) y USING (px_row, px_col)),
 mk AS MATERIALIZED (SELECT px_row, px_col FROM df WHERE diff > 25), o AS (SELECT unnest([-1, 0, 1]) AS d)"""
 _HOOD = "SELECT px_row + r.d AS px_row, px_col + c.d AS px_col FROM {} CROSS JOIN o r CROSS JOIN o c"
-MORPH = f"""m1 AS (SELECT px_row, px_col FROM ({_HOOD.format("mk")}) GROUP BY ALL HAVING count(*) = 9), m2 AS (SELECT DISTINCT * FROM ({_HOOD.format("m1")})),
-m3 AS (SELECT DISTINCT * FROM ({_HOOD.format("m2")})), m4 AS (SELECT px_row, px_col FROM ({_HOOD.format("m3")}) GROUP BY ALL HAVING count(*) = 9)"""
+MORPH = f"""m1 AS MATERIALIZED (SELECT px_row, px_col FROM ({_HOOD.format("mk")}) GROUP BY ALL HAVING count(*) = 9), m2 AS MATERIALIZED (SELECT DISTINCT * FROM ({_HOOD.format("m1")})),
+m3 AS (SELECT DISTINCT * FROM ({_HOOD.format("m2")})), m4 AS MATERIALIZED (SELECT px_row, px_col FROM ({_HOOD.format("m3")}) GROUP BY ALL HAVING count(*) = 9)"""
 REGIONS = """rg AS (
-  SELECT px_row, px_col, px_row * 1048576 + px_col AS region FROM mk UNION
-  SELECT b.px_row, b.px_col, rg.region FROM rg JOIN mk b ON abs(b.px_row - rg.px_row) <= 1 AND abs(b.px_col - rg.px_col) <= 1),
+  SELECT px_row, px_col, px_row * 4294967296 + px_col AS region FROM m4 UNION
+  SELECT b.px_row, b.px_col, rg.region FROM rg JOIN m4 b ON abs(b.px_row - rg.px_row) <= 1 AND abs(b.px_col - rg.px_col) <= 1),
 rr AS (SELECT px_row, px_col, min(region)::BIGINT AS region FROM rg GROUP BY ALL)"""
+NAMED = "region // 4294967296 AS region_row, region % 4294967296 AS region_col"
 
 
 def affine_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,8 +281,7 @@ def affine_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def affine_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = derived(spark, sf_dir, "control_points")
-    good = points.where("sheet_id % 3 <> 0")
-    return Q.to_map(good, Q.affine_fit(good).where("a is not null")).select("point_id", rounded(F.col("x"), 3).alias("x"), rounded(F.col("y"), 3).alias("y"))
+    return Q.to_map(points, Q.affine_fit(points)).select("point_id", rounded(F.col("x"), 3).alias("x"), rounded(F.col("y"), 3).alias("y"))
 
 
 _AFFINE = """s AS (SELECT sheet_id, count(*) AS n, avg(img_x) AS mx, avg(img_y) AS my, avg(map_x) AS mu, avg(map_y) AS mv FROM control_points GROUP BY sheet_id),
@@ -299,7 +298,18 @@ def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("m", there)
     back = F.when(F.col("lat") >= 0, G.from_utm(F.col("m.x"), F.col("m.y"), F.col("zone"))).otherwise(G.from_utm(F.col("m.x"), F.col("m.y"), F.col("zone"), north=False))
     c = c.withColumn("b", back)
-    return c.select("c_custkey", "zone", G.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), rounded(F.col("b.x"), 6).alias("lon"), rounded(F.col("b.y"), 6).alias("lat"))
+    return c.select("c_custkey", "zone", G.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), rounded(F.col("m.x"), 0).alias("easting"), rounded(F.col("m.y"), 0).alias("northing"), rounded(F.col("b.x"), 6).alias("lon"), rounded(F.col("b.y"), 6).alias("lat"))
+
+
+def _utm_sql() -> str:
+    """The other way to project: powers of the longitude difference, and the meridian arc as a series in the eccentricity."""
+    arc = "(1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * p - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * p) + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * p) - 35 * e2 * e2 * e2 / 3072 * sin(6 * p)"
+    east = "v * (l + (1 - t + c) * l * l * l / 6 + (5 - 18 * t + t * t + 72 * c - 58 * s) * power(l, 5) / 120)"
+    north = "6378137.0::DOUBLE * arc + v * tan(p) * (l * l / 2 + (5 - t + 9 * c + 4 * c * c) * power(l, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * s) * power(l, 6) / 720)"
+    return f"""WITH k AS (SELECT c_custkey, 72 + c_custkey % 1000 / 125 AS lon, (c_custkey % 77 - 30 + 0.25)::DOUBLE AS lat, (2 / 298.257223563::DOUBLE - 1 / power(298.257223563::DOUBLE, 2)) AS e2 FROM customer),
+z AS (SELECT *, (floor((lon + 180) / 6) + 1)::INT AS zone, radians(lat) AS p FROM k),
+a AS (SELECT *, e2 / (1 - e2) AS s, {arc} AS arc, 6378137.0::DOUBLE / sqrt(1 - e2 * sin(p) * sin(p)) AS v, tan(p) * tan(p) AS t, e2 / (1 - e2) * cos(p) * cos(p) AS c, radians(lon - (zone * 6 - 183)) * cos(p) AS l FROM z)
+SELECT c_custkey, zone, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS epsg, {rnd(f"500000 + 0.9996::DOUBLE * ({east})", 0)} AS easting, {rnd(f"CASE WHEN lat >= 0 THEN 0 ELSE 10000000 END + 0.9996::DOUBLE * ({north})", 0)} AS northing, {rnd("lon", 6)} AS lon, {rnd("lat", 6)} AS lat FROM a"""
 
 
 def crs_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +384,8 @@ QUERIES = {
     "shared_boundaries": (shared_boundaries, check(OVERLAPS, f"SELECT a, b, w AS strategy, {_SHARED} AS overlap, {rnd('area_a', 2)} AS a_before, {rnd('area_b', 2)} AS b_before, {rnd('area_a - CASE WHEN w = $$PRIORITIZE_A$$ THEN 0 ELSE inter END', 2)} AS a_after, {rnd('area_b - CASE WHEN w = $$PRIORITIZE_A$$ THEN inter ELSE 0 END', 2)} AS b_after, CASE a % 3 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' ELSE 'PENDING' END AS decision FROM ro CROSS JOIN (SELECT unnest(['PRIORITIZE_A', 'PRIORITIZE_B']) AS w)", "drone")),
     "bisected_boundaries": (bisected_boundaries, None),
     "validation_issues": (validation_issues, check(OVERLAPS, "SELECT * FROM (SELECT 'legacy' AS source, 'Missing Geometry' AS issue, 'High' AS severity, count(*) AS n FROM parcels WHERE parcel_id % 47 = 7 AND parcel_id % 41 <> 5 AND parcel_id % 43 <> 6 UNION ALL SELECT 'legacy', 'Self Intersection', 'High', count(*) FROM parcels WHERE parcel_id % 41 = 5 UNION ALL SELECT 'legacy', 'Overlap', 'High', count(*) FROM ro UNION ALL SELECT 'gnss', 'GNSS Out Of Range', 'Medium', count(*) FROM gnss WHERE abs(y / 20) > 90 OR abs(x / 20) > 180 UNION ALL SELECT 'legacy', 'Sliver', 'Medium', count(*) FROM parcels WHERE parcel_id % 43 = 6 AND parcel_id % 41 <> 5) WHERE n > 0", "parcels", "drone", "gnss")),
-    "repaired_rings": (repaired_rings, None),
+    "repaired_rings": (repaired_rings, check("""t AS (SELECT *, ((x2 - x1) * (y4 - y2) - (y2 - y1) * (x4 - x2)) / ((x3 - x1) * (y4 - y2) - (y3 - y1) * (x4 - x2)) AS t FROM parcels WHERE parcel_id % 41 = 5),
+x AS (SELECT *, x1 + t * (x3 - x1) AS px, y1 + t * (y3 - y1) AS py FROM t)""", f"SELECT parcel_id, 'REPAIRED' AS outcome, {rnd('greatest(abs((x3 - px) * (y2 - py) - (y3 - py) * (x2 - px)), abs((x4 - px) * (y1 - py) - (y4 - py) * (x1 - px))) / 2', 3)} AS area FROM x", "parcels")),
     "duplicate_geometries": (duplicate_geometries, check("", "SELECT parcel_key AS first_id, 2::BIGINT AS n FROM drone WHERE parcel_key % 10 = 0", "drone")),
     "source_counts": (source_counts, check("", " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS n FROM {t}" for t in ("parcels", "drone", "gnss", "revenue")), "parcels", "drone", "gnss", "revenue")),
     "building_reference": (building_reference, check(BUILDINGS, f"SELECT b.building_id, CASE WHEN iou >= 50 THEN 'MATCHED' WHEN iou >= 20 THEN 'PARTIAL' ELSE 'UNMATCHED' END AS status, {rnd('coalesce(iou, 0)', 2)} AS iou, ref_id FROM buildings b LEFT JOIN (SELECT * FROM bb WHERE n = 1) x ON x.building_id = b.building_id", "buildings", "reference_buildings")),
@@ -387,14 +398,15 @@ bh AS (SELECT parcel_id, building_id FROM lb JOIN pe e ON e.id = lb.parcel_id JO
     "parcel_utilities_15m": (parcel_utilities_15m, check(lines_sql(15.0), f"SELECT parcel_id, feature_id, utility_type, {rnd('distance', 2)} AS distance FROM ln WHERE distance <= 15", "parcels", "layers")),
     "building_audit": (building_audit, check(AUDIT, "SELECT * FROM au", "parcels", "buildings")),
     "building_audit_summary": (building_audit_summary, check(AUDIT, "SELECT count(*) AS validated, sum(in_extent::INT)::BIGINT AS in_extent, sum(conflict::INT)::BIGINT AS conflicts, sum((inside_pct >= 95)::INT)::BIGINT AS contained FROM au", "parcels", "buildings")),
-    "plausible_buildings": (plausible_buildings, check("", "SELECT building_id FROM buildings WHERE (x2 - x1) * (y4 - y1) BETWEEN 15 AND 1800 AND greatest(x2 - x1, y4 - y1) <= 70 AND greatest(x2 - x1, y4 - y1) <= 4.5 * least(x2 - x1, y4 - y1) AND 4 * pi() * (x2 - x1) * (y4 - y1) / power(2 * (x2 - x1 + y4 - y1), 2) >= 0.12", "buildings")),
+    "plausible_buildings": (plausible_buildings, check(f"de AS MATERIALIZED ({edge_rows('detections', 'building_id')}), dp AS (SELECT id, abs(sum(ax * by_ - bx * ay)) / 2 AS area, sum(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))) AS around, max(ax) - min(ax) AS w, max(ay) - min(ay) AS h FROM de GROUP BY id)",
+        "SELECT id AS building_id FROM dp WHERE area BETWEEN 15 AND 1800 AND greatest(w, h) <= 70 AND greatest(w, h) <= 4.5 * least(w, h) AND 4 * pi() * area / (around * around) >= 0.12", "detections")),
     "lod1_blocks": (lod1_blocks, check("", "SELECT building_id, 430.0::DOUBLE + h AS roof_elevation, (x2 - x1) * (y4 - y1) * h AS volume, 430.0::DOUBLE + h AS roof_z, h AS stratum_height FROM (SELECT *, (building_id % 9 + 3)::DOUBLE AS h FROM buildings)", "buildings")),
     "sync_changes": (sync_changes, check(SYNC, "SELECT * FROM sy", "snapshot_old", "snapshot_new")),
     "sync_summary": (sync_summary, check(SYNC, "SELECT change, count(*) AS features, count(DISTINCT parcel_id) AS parcels FROM sy GROUP BY change", "snapshot_old", "snapshot_new")),
     "sync_marked": (sync_marked, check(SYNC, "SELECT parcel_id, CASE WHEN parcel_id IN (SELECT parcel_id FROM sy WHERE change = 'GEOMETRY_CHANGED') THEN 'REVIEW_REQUIRED' ELSE 'Matched' END AS status FROM parcels", "snapshot_old", "snapshot_new", "parcels")),
     "sync_transitions": (sync_transitions, "WITH r AS (SELECT o_orderkey AS run_id, CASE o_orderkey % 3 WHEN 0 THEN 'SYNC_REQUIRED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS status, o_orderkey % 4 AS n_changes, o_orderkey % 5 = 0 AS approved, o_orderkey % 7 AS version FROM orders) SELECT *, CASE WHEN status = 'SYNC_REQUIRED' AND n_changes > 0 THEN 'REVIEW_REQUIRED' WHEN status = 'REVIEW_REQUIRED' AND approved THEN 'APPROVED' ELSE status END AS next_status, version + CASE WHEN status = 'REVIEW_REQUIRED' AND approved THEN 1 ELSE 0 END AS next_version FROM r"),
     "dataset_versions": (dataset_versions, "SELECT o_custkey AS dataset, o_orderkey AS id, row_number() OVER w AS version, lead(o_orderdate) OVER w IS NULL AS active FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
-    "result_upsert": (result_upsert, "WITH e AS (SELECT user_id AS id, event_id AS seq, value FROM events), c AS (SELECT * FROM e WHERE seq % 3 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), b AS (SELECT * FROM e WHERE seq % 3 = 1 AND id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) SELECT * FROM c WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b"),
+    "result_upsert": (result_upsert, "WITH e AS (SELECT user_id AS id, event_id AS seq, value FROM events), c AS (SELECT * FROM e WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), b AS (SELECT * FROM e WHERE seq % 2 = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) SELECT * FROM c WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b"),
     "raster_stats": (raster_stats, check("", f"SELECT raster_id, count(*) AS n, min(elev) AS low, max(elev) AS high, {rnd('avg(elev)', 4)} AS mean FROM dem WHERE elev <> -9999 GROUP BY raster_id", "dem")),
     "raster_window": (raster_window, check("", "SELECT raster_id, count(*) AS n FROM dem WHERE x BETWEEN 400 AND 1600 AND y BETWEEN 40 AND 160 GROUP BY raster_id", "dem")),
     "raster_zonal": (raster_zonal, check("", f"SELECT parcel_id, count(*) AS n, min(elev) AS low, max(elev) AS high, {rnd('avg(elev)', 4)} AS mean, max(elev) - min(elev) AS relief, {rnd('degrees(atan2(max(elev) - min(elev), 35.0))', 4)} AS slope FROM parcels p JOIN dem m ON m.x BETWEEN least(x1, x2, x3, x4) AND greatest(x1, x2, x3, x4) AND m.y BETWEEN least(y1, y2, y3, y4) AND greatest(y1, y2, y3, y4) WHERE elev <> -9999 GROUP BY parcel_id", "parcels", "dem")),
@@ -403,12 +415,12 @@ bh AS (SELECT parcel_id, building_id FROM lb JOIN pe e ON e.id = lb.parcel_id JO
     "raster_comparable": (raster_comparable, f"WITH {HEADERS} SELECT p.raster_id AS a, q.raster_id AS b, p.crs FROM h p JOIN h q ON p.raster_id < q.raster_id AND p.crs = q.crs AND p.minx <= q.maxx AND q.minx <= p.maxx AND p.miny <= q.maxy AND q.miny <= p.maxy"),
     "raster_difference": (raster_difference, check(DIFF, "SELECT * FROM df", "pixels_1", "pixels_2")),
     "raster_mask": (raster_mask, check(f"{DIFF},\n{MORPH}", "SELECT * FROM m4", "pixels_1", "pixels_2")),
-    "change_regions": (change_regions, check(f"{DIFF},\n{REGIONS}", "SELECT region, count(*) AS pixels FROM rr GROUP BY region", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
-    "change_region_report": (change_region_report, check(f"{DIFF},\n{REGIONS},\nq AS (SELECT region, count(*) AS pixels, count(*) * 0.25::DOUBLE AS area, min(px_row) AS row_min, max(px_row) AS row_max, min(px_col) AS col_min, max(px_col) AS col_max, {rnd('avg(g1) + 1e-9', 3)} AS mean_1, {rnd('avg(g2) + 1e-9', 3)} AS mean_2 FROM rr JOIN df USING (px_row, px_col) GROUP BY region HAVING count(*) >= 3)",
-        "SELECT *, CASE WHEN mean_2 - mean_1 > 35 THEN 'ADDED' WHEN mean_2 - mean_1 < -35 THEN 'REMOVED' WHEN abs(mean_2 - mean_1) > 15 AND pixels < 1500 THEN 'EXPANSION' ELSE 'LAND_COVER' END AS kind FROM q", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
+    "change_regions": (change_regions, check(f"{DIFF},\n{MORPH},\n{REGIONS}", f"SELECT {NAMED}, count(*) AS pixels FROM rr GROUP BY region", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
+    "change_region_report": (change_region_report, check(f"{DIFF},\n{MORPH},\n{REGIONS},\nq AS (SELECT region, count(*) AS pixels, count(*) * 0.25::DOUBLE AS area, min(px_row) AS row_min, max(px_row) AS row_max, min(px_col) AS col_min, max(px_col) AS col_max, {rnd('avg(g1) + 1e-9', 3)} AS mean_1, {rnd('avg(g2) + 1e-9', 3)} AS mean_2 FROM rr JOIN df USING (px_row, px_col) GROUP BY region HAVING count(*) >= 3)",
+        f"SELECT q.* EXCLUDE (region), {NAMED}, CASE WHEN mean_2 - mean_1 > 35 THEN 'ADDED' WHEN mean_2 - mean_1 < -35 THEN 'REMOVED' WHEN abs(mean_2 - mean_1) > 15 AND pixels < 1500 THEN 'EXPANSION' ELSE 'LAND_COVER' END AS kind FROM q", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
     "affine_residuals": (affine_residuals, check(_AFFINE, f"SELECT sheet_id, any_value(n) AS n, {rnd('sqrt(avg(sq))', 4)} AS rmse, {rnd('avg(sqrt(sq))', 4)} AS mean_residual, {rnd('sqrt(max(sq))', 4)} AS max_residual, sqrt(avg(sq)) <= 2.5 AS accepted FROM r GROUP BY sheet_id", "control_points")),
-    "affine_to_map": (affine_to_map, check(_AFFINE, f"SELECT point_id, {rnd('mx', 3)} AS x, {rnd('my', 3)} AS y FROM r WHERE sheet_id % 3 <> 0", "control_points")),
-    "utm_round_trip": (utm_round_trip, f"SELECT c_custkey, zone::INT AS zone, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone::INT AS epsg, {rnd('lon', 6)} AS lon, {rnd('lat', 6)} AS lat FROM (SELECT *, floor((lon + 180) / 6) + 1 AS zone FROM (SELECT c_custkey, 72 + c_custkey % 1000 / 125 AS lon, (c_custkey % 77 - 30 + 0.25)::DOUBLE AS lat FROM customer))"),
+    "affine_to_map": (affine_to_map, check(_AFFINE, f"SELECT p.point_id, {rnd('mx', 3)} AS x, {rnd('my', 3)} AS y FROM control_points p LEFT JOIN r USING (point_id)", "control_points")),
+    "utm_round_trip": (utm_round_trip, _utm_sql()),
     "crs_check": (crs_check, "WITH p AS (SELECT c_nationkey AS dataset, CASE WHEN c_custkey % 50 = 0 THEN 200.0 ELSE 72 + c_nationkey / 4 + c_custkey % 8 END::DOUBLE AS lon, (c_custkey % 60 - 20.0)::DOUBLE AS lat FROM customer), z AS (SELECT *, lon <= 180 AS ok, (floor((lon + 180) / 6) + 1)::INT AS zone FROM p) SELECT dataset, coalesce(string_agg(DISTINCT CASE WHEN ok THEN zone END::VARCHAR, ',' ORDER BY CASE WHEN ok THEN zone END::VARCHAR), '') AS zones, min(CASE WHEN ok THEN CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone END)::INT AS epsg, sum((NOT ok)::INT)::BIGINT AS outside, concat_ws('; ', CASE WHEN count(DISTINCT CASE WHEN ok THEN zone END) > 1 THEN 'spans several zones' END, CASE WHEN sum((NOT ok)::INT) > 0 THEN 'positions out of range' END) AS warnings FROM z GROUP BY dataset"),
     "header_mapping": (header_mapping, None),
     "harmonized_records": (harmonized_records, HARMONIZED),

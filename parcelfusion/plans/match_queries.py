@@ -25,10 +25,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d, g, r = _tables(spark, sf_dir, "parcels", "drone", "gnss", "revenue")
-    best = M.best_matches(p, M.evidence(p, d, g))
-    with_register = M.revenue_lookup(best, r)
-    areas = M.gnss_areas(g).withColumnRenamed("survey_no", "full_survey")
-    return with_register.join(areas.hint("merge"), "full_survey", "left")
+    p = M.with_gnss_key(p, g)
+    with_register = M.revenue_lookup(M.best_matches(p, M.evidence(p, d, g)), r)
+    return with_register.join(M.gnss_areas(g).hint("merge"), "gnss_key", "left")
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +74,12 @@ def match_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = M.ranked(scored(spark, sf_dir)).where("rank = 1")
     c = F.col
     lines = S.checklist(c("iou"), c("area_diff"), c("mean_dev"), c("conformance"), c("gnss_pct"), c("attribute_pct"), rounded(c("p_area"), 2), rounded(c("q_area"), 2))
-    return df.select("parcel_id", "feature_id", F.explode(lines).alias("l")).select("parcel_id", "feature_id", "l.line", "l.status")
+    return df.select("parcel_id", "feature_id", F.explode(lines).alias("l")).select("parcel_id", "feature_id", "l.line", "l.status", "l.text")
 
 
 def second_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d, g = _tables(spark, sf_dir, "parcels", "drone", "gnss")
-    pairs = M.spread(candidates(p, d))
+    pairs = M.pairs_of(M.with_gnss_key(p, g), d)
     counted = M.gnss_inside(pairs, g)
     pairs = pairs.join(counted.hint("merge"), ["parcel_id", "feature_id"], "left")
     support = F.coalesce(F.col("inside") / F.col("points") >= 0.9, F.lit(False))
@@ -98,12 +97,11 @@ def revenue_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gnss_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, g = _tables(spark, sf_dir, "parcels", "gnss")
-    areas = M.gnss_areas(g).withColumnRenamed("survey_no", "full_survey")
-    return p.join(areas.hint("merge"), "full_survey", "left").select("parcel_id", F.coalesce("n_points", F.lit(0)).alias("n_points"), "gnss_area")
+    return M.with_gnss_key(p, g).join(M.gnss_areas(g).hint("merge"), "gnss_key", "left").select("parcel_id", F.coalesce("n_points", F.lit(0)).alias("n_points"), "gnss_area")
 
 
 def reconciled_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconciled(spark, sf_dir).select("parcel_id", "feature_id", "score", "status", "geometry_source", "recommended_area", "case", F.col("conflict.type").alias("conflict_type"), F.col("conflict.severity").alias("severity"))
+    return reconciled(spark, sf_dir).select("parcel_id", "feature_id", "score", "status", "geometry_source", "recommended_area", "case", "explanation", F.col("conflict.type").alias("conflict_type"), F.col("conflict.severity").alias("severity"))
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +234,8 @@ def centroid_cte(name: str, edges: str) -> str:
   FROM (SELECT a.*, o.ox, o.oy, (ax - o.ox) * (by_ - o.oy) - (bx - o.ox) * (ay - o.oy) AS w FROM {edges} a JOIN (SELECT id, ax AS ox, ay AS oy FROM {edges} WHERE i = 1) o USING (id)) e GROUP BY e.id)"""
 
 
-GNSS = f"""gp AS MATERIALIZED (SELECT row_number() OVER () AS pt, p.parcel_id, g.x AS px, g.y AS py FROM gnss g JOIN parcels p ON p.full_survey = g.survey_no),
+GNSS_KEY = "SELECT *, CASE WHEN full_survey IN (SELECT survey_no FROM gnss) THEN full_survey ELSE survey_no END AS gnss_key FROM parcels"
+GNSS = f"""gp AS MATERIALIZED (SELECT row_number() OVER () AS pt, p.parcel_id, g.x AS px, g.y AS py FROM gnss g JOIN ({GNSS_KEY}) p ON p.gnss_key = g.survey_no),
 gi AS (
   SELECT parcel_id, feature_id, pt, sum(CASE WHEN (ay > py) <> (by_ > py) AND px < ax + (py - ay) * (bx - ax) / (by_ - ay) THEN 1 ELSE 0 END) % 2 = 1 OR min({DIST}) < 0.75 AS ok FROM (
     SELECT c.parcel_id, c.feature_id, pt, px, py, ax, ay, bx, by_, bx - ax AS dx, by_ - ay AS dy, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t
@@ -276,7 +275,7 @@ ga AS (SELECT survey_no, count(*) AS n_points, CASE WHEN count(*) >= 3 THEN {rnd
 ASSESSED = f"""a0 AS (
   SELECT p.parcel_id, p.area, p.land_use, b.feature_id, b.score, b.iou, b.centroid_pct, b.attribute_pct, b.proximity_pct, b.area_pct, d.area AS d_area, d.feature_type, r.* EXCLUDE (parcel_id), coalesce(ga.n_points, 0) AS n, ga.gnss_area,
          coalesce({rnd("b.iou", 1)}, 0) AS gm, coalesce(b.centroid_pct, 0) AS cm, coalesce(b.score, 0) AS sc
-  FROM parcels p LEFT JOIN (SELECT * FROM m WHERE rank = 1 AND score >= 40) b USING (parcel_id) LEFT JOIN drone d ON d.feature_id = b.feature_id JOIN reg r ON r.parcel_id = p.parcel_id LEFT JOIN ga ON ga.survey_no = p.full_survey),
+  FROM ({GNSS_KEY}) p LEFT JOIN (SELECT * FROM m WHERE rank = 1 AND score >= 40) b USING (parcel_id) LEFT JOIN drone d ON d.feature_id = b.feature_id JOIN reg r ON r.parcel_id = p.parcel_id LEFT JOIN ga ON ga.survey_no = p.gnss_key),
 a1 AS (
   SELECT *, CASE WHEN feature_id IS NOT NULL AND d_area <> 0 AND abs(d_area - area) >= 35 AND (gm < 96 OR (coalesce(rev_area, 0) <> 0 AND abs(rev_area - area) >= 25)) THEN 0
     WHEN feature_id IS NULL THEN 1 WHEN contains(feature_type, 'Plot Division') THEN 2 WHEN contains(feature_type, 'Consolidated Compound') THEN 3 WHEN gm < 85 OR cm < 85 THEN 4
@@ -312,10 +311,12 @@ def _checklist_sql() -> str:
     g = lambda a, b: f"CASE WHEN {a} THEN 'PASS' WHEN {b} THEN 'WARN' ELSE 'FAIL' END"
     change = rnd("abs(pa2 - qa2) / greatest(pa2, 1) * 100.0", 1)
     lines = {
-        "overlap": g("iou >= 80", "iou >= 50"), "area": g("area_diff <= 5", "area_diff <= 15"), "boundary": g("mean_dev <= 1 AND conformance >= 90", "mean_dev <= 3"),
-        "gnss": "CASE WHEN gnss_pct IS NULL THEN 'INFO' WHEN gnss_pct >= 90 THEN 'PASS' ELSE 'FAIL' END", "attribute": g("attribute_pct >= 95", "attribute_pct >= 75"), "drone": g(f"{change} <= 1", f"{change} < 15"),
+        "overlap": (g("iou >= 80", "iou >= 50"), f"printf('IoU %.1f%%', {rnd('iou', 1)})"), "area": (g("area_diff <= 5", "area_diff <= 15"), f"printf('area differs by %.1f%%', {rnd('area_diff', 1)})"),
+        "boundary": (g("mean_dev <= 1 AND conformance >= 90", "mean_dev <= 3"), "printf('mean deviation %.2f m, %.1f%% conform', mean_dev, conformance)"),
+        "gnss": ("CASE WHEN gnss_pct IS NULL THEN 'INFO' WHEN gnss_pct >= 90 THEN 'PASS' ELSE 'FAIL' END", "CASE WHEN gnss_pct IS NULL THEN 'no survey points' ELSE printf('%.1f%% of points inside', gnss_pct) END"),
+        "attribute": (g("attribute_pct >= 95", "attribute_pct >= 75"), "printf('survey number agrees by %.0f%%', attribute_pct)"), "drone": (g(f"{change} <= 1", f"{change} < 15"), f"printf('drone area changes by %.1f%%', {change})"),
     }
-    return check(TO_SCORES, " UNION ALL ".join(f"SELECT parcel_id, feature_id, '{k}' AS line, {v} AS status FROM m WHERE rank = 1" for k, v in lines.items()), *_M)
+    return check(TO_SCORES, " UNION ALL ".join(f"SELECT parcel_id, feature_id, '{k}' AS line, {v} AS status, {t} AS text FROM m WHERE rank = 1" for k, (v, t) in lines.items()), *_M)
 
 
 def _second_sql() -> str:
@@ -349,6 +350,10 @@ def _confidence_sql() -> str:
     return check(TO_ASSESSED, f"SELECT *, 95.0::DOUBLE AS extraction, 95.0::DOUBLE AS change_detection, {whole} AS overall FROM ({inner})", *_A)
 
 
+_EXPLAINED = """CASE "case" WHEN 'survey_agrees' THEN 'Survey points and drone boundary agree and differ from the legacy boundary; the surveyed geometry is recommended.'
+  WHEN 'high_confidence' THEN printf('Sources agree (%.1f%% confidence).', sc) WHEN 'displaced' THEN printf('The boundary is displaced (geometry agreement %.1f%%); verify in the field.', gm)
+  WHEN 'area_differs' THEN printf('Register and polygon differ by %.1f m2; the drone extent is recommended until confirmed.', abs(coalesce(rev_area, 0) - area))
+  WHEN 'missing' THEN 'No footprint was detected in the imagery; inspect on the ground.' ELSE printf('Evidence gives %.1f%% confidence.', sc) END"""
 _TRUE = "(parcel_id % 17 = 3 OR parcel_id % 23 = 5 OR parcel_id % 19 = 4 OR parcel_id % 29 = 7)"
 _SHARE = lambda x, y: rnd(f"coalesce({x}::DOUBLE / nullif({y}, 0), 0) * 100.0", 2)
 
@@ -362,8 +367,8 @@ QUERIES = {
     "match_checklist": (match_checklist, _checklist_sql()),
     "second_ranking": (second_ranking, _second_sql()),
     "revenue_lookup": (revenue_lookup, check(REGISTER, "SELECT * FROM reg", "parcels", "revenue")),
-    "gnss_lookup": (gnss_lookup, check(RING, "SELECT parcel_id, coalesce(n_points, 0) AS n_points, gnss_area FROM parcels p LEFT JOIN ga ON ga.survey_no = p.full_survey", "parcels", "gnss")),
-    "reconciled_parcels": (reconciled_parcels, check(TO_ASSESSED, 'SELECT parcel_id, feature_id, score, status, geometry_source, recommended_area, "case", conflict_type, severity FROM a', *_A)),
+    "gnss_lookup": (gnss_lookup, check(RING, "SELECT parcel_id, coalesce(n_points, 0) AS n_points, gnss_area FROM (" + GNSS_KEY + ") p LEFT JOIN ga ON ga.survey_no = p.gnss_key", "parcels", "gnss")),
+    "reconciled_parcels": (reconciled_parcels, check(TO_ASSESSED, 'SELECT parcel_id, feature_id, score, status, geometry_source, recommended_area, "case", conflict_type, severity, ' + _EXPLAINED + " AS explanation FROM a", *_A)),
     "conflicts": (conflicts, check(TO_ASSESSED, "SELECT 'C-' || CASE WHEN n_ < 1000 THEN lpad(n_::VARCHAR, 3, '0') ELSE n_::VARCHAR END AS conflict_id, parcel_id, rule, conflict_type, severity, confidence::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (ORDER BY parcel_id) AS n_ FROM a WHERE rule IS NOT NULL)", *_A)),
     "match_summary": (match_summary, check(TO_ASSESSED, "SELECT count(*) AS total, sum((status = 'Matched')::INT)::BIGINT AS matched, sum((status = 'Conflict')::INT)::BIGINT AS conflicts, sum((status = 'Review')::INT)::BIGINT AS review FROM a", *_A)),
     "confidence_parts": (confidence_parts, _confidence_sql()),
