@@ -105,21 +105,23 @@ def attribute_agreement(pairs: list[tuple[Column, Column]]) -> Column:
     return F.when(n > 0, score / n).otherwise(0.70)
 
 
-def extracted(text: Column, field: str) -> Column:
-    """A field of a revenue document, or null."""
-    found = F.trim(F.regexp_extract(text, "(?i)" + FIELD_PATTERNS[field][0], 1))
-    return F.when(found != "", found)
-
-
 def revenue_fields(text: Column) -> Column:
-    """Map of field -> (value, confidence) of what the text holds; a subdivision may come from the survey number."""
-    own = {f: extracted(text, f) for f in FIELD_PATTERNS}
-    behind = F.try_element_at(F.split(own["survey_number"], "/"), F.lit(2))
-    value = own | {"subdivision": F.coalesce(own["subdivision"], behind)}
-    sure = {f: F.lit(c) for f, (_, c) in FIELD_PATTERNS.items()}
-    sure["subdivision"] = F.when(own["subdivision"].isNotNull(), sure["subdivision"]).otherwise(F.lit(SUBDIVISION_FROM_SURVEY))
-    entries = F.array(*[F.struct(F.lit(f).alias("key"), F.struct(value[f].alias("value"), sure[f].alias("confidence")).alias("value")) for f in value])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"]["value"].isNotNull()))
+    """Map of field -> (value, confidence) of what the text holds; a subdivision may come from the survey number.
+
+    The values stand in an array that a lambda binds, so each pattern is searched once.
+    """
+    names = list(FIELD_PATTERNS)
+    found = F.array(*[F.trim(F.regexp_extract(text, "(?i)" + pattern, 1)) for pattern, _ in FIELD_PATTERNS.values()])
+
+    def fields(values: Column) -> Column:
+        own = {f: F.nullif(F.get(values, F.lit(i)), F.lit("")) for i, f in enumerate(names)}
+        sure = {f: F.lit(c) for f, (_, c) in FIELD_PATTERNS.items()}
+        sure["subdivision"] = F.when(own["subdivision"].isNotNull(), sure["subdivision"]).otherwise(F.lit(SUBDIVISION_FROM_SURVEY))
+        own["subdivision"] = F.coalesce(own["subdivision"], F.try_element_at(F.split(own["survey_number"], "/"), F.lit(2)))
+        entries = F.array(*[F.struct(F.lit(f).alias("key"), F.struct(own[f].alias("value"), sure[f].alias("confidence")).alias("value")) for f in names])
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"]["value"].isNotNull()))
+
+    return F.get(F.transform(F.array(found), fields), F.lit(0))
 
 
 @F.pandas_udf(DoubleType())

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -68,6 +67,7 @@ def harmonized_record(props: Column) -> Column:
     return F.struct(
         number.alias("survey_number"), subdivision.alias("subdivision_number"), F.coalesce(F.try_element_at(props, F.lit("full_survey")), F.concat_ws("/", number, subdivision)).alias("full_survey"), area.alias("area_m2"),
         X.standard_land_use(F.coalesce(nonblank("land_use"), F.lit("Residential"))).alias("land_use"), F.trim(nonblank("owner_ref")).alias("owner_ref"),
+        F.trim(nonblank("village")).alias("village"), F.trim(nonblank("ward")).alias("ward"),
         F.greatest(F.lit(40.0), F.when(blank, 80.0).otherwise(100.0)).alias("attribute_confidence"), steps.alias("provenance"), F.map_filter(props, lambda k, v: ~F.array_contains(used, k)).alias("extension"),
     )
 
@@ -87,8 +87,3 @@ def crs_check(points: DataFrame) -> DataFrame:
     )
     warns = F.concat_ws("; ", F.when(F.size("zones") > 1, F.lit("spans several zones")), F.when(F.col("outside") > 0, F.lit("positions out of range")))
     return found.select("dataset", F.array_join(F.col("zones").cast("array<string>"), ",").alias("zones"), "epsg", "outside", warns.alias("warnings"))
-
-
-def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key by ``order``."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.numbers import rounded
+from ..scratch import stored
 from .spatial_join import box_join
 
 
@@ -31,20 +32,37 @@ def near_layers(parcels: DataFrame, layers: DataFrame, radius: float) -> DataFra
     """Pairs of parcels and layer lines whose boxes come within ``radius``, with their distance."""
     left = boxed(parcels.select("parcel_id", "ring"), "ring", "p_box", radius)
     right = boxed(layers, "line", "l_box")
-    pairs = box_join(left, right, "p_box", "l_box", 128.0)
+    pairs = box_join(left, right, "p_box", "l_box", max(128.0, radius))
     return pairs.withColumn("distance", G.ring_distance(F.col("ring"), F.col("line"), G.line_edges(F.col("line"))))
 
 
-def parcel_layers(parcels: DataFrame, buildings: DataFrame, layers: DataFrame, radius: float = 200.0) -> DataFrame:
-    """parcel_id, buildings, road_m, water, power: what lies in or near each parcel (road_m null beyond ``radius``)."""
+def nearest_lines(parcels: DataFrame, lines: DataFrame, radius: float = 200.0) -> DataFrame:
+    """parcel_id, distance of the nearest line, however far; parcels get no row only if there is no line at all.
+
+    A ring of ``radius`` holds every line within it, so a parcel with one inside is done; the others search a ring four times
+    as wide, on cells as wide.
+    """
+    left, found = stored(parcels.select("parcel_id", "ring"), "near-left"), None
+    if lines.isEmpty():
+        return left.select("parcel_id", F.lit(None).cast("double").alias("distance")).limit(0)
+    while not left.isEmpty():
+        near = near_layers(left, lines, radius).where(F.col("distance") <= radius).groupBy("parcel_id").agg(F.min("distance").alias("distance"))
+        near = stored(near, "near-found")
+        found = near if found is None else found.unionByName(near)
+        left, radius = stored(left.join(near.hint("merge"), "parcel_id", "left_anti"), "near-left"), 4 * radius
+    return found if found is not None else left.select("parcel_id", F.lit(0.0).alias("distance"))
+
+
+def parcel_layers(parcels: DataFrame, buildings: DataFrame, layers: DataFrame) -> DataFrame:
+    """parcel_id, buildings, road_m (0 where there are no roads), water, power: what lies in or nearest to each parcel."""
     left, right = boxed(parcels.select("parcel_id", "ring"), "ring", "p_box"), boxed(buildings.select("building_id", F.col("ring").alias("b_ring")), "b_ring", "b_box")
     held = box_join(left, right, "p_box", "b_box").where(G.ring_meets(F.col("ring"), F.col("b_ring"), G.edges(F.col("b_ring")))).groupBy("parcel_id").agg(F.count("*").alias("buildings"))
-    near = near_layers(parcels, layers, radius)
+    roads = nearest_lines(parcels, layers.where("layer = 'road'")).withColumnRenamed("distance", "road_m")
     flag = lambda layer: F.max(F.when((F.col("layer") == layer) & (F.col("distance") == 0), 1).otherwise(0))
-    near = near.groupBy("parcel_id").agg(F.min(F.when((F.col("layer") == "road") & (F.col("distance") <= radius), F.col("distance"))).alias("road_m"), flag("water").alias("water"), flag("power").alias("power"))
-    out = parcels.select("parcel_id").join(held.hint("merge"), "parcel_id", "left").join(near.hint("merge"), "parcel_id", "left")
+    met = near_layers(parcels, layers.where("layer in ('water', 'power')"), 0.0).groupBy("parcel_id").agg(flag("water").alias("water"), flag("power").alias("power"))
+    out = parcels.select("parcel_id").join(held.hint("merge"), "parcel_id", "left").join(met.hint("merge"), "parcel_id", "left").join(roads.hint("merge"), "parcel_id", "left")
     flagged = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
-    return out.select("parcel_id", F.coalesce("buildings", F.lit(0)).alias("buildings"), rounded(F.col("road_m"), 2).alias("road_m"), flagged("water").alias("water"), flagged("power").alias("power"))
+    return out.select("parcel_id", F.coalesce("buildings", F.lit(0)).alias("buildings"), rounded(F.coalesce("road_m", F.lit(0.0)), 2).alias("road_m"), flagged("water").alias("water"), flagged("power").alias("power"))
 
 
 def parcel_utilities(parcels: DataFrame, utilities: DataFrame, radius: float = 35.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.numbers import rounded
+from ..functions.numbers import padded, rounded
 from ..scratch import stored
 
 
@@ -21,8 +21,7 @@ def numbered(df: DataFrame, prefix: str, name: str, *order: str) -> DataFrame:
     before = F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
     counts = ranges.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
     n = F.row_number().over(W.partitionBy("_range").orderBy(*order)) + F.col("_before")
-    text = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
-    return ranges.join(F.broadcast(counts), "_range").withColumn(name, F.concat(F.lit(f"{prefix}-"), text)).drop("_range", "_before")
+    return ranges.join(F.broadcast(counts), "_range").withColumn(name, F.concat(F.lit(f"{prefix}-"), padded(n, 3))).drop("_range", "_before")
 
 
 def assessed(matched: DataFrame) -> DataFrame:
@@ -64,6 +63,18 @@ def change_events(parcels: DataFrame) -> DataFrame:
     return parcels.select("parcel_id", F.explode(events).alias("event")).select("parcel_id", "event.*")
 
 
+# What a change's type holds under each filter tab.
+TABS = {"All": [""], "New": ["new", "addition"], "Removed": ["removed", "demolished"], "Modified": ["shift", "boundary"], "Land Use": ["land", "use"]}
+
+
+def filtered_changes(changes: DataFrame, tab: str) -> DataFrame:
+    """The changes under a filter tab."""
+    low, out = F.lower("change_type"), F.lit(False)
+    for word in TABS[tab]:
+        out = out | F.contains(low, F.lit(word))
+    return changes.where(out)
+
+
 def recorded_changes(parcels: DataFrame, buildings: DataFrame, least: float = 20.0) -> DataFrame:
     """Boundary shifts by recorded area difference, and new-building items: feature_id, change_type, magnitude."""
     shifts = parcels.where(F.col("area_delta") > least).select(F.col("parcel_id").cast("string").alias("feature_id"), F.lit("Boundary Shift").alias("change_type"), F.col("area_delta").alias("magnitude"))

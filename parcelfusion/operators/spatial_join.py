@@ -45,9 +45,3 @@ def self_overlaps(parcels: DataFrame, least: float = 2.0, cell: float = 64.0) ->
     right = parcels.select(F.col("parcel_id").alias("b"), F.col("ring").alias("ring_b"), bbox(F.col("ring")).alias("box_b"))
     pairs = box_join(left, right, "box_a", "box_b", cell).where("a < b")
     return pairs.withColumn("overlap", intersection_area(F.col("ring_a"), F.col("ring_b"))).where(F.col("overlap") > least).drop("box_a", "box_b")
-
-
-def best_by(df: DataFrame, keys: list[str], order: list[Column], value: list[str]) -> DataFrame:
-    """The row of each key that stands first in ``order`` (all descending), by a pre-aggregated maximum."""
-    first = F.max(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *value)).alias("best")
-    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"best.{v}").alias(v) for v in value])

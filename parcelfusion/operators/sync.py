@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 
 def feature_key(columns: list[str], names: tuple[str, ...] = ("parcel_id", "survey_no", "id")) -> Column:
-    """The first of the usual id columns that has a value."""
-    return F.coalesce(*[F.col(n).cast("string") for n in names if n in columns])
+    """The first of the usual id columns that has a value and isn't blank."""
+    return F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in columns])
+
+
+def keyed(snapshot: DataFrame) -> DataFrame:
+    """A snapshot with its feature_id, chosen where it has none."""
+    return snapshot if "feature_id" in snapshot.columns else snapshot.withColumn("feature_id", feature_key(snapshot.columns))
 
 
 def fingerprint(columns: list[str]) -> Column:
@@ -20,8 +25,9 @@ def fingerprint(columns: list[str]) -> Column:
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """feature_id, parcel_id, change of features that differ: ADDED, REMOVED, else geometry before area before attributes.
 
-    Both sides: feature_id, parcel_id, area, owner, geom_key. One full outer join of the two.
+    Both sides: parcel_id, area, owner, geom_key, and feature_id or what it is chosen from. One full outer join of the two.
     """
+    old, new = keyed(old), keyed(new)
     side = lambda df, p: df.select("feature_id", *[F.col(c).alias(f"{p}_{c}") for c in ("parcel_id", "area", "owner", "geom_key")], fingerprint(["parcel_id", "area", "owner", "geom_key"]).alias(f"{p}_print"))
     both = side(old, "o").join(side(new, "n").hint("merge"), "feature_id", "full_outer")
     same = lambda c: F.equal_null(F.col(f"o_{c}"), F.col(f"n_{c}"))
@@ -53,6 +59,14 @@ def transitions(runs: DataFrame) -> DataFrame:
     return runs.withColumn("next_status", nxt).withColumn("next_version", F.col("version") + F.when((nxt == "APPROVED") & (F.col("status") != "APPROVED"), 1).otherwise(0))
 
 
+def approvals(runs: DataFrame) -> DataFrame:
+    """A version row with its provenance for every run that its transition approves: run_id, version, description, decision, steps."""
+    new = transitions(runs).where("next_status = 'APPROVED' and status <> 'APPROVED'")
+    text = F.concat(F.lit("Harmonized version "), F.col("next_version"), F.lit(" after run "), F.col("run_id"))
+    steps = F.array(F.lit("detect changes"), F.concat(F.lit("review "), F.col("n_changes"), F.lit(" changes")), F.lit("approve synchronization"))
+    return new.select("run_id", F.col("next_version").alias("version"), text.alias("description"), F.lit("APPROVED").alias("decision"), steps.alias("steps"))
+
+
 def versions(registered: DataFrame) -> DataFrame:
     """Adds version (1, 2, ... by time) and active (the newest of each dataset). ``registered``: dataset, created, id.
 

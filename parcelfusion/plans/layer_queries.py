@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from ..operators import topology as T
 from ..operators.spatial_join import self_overlaps
 from ..scratch import stored
 from .fixtures import derived
-from .match_queries import check, edge_rows, inter_cte, meets, rnd, shoelace
+from .match_queries import box, centroid_cte, check, edge_rows, inter_cte, meets, rnd, shoelace
 
 #: The map extent that building audits test against.
 EXTENT = (0.0, 0.0, 4000.0, 700.0)
@@ -45,10 +49,23 @@ def shared_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bisected_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without SQL: the clipped half is checked by hand in the tests; here that the halves add up."""
     return T.shared_boundary(_overlapping(spark, sf_dir)).where("strategy = 'BISECT'")
 
 
+def _bisect_sql() -> str:
+    """The half under the mid-line is the overlap summed up to it; across the other axis, with x and y exchanged."""
+    a, b = box("p"), box("d")
+    low, high = {c: f"greatest({a[c + '0']}, {b[c + '0']})" for c in "xy"}, {c: f"least({a[c + '1']}, {b[c + '1']})" for c in "xy"}
+    wide = f"{high['x']} - {low['x']} >= {high['y']} - {low['y']}"
+    ctes = f"""{OVERLAPS}, {centroid_cte("rc", "re")},
+bp AS (SELECT ro.*, {wide} AS wide, CASE WHEN {wide} THEN ({low['x']} + {high['x']}) / 2 ELSE ({low['y']} + {high['y']}) / 2 END AS mid FROM ro JOIN r p ON p.k = a JOIN r d ON d.k = b),
+be AS MATERIALIZED (SELECT id, true AS wide, ax, ay, bx, by_ FROM re UNION ALL SELECT id, false, ay, ax, by_, bx FROM re),
+{inter_cte("bl", "bp", "be", "be", "a", "b", "c.mid", " AND {0}.wide = c.wide")},
+bm AS (SELECT bp.*, CASE WHEN CASE WHEN wide THEN u.gx <= v.gx ELSE u.gy <= v.gy END THEN bp.inter - bl.inter ELSE bl.inter END AS mine FROM bp JOIN bl USING (a, b) JOIN rc u ON u.id = a JOIN rc v ON v.id = b)"""
+    two = {"overlap": "inter", "a_before": "area_a", "b_before": "area_b", "a_after": "area_a - mine", "b_after": "area_b - (inter - mine)"}
+    return check(ctes, f"SELECT a, b, 'BISECT' AS strategy, {', '.join(f'{rnd(x, 2)} AS {n}' for n, x in two.items())} FROM bm", "drone")
+
+
 def _bowties(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived(spark, sf_dir, "parcels")
     k = F.col("parcel_id")
@@ -177,11 +194,25 @@ def sync_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.marked(p, sync_changes(spark, sf_dir).where("change = 'GEOMETRY_CHANGED'"))
 
 
-def sync_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     k = F.col("o_orderkey")
-    runs = o.select(k.alias("run_id"), F.when(k % 3 == 0, "SYNC_REQUIRED").when(k % 3 == 1, "REVIEW_REQUIRED").otherwise("APPROVED").alias("status"), (k % 4).alias("n_changes"), (k % 5 == 0).alias("approved"), (k % 7).alias("version"))
-    return Y.transitions(runs)
+    return o.select(k.alias("run_id"), F.when(k % 3 == 0, "SYNC_REQUIRED").when(k % 3 == 1, "REVIEW_REQUIRED").otherwise("APPROVED").alias("status"), (k % 4).alias("n_changes"), (k % 5 == 0).alias("approved"), (k % 7).alias("version"))
+
+
+def sync_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.transitions(_runs(spark, sf_dir))
+
+
+def sync_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.approvals(_runs(spark, sf_dir)).select("run_id", "version", "description", "decision", F.array_join("steps", " > ").alias("steps"))
+
+
+def sync_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("feature_id")
+    ids = {"parcel_id": F.when(k % 3 == 1, "").when(k % 3 == 2, F.concat(F.lit("P"), k)), "survey_no": F.when(k % 4 != 0, F.concat(F.lit("S"), k)), "id": F.concat(F.lit("I"), k)}
+    side = lambda name: derived(spark, sf_dir, name).select(*[c.alias(n) for n, c in ids.items()], "area", "owner", "geom_key")
+    return Y.changes(side("snapshot_old"), side("snapshot_new")).select("feature_id", "change")
 
 
 SYNC = """sc AS (
@@ -317,36 +348,69 @@ def crs_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.crs_check(c)
 
 
+VARIANTS = ["Survey No", "surveynum", "Owner Name", "Land-Use", "khata", "Total Area (sqm)", "remarks"]
+
+
 def header_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without SQL: the similarity ratio has none; checked against a plain loop in the tests."""
+    """Headers in variants that carry the last digit of a source, as numbered columns do."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct()
-    variants = F.array(*[F.concat(F.lit(v), F.regexp_extract("source", "[0-9]$", 0)) for v in ("Survey No", "surveynum", "Owner Name", "Land-Use", "khata", "Total Area (sqm)", "remarks")], F.lit("Plot_ID"), F.lit("AREA"))
+    variants = F.array(*[F.concat(F.lit(v), F.regexp_extract("source", "[0-9]$", 0)) for v in VARIANTS], F.lit("Plot_ID"), F.lit("AREA"))
     return H.header_mapping(d.select(F.explode(variants).alias("header")))
 
 
+def _header_sql() -> str:
+    """SQL has no such ratio: it joins a table of all the variants, filled by a plain loop."""
+    keys = [(c, s, re.sub("[^a-z0-9]", "", s)) for c, ss in X.SYNONYMS.items() for s in ss]
+
+    def plain(header: str) -> tuple:
+        k = re.sub("[^a-z0-9]", "", header.strip().lower())
+        for c in X.SYNONYMS:
+            if k == c.replace("_", ""):
+                return c, 100.0, "Exact Match"
+        for c, _, s in keys:
+            if k == s:
+                return c, 96.0, "Synonym Dictionary"
+        ratio, c = max(((SequenceMatcher(None, k, s).ratio(), c) for c, _, s in keys), key=lambda x: x[0])
+        return (c, math.floor(ratio * 1000 + 0.5) / 10, "Fuzzy Match") if ratio >= X.FUZZY_LEAST else (None, 0.0, "Unmapped")
+
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    rows = [(h, *plain(h)) for h in [*(f"{v}{d}" for v in VARIANTS for d in ["", *range(10)]), "Plot_ID", "AREA"]]
+    values = ", ".join(f"('{h}', {text(c)}, {x}::DOUBLE, '{m}')" for h, c, x, m in rows)
+    made = " UNION ".join(f"SELECT '{v}' || regexp_extract(source, '[0-9]$') AS header FROM documents" for v in VARIANTS)
+    return f"WITH h AS ({made} UNION SELECT 'Plot_ID' FROM documents UNION SELECT 'AREA' FROM documents) SELECT header, canonical, confidence, method FROM h LEFT JOIN (VALUES {values}) AS t(header, canonical, confidence, method) USING (header)"
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     k = F.col("o_orderkey")
     entry = lambda name, c: F.struct(F.lit(name).alias("key"), c.cast("string").alias("value"))
     entries = [
         F.when(k % 4 != 0, entry("survey_number", F.concat(F.lit(" "), k, F.lit(" ")))), F.when(k % 3 == 0, entry("hissa_no", k % 9)), F.when(k % 5 == 1, entry("extent", F.lit("n/a"))), F.when(k % 2 == 0, entry("parcel_area", k % 500)),
-        F.when(k % 6 == 2, entry("category", F.lit("AGRI"))), F.when(k % 6 == 3, entry("zoning", F.lit("green belt"))), F.when(k % 7 == 0, entry("khathedar", F.concat(F.lit("H"), k % 11))), entry("remark", F.col("o_orderpriority")),
+        F.when(k % 6 == 2, entry("category", F.lit("AGRI"))), F.when(k % 6 == 3, entry("zoning", F.lit("green belt"))), F.when(k % 7 == 0, entry("khathedar", F.concat(F.lit("H"), k % 11))), F.when(k % 9 == 4, entry("gaothan", F.concat(F.lit(" V"), k % 13))), F.when(k % 10 == 3, entry("sector", k % 17)), entry("remark", F.col("o_orderpriority")),
     ]
     return o.select(k.alias("id"), F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("props"))
 
 
 def harmonized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _records(spark, sf_dir).select("id", H.harmonized_record(F.col("props")).alias("h"))
-    return r.select("id", "h.survey_number", "h.subdivision_number", "h.full_survey", "h.area_m2", "h.land_use", "h.owner_ref", "h.attribute_confidence", F.array_join("h.provenance", "; ").alias("provenance"), F.array_join(F.array_sort(F.map_keys("h.extension")), ",").alias("extension"))
+    return r.select("id", "h.survey_number", "h.subdivision_number", "h.full_survey", "h.area_m2", "h.land_use", "h.owner_ref", "h.village", "h.ward", "h.attribute_confidence", F.array_join("h.provenance", "; ").alias("provenance"), F.array_join(F.array_sort(F.map_keys("h.extension")), ",").alias("extension"))
 
 
-HARMONIZED = r"""SELECT id, survey_number, subdivision_number, survey_number || '/' || subdivision_number AS full_survey, area_m2, land_use, owner_ref, attribute_confidence, provenance, extension FROM (
+HARMONIZED = r"""SELECT id, survey_number, subdivision_number, survey_number || '/' || subdivision_number AS full_survey, area_m2, land_use, owner_ref, village, ward, attribute_confidence, provenance, extension FROM (
   SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey::VARCHAR ELSE '100' END AS survey_number, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 9)::VARCHAR ELSE '1' END AS subdivision_number,
     CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 500 ELSE 1000 END::DOUBLE AS area_m2, CASE WHEN o_orderkey % 6 = 2 THEN 'Agricultural' WHEN o_orderkey % 6 = 3 THEN 'Green Belt' ELSE 'Residential' END AS land_use,
-    CASE WHEN o_orderkey % 7 = 0 THEN 'H' || (o_orderkey % 11) END AS owner_ref, CASE WHEN o_orderkey % 4 <> 0 THEN 100.0 ELSE 80.0 END::DOUBLE AS attribute_confidence,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'H' || (o_orderkey % 11) END AS owner_ref, CASE WHEN o_orderkey % 9 = 4 THEN 'V' || (o_orderkey % 13) END AS village, CASE WHEN o_orderkey % 10 = 3 THEN (o_orderkey % 17)::VARCHAR END AS ward, CASE WHEN o_orderkey % 4 <> 0 THEN 100.0 ELSE 80.0 END::DOUBLE AS attribute_confidence,
     concat_ws('; ', CASE WHEN o_orderkey % 4 <> 0 THEN 'survey_number -> survey_number' END, CASE WHEN o_orderkey % 3 = 0 THEN 'hissa_no -> subdivision_number' END, CASE WHEN o_orderkey % 2 = 0 THEN 'parcel_area -> area_m2' END,
       CASE WHEN o_orderkey % 6 = 2 THEN 'category -> land_use' WHEN o_orderkey % 6 = 3 THEN 'zoning -> land_use' END) AS provenance,
-    concat_ws(',', CASE WHEN o_orderkey % 5 = 1 THEN 'extent' END, 'remark') AS extension FROM orders)"""
+    concat_ws(',', CASE WHEN o_orderkey % 5 = 1 THEN 'extent' END, CASE WHEN o_orderkey % 9 = 4 THEN 'gaothan' END, 'remark', CASE WHEN o_orderkey % 10 = 3 THEN 'sector' END) AS extension FROM orders)"""
+
+
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Register rows under other headers: the headers, a handful, are mapped first, then the columns."""
+    r = derived(spark, sf_dir, "revenue").select("seq", F.col("survey_no").alias("Khasra No"), F.col("subdivision_no").alias("Sub Division"), F.col("owner_ref").alias("holder_name"), F.col("area").alias("Total-Area"), F.col("owner_ref").alias("Proprietor"))
+    headers = spark.createDataFrame([(c,) for c in r.columns], "header string")
+    mapping = {x["header"]: x["canonical"] for x in H.header_mapping(headers).collect() if x["canonical"]}
+    return H.canonical_columns(r, mapping).select("seq", "survey_no", "subdivision_no", "owner_ref", "area", "full_survey")
 
 
 def survey_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,18 +446,18 @@ _SHARED = rnd("inter", 2)
 QUERIES = {
     "parcel_overlaps": (parcel_overlaps, check(OVERLAPS, f"SELECT a, b, {rnd('inter', 3)} AS overlap FROM ro", "drone")),
     "shared_boundaries": (shared_boundaries, check(OVERLAPS, f"SELECT a, b, w AS strategy, {_SHARED} AS overlap, {rnd('area_a', 2)} AS a_before, {rnd('area_b', 2)} AS b_before, {rnd('area_a - CASE WHEN w = $$PRIORITIZE_A$$ THEN 0 ELSE inter END', 2)} AS a_after, {rnd('area_b - CASE WHEN w = $$PRIORITIZE_A$$ THEN inter ELSE 0 END', 2)} AS b_after, CASE a % 3 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' ELSE 'PENDING' END AS decision FROM ro CROSS JOIN (SELECT unnest(['PRIORITIZE_A', 'PRIORITIZE_B']) AS w)", "drone")),
-    "bisected_boundaries": (bisected_boundaries, None),
+    "bisected_boundaries": (bisected_boundaries, _bisect_sql()),
     "validation_issues": (validation_issues, check(OVERLAPS, "SELECT * FROM (SELECT 'legacy' AS source, 'Missing Geometry' AS issue, 'High' AS severity, count(*) AS n FROM parcels WHERE parcel_id % 47 = 7 AND parcel_id % 41 <> 5 AND parcel_id % 43 <> 6 UNION ALL SELECT 'legacy', 'Self Intersection', 'High', count(*) FROM parcels WHERE parcel_id % 41 = 5 UNION ALL SELECT 'legacy', 'Overlap', 'High', count(*) FROM ro UNION ALL SELECT 'gnss', 'GNSS Out Of Range', 'Medium', count(*) FROM gnss WHERE abs(y / 20) > 90 OR abs(x / 20) > 180 UNION ALL SELECT 'legacy', 'Sliver', 'Medium', count(*) FROM parcels WHERE parcel_id % 43 = 6 AND parcel_id % 41 <> 5) WHERE n > 0", "parcels", "drone", "gnss")),
     "repaired_rings": (repaired_rings, check("""t AS (SELECT *, ((x2 - x1) * (y4 - y2) - (y2 - y1) * (x4 - x2)) / ((x3 - x1) * (y4 - y2) - (y3 - y1) * (x4 - x2)) AS t FROM parcels WHERE parcel_id % 41 = 5),
 x AS (SELECT *, x1 + t * (x3 - x1) AS px, y1 + t * (y3 - y1) AS py FROM t)""", f"SELECT parcel_id, 'REPAIRED' AS outcome, {rnd('greatest(abs((x3 - px) * (y2 - py) - (y3 - py) * (x2 - px)), abs((x4 - px) * (y1 - py) - (y4 - py) * (x1 - px))) / 2', 3)} AS area FROM x", "parcels")),
     "duplicate_geometries": (duplicate_geometries, check("", "SELECT parcel_key AS first_id, 2::BIGINT AS n FROM drone WHERE parcel_key % 10 = 0", "drone")),
     "source_counts": (source_counts, check("", " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS n FROM {t}" for t in ("parcels", "drone", "gnss", "revenue")), "parcels", "drone", "gnss", "revenue")),
     "building_reference": (building_reference, check(BUILDINGS, f"SELECT b.building_id, CASE WHEN iou >= 50 THEN 'MATCHED' WHEN iou >= 20 THEN 'PARTIAL' ELSE 'UNMATCHED' END AS status, {rnd('coalesce(iou, 0)', 2)} AS iou, ref_id FROM buildings b LEFT JOIN (SELECT * FROM bb WHERE n = 1) x ON x.building_id = b.building_id", "buildings", "reference_buildings")),
-    "parcel_layers": (parcel_layers, check(lines_sql(200.0) + f""",
+    "parcel_layers": (parcel_layers, check(lines_sql(1e9) + f""",
 be AS (SELECT id, i, ax AS x1, ay AS y1, bx AS x2, by_ AS y2 FROM ({edge_rows("buildings", "building_id")})), lb AS (SELECT parcel_id, building_id FROM parcels p JOIN buildings d ON {meets("p", "d")}),
 bh AS (SELECT parcel_id, building_id FROM lb JOIN pe e ON e.id = lb.parcel_id JOIN be l ON l.id = lb.building_id GROUP BY ALL
   HAVING bool_or({_CROSS}) OR sum(CASE WHEN l.i = 1 AND (e.ay > l.y1) <> (e.by_ > l.y1) AND l.x1 < e.ax + (l.y1 - e.ay) * (e.bx - e.ax) / nullif(e.by_ - e.ay, 0) THEN 1 ELSE 0 END) % 2 = 1)""",
-        f"SELECT p.parcel_id, coalesce(b.n, 0)::BIGINT AS buildings, road_m, coalesce(water, false) AS water, coalesce(power, false) AS power FROM parcels p LEFT JOIN (SELECT parcel_id, count(*) AS n FROM bh GROUP BY parcel_id) b ON b.parcel_id = p.parcel_id LEFT JOIN (SELECT parcel_id, {rnd('min(CASE WHEN layer = $$road$$ AND distance <= 200 THEN distance END)', 2)} AS road_m, bool_or(layer = 'water' AND distance = 0) AS water, bool_or(layer = 'power' AND distance = 0) AS power FROM ln GROUP BY parcel_id) x ON x.parcel_id = p.parcel_id", "parcels", "layers", "buildings")),
+        f"SELECT p.parcel_id, coalesce(b.n, 0)::BIGINT AS buildings, coalesce(road_m, 0) AS road_m, coalesce(water, false) AS water, coalesce(power, false) AS power FROM parcels p LEFT JOIN (SELECT parcel_id, count(*) AS n FROM bh GROUP BY parcel_id) b ON b.parcel_id = p.parcel_id LEFT JOIN (SELECT parcel_id, {rnd('min(CASE WHEN layer = $$road$$ THEN distance END)', 2)} AS road_m, bool_or(layer = 'water' AND distance = 0) AS water, bool_or(layer = 'power' AND distance = 0) AS power FROM ln GROUP BY parcel_id) x ON x.parcel_id = p.parcel_id", "parcels", "layers", "buildings")),
     "parcel_utilities": (parcel_utilities, check(lines_sql(35.0), f"SELECT p.parcel_id, coalesce(meets, '') AS meets, coalesce(near, '') AS near, coalesce(n_power, 0)::BIGINT AS n_power, coalesce(n_sewer, 0)::BIGINT AS n_sewer, coalesce(n_water, 0)::BIGINT AS n_water, nearest_m FROM parcels p LEFT JOIN (SELECT parcel_id, string_agg(DISTINCT utility_type, ',' ORDER BY utility_type) FILTER (distance = 0) AS meets, string_agg(DISTINCT utility_type, ',' ORDER BY utility_type) AS near, sum((utility_type = 'POWER')::INT) AS n_power, sum((utility_type = 'SEWER')::INT) AS n_sewer, sum((utility_type = 'WATER')::INT) AS n_water, {rnd('min(from_centroid)', 2)} AS nearest_m FROM ln WHERE distance <= 35 GROUP BY parcel_id) x ON x.parcel_id = p.parcel_id", "parcels", "layers")),
     "parcel_utilities_15m": (parcel_utilities_15m, check(lines_sql(15.0), f"SELECT parcel_id, feature_id, utility_type, {rnd('distance', 2)} AS distance FROM ln WHERE distance <= 15", "parcels", "layers")),
     "building_audit": (building_audit, check(AUDIT, "SELECT * FROM au", "parcels", "buildings")),
@@ -405,6 +469,8 @@ bh AS (SELECT parcel_id, building_id FROM lb JOIN pe e ON e.id = lb.parcel_id JO
     "sync_summary": (sync_summary, check(SYNC, "SELECT change, count(*) AS features, count(DISTINCT parcel_id) AS parcels FROM sy GROUP BY change", "snapshot_old", "snapshot_new")),
     "sync_marked": (sync_marked, check(SYNC, "SELECT parcel_id, CASE WHEN parcel_id IN (SELECT parcel_id FROM sy WHERE change = 'GEOMETRY_CHANGED') THEN 'REVIEW_REQUIRED' ELSE 'Matched' END AS status FROM parcels", "snapshot_old", "snapshot_new", "parcels")),
     "sync_transitions": (sync_transitions, "WITH r AS (SELECT o_orderkey AS run_id, CASE o_orderkey % 3 WHEN 0 THEN 'SYNC_REQUIRED' WHEN 1 THEN 'REVIEW_REQUIRED' ELSE 'APPROVED' END AS status, o_orderkey % 4 AS n_changes, o_orderkey % 5 = 0 AS approved, o_orderkey % 7 AS version FROM orders) SELECT *, CASE WHEN status = 'SYNC_REQUIRED' AND n_changes > 0 THEN 'REVIEW_REQUIRED' WHEN status = 'REVIEW_REQUIRED' AND approved THEN 'APPROVED' ELSE status END AS next_status, version + CASE WHEN status = 'REVIEW_REQUIRED' AND approved THEN 1 ELSE 0 END AS next_version FROM r"),
+    "sync_approvals": (sync_approvals, "SELECT o_orderkey AS run_id, o_orderkey % 7 + 1 AS version, 'Harmonized version ' || (o_orderkey % 7 + 1) || ' after run ' || o_orderkey AS description, 'APPROVED' AS decision, 'detect changes > review ' || (o_orderkey % 4) || ' changes > approve synchronization' AS steps FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 = 0"),
+    "sync_by_key": (sync_by_key, check(SYNC, "SELECT CASE WHEN feature_id % 3 = 2 THEN 'P' WHEN feature_id % 4 <> 0 THEN 'S' ELSE 'I' END || feature_id AS feature_id, change FROM sy", "snapshot_old", "snapshot_new")),
     "dataset_versions": (dataset_versions, "SELECT o_custkey AS dataset, o_orderkey AS id, row_number() OVER w AS version, lead(o_orderdate) OVER w IS NULL AS active FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"),
     "result_upsert": (result_upsert, "WITH e AS (SELECT user_id AS id, event_id AS seq, value FROM events), c AS (SELECT * FROM e WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), b AS (SELECT * FROM e WHERE seq % 2 = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) SELECT * FROM c WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b"),
     "raster_stats": (raster_stats, check("", f"SELECT raster_id, count(*) AS n, min(elev) AS low, max(elev) AS high, {rnd('avg(elev)', 4)} AS mean FROM dem WHERE elev <> -9999 GROUP BY raster_id", "dem")),
@@ -422,8 +488,9 @@ bh AS (SELECT parcel_id, building_id FROM lb JOIN pe e ON e.id = lb.parcel_id JO
     "affine_to_map": (affine_to_map, check(_AFFINE, f"SELECT p.point_id, {rnd('mx', 3)} AS x, {rnd('my', 3)} AS y FROM control_points p LEFT JOIN r USING (point_id)", "control_points")),
     "utm_round_trip": (utm_round_trip, _utm_sql()),
     "crs_check": (crs_check, "WITH p AS (SELECT c_nationkey AS dataset, CASE WHEN c_custkey % 50 = 0 THEN 200.0 ELSE 72 + c_nationkey / 4 + c_custkey % 8 END::DOUBLE AS lon, (c_custkey % 60 - 20.0)::DOUBLE AS lat FROM customer), z AS (SELECT *, lon <= 180 AS ok, (floor((lon + 180) / 6) + 1)::INT AS zone FROM p) SELECT dataset, coalesce(string_agg(DISTINCT CASE WHEN ok THEN zone END::VARCHAR, ',' ORDER BY CASE WHEN ok THEN zone END::VARCHAR), '') AS zones, min(CASE WHEN ok THEN CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone END)::INT AS epsg, sum((NOT ok)::INT)::BIGINT AS outside, concat_ws('; ', CASE WHEN count(DISTINCT CASE WHEN ok THEN zone END) > 1 THEN 'spans several zones' END, CASE WHEN sum((NOT ok)::INT) > 0 THEN 'positions out of range' END) AS warnings FROM z GROUP BY dataset"),
-    "header_mapping": (header_mapping, None),
+    "header_mapping": (header_mapping, _header_sql()),
     "harmonized_records": (harmonized_records, HARMONIZED),
+    "canonical_records": (canonical_records, check("", "SELECT seq, survey_no, subdivision_no, owner_ref, area, CASE WHEN subdivision_no <> '' THEN survey_no || '/' || subdivision_no ELSE survey_no END AS full_survey FROM revenue", "revenue")),
     "survey_similarity": (survey_similarity, check("", "SELECT feature_id, regexp_replace(survey_candidate, '(^|/)0+([^/])', '\\1\\2', 'g') AS normal, CASE WHEN parcel_key % 13 = 1 THEN 20.0 WHEN parcel_key % 13 = 2 THEN 80.0 ELSE 100.0 END::DOUBLE AS similarity FROM drone", "drone")),
     "register_fields": (register_fields, check(_FIELDS, "SELECT * FROM rf", "register_text")),
     "register_corrections": (register_corrections, check(_FIELDS, "SELECT doc_id, field, CASE WHEN field = 'area_m2' AND doc_id % 8 = 0 THEN '1.0' ELSE value END AS value, field = 'area_m2' AND doc_id % 8 = 0 AS verified FROM rf", "register_text")),

@@ -11,6 +11,7 @@ from ..functions.text import attribute_agreement
 from ..operators import matching as M
 from ..operators import reconcile as R
 from ..operators.spatial_join import candidates
+from ..scratch import stored
 from .fixtures import derived, sql_for
 
 
@@ -126,6 +127,15 @@ def change_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_events(spark, sf_dir).agg(F.count("*").alias("n_all"), has("shift"), has("land"), has("subdivision"), has("area"))
 
 
+def change_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = stored(change_events(spark, sf_dir).select(F.col("parcel_id").cast("string").alias("feature_id"), "change_type").unionByName(recorded_changes(spark, sf_dir).select("feature_id", "change_type")), "changes")
+    out = None
+    for tab in R.TABS:
+        one = R.filtered_changes(both, tab).select("feature_id", "change_type", F.lit(tab).alias("tab"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("tab", "change_type").agg(F.count("*").alias("n"))
+
+
 def recorded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d, b = _tables(spark, sf_dir, "parcels", "drone", "buildings")
     both = p.join(d.select(F.col("parcel_key").alias("parcel_id"), F.col("area").alias("d_area")).hint("merge"), "parcel_id").withColumn("area_delta", rounded(F.abs(F.col("d_area") - F.col("area")), 1))
@@ -178,14 +188,14 @@ UNDER_FLAT = """CASE WHEN hi > lo THEN sgn * (hi - lo) * (e0 + e1 + f0 + f1 - CA
   ELSE ((e0 - f0) * (e0 - f0) + (e1 - f1) * (e1 - f1)) / (abs(e0 - f0) + abs(e1 - f1)) END) / 4 ELSE 0 END"""
 
 
-def inter_cte(name: str, pairs: str, left: str, right: str, a: str, b: str) -> str:
-    """CTE ``name``(a, b, inter): overlap of pairs whose edges are in the CTEs ``left`` and ``right``."""
+def inter_cte(name: str, pairs: str, left: str, right: str, a: str, b: str, till: str = "", on: str = "") -> str:
+    """CTE ``name``(a, b, inter): overlap of pairs whose edges are in the CTEs ``left`` and ``right``, up to the x ``till``."""
     y = lambda g, x: f"{g}.ay + ({g}.by_ - {g}.ay) * (({x} - {g}.ax) / nullif({g}.bx - {g}.ax, 0))"
-    lo, hi = "greatest(least(e.ax, e.bx), least(f.ax, f.bx))", "least(greatest(e.ax, e.bx), greatest(f.ax, f.bx))"
+    lo, hi = "greatest(least(e.ax, e.bx), least(f.ax, f.bx))", f"least(greatest(e.ax, e.bx), greatest(f.ax, f.bx){', ' + till if till else ''})"
     return f"""{name} AS MATERIALIZED (
   SELECT {a}, {b}, greatest(0, sum({UNDER_FLAT})) AS inter FROM (
     SELECT c.{a}, c.{b}, {lo} AS lo, {hi} AS hi, {y("e", lo)} AS e0, {y("e", hi)} AS e1, {y("f", lo)} AS f0, {y("f", hi)} AS f1, CASE WHEN (e.bx < e.ax) = (f.bx < f.ax) THEN 1 ELSE -1 END AS sgn
-    FROM {pairs} c JOIN {left} e ON e.id = c.{a} JOIN {right} f ON f.id = c.{b}) z GROUP BY ALL)"""
+    FROM {pairs} c JOIN {left} e ON e.id = c.{a}{on.format("e")} JOIN {right} f ON f.id = c.{b}{on.format("f")}) z GROUP BY ALL)"""
 
 
 OVERLAP = f"""{inter_cte("ov", "cand", "pe", "de", "parcel_id", "feature_id")},
@@ -354,6 +364,7 @@ _EXPLAINED = """CASE "case" WHEN 'survey_agrees' THEN 'Survey points and drone b
   WHEN 'high_confidence' THEN printf('Sources agree (%.1f%% confidence).', sc) WHEN 'displaced' THEN printf('The boundary is displaced (geometry agreement %.1f%%); verify in the field.', gm)
   WHEN 'area_differs' THEN printf('Register and polygon differ by %.1f m2; the drone extent is recommended until confirmed.', abs(coalesce(rev_area, 0) - area))
   WHEN 'missing' THEN 'No footprint was detected in the imagery; inspect on the ground.' ELSE printf('Evidence gives %.1f%% confidence.', sc) END"""
+_RECORDED = f"SELECT parcel_id::VARCHAR AS feature_id, 'Boundary Shift' AS change_type, {rnd('abs(d.area - p.area)', 1)} AS magnitude FROM parcels p JOIN drone d ON d.parcel_key = p.parcel_id WHERE {rnd('abs(d.area - p.area)', 1)} > 20 UNION ALL SELECT building_id::VARCHAR, 'New Building', (x2 - x1) * (y4 - y1) FROM buildings"
 _TRUE = "(parcel_id % 17 = 3 OR parcel_id % 23 = 5 OR parcel_id % 19 = 4 OR parcel_id % 29 = 7)"
 _SHARE = lambda x, y: rnd(f"coalesce({x}::DOUBLE / nullif({y}, 0), 0) * 100.0", 2)
 
@@ -374,7 +385,8 @@ QUERIES = {
     "confidence_parts": (confidence_parts, _confidence_sql()),
     "change_events": (change_events, check(f"{TO_ASSESSED},\n{EVENTS}", "SELECT * FROM ev", *_A)),
     "change_badges": (change_badges, check(f"{TO_ASSESSED},\n{EVENTS}", "SELECT count(*) AS n_all, " + ", ".join(f"sum(contains(lower(change_type), '{w}')::INT)::BIGINT AS n_{w}" for w in ("shift", "land", "subdivision", "area")) + " FROM ev", *_A)),
-    "recorded_changes": (recorded_changes, check("", f"SELECT parcel_id::VARCHAR AS feature_id, 'Boundary Shift' AS change_type, {rnd('abs(d.area - p.area)', 1)} AS magnitude FROM parcels p JOIN drone d ON d.parcel_key = p.parcel_id WHERE {rnd('abs(d.area - p.area)', 1)} > 20 UNION ALL SELECT building_id::VARCHAR, 'New Building', (x2 - x1) * (y4 - y1) FROM buildings", "parcels", "drone", "buildings")),
+    "change_tabs": (change_tabs, check(f"{TO_ASSESSED},\n{EVENTS}, rc AS ({_RECORDED}), al AS (SELECT change_type FROM ev UNION ALL SELECT change_type FROM rc)", "SELECT tab, change_type, count(*) AS n FROM al, (VALUES ('All', '.*'), ('New', 'new|addition'), ('Removed', 'removed|demolished'), ('Modified', 'shift|boundary'), ('Land Use', 'land|use')) AS t(tab, pattern) WHERE regexp_matches(lower(change_type), pattern) GROUP BY ALL", *_A, "buildings")),
+    "recorded_changes": (recorded_changes, check("", _RECORDED, "parcels", "drone", "buildings")),
     "provenance": (provenance, check(TO_ASSESSED, "SELECT parcel_id, CASE status WHEN 'Conflict' THEN 'Held for review: sources conflict' WHEN 'Matched' THEN 'Accepted: sources agree' ELSE 'Queued for review' END AS decision, concat_ws(' > ', 'harmonize attributes', 'match candidates', CASE WHEN feature_id IS NULL THEN 'no candidate' ELSE 'chosen candidate ' || feature_id END, 'conflict ' || conflict_type) AS steps FROM a", *_A)),
     "evaluation": (evaluation, check(f"{TO_ASSESSED},\nc AS (SELECT count(*) AS total, sum(((rule IS NOT NULL) = {_TRUE})::INT)::BIGINT AS correct, sum((rule IS NOT NULL AND {_TRUE})::INT)::BIGINT AS tp, sum((rule IS NOT NULL AND NOT {_TRUE})::INT)::BIGINT AS fp, sum((rule IS NULL AND {_TRUE})::INT)::BIGINT AS fn FROM a)",
         f"SELECT *, {_SHARE('correct', 'total')} AS agreement_precision, {_SHARE('correct', 'total')} AS agreement_recall, {_SHARE('tp', '(tp + fp)')} AS true_precision, {_SHARE('tp', '(tp + fn)')} AS true_recall, {_SHARE('(2 * tp)', '(2 * tp + fp + fn)')} AS f1 FROM c", *_A)),

@@ -76,9 +76,76 @@ def layer_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.layer_catalogue(layers, metadata)
 
 
+def _layer_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The derived layers written as line features, a folder for each; features of every third key have no id of their own."""
+    path = shared_path(spark, "layers-geojson")
+    k = F.col("feature_id")
+    props = [F.when(k % 3 != 0, F.concat(F.lit("U"), k)).alias("utility_id"), F.when(k % 5 != 0, F.col("utility_type")).alias("utility_type"), F.when(k % 7 == 0, "PLANNED").alias("status")]
+    rows = derived(spark, sf_dir, "layers").withColumn("value", O.line_feature(F.col("line"), F.when(k % 6 != 0, F.concat(F.lit("F"), k)), props))
+    names = ["building", "power", "road", "water"]
+    for n in names:
+        O.export_features(rows.where(F.col("layer") == n), f"{path}/{n}", "feature_id")
+    return {n: f"{path}/{n}" for n in names}
+
+
+def utilities_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.utilities(spark, _layer_files(spark, sf_dir)["water"], lines=True).select("utility_id", "utility_type", "status", "geom_type")
+
+
+def layers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.layers(spark, _layer_files(spark, sf_dir), lines=True).select("layer", "feature_id", "geom_type", "minx", "miny", "maxx", "maxy")
+
+
+def _layer_table(spark: SparkSession, sf_dir: str) -> str:
+    path, b = shared_path(spark, "layer-table"), bbox(F.col("line"))
+    O.write_layers(derived(spark, sf_dir, "layers").select("feature_id", "layer", *[b[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")]), path)
+    return path
+
+
+def single_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.layer(spark, _layer_table(spark, sf_dir), "road").select("feature_id", "layer", "minx")
+
+
 def layers_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bbox(F.col("line"))
-    return I.inside_box(derived(spark, sf_dir, "layers").select("feature_id", "layer", b["minx"].alias("minx"), b["miny"].alias("miny"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy")), (500.0, 100.0, 2500.0, 600.0)).select("feature_id", "layer")
+    return I.inside_box(spark.read.parquet(_layer_table(spark, sf_dir)), (500.0, 100.0, 2500.0, 600.0)).select("feature_id", "layer")
+
+
+def road_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ragged rows written as text: some short, some with blank cities, some with fields behind the ninth."""
+    path, k = shared_path(spark, "roads-csv"), F.col("c_custkey")
+    fields = [F.when(k % 8 == 0, " ").otherwise(F.concat(F.lit(" City "), k % 10)), F.concat(F.lit("Z"), k % 4), F.concat(F.lit('"Ward, '), k % 20, F.lit('"')), k.cast("string"), F.concat((k % 500).cast("string"), F.lit(".5 km")), F.concat((k % 90).cast("string"), F.lit(" km")), F.lit("n/a")]
+    tail = F.when(k % 6 == 0, "7 km").when(k % 6 == 1, "7 km,8.25 km").otherwise("7 km,8.25 km,,")
+    row = F.concat_ws(",", *fields, tail)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", row.alias("value"))
+    header = spark.range(1).select(F.lit(-1).cast("long").alias("c_custkey"), F.lit("City,Zone,Ward,Ward No,Total,Tar,Concrete,Both,One").alias("value"))
+    c.select(F.col("c_custkey").cast("long"), "value").unionByName(header).coalesce(1).sortWithinPartitions("c_custkey").select("value").write.text(path)
+    return I.road_inventory(spark, path)
+
+
+def district_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, k = shared_path(spark, "districts-geojson"), F.col("c_custkey")
+    props = [F.concat(F.lit("D"), k).alias("district_code"), F.when(k % 4 != 0, F.col("c_name")).alias("district_name"), (k * 1000).alias("total_population"), F.when(k % 3 != 0, k * 10).alias("sc_population"), (k % 100 / 8).alias("literacy_rate")]
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", O.line_feature(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))), k, props).alias("value"))
+    O.export_features(rows, path, "c_custkey")
+    return I.districts(spark, path, lines=True).select("district_code", "district_name", "headquarters", "total_population", "sc_population", "st_population", "literacy_rate")
+
+
+def filled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features without ids get them from their position in the files."""
+    path = shared_path(spark, "parcels-geojson")
+    rows = derived(spark, sf_dir, "parcels").withColumn("value", O.geojson_feature(F.col("ring"), F.lit(None), [F.col("area")]))
+    O.export_features(rows, path, "parcel_id")
+    p, d = I.legacy_parcels(spark, path, lines=True), I.drone_features(spark, path, lines=True)
+    corner = F.get("ring", F.lit(2))
+    both = p.select("parcel_id", "full_survey", "epsg", corner["x"].alias("x3"), corner["y"].alias("y3"))
+    return both.join(d.select("feature_id", corner["x"].alias("x3"), corner["y"].alias("y3")).hint("merge"), ["x3", "y3"])
+
+
+def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, r = shared_path(spark, "audit"), derived(spark, sf_dir, "reviews").select("event_id", "ts", "action", "target")
+    for k in range(2):
+        O.append_audit(r.where(F.col("event_id") % 2 == k), path)
+    return newest(spark.read.parquet(path), 100, "ts", "event_id").select("event_id", "ts", "action", "target")
 
 
 def parcel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +238,13 @@ QUERIES = {
     "line_shares": (line_shares, check("", f"SELECT layer, metres, {rnd('metres / sum(metres) OVER () * 100.0', 2)} AS percent FROM (SELECT layer, sum(abs(x2 - x1)) AS metres FROM layers GROUP BY layer)", "layers")),
     "layer_catalogue": (layer_catalogue, check("", "SELECT layer, count(*) AS n, 'LineString' AS geom_type, 'Layer ' || upper(layer) AS title FROM layers GROUP BY layer", "layers")),
     "layers_in_box": (layers_in_box, check("", "SELECT feature_id, layer FROM layers WHERE least(x1, x2) <= 2500 AND greatest(x1, x2) >= 500 AND least(y1, y2) <= 600 AND greatest(y1, y2) >= 100", "layers")),
+    "single_layer": (single_layer, check("", "SELECT feature_id, layer, least(x1, x2) AS minx FROM layers WHERE layer = 'road'", "layers")),
+    "utilities_round_trip": (utilities_round_trip, check("n AS (SELECT *, row_number() OVER (ORDER BY feature_id) AS n FROM layers WHERE layer = 'water')", "SELECT CASE WHEN feature_id % 3 <> 0 THEN 'U' || feature_id WHEN feature_id % 6 <> 0 THEN 'F' || feature_id ELSE 'UTIL_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END END AS utility_id, CASE WHEN feature_id % 5 <> 0 THEN utility_type ELSE 'UNKNOWN' END AS utility_type, CASE WHEN feature_id % 7 = 0 THEN 'PLANNED' ELSE 'ACTIVE' END AS status, 'LineString' AS geom_type FROM n", "layers")),
+    "layers_round_trip": (layers_round_trip, check("n AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY feature_id) - 1 AS n FROM layers)", "SELECT layer, CASE WHEN feature_id % 6 <> 0 THEN 'F' || feature_id ELSE layer || '_' || n END AS feature_id, 'LineString' AS geom_type, least(x1, x2) AS minx, least(y1, y2) AS miny, greatest(x1, x2) AS maxx, greatest(y1, y2) AS maxy FROM n", "layers")),
+    "road_inventory": (road_inventory, "SELECT 'City ' || (c_custkey % 10) AS city_name, 'Z' || (c_custkey % 4) AS zone_name, 'Ward, ' || (c_custkey % 20) AS ward_name, c_custkey::VARCHAR AS ward_no, (c_custkey % 500) || '.5 km' AS total_length_km, (c_custkey % 90) || ' km' AS tar_roads_km, 'n/a' AS concrete_roads_km, '7 km' AS footpath_both_sides_km, '8.25 km' AS footpath_one_side_km, c_custkey % 500 + 0.5::DOUBLE AS total_length_number, (c_custkey % 90)::DOUBLE AS tar_roads_number, NULL::DOUBLE AS concrete_roads_number, 7.0::DOUBLE AS footpath_both_sides_number, 8.25::DOUBLE AS footpath_one_side_number FROM customer WHERE c_custkey % 8 <> 0 AND c_custkey % 6 <> 0"),
+    "district_rows": (district_rows, "SELECT 'D' || c_custkey AS district_code, CASE WHEN c_custkey % 4 <> 0 THEN c_name ELSE '' END AS district_name, '' AS headquarters, (c_custkey * 1000)::DOUBLE AS total_population, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 10 ELSE 0 END::DOUBLE AS sc_population, 0.0::DOUBLE AS st_population, c_custkey % 100 / 8 AS literacy_rate FROM customer"),
+    "filled_ids": (filled_ids, check("n AS (SELECT *, row_number() OVER (ORDER BY parcel_id) AS n FROM parcels), t AS (SELECT *, CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS id FROM n)", "SELECT 'P' || id AS parcel_id, (n + 100) || '/1' AS full_survey, 4326 AS epsg, x3, y3, 'FE_' || id AS feature_id FROM t", "parcels")),
+    "audit_append": (audit_append, "SELECT event_id, ts, event_type AS action, 'P' || user_id AS target FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"),
     "parcel_map": (parcel_map, check(f"pe AS MATERIALIZED ({edge_rows('parcels', 'parcel_id')}), {centroid_cte('pc', 'pe')}", f"SELECT id AS parcel_id, 5 AS vertices, {rnd('gx', 3)} AS cx, {rnd('gy', 3)} AS cy FROM pc", "parcels")),
     "parcel_export": (parcel_export, check("", "SELECT parcel_id, survey_no, full_survey, land_use, 'Matched' AS status, area AS legacy_area, CASE WHEN parcel_id % 3 = 0 THEN area + 1 ELSE area END AS recommended_area, 'Legacy' AS geometry_source, (parcel_id % 101)::DOUBLE AS confidence, NULL::VARCHAR AS conflict_type FROM parcels WHERE parcel_id % 2 = 0", "parcels")),
     "geojson_round_trip": (geojson_round_trip, check("", "SELECT parcel_id::VARCHAR AS parcel_id, full_survey, area, land_use, x3, y3 FROM parcels", "parcels")),

@@ -9,9 +9,13 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, largest_part, point
+from ..functions.numbers import padded
+from ..functions.text import crs_code
+from ..scratch import stored
 
 FEATURE = "struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 COLLECTION = f"type string, crs struct<properties:struct<name:string>>, features array<{FEATURE}>"
@@ -19,15 +23,28 @@ LINE = "type string, id string, properties map<string,string>, geometry struct<t
 DEFAULT_CRS = "EPSG:4326"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """pos, value, file of every line under ``path``: its number, over all files in the order of their paths, from 0.
+
+    Inside a block of a file, ids that grow by one give the place; the blocks, a row each, give what comes before.
+    """
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), *place)
+    blocks = lines.groupBy("path", "block").agg(F.min("row").alias("first"), (F.max("row") - F.min("row") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("path", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = stored(blocks.select("path", "block", (before - F.col("first")).alias("shift")), "blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= 300_000 else blocks.hint("merge")
+    return lines.join(blocks, ["path", "block"]).select((F.col("row") + F.col("shift")).alias("pos"), "value", "file")
+
+
 def features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """pos, id, props, geom_type, coordinates (JSON text), crs, file of every feature under ``path``."""
-    file = F.col("_metadata.file_name").alias("file")
+    """pos, id, props, geom_type, coordinates (JSON text), crs, epsg, file of every feature under ``path``."""
     if lines:
-        rows = spark.read.schema(LINE).json(path).select("id", F.col("properties").alias("props"), "geometry", file)
-        return rows.select(F.monotonically_increasing_id().alias("pos"), "id", "props", F.col("geometry.type").alias("geom_type"), F.col("geometry.coordinates").alias("coordinates"), F.lit(DEFAULT_CRS).alias("crs"), "file")
-    rows = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
-    rows = rows.select(F.coalesce("crs.properties.name", F.lit(DEFAULT_CRS)).alias("crs"), F.posexplode("features").alias("pos", "f"), file)
-    return rows.select("pos", F.col("f.id").alias("id"), F.col("f.properties").alias("props"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"), "crs", "file")
+        rows = numbered_lines(spark, path).where(F.trim("value") != "").select("pos", F.from_json("value", LINE).alias("f"), F.lit(DEFAULT_CRS).alias("crs"), "file")
+    else:
+        rows = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
+        rows = rows.select(F.coalesce("crs.properties.name", F.lit(DEFAULT_CRS)).alias("crs"), F.posexplode("features").alias("pos", "f"), F.col("_metadata.file_name").alias("file"))
+    return rows.select("pos", F.col("f.id").alias("id"), F.col("f.properties").alias("props"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"), "crs", crs_code(F.col("crs")).alias("epsg"), "file")
 
 
 def ring_of(geom_type: Column, coordinates: Column) -> Column:
@@ -49,16 +66,16 @@ def legacy_parcels(spark: SparkSession, path: str, lines: bool = False) -> DataF
     survey = F.coalesce(prop("survey_no"), (F.col("pos") + 101).cast("string"))
     sub = F.coalesce(prop("subdivision_no"), F.lit("1"))
     return f.select(
-        F.coalesce(prop("parcel_id"), F.concat(F.lit("P"), F.lpad(n.cast("string"), 3, "0"))).alias("parcel_id"), survey.alias("survey_no"), sub.alias("subdivision_no"),
-        F.coalesce(prop("full_survey"), F.concat_ws("/", survey, sub)).alias("full_survey"), F.coalesce(prop("area").try_cast("double"), area(F.col("ring"))).alias("area"), prop("land_use").alias("land_use"), "ring", "props", "crs",
+        F.coalesce(prop("parcel_id"), F.concat(F.lit("P"), padded(n, 3))).alias("parcel_id"), survey.alias("survey_no"), sub.alias("subdivision_no"),
+        F.coalesce(prop("full_survey"), F.concat_ws("/", survey, sub)).alias("full_survey"), F.coalesce(prop("area").try_cast("double"), area(F.col("ring"))).alias("area"), prop("land_use").alias("land_use"), "ring", "props", "crs", "epsg",
     )
 
 
 def drone_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Drone polygons: feature_id from the parcel id or position, candidate survey number, type, area."""
     f = features(spark, path, lines).withColumn("ring", ring_of(F.col("geom_type"), F.col("coordinates")))
-    fid = F.coalesce(prop("feature_id"), F.col("id"), prop("parcel_id"), F.concat(F.lit("FE_"), F.lpad((F.col("pos") + 1).cast("string"), 3, "0")))
-    return f.select(fid.alias("feature_id"), prop("survey_candidate").alias("survey_candidate"), prop("feature_type").alias("feature_type"), F.coalesce(prop("area").try_cast("double"), area(F.col("ring"))).alias("area"), "ring", "props", "crs")
+    fid = F.coalesce(prop("feature_id"), F.col("id"), prop("parcel_id"), F.concat(F.lit("FE_"), padded(F.col("pos") + 1, 3)))
+    return f.select(fid.alias("feature_id"), prop("survey_candidate").alias("survey_candidate"), prop("feature_type").alias("feature_type"), F.coalesce(prop("area").try_cast("double"), area(F.col("ring"))).alias("area"), "ring", "props", "crs", "epsg")
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +111,7 @@ def utilities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Utility features with id, type and status defaults."""
     f = features(spark, path, lines)
     return f.select(
-        F.coalesce(prop("utility_id"), F.col("id"), F.concat(F.lit("UTIL_"), F.lpad((F.col("pos") + 1).cast("string"), 3, "0"))).alias("utility_id"), F.coalesce(prop("utility_type"), F.lit("UNKNOWN")).alias("utility_type"),
+        F.coalesce(prop("utility_id"), F.col("id"), F.concat(F.lit("UTIL_"), padded(F.col("pos") + 1, 3))).alias("utility_id"), F.coalesce(prop("utility_type"), F.lit("UNKNOWN")).alias("utility_type"),
         F.coalesce(prop("status"), F.lit("ACTIVE")).alias("status"), "geom_type", "coordinates",
     )
 
@@ -102,7 +119,7 @@ def utilities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 def layers(spark: SparkSession, paths: dict[str, str], lines: bool = False) -> DataFrame:
     """One table of several layers: layer, feature_id, props, geom_type, coordinates, minx, miny, maxx, maxy.
 
-    Write it partitioned by layer, and a layer lookup reads that layer alone; the box columns prune by range.
+    ``writers.write_layers`` stores it partitioned by layer, so that ``layer`` reads that one alone; the box columns prune by range.
     """
     numbers = F.transform(F.regexp_extract_all("coordinates", F.lit(r"\[\s*(-?[0-9.eE+-]+\s*,\s*-?[0-9.eE+-]+)"), F.lit(1)), lambda s: point(F.split(s, ",")[0].cast("double"), F.split(s, ",")[1].cast("double")))
     out = None
@@ -117,6 +134,11 @@ def layers(spark: SparkSession, paths: dict[str, str], lines: bool = False) -> D
     return out
 
 
+def layer(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The features of one layer of a stored layer table: a partition filter, so other layers are not read."""
+    return spark.read.parquet(path).where(F.col("layer") == name)
+
+
 def inside_box(df: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Rows whose box columns meet ``box``; the comparisons reach Parquet's row-group statistics."""
     return df.where((F.col("minx") <= box[2]) & (F.col("maxx") >= box[0]) & (F.col("miny") <= box[3]) & (F.col("maxy") >= box[1]))
@@ -128,19 +150,38 @@ def layer_catalogue(layers: DataFrame, metadata: DataFrame) -> DataFrame:
     return metadata.join(counts.hint("merge"), "layer", "left").select("layer", F.coalesce("n", F.lit(0)).alias("n"), "geom_type", "title")
 
 
-def road_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Road rows with a city; lengths such as "420.5 km" as numbers."""
-    df = csv(spark, path)
-    km = [c for c in df.columns if c.strip().lower().endswith("km") or "length" in c.lower()]
-    number = lambda c: F.regexp_extract(F.col(f"`{c}`"), r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double").alias(c)
-    rows = df.where(F.trim(F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit(""))) != "")
-    return rows.select(*[number(c) if c in km else F.trim(F.col(f"`{c}`")).alias(c) for c in df.columns])
+#: A comma outside quotes.
+COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+ROADS = ["city_name", "zone_name", "ward_name", "ward_no", "total_length_km", "tar_roads_km", "concrete_roads_km", "footpath_both_sides_km", "footpath_one_side_km"]
+
 
+def road_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """Road rows: the first nine fields, trimmed, of rows with nine or more and a city; lengths such as "420.5 km" also as numbers.
 
-def districts(spark: SparkSession, path: str) -> DataFrame:
-    """District rows out of GeoJSON properties."""
-    number = lambda n: prop(n).try_cast("double").alias(n)
-    return features(spark, path).select(prop("district_code").alias("district_code"), prop("district_name").alias("district_name"), prop("headquarters").alias("headquarters"), number("area"), number("population"))
+    Rows are ragged, so their own number of fields counts, not that of the header, which is the first line of every file.
+    """
+    lines = numbered_lines(spark, path)
+    header = lines.groupBy("file").agg(F.min("pos").alias("pos"))
+    rows = lines.join(F.broadcast(header), ["file", "pos"], "left_anti").select(F.split("value", COMMA).alias("f"))
+    bare = lambda i: F.trim(F.regexp_replace(F.trim(F.get("f", F.lit(i))), '^"|"$', ""))
+    rows = rows.where((F.size("f") >= 9) & (bare(0) != ""))
+    number = lambda n: F.regexp_extract(n, r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double").alias(n.removesuffix("_km") + "_number")
+    return rows.select(*[bare(i).alias(n) for i, n in enumerate(ROADS)]).select("*", *[number(n) for n in ROADS if n.endswith("_km")])
+
+
+def road_comparison(spark: SparkSession, path: str) -> DataFrame:
+    """The statewide inventory as it is."""
+    return csv(spark, path)
+
+
+def districts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """District rows out of GeoJSON properties; a missing text is "", a missing number 0."""
+    text = lambda n: F.coalesce(prop(n), F.lit("")).alias(n)
+    number = lambda n, source=None: F.coalesce(prop(source or n).try_cast("double"), F.lit(0.0)).alias(n)
+    whole = ["total_population", "sc_population", "sc_percentage", "st_population", "st_percentage"]
+    return features(spark, path, lines).select(
+        text("district_code"), text("district_name"), text("headquarters"), *map(number, whole), number("combined_sc_st_population", "sc_st_combined_population"), number("combined_percentage", "sc_st_combined_percentage"), number("literacy_rate"), number("taluks_count"),
+    )
 
 
 def as_json_text(features_list: list[dict]) -> str:

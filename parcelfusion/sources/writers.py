@@ -29,6 +29,22 @@ def geojson_feature(ring: Column, feature_id: Column, props: list[Column]) -> Co
     return F.to_json(F.struct(F.lit("Feature").alias("type"), feature_id.cast("string").alias("id"), F.struct(*props).alias("properties"), geometry.alias("geometry")))
 
 
+def line_feature(line: Column, feature_id: Column, props: list[Column]) -> Column:
+    """A line feature as one line of JSON; nulls are left out."""
+    geometry = F.struct(F.lit("LineString").alias("type"), F.transform(line, lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), feature_id.cast("string").alias("id"), F.struct(*props).alias("properties"), geometry.alias("geometry")))
+
+
+def export_features(features: DataFrame, path: str, *order: str) -> None:
+    """Features (``value``: their JSON) one a line, in files that stand in the order of the columns named."""
+    features.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
+def write_layers(layers: DataFrame, path: str) -> None:
+    """A layer table, in a folder for each layer."""
+    layers.write.partitionBy("layer").parquet(path)
+
+
 def export_geojson(parcels: DataFrame, path: str, props: list[str]) -> None:
     """One feature a line, which splits and streams; ``parcels``: parcel_id, ring and the properties."""
     parcels.select(geojson_feature(F.col("ring"), F.col("parcel_id"), [F.col(p) for p in props]).alias("value")).write.text(path)
@@ -47,6 +63,11 @@ def write_results(path: str, **tables: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Add rows to the audit trail at ``path``."""
+    rows.write.mode("append").parquet(path)
+
+
 def upsert_table(spark: SparkSession, path: str, new_path: str, batch: DataFrame, key: str, order: str) -> None:
     """The table at ``path`` with the batch's rows put in by key, written to ``new_path`` (Parquet has no merge)."""
     upsert(spark.read.parquet(path), batch, key, order).write.parquet(new_path)
