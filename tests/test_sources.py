@@ -7,6 +7,7 @@ from parcelfusion.operators import harmonize as H
 from parcelfusion.operators import raster as P
 from parcelfusion.operators import topology as T
 from parcelfusion.sources import readers as I
+from parcelfusion.sources import writers as O
 from test_geometry import RING, box, pts
 
 
@@ -39,14 +40,39 @@ def test_csv_defaults(spark, tmp_path):
 
 def test_layers_roads_districts(spark, tmp_path):
     line = {"type": "LineString", "coordinates": [[0, 0], [10, 4]]}
-    roads = put(tmp_path, "roads.geojson", json.dumps({"type": "FeatureCollection", "features": [{"id": "r1", "properties": {}, "geometry": line}, {"properties": {"district_code": "7", "district_name": "D", "population": "12"}, "geometry": {"type": "Point", "coordinates": [50, 60]}}]}))
+    roads = put(tmp_path, "roads.geojson", json.dumps({"type": "FeatureCollection", "features": [{"id": "r1", "properties": {}, "geometry": line}, {"properties": {"district_code": "7", "district_name": "D", "total_population": "12"}, "geometry": {"type": "Point", "coordinates": [50, 60]}}]}))
     df = I.layers(spark, {"road": roads})
     assert [(r.layer, r.feature_id, r.minx, r.maxy) for r in df.orderBy("pos" if "pos" in df.columns else "minx").collect()] == [("road", "r1", 0.0, 4.0), ("road", "road_1", 50.0, 60.0)]
     assert I.inside_box(df, (40, 40, 70, 70)).count() == 1
     assert [r.utility_id for r in I.utilities(spark, roads).collect()] == ["r1", "UTIL_002"]
-    assert [(r.district_name, r.population) for r in I.districts(spark, roads).where("district_code is not null").collect()] == [("D", 12.0)]
-    csv = put(tmp_path, "road.csv", "city,total length,paved km\nKovai,420.5 km,12\n ,1,2\n")
-    assert [tuple(r) for r in I.road_inventory(spark, csv).collect()] == [("Kovai", 420.5, 12.0)]
+    assert [(r.district_name, r.total_population) for r in I.districts(spark, roads).collect()] == [("", 0.0), ("D", 12.0)]
+    csv = put(tmp_path, "road.csv", 'city,zone,ward,no,total,tar,concrete,both,one\nKovai,Z," W, 1 ",7,420.5 km,12 km,-,1 km,2.5 km,,\nKovai,Z,W,7,1 km,2 km,3 km,4 km\n ,Z,W,7,1,2,3,4,5\n')
+    (r,) = I.road_inventory(spark, csv).collect()
+    assert tuple(r) == ("Kovai", "Z", "W, 1", "7", "420.5 km", "12 km", "-", "1 km", "2.5 km", 420.5, 12.0, None, 1.0, 2.5)
+
+
+def test_positions_over_files_and_blocks(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"part-{k}.json").write_text("".join(json.dumps({"properties": {"area": str(1000 * k + i)}, "geometry": None}) + "\n" for i in range(700)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = I.legacy_parcels(spark, str(folder), lines=True).select("parcel_id", "survey_no", "area").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {(f"P{n + 1:03d}", str(n + 101), float(1000 * (n // 700) + n % 700)) for n in range(2100)}
+    assert {tuple(r) for r in got} == want and len(got) == 2100
+
+
+def test_one_layer_reads_one_folder(spark, tmp_path):
+    O.write_layers(spark.createDataFrame([("road", 1, 0.0), ("water", 2, 5.0)], "layer string, feature_id long, minx double"), str(tmp_path / "layers"))
+    one = I.layer(spark, str(tmp_path / "layers"), "road")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert [r.feature_id for r in one.collect()] == [1] and "PartitionFilters: [isnotnull(layer" in plan
+    boxed = spark.read.parquet(str(tmp_path / "layers")).where("minx <= 2")
+    assert "PushedFilters: [IsNotNull(minx), LessThanOrEqual(minx,2.0)]" in boxed._jdf.queryExecution().executedPlan().toString()
 
 
 def test_header_mapping_against_a_loop(spark):
