@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import n_words, stored
 
 #: Documents that a hash-order bucket should have; the number of buckets follows the number of documents.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def source_key(source: Column) -> Column:
