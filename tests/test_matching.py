@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from parcelfusion.functions import kernels as K
 from parcelfusion.functions import scoring as S
 from parcelfusion.functions import text as X
+from parcelfusion.operators import layers as L
 from parcelfusion.operators import matching as M
 from parcelfusion.operators import reconcile as R
 from test_geometry import RING, box, pts
@@ -102,3 +104,78 @@ def test_survey_numbers(spark):
 def test_numbered_ids(spark):
     df = R.numbered(spark.range(3).withColumnRenamed("id", "k"), "C", "cid", "k")
     assert [r.cid for r in df.orderBy("k").collect()] == ["C-001", "C-002", "C-003"]
+
+
+def test_numbered_over_many_ranges(spark):
+    df = spark.range(2500).select((F.pmod(F.xxhash64("id"), F.lit(10**9))).alias("k"), "id")
+    got = R.numbered(df, "C", "cid", "k", "id").orderBy("k", "id").collect()
+    assert [r.cid for r in got] == [f"C-{n:03d}" for n in range(1, 2501)]
+
+
+def test_profiles_of_a_batch_are_those_of_each_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rings = []
+    for _ in range(60):
+        n = int(rng.integers(3, 12))
+        turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+        rings.append(np.column_stack([np.cos(turn), np.sin(turn)]) * rng.uniform(0.5, 60) + rng.uniform(0, 50, 2))
+    rings[7] = np.repeat(rings[7][:1], 3, axis=0)  # no length at all
+    a, b = rings[:30], rings[30:]
+    got = M.deviation_profiles(K.Rings([r.ravel() for r in a]), K.Rings([r.ravel() for r in b]))
+
+    def boundary(r):
+        ahead = np.roll(r, -1, axis=0) - r
+        size = np.hypot(*ahead.T)
+        gap = max(0.2, min(0.5, size.sum() / 20)) if size.sum() else 1.0
+        out, ends = [], np.cumsum(size)
+        for k in range(max(20, int(size.sum() / gap)) if size.sum() else 0):
+            e = min(int(np.searchsorted(ends, k * gap, "right")), len(r) - 1)
+            out.append(r[e] + ahead[e] * ((k * gap - (ends[e] - size[e])) / size[e] if size[e] else 0.0))
+        return np.array(out).reshape(-1, 2)
+
+    def from_ring(points, r):
+        ahead = np.roll(r, -1, axis=0) - r
+        best = np.full(len(points), np.inf)
+        for u, d in zip(r, ahead, strict=True):
+            t = np.clip((points - u) @ d / ((d @ d) or 1.0), 0, 1)
+            best = np.minimum(best, np.hypot(*(points - u - t[:, None] * d).T))
+        return best
+
+    for x, y, row in zip(a, b, got, strict=True):
+        d = np.sort(np.concatenate([from_ring(boundary(x), y), from_ring(boundary(y), x)]))
+        far_ = max(from_ring(x, y).max(), from_ring(y, x).max())
+        want = [d.mean(), *(d[int(q * (len(d) - 1))] for q in (0.5, 0.9, 0.95, 0.99)), d[-1], far_]
+        assert np.allclose(row[:7], want, atol=0.0051) and abs(row[7] - (d <= S.TOLERANCE).mean() * 100) <= 0.0501
+
+
+def test_points_fall_back_to_the_bare_number(spark):
+    parcels = spark.createDataFrame([(1, "7", "7/1"), (2, "7", "7/2"), (3, "8", "8/1")], "parcel_id long, survey_no string, full_survey string")
+    points = [("7/1", k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (4, 0), (4, 4), (0, 4)])] + [("7", k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (3, 0), (0, 3)])] + [("9", 0, 1.0, 1.0)]
+    gnss = spark.createDataFrame(points, GNSS).repartition(5)
+    got = M.with_gnss_key(parcels, gnss).join(M.gnss_areas(gnss), "gnss_key", "left").collect()
+    assert {(r.parcel_id, r.gnss_key, r.n_points, r.gnss_area) for r in got} == {(1, "7/1", 4, 16.0), (2, "7", 3, 4.5), (3, "8", None, None)}
+    assert {r.gnss_key: r.gnss_area for r in M.gnss_areas(gnss).collect()}["9"] is None
+
+
+def test_area_of_a_number_over_many_ranges(spark):
+    import math
+
+    n = 3000
+    rows = [("1", k, 100 * math.cos(2 * math.pi * k / n), 100 * math.sin(2 * math.pi * k / n)) for k in range(n)] + [("2", k, float(k), float(k)) for k in range(3)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else one range holds all
+    try:
+        got = {r.gnss_key: (r.n_points, r.gnss_area) for r in M.gnss_areas(spark.createDataFrame(rows, GNSS)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == {"1": (n, round(n / 2 * 100**2 * math.sin(2 * math.pi / n), 1)), "2": (3, 0.0)}
+
+
+def test_nearest_lines_at_any_distance(spark):
+    parcels = spark.createDataFrame([(k, box(0.0, 5000.0 * k, 10, 10)) for k in range(6)], f"parcel_id long, ring {RING}")
+    lines = spark.createDataFrame([(1, pts((100, 0), (100, 10))), (2, pts((0, 30), (0, 40)))], f"feature_id long, line {RING}")
+    got = {r.parcel_id: round(r.distance, 3) for r in L.nearest_lines(parcels, lines).collect()}
+    assert got == {0: 20.0, **{k: 5000.0 * k - 40.0 for k in range(1, 6)}}
+    assert L.nearest_lines(parcels, lines.limit(0)).count() == 0
