@@ -34,6 +34,8 @@ MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a cell of offsets, over which the pieces of cut records are joined to them.
+CELL = 1 << 20
 EPOCH = "2024-01-01T00:00:00Z"
 
 
@@ -213,14 +215,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     placed = stored(placed.withColumn("next", F.col("off") + F.col("next")).where("off >= 0"), "warc-placed")
     reached = reachable(placed)
     records = placed.join(reached.hint("merge"), ["file", "off"], "left_semi")
-    false = stored(placed.join(reached.hint("merge"), ["file", "off"], "left_anti").select("file").distinct(), "warc-cut-files")
-    if not false.isEmpty():
-        marks = reached.withColumn("record", F.col("off"))
-        order = W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
-        owned = placed.join(false.hint("merge"), "file", "left_semi").join(marks.hint("merge"), ["file", "off"], "left")
-        owned = owned.select("file", "block", "seq", "off", F.last("record", ignorenulls=True).over(order).alias("record"))
-        cut = owned.where("off <> record").select("file", "record").distinct()
-        owned = stored(owned.join(cut.hint("merge"), ["file", "record"], "left_semi"), "warc-cut")
+    # A record that its piece doesn't hold to the end has been cut by magic lines in its payload.
+    cuts = stored(records.where("digest is null").select("file", F.col("off").alias("record"), F.col("next").alias("till")), "warc-cuts")
+    if not cuts.isEmpty():
+        cell = lambda c: F.floor(c / CELL).alias("cell")
+        spans = cuts.select("*", F.explode(F.sequence(cell(F.col("record")), cell(F.col("till") - 1))).alias("cell"))
+        owned = placed.select("file", "block", "seq", "off", cell(F.col("off"))).join(spans.hint("merge"), ["file", "cell"])
+        owned = stored(owned.where("off >= record and off < till").select("file", "block", "seq", "off", "record"), "warc-cut")
         whole = cut_payloads(spark, path, owned)
         records = records.join(whole.hint("merge"), ["file", "off"], "left").withColumn("digest", F.coalesce("whole_digest", "digest"))
     revisit = F.col("kind") == "revisit"
