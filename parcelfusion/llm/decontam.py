@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES
 
-MIN_WORDS, ANCHOR, BLOCK_ITEMS = 5, 4, 50_000
+MIN_WORDS, ANCHOR, BLOCK_ITEMS = 5, 4, 20_000
 #: Walk steps and samples for long items, and for those under LONG words; least words of the items of each family.
 LONG, STEPS, SAMPLES, SHORT_STEPS, SHORT_SAMPLES = 12, 18, 6, 5, 3
 CLASSES = [MIN_WORDS, LONG, 15, 20, 30]
@@ -49,8 +49,9 @@ SPACELESS = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u
 STOPS = re.compile("[\u3000-\u3004\u3008-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 PUNCTUATION = string.punctuation.encode()
 MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Lookup tables of grown keys have 2^SPARE slots a window of the items, so that few slots are taken.
-SPARE = 6
+#: Lookup tables of grown keys have 2^SPARE slots a window of the items, so that few slots are taken, and 2^22 at most: a block's
+#: tables, some forty, stay under 200 MB.
+SPARE, MOST_BITS = 6, 22
 #: Words of documents searched at once, rounded up to whole documents.
 RUN_WORDS = 100_000
 RESULT = "doc_id long, item_id long, edits int, item_words int, at_word long"
@@ -100,7 +101,7 @@ class Family:
         self.padded = np.full((len(items), longest + steps), -1, np.int64)
         for n, x in enumerate(items):
             self.padded[n, : len(x)] = x
-        self.bits = min(24, max(10, int(np.ceil(np.log2(len(starts)))) + SPARE))
+        self.bits = min(MOST_BITS, max(10, int(np.ceil(np.log2(len(starts)))) + SPARE))
         self.first = np.zeros(size, bool)
         self.first[self.padded[self.where[:, 0], self.where[:, 1]]] = True
 
