@@ -10,7 +10,8 @@ chain and makes one link per text. The links, in bucket order, are the index in
 link there by bucket, key and digest, and where two texts of a chain share even the digest, by the text itself. A
 document whose key nobody shares has no chain and stays.
 
-Only text of documents in chains is shuffled.
+While the chains can be broadcast (``broadcast_rows``), only text of documents in chains is shuffled; beyond that the join
+by key shuffles texts once.
 
 Edge cases: a null text counts as empty; empty texts are copies of each other; a null doc_id ranks below every other,
 and stays (``kept``) where its group has no other; rows that repeat both doc_id and text are all marked kept; an empty
