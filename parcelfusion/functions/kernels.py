@@ -83,7 +83,7 @@ def nearest_by_edge(points: np.ndarray, of: np.ndarray, rings: Rings, piece: int
     out = np.empty(len(points))
     ahead = rings.to - rings.at
     square = (ahead * ahead).sum(axis=1)
-    edges = np.column_stack([rings.at, ahead, 1.0 / np.where(square > 0, square, 1.0)]).T.copy()
+    edges = [c.copy() for c in (*rings.at.T, *ahead.T, 1.0 / np.where(square > 0, square, 1.0))]
     for low in range(0, len(points), piece):
         x, y, row = points[low : low + piece, 0].copy(), points[low : low + piece, 1].copy(), of[low : low + piece]
         n, begin = rings.n[row], rings.begin[row]
@@ -91,7 +91,8 @@ def nearest_by_edge(points: np.ndarray, of: np.ndarray, rings: Rings, piece: int
         for k in range(int(n.max())):
             has = n > k
             on = slice(None) if has.all() else np.flatnonzero(has)
-            ax, ay, dx, dy, inverse = edges[:, begin[on] + k]
+            at = begin[on] + k
+            ax, ay, dx, dy, inverse = (c.take(at) for c in edges)
             px, py = x[on] - ax, y[on] - ay
             t = (px * dx + py * dy) * inverse
             np.clip(t, 0.0, 1.0, out=t)
@@ -109,16 +110,22 @@ def sampled(rings: Rings, step: float) -> tuple[np.ndarray, np.ndarray]:
     whole = np.bincount(rings.of, length, len(rings.n))
     gap = np.where(whole > 0, np.maximum(0.2, np.minimum(step, whole / 20.0)), 1.0)
     n = np.where(whole > 0, np.maximum(20, (whole / gap).astype(np.int64)), 0)
-    of = np.repeat(np.arange(len(rings.n)), n)
-    at = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * gap[of]
-    # Lengths inside the ring, so that a long batch costs no digits.
+    # Lengths inside the ring, so that a long batch costs no digits; then how many samples stand before each edge's end.
     inside = within_rows(length, rings)
-    k = np.zeros(len(of), np.int64)
-    for e in range(int(rings.n.max()) if len(rings.n) else 0):
-        has = rings.n[of] > e + 1
-        ends = inside[np.minimum(rings.begin[of] + e, max(len(inside) - 1, 0))]
-        k += has & (at >= ends)
-    j = rings.begin[of] + k
+    every = gap[rings.of]
+    before = np.floor(inside / every).astype(np.int64)
+    before += before * every < inside
+    before -= (before > 0) & ((before - 1) * every >= inside)
+    before = np.minimum(before, n[rings.of])
+    ends = (rings.begin + rings.n - 1)[rings.n > 0]
+    before[ends] = n[rings.n > 0]
+    held = before.copy()
+    held[1:] -= before[:-1]
+    starts = rings.begin[rings.n > 0]
+    held[starts] = before[starts]
+    j = np.repeat(np.arange(len(rings.at)), held)
+    of = rings.of[j]
+    at = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * gap[of]
     part = (at - (inside[j] - length[j])) / np.where(length[j] > 0, length[j], 1.0)
     return rings.at[j] + ahead[j] * part[:, None], of
 
@@ -150,9 +157,9 @@ def within(rings: Rings, points: np.ndarray, margin: float) -> np.ndarray:
     return inside | (nearest(points, np.arange(len(points)), rings) < margin)
 
 
-def in_runs(work: Callable[..., np.ndarray], sizes: np.ndarray, *columns: list, empty: np.ndarray | None = None) -> np.ndarray:
-    """``work`` over consecutive rows, some RUN items of ``sizes`` at a time."""
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // RUN)) + 1
+def in_runs(work: Callable[..., np.ndarray], sizes: np.ndarray, *columns: list, empty: np.ndarray | None = None, run: int = RUN) -> np.ndarray:
+    """``work`` over consecutive rows, some ``run`` items of ``sizes`` at a time."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // run)) + 1
     bounds = [0, *cuts.tolist(), len(sizes)]
     return np.concatenate([work(*[c[i:j] for c in columns]) for i, j in zip(bounds, bounds[1:], strict=False) if j > i] or [np.zeros(0) if empty is None else empty])
 
