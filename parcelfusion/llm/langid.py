@@ -219,7 +219,7 @@ class Tagger:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UND, 0.0)] * len(texts)
-        for run in runs([tokens(t) for t in texts]):
+        for run in runs(texts):
             coded = self.numbers([ws for _, ws in run])
             lengths = np.array([len(c) for c in coded])
             prob, _ = self.model.marginals(self.emit[np.concatenate(coded)], lengths)
@@ -240,18 +240,22 @@ class Tagger:
         return [(w, self.model.labels[int(p.argmax())], float(min(1.0, p.max()))) for w, p in zip(ws, prob, strict=True)]
 
 
-def runs(texts: list[list[str]]) -> Iterator[list[tuple[int, list[str]]]]:
-    """(number, words) of the texts that have words, the longest first, some RUN_TOKENS words at a time."""
+def runs(texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
+    """(number, words) of the texts that have words, the most words first, some RUN_TOKENS words at a time.
+
+    Texts are split as their run comes up, so that no more words than those of a run are held.
+    """
     run, held = [], 0
-    for k in sorted(range(len(texts)), key=lambda k: -len(texts[k])):
-        if texts[k]:
-            run.append((k, texts[k]))
-            held += len(texts[k])
+    for k in sorted(range(len(texts)), key=lambda k: -len(texts[k] or "")):
+        words = tokens(texts[k])
+        if words:
+            run.append((k, words))
+            held += len(words)
             if held >= RUN_TOKENS:
-                yield run
+                yield sorted(run, key=lambda r: -len(r[1]))
                 run, held = [], 0
     if run:
-        yield run
+        yield sorted(run, key=lambda r: -len(r[1]))
 
 
 def train(docs: DataFrame, docs_per_lang: int = 150) -> Crf | None:
