@@ -38,7 +38,7 @@ AGAIN, CAPITALS, NUMBER = "said again", "in capitals", "0"
 #: Frequency at which a word weighs half.
 USUAL = 1e-3
 #: Characters of a text read at once; tokens read at once; words a task holds before it passes their sums on.
-PIECE, RUN_TOKENS, HELD = 1 << 20, 200_000, 200_000
+PIECE, RUN_TOKENS, HELD = 1 << 20, 200_000, 500_000
 HIDDEN, EPOCHS, RATE = 32, 400, 0.01
 THRESHOLD = 0.7
 
@@ -117,35 +117,36 @@ def index_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(words, MARKS) places and signs, from a hash of each word."""
     h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64).reshape(-1, 1)
     shift = np.arange(MARKS, dtype=np.uint64) * np.uint64(8)
-    return ((h >> shift) % np.uint64(DIM)).astype(np.int64), ((h >> (shift + np.uint64(40))) & np.uint64(1)).astype(np.float64) * 2 - 1
+    return ((h >> shift) % np.uint64(DIM)).astype(np.int64), ((h >> (shift + np.uint64(40))) & np.uint64(1)).astype(np.int32) * 2 - 1
 
 
 def context_sums(texts: Iterator[list[str | None]]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     """(words, counts, sums of the index vectors around each), the words of a task at once, or ``HELD`` at a time."""
-    words, counts, sums = Words(), np.zeros(0), np.zeros(0)
-    places, signs = index_vectors([])
+    words, places, signs = Words(), *index_vectors([])
+    counts, sums = np.zeros(1 << 12, np.int64), np.zeros((1 << 12) * DIM, np.int32)
     for batch in texts:
         for x, owner in read(batch, words):
             new = words.order[len(places) :]
             places, signs = (np.concatenate(both) for both in zip((places, signs), index_vectors(new), strict=True))
             n = len(places)
-            counts = np.pad(counts, (0, n - len(counts))) + np.bincount(x, minlength=n)
-            keys, weights = [], []
+            if n > len(counts):
+                room = max(n, 2 * len(counts)) - len(counts)
+                counts, sums = np.pad(counts, (0, room)), np.pad(sums, (0, room * DIM))
+            counts[:n] += np.bincount(x, minlength=n)
             for step in range(1, AROUND + 1):
                 near = owner[:-step] == owner[step:]
                 left, right = x[:-step][near], x[step:][near]
                 for a, b in ((left, right), (right, left)):
                     for m in range(MARKS):
-                        keys.append(a * DIM + places[b, m])
-                        weights.append(signs[b, m])
-            sums = np.pad(sums, (0, n * DIM - len(sums))) + np.bincount(np.concatenate(keys), np.concatenate(weights), n * DIM)
+                        np.add.at(sums, a * DIM + places[b, m], signs[b, m])
             if n > HELD:
-                yield words.order, counts, sums.reshape(-1, DIM)
+                yield words.order, counts[:n], sums[: n * DIM].reshape(-1, DIM)
                 words.restart()
-                counts, sums = np.zeros(0), np.zeros(0)
                 places, signs = index_vectors([])
-    if len(counts):
-        yield words.order, counts, sums.reshape(-1, DIM)
+                counts[:], sums[:] = 0, 0
+    n = len(places)
+    if n:
+        yield words.order, counts[:n], sums[: n * DIM].reshape(-1, DIM)
 
 
 class Vectors:
@@ -169,13 +170,21 @@ def word_vectors(docs: DataFrame, vocabulary: int) -> Vectors:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, counts, sums in context_sums(b.column("text").to_pylist() for b in batches):
-            for k in range(0, len(words), 10_000):
-                part = sums[k : k + 10_000].astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(range(0, part.size + 1, DIM), pa.int32()), pa.array(part.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 10_000]), pa.array(counts[k : k + 10_000].astype(np.int64)), lists], ["word", "n", "v"])
-
-    total = [F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[i]) for i in range(DIM)]).alias("v")]
-    words = stored(docs.select("text").mapInArrow(run, "word string, n long, v array<long>").groupBy("word").agg(*total).where("n > 0"), "quality-words")
+            # Nearly all words of a task are rare: their sums fit in bytes.
+            large = np.abs(sums).max(axis=1) > 127
+            for some, kind, other in ((~large, pa.int8(), pa.int32()), (large, pa.int32(), pa.int8())):
+                rows = np.flatnonzero(some & (counts > 0))
+                for at in (rows[k : k + 10_000] for k in range(0, len(rows), 10_000)):
+                    values = pa.array(sums[at].ravel().astype(kind.to_pandas_dtype()))
+                    lists = pa.ListArray.from_arrays(pa.array(range(0, DIM * len(at) + 1, DIM), pa.int32()), values)
+                    columns = [lists, pa.nulls(len(at), pa.list_(other))]
+                    yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in at]), pa.array(counts[at]), *columns[:: 1 if kind == pa.int8() else -1]], ["word", "n", "small", "large"])
+
+    value = lambda i: F.coalesce(F.col("small")[i].cast("int"), F.col("large")[i])
+    total = lambda of: [F.sum("n").alias("n"), F.array(*[F.sum(of(i)) for i in range(DIM)]).alias("v")]
+    # Dealt out before the grouping, as tasks have added up their own words already.
+    rows = docs.select("text").mapInArrow(run, "word string, n long, small array<tinyint>, large array<int>").repartition("word")
+    words = stored(rows.groupBy("word").agg(*total(value)), "quality-words")
     level = F.floor(8 * F.log2("n")).cast("int")
     levels = words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # at most 8 * 64 rows
     held, least = 0, 1 << 30
@@ -186,7 +195,7 @@ def word_vectors(docs: DataFrame, vocabulary: int) -> Vectors:
         least = r["level"]
     slot = F.crc32(F.col("word").cast("binary")) % SHARED
     frequent = words.where(level >= least).select("word", "n", "v").toArrow().sort_by("word")  # at most ``vocabulary`` rows
-    rare = words.where(level < least).groupBy(slot.alias("slot")).agg(*total).select("slot", "n", "v").toArrow().sort_by("slot")
+    rare = words.where(level < least).groupBy(slot.alias("slot")).agg(*total(lambda i: F.col("v")[i])).select("slot", "n", "v").toArrow().sort_by("slot")
     count, vectors = np.zeros(len(frequent) + SHARED), np.zeros((len(frequent) + SHARED, DIM))
     at = np.concatenate([np.arange(len(frequent)), len(frequent) + rare["slot"].to_numpy()]).astype(np.int64)
     count[at] = np.concatenate([frequent["n"].to_numpy(), rare["n"].to_numpy()])
