@@ -10,7 +10,7 @@ from parcelfusion.plans import registry
 from parcelfusion.plans.fixtures import BASE
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["candidate_pairs", "pair_overlap", "revenue_lookup", "gnss_lookup", "parcel_overlaps", "building_reference", "building_audit", "parcel_utilities", "sync_changes", "raster_zonal", "raster_mask", "harmonized_records", "register_fields", "reviewed_conflicts", "geojson_round_trip", "gnss_csv_round_trip", "stream_load", "stream_sync"]
+QUICK = ["candidate_pairs", "pair_overlap", "revenue_lookup", "gnss_lookup", "parcel_overlaps", "building_reference", "building_audit", "parcel_utilities", "sync_changes", "raster_zonal", "raster_mask", "harmonized_records", "register_fields", "reviewed_conflicts", "geojson_round_trip", "gnss_csv_round_trip", "stream_load", "stream_sync", "change_regions", "utm_round_trip", "plausible_buildings", "filled_ids", "road_inventory", "single_layer", "bisected_boundaries", "header_mapping"]
 
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
 
@@ -32,6 +32,7 @@ def test_against_sql(spark, con, name):
     df = registry.queries()[name](spark, DATA)
     names = sorted(df.columns)
     ours = sorted(plain(r) for r in df.select(*names).collect())
+    assert ours
     rel = con.sql(registry.oracle_sql()[name])
     assert sorted(rel.columns) == names
     assert ours == sorted(plain(r) for r in rel.select(*[f'"{n}"' for n in names]).fetchall())
