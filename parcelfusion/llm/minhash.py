@@ -41,6 +41,8 @@ from .components import connected_components
 K, ROWS, BITS = 200, 5, 1024
 BANDS = K // ROWS
 SKETCH_CUT = 0.64
+#: Documents whose signatures are made at once.
+AT_ONCE = 1000
 #: Documents in one block, those compared and those compared with, and bytes of their sets in either.
 BLOCK_A, BLOCK_B, BLOCK_BYTES = 512, 4096, 16_000_000
 GOLDEN, MIXER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -112,7 +114,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, sha, n_shingles, set_key (128-bit hash of the set), sketch, bands; the last three null for no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Sketches take 8 KB a document while they are made, so a whole batch at once would take much.
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, len(b), AT_ONCE)):
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
             keep = [i for i, s in enumerate(sets) if len(s)]
             sig = np.array([samples(sets[i]) for i in keep], np.uint64).reshape(len(keep), K)
