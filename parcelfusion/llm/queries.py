@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .quality import quality
 from .sharding import shard
+from .substrings import digests, substring_dedup
 from .urlfilter import url_filter
 from .warc import archive_and_read
 
@@ -170,9 +171,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(substring_dedup(table(spark, sf_dir, "documents"), width=20))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+r AS (SELECT doc_id, i, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS late FROM p),
+c AS (SELECT doc_id, i, word, max(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op7_quality": op7_quality, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op7_quality": op7_quality, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding, "op13_substring_dedup": op13_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_mixing": OP9_SQL, "op13_substring_dedup": OP13_SQL}
