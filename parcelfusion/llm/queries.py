@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations
 from .decontam import contaminated
 from .exact_dedup import exact_dedup
 from .langid import identify
@@ -15,6 +16,7 @@ from .sharding import shard
 from .substrings import digests, substring_dedup
 from .urlfilter import url_filter
 from .warc import archive_and_read
+from .whitening import component_rows, whitened
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -171,6 +173,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_rows(whitened(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=10, size=3, held=50, top=2000)
+
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({NORM}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS MATERIALIZED (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS m)) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND a >= 10),
+k AS (SELECT lang, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k, l.a AS l, r.a AS r, (1000000::HUGEINT * k.a * k.a) // (l.a::HUGEINT * r.a::HUGEINT) AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+t AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM c WHERE m = 3) GROUP BY ALL),
+o AS (
+  SELECT b.lang, b.phrase, b.a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN t ON t.lang = b.lang AND t.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(substring_dedup(table(spark, sf_dir, "documents"), width=20))
 
@@ -189,8 +221,8 @@ FROM d LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op7_quality": op7_quality, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding, "op13_substring_dedup": op13_substring_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_warc": op3_warc, "op4_language_id": op4_language_id, "op5_decontamination": op5_decontamination, "op6_url_filter": op6_url_filter, "op7_quality": op7_quality, "op8_license_scan": op8_license_scan, "op9_mixing": op9_mixing, "op10_sharding": op10_sharding, "op11_whitening": op11_whitening, "op12_collocations": op12_collocations, "op13_substring_dedup": op13_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_mixing": OP9_SQL, "op13_substring_dedup": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_mixing": OP9_SQL, "op12_collocations": OP12_SQL, "op13_substring_dedup": OP13_SQL}

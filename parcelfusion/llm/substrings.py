@@ -5,9 +5,10 @@ windows of one minimiser travel as one packed string of words to the minimiser's
 are sorted by hash, neighbours are compared word by word, and all but the earliest of equal ones are reported.
 
 Before they travel, a task sorts the windows of each run of its texts the same way and reports those with an earlier equal in the run, so a
-passage that many documents share travels once a run. Windows of a minimiser that is still shared by more than ``HOT`` windows (say the
-edges of such a passage, each beside another neighbour) travel one by one, dealt by the hash of the whole window. Which minimisers
-those are is told by a count of all, kept as a filter of bounded size; what it lets through by chance is only dealt otherwise.
+passage that many documents share travels once a run. A count of all minimisers comes first: windows whose minimiser no other stretch of
+windows has cannot have an equal, and stay. Windows of a minimiser that has more than ``HOT`` windows (say the edges of a shared passage, each beside
+another neighbour) travel one by one, dealt by the hash of the whole window. Both sets of minimisers are kept as filters of
+bounded size; what these let through by chance travels in vain, or is dealt otherwise, and changes no result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import stored
 from .wordruns import STEP, Run, bitmap, byte_classes, filter_size, mixed, passes, runs
 
 BLANKS = byte_classes(b" \t\n\x0b\x0c\r")
-SHINGLE = 4
+SHINGLE = 8
 #: Windows that a minimiser may have before they travel one by one, and windows of a bucket.
 HOT, BUCKET = 1 << 15, 1 << 18
 TRAVELLER = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("packed", pa.binary())])
@@ -139,36 +140,47 @@ def first_windows(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
         yield run, place, hashes, least, stand, (ids, nulls, prints)
 
 
+def breaks(place: np.ndarray, row: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where a stretch of consecutive windows with one minimiser begins."""
+    return np.append(True, (place[1:] != place[:-1] + 1) | (row[1:] != row[:-1]) | (least[1:] != least[:-1]))
+
+
 def counted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+    """Windows and stretches of each minimiser of each run."""
+    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64()), ("stretches", pa.int64())])
     for batch in batches:
-        for _, _, _, least, stand, _ in first_windows(batch, width):
-            found, n = np.unique(least[stand == FIRST], return_counts=True)
-            yield _batch(schema, found.view(np.int64), n)
+        for run, place, _, least, stand, _ in first_windows(batch, width):
+            on = np.flatnonzero(stand == FIRST)
+            if not len(on):
+                continue
+            first, last = stretches(breaks(place[on], run.row[place[on]], least[on]))
+            found, of, n = np.unique(least[on][first], return_inverse=True, return_counts=True)
+            yield _batch(schema, found.view(np.int64), np.bincount(of.reshape(-1), last - first + 1).astype(np.int64), n)
 
 
-def travelling(batches: Iterator[pa.RecordBatch], width: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def travelling(batches: Iterator[pa.RecordBatch], width: int, shared: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed stretches of the first windows that may have equals elsewhere, and the words that later ones in a run cover."""
     for batch in batches:
         for run, place, hashes, least, stand, (ids, nulls, prints) in first_windows(batch, width):
-            if not len(place):
-                continue
-            on = np.flatnonzero(stand == FIRST)
-            alone = passes(hot, least[on])
             row = run.row[place]
-            p, r, m = place[on], row[on], least[on]
-            first, last = stretches(np.append(True, (p[1:] != p[:-1] + 1) | (r[1:] != r[:-1]) | (m[1:] != m[:-1]) | alone[1:] | alone[:-1])[: len(p)])
-            text, begin = run.joined()
-            low, high = begin[p[first]], begin[p[last] + width - 1] + run.length[p[last] + width - 1]
-            packed = [text[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-            key = np.where(alone[first], hashes[on][first], m[first])
+            on = np.flatnonzero((stand == FIRST) & passes(shared, least))
+            if len(on):
+                alone = passes(hot, least[on])
+                p, r = place[on], row[on]
+                starts = breaks(p, r, least[on])
+                starts[1:] |= alone[1:] | alone[:-1]
+                first, last = stretches(starts)
+                text, begin = run.joined()
+                low, high = begin[p[first]], begin[p[last] + width - 1] + run.length[p[last] + width - 1]
+                packed = [text[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                key = np.where(alone[first], hashes[on][first], least[on][first])
+                yield _batch(TRAVELLER, key.view(np.int64), pa.array(ids[r[first]], mask=nulls[r[first]]), prints[r[first]], run.at[p[first]], pa.nulls(len(first), pa.int64()), packed)
             gone = np.flatnonzero(stand == LATER)
             at, from_, to = covered(row[gone], run.at[place[gone]], width)
             back = row[gone][at]
-            rows = np.append(r[first], back)
-            yield _batch(
-                TRAVELLER, np.append(key.view(np.int64), mixed(prints[back].view(np.uint64)).view(np.int64)), pa.array(ids[rows], mask=nulls[rows]), prints[rows], np.append(run.at[p[first]], from_),
-                pa.array(np.append(np.zeros(len(first), np.int64), to), mask=np.arange(len(rows)) < len(first)), packed + [None] * len(back),
-            )
+            if len(back):
+                key = mixed(prints[back].view(np.uint64)).view(np.int64)
+                yield _batch(TRAVELLER, key, pa.array(ids[back], mask=nulls[back]), prints[back], from_, to, pa.nulls(len(back), pa.binary()))
 
 
 def met(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -223,11 +235,12 @@ def substring_dedup(docs: DataFrame, width: int = 20) -> DataFrame:
         raise ValueError("a window has a word at least")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), F.encode("text", "UTF-8").alias("text"))
-    least = rows.mapInArrow(lambda batches: counted(batches, width), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    least = stored(least.groupBy(F.when(F.col("n") > HOT, F.col("hash")).alias("hash")).agg(F.sum("n").alias("n")), "substrings-minimisers")
-    total, n_hot = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("hash")).first()
-    hot = spark.sparkContext.broadcast(bitmap(least.where("hash is not null"), filter_size(n_hot)))
-    found = rows.mapInArrow(lambda batches: travelling(batches, width, hot.value), "key long, doc_id long, print long, low long, high long, packed binary")
+    least = rows.mapInArrow(lambda batches: counted(batches, width), "hash long, n long, stretches long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("stretches").alias("stretches"))
+    least = stored(least.where("stretches > 1").select("hash", "n"), "substrings-minimisers")
+    n_shared, total, n_hot = least.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > HOT)).first()
+    shared = spark.sparkContext.broadcast(bitmap(least, filter_size(n_shared, 1 << 30)))
+    hot = spark.sparkContext.broadcast(bitmap(least.where(F.col("n") > HOT), filter_size(n_hot)))
+    found = rows.mapInArrow(lambda batches: travelling(batches, width, shared.value, hot.value), "key long, doc_id long, print long, low long, high long, packed binary")
     found = found.repartition(max(1, -(-total // BUCKET)), "key").mapInArrow(lambda batches: met(batches, width), "doc_id long, print long, low long, high long")
     marks = stored(found.groupBy("doc_id", "print").agg(F.collect_set(F.struct("low", "high")).alias("marks")), "substrings-marks")
     key = lambda df, p: df.select(F.coalesce("doc_id", F.lit(0)).alias("at_id"), F.isnull("doc_id").alias("at_null"), F.col("print").alias("at_print"), *p)

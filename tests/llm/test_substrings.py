@@ -89,7 +89,7 @@ def test_super_k_mers_hold_every_travelling_window(spark, documents):
     """Consecutive windows of a minimiser travel together, and each bucket gets all windows of its keys."""
     rows = corpus(60, 5)
     batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "print": [hash(r[1]) for r in rows], "text": [r[1].encode() for r in rows]})
-    sent = list(substrings.travelling(iter([batch]), 20, np.zeros(16, np.uint64)))
+    sent = list(substrings.travelling(iter([batch]), 20, np.full(16, (1 << 64) - 1, np.uint64), np.zeros(16, np.uint64)))
     packed = [p for b in sent for p in b.column("packed").to_pylist() if p]
     seen = [tuple(w[i : i + 20]) for w in (p.split() for p in packed) for i in range(len(w) - 19)]
     every = {tuple(w[i : i + 20]) for w in (r[1].encode().split() for r in rows) for i in range(len(w) - 19)}
