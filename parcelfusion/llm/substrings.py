@@ -26,7 +26,7 @@ from .wordruns import STEP, Run, bitmap, byte_classes, filter_size, mixed, passe
 BLANKS = byte_classes(b" \t\n\x0b\x0c\r")
 SHINGLE = 8
 #: Windows that a minimiser may have before they travel one by one, and windows of a bucket.
-HOT, BUCKET = 1 << 15, 1 << 18
+HOT, BUCKET = 1 << 12, 1 << 18
 TRAVELLER = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("packed", pa.binary())])
 MARK = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
