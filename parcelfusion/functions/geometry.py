@@ -21,6 +21,11 @@ def zero() -> Column:
     return F.lit(0.0)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it; so expressions stay as small as they are written."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
@@ -65,13 +70,14 @@ def ccw(ring: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """(x, y) of the centroid, from shoelace moments about the first vertex."""
-    x0, y0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
-    moved = F.transform(ring, lambda p: point(p["x"] - x0, p["y"] - y0))
-    cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    six = 6 * signed_area(moved)
-    mx = total(edges(moved), lambda e: (e["x1"] + e["x2"]) * cross(e))
-    my = total(edges(moved), lambda e: (e["y1"] + e["y2"]) * cross(e))
-    return point(x0 + F.try_divide(mx, six), y0 + F.try_divide(my, six))
+
+    def about(r: Column) -> Column:
+        x0, y0 = F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"]
+        cross = lambda e: (e["x1"] - x0) * (e["y2"] - y0) - (e["x2"] - x0) * (e["y1"] - y0)
+        sums = lambda es: F.struct(total(es, cross).alias("w"), total(es, lambda e: (e["x1"] + e["x2"] - 2 * x0) * cross(e)).alias("x"), total(es, lambda e: (e["y1"] + e["y2"] - 2 * y0) * cross(e)).alias("y"))
+        return let(let(edges(r), sums), lambda m: point(x0 + F.try_divide(m["x"], 3 * m["w"]), y0 + F.try_divide(m["y"], 3 * m["w"])))
+
+    return let(ring, about)
 
 
 def perimeter(ring: Column) -> Column:
@@ -80,16 +86,17 @@ def perimeter(ring: Column) -> Column:
 
 def compactness(ring: Column) -> Column:
     """4 pi A / P^2; 0 for a ring without length."""
-    p = perimeter(ring)
-    return F.when(p > 0, 4 * math.pi * area(ring) / (p * p)).otherwise(0.0)
+    return let(perimeter(ring), lambda p: F.when(p > 0, 4 * math.pi * area(ring) / (p * p)).otherwise(0.0))
 
 
 def bbox(points: Column, by: float = 0.0) -> Column:
     """(minx, miny, maxx, maxy), widened by ``by``."""
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(
-        (F.array_min(xs) - by).alias("minx"), (F.array_min(ys) - by).alias("miny"), (F.array_max(xs) + by).alias("maxx"), (F.array_max(ys) + by).alias("maxy")
-    )
+
+    def corners(ps: Column) -> Column:
+        xs, ys = F.transform(ps, lambda p: p["x"]), F.transform(ps, lambda p: p["y"])
+        return F.struct((F.array_min(xs) - by).alias("minx"), (F.array_min(ys) - by).alias("miny"), (F.array_max(xs) + by).alias("maxx"), (F.array_max(ys) + by).alias("maxy"))
+
+    return let(points, corners)
 
 
 def boxes_meet(a: Column, b: Column) -> Column:
@@ -122,19 +129,6 @@ def contains_within(ring: Column, px: Column, py: Column, margin: float) -> Colu
     return F.pandas_udf(_hinted(kernels.inside_kernel(margin), 3), BooleanType())(flat(ring), px, py)
 
 
-def segment_distance(px: Column, py: Column, e: Column) -> Column:
-    """Distance of a point from a segment."""
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    length = dx * dx + dy * dy
-    t = F.coalesce(F.greatest(zero(), F.least(F.lit(1.0), F.try_divide((px - e["x1"]) * dx + (py - e["y1"]) * dy, length))), zero())
-    return F.hypot(px - (e["x1"] + t * dx), py - (e["y1"] + t * dy))
-
-
-def boundary_distance(px: Column, py: Column, around: Column) -> Column:
-    """Least distance of a point from an array of edges."""
-    return F.array_min(F.transform(around, lambda e: segment_distance(px, py, e)))
-
-
 def contains_point(ring: Column, px: Column, py: Column) -> Column:
     """Whether the point is inside, by the parity of edges crossed to its right."""
 
@@ -165,24 +159,6 @@ def segments_meet(e: Column, f: Column) -> Column:
     return boxes & (d1 * d2 <= 0) & (d3 * d4 <= 0)
 
 
-def edges_meet(a: Column, b: Column) -> Column:
-    return F.exists(a, lambda e: F.exists(b, lambda f: segments_meet(e, f)))
-
-
-def ring_meets(ring: Column, other: Column, other_edges: Column) -> Column:
-    """Whether a polygon shares a point with a line, point or polygon given by vertices and edges."""
-    p = F.get(other, F.lit(0))
-    return edges_meet(edges(ring), other_edges) | contains_point(ring, p["x"], p["y"])
-
-
-def ring_distance(ring: Column, other: Column, other_edges: Column) -> Column:
-    """Distance of a polygon from a line, point or polygon; 0 if they meet."""
-    own = edges(ring)
-    one = F.array_min(F.transform(ring, lambda p: boundary_distance(p["x"], p["y"], other_edges)))
-    two = F.array_min(F.transform(other, lambda p: boundary_distance(p["x"], p["y"], own)))
-    return F.when(ring_meets(ring, other, other_edges), 0.0).otherwise(F.least(one, two))
-
-
 def vertex_ratio(a: Column, b: Column) -> Column:
     """Smaller over larger vertex count, each ring counted closed."""
     n, m = F.size(a) + 1, F.size(b) + 1
@@ -206,16 +182,6 @@ def largest_part(parts: Column) -> Column:
     return F.array_max(sized)["ring"]
 
 
-def ring_from_points(points: Column) -> Column:
-    """Ring of (seq, x, y) structs in the order of seq."""
-    return F.transform(F.array_sort(points), lambda p: point(p["x"], p["y"]))
-
-
-def affine(x: Column, y: Column, a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> Column:
-    """(a x + b y + c, d x + e y + f)."""
-    return point(a * x + b * y + c, d * x + e * y + f)
-
-
 def wkt(ring: Column) -> Column:
     """Well-known text of a polygon."""
     pair = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))

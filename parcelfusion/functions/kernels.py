@@ -36,6 +36,31 @@ class Rings:
         return np.where(np.bincount(self.of, p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1], len(self.n)) < 0, -1.0, 1.0)
 
 
+class Shapes(Rings):
+    """Shapes of a batch as edges laid end to end: closed for polygons (kind 2), open for lines (1), of no length for points (0).
+
+    ``sizes``: vertices of each part of each shape. ``corner``, ``corner_of``: a vertex of each part, and its shape.
+    """
+
+    def __init__(self, flat: list[np.ndarray], sizes: list[np.ndarray], kind: np.ndarray):
+        part = np.concatenate([s.astype(np.int64) for s in sizes]) if sizes else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(sizes)), [len(s) for s in sizes])
+        place = np.cumsum(part) - part
+        row, place, part = row[part > 0], place[part > 0], part[part > 0]
+        vertex = np.concatenate(flat).reshape(-1, 2) if len(flat) else np.zeros((0, 2))
+        self.kind = kind
+        closed = kind[row] == 2
+        n = np.where(closed, part, np.maximum(part - 1, 1))
+        of = np.repeat(np.arange(len(part)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        self.at = vertex[place[of] + k]
+        self.to = vertex[place[of] + np.where(closed[of], (k + 1) % part[of], np.minimum(k + 1, part[of] - 1))]
+        self.of = row[of]
+        self.n = np.bincount(self.of, minlength=len(kind))
+        self.begin = np.cumsum(self.n) - self.n
+        self.corner, self.corner_of = vertex[place], row
+
+
 def crossed(n: np.ndarray, m: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All (row, i, j) with i of the row's ``n`` items from ``first`` and j of its ``m`` items from ``second``."""
     size = n * m
@@ -64,7 +89,43 @@ def overlap(a: Rings, b: Rings) -> np.ndarray:
     gap = np.where(d0 * d1 >= 0, apart, (d0 * d0 + d1 * d1) / np.where(apart > 0, apart, 1.0))
     sign = np.where((q[:, 0] < p[:, 0]) == (s[:, 0] < r[:, 0]), 1.0, -1.0)
     under = sign * (high - low) * ((e0 + e1 + f0 + f1) - gap) / 4
-    return np.maximum(0.0, np.bincount(row, under, len(a.n)) * a.turned() * b.turned())
+    whole = np.bincount(row, under, len(a.n)) * a.turned() * b.turned()
+    inside = (getattr(a, "kind", 2) == 2) & (getattr(b, "kind", 2) == 2)  # lines and points have none
+    return np.where(inside, np.maximum(0.0, whole), 0.0)
+
+
+def holds(shapes: Shapes, points: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each point is inside the polygon of its row ``of``, by the parity of edges crossed to its right."""
+    _, i, j = crossed(np.ones(len(points), np.int64), shapes.n[of], np.arange(len(points)), shapes.begin[of])
+    p, u, v = points[i], shapes.at[j], shapes.to[j]
+    spans = (u[:, 1] > p[:, 1]) != (v[:, 1] > p[:, 1])
+    rise = np.where(spans, v[:, 1] - u[:, 1], 1.0)
+    hits = spans & (p[:, 0] < u[:, 0] + (p[:, 1] - u[:, 1]) * (v[:, 0] - u[:, 0]) / rise)
+    return (np.bincount(i, hits, len(points)).astype(np.int64) % 2 == 1) & (shapes.kind[of] == 2)
+
+
+def meet(a: Shapes, b: Shapes) -> np.ndarray:
+    """1 where the shapes of a row share a point: edges meet (touching counts), or a corner of a part is inside the other shape."""
+    row, i, j = crossed(a.n, b.n, a.begin, b.begin)
+    p, q, r, s = a.at[i], a.to[i], b.at[j], b.to[j]
+    turn = lambda u, v, w: (v[:, 0] - u[:, 0]) * (w[:, 1] - u[:, 1]) - (v[:, 1] - u[:, 1]) * (w[:, 0] - u[:, 0])
+    on = (np.minimum(p, q) <= np.maximum(r, s)).all(axis=1) & (np.minimum(r, s) <= np.maximum(p, q)).all(axis=1)
+    row, p, q, r, s = row[on], p[on], q[on], r[on], s[on]
+    hit = (turn(r, s, p) * turn(r, s, q) <= 0) & (turn(p, q, r) * turn(p, q, s) <= 0)
+    out = np.bincount(row, hit, len(a.n)) > 0
+    for one, other in ((a, b), (b, a)):
+        inside = holds(other, one.corner, one.corner_of)
+        out |= np.bincount(one.corner_of, inside, len(a.n)) > 0
+    return out.astype(np.float64)
+
+
+def apart(a: Shapes, b: Shapes) -> np.ndarray:
+    """Least distance of each row's two shapes; 0 where they share a point."""
+    out = np.full(len(a.n), np.inf)
+    for one, other in ((a, b), (b, a)):
+        for ends in (one.at, one.to):
+            np.minimum.at(out, one.of, nearest(ends, one.of, other))
+    return np.where(meet(a, b) > 0, 0.0, out)
 
 
 def nearest(points: np.ndarray, of: np.ndarray, rings: Rings) -> np.ndarray:
@@ -191,3 +252,37 @@ def inside_kernel(margin: float) -> Callable:
             yield pd.Series(within(Rings(arrays(rings)), points, margin), dtype=bool)
 
     return kernel
+
+
+def shape_columns(flat: pd.Series, sizes: pd.Series, kind: pd.Series) -> tuple[list, list, np.ndarray]:
+    return arrays(flat), arrays(sizes), kind.fillna(0).to_numpy(np.int64)
+
+
+def shape_pairs(work: Callable[[Shapes, Shapes], np.ndarray]) -> Callable:
+    """Iterator kernel over two columns of shapes; a row without vertices in either gives null."""
+
+    def kernel(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            columns = [*shape_columns(*batch[:3]), *shape_columns(*batch[3:])]
+            known = np.array([len(u) > 0 and len(v) > 0 for u, v in zip(columns[0], columns[3], strict=True)], bool)
+            picked = [c[known] if isinstance(c, np.ndarray) else [x for x, k in zip(c, known, strict=True) if k] for c in columns]
+            pairs = np.array([len(u) * len(v) // 4 for u, v in zip(picked[0], picked[3], strict=True)], np.int64)
+            out = np.full(len(known), np.nan)
+            out[known] = in_runs(lambda *c: work(Shapes(*c[:3]), Shapes(*c[3:])), pairs, *picked)
+            yield pd.Series(out).astype(object).where(known, None)
+
+    return kernel
+
+
+def shape_holds(margin: float) -> Callable:
+    def kernel(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for flat, sizes, kind, px, py in batches:
+            shapes = Shapes(*shape_columns(flat, sizes, kind))
+            points = np.column_stack([px.to_numpy(np.float64), py.to_numpy(np.float64)])
+            out = np.zeros(len(points), bool)
+            some = np.flatnonzero(shapes.n > 0)
+            near = nearest(points[some], some, shapes)
+            out[some] = holds(shapes, points[some], some) | (near < margin)
+            yield pd.Series(out, dtype=bool)
+
+    return kernel

@@ -89,9 +89,9 @@ def first_alias_name(props: Column, aliases: list[str], usable=None) -> Column:
 
 
 def standard_land_use(raw: Column) -> Column:
-    """Standard name of a land use; others in title case."""
+    """Standard name of a land use; others in title case: every run of letters begins with a capital, also behind hyphens and digits."""
     names = F.create_map(*[F.lit(x) for pair in LAND_USES.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, F.lower(F.trim(raw))), F.initcap(F.trim(raw)))
+    return F.coalesce(F.try_element_at(names, F.lower(F.trim(raw))), F.array_join(F.transform(F.regexp_extract_all(F.trim(raw), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)), F.initcap), ""))
 
 
 def attribute_agreement(pairs: list[tuple[Column, Column]]) -> Column:

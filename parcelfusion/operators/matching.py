@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import kernels as K
 from ..functions import scoring as S
+from ..functions import shapes
 from ..functions.numbers import rounded
 from ..functions.text import normalized_survey, survey_similarity
 from ..scratch import stored
-from .spatial_join import candidates
+from .spatial_join import candidates, shaped
 
 PROFILE = "mean_dev double, median_dev double, p90_dev double, p95_dev double, p99_dev double, max_dev double, hausdorff double, conformance double"
 
@@ -48,7 +49,7 @@ def deviation_profile(a: np.ndarray, b: np.ndarray, tolerance: float = S.TOLERAN
 
 
 def boundary_profile(ring_a: str, ring_b: str) -> Column:
-    """Boundary deviation of two rings.
+    """Boundary deviation of two rings, the outer ones of the largest parts.
 
     An Arrow kernel: the hundreds of samples a pair of a whole run of pairs go against the edges together.
     """
@@ -66,10 +67,10 @@ def boundary_profile(ring_a: str, ring_b: str) -> Column:
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:
-    """Adds areas, intersection, union, IoU and coverages (percent) of ring and d_ring."""
-    inter = G.intersection_area(G.ccw(F.col("ring")), G.ccw(F.col("d_ring")))
+    """Adds areas, intersection, union, IoU and coverages (percent) of shape and d_shape."""
+    p, q = F.col("shape"), F.col("d_shape")
     known = "m" in pairs.columns
-    df = pairs.withColumns({"p_area": F.col("m.area") if known else G.area(F.col("ring")), "q_area": F.col("d_m.area") if known else G.area(F.col("d_ring")), "inter": inter})
+    df = pairs.withColumns({"p_area": F.col("m.area") if known else shapes.area(p), "q_area": F.col("d_m.area") if known else shapes.area(q), "inter": shapes.intersection_area(p, q)})
     df = df.withColumn("union_area", F.col("p_area") + F.col("q_area") - F.col("inter"))
     share = lambda of: F.when(F.col(of) > 0, F.col("inter") / F.col(of) * 100.0).otherwise(0.0)
     return df.withColumns({"iou": share("union_area"), "coverage_source": share("p_area"), "coverage_candidate": share("q_area")})
@@ -87,9 +88,9 @@ def spread(pairs: DataFrame) -> DataFrame:
 
 
 def measured(polygons: DataFrame) -> DataFrame:
-    """Adds m: area, centroid and compactness of the ring."""
-    ring = F.col("ring")
-    return polygons.withColumn("m", F.struct(G.area(ring).alias("area"), G.centroid(ring).alias("centroid"), G.compactness(ring).alias("compactness")))
+    """Adds the shape where there is none, and m: its area, centroid and compactness."""
+    shape = F.col("shape")
+    return shaped(polygons).withColumn("m", F.struct(shapes.area(shape).alias("area"), shapes.centroid(shape).alias("centroid"), shapes.compactness(shape).alias("compactness")))
 
 
 def pairs_of(parcels: DataFrame, drone: DataFrame, radius: float = S.RADIUS) -> DataFrame:
@@ -113,8 +114,8 @@ def gnss_inside(pairs: DataFrame, gnss: DataFrame, margin: float = S.GNSS_MARGIN
     Points go to the candidates of their parcel and are counted at once, so no list of points is built.
     """
     points = gnss.select(F.col("survey_no").alias("gnss_key"), F.col("x").alias("gx"), F.col("y").alias("gy"))
-    met = pairs.select("parcel_id", "feature_id", "gnss_key", "d_ring").join(points.hint("merge"), "gnss_key")
-    inside = G.contains_within(F.col("d_ring"), F.col("gx"), F.col("gy"), margin)
+    met = pairs.select("parcel_id", "feature_id", "gnss_key", "d_shape").join(points.hint("merge"), "gnss_key")
+    inside = shapes.contains_within(F.col("d_shape"), F.col("gx"), F.col("gy"), margin)
     return met.groupBy("parcel_id", "feature_id").agg(F.count("*").alias("points"), F.sum(F.when(inside, 1).otherwise(0)).alias("inside"))
 
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox
+from ..functions import geometry as G
+from ..functions import shapes as S
 from ..functions.numbers import rounded
 from ..scratch import stored
-from .spatial_join import with_cells
+from .spatial_join import box_join, shaped
 
 NODATA = -9999.0
 #: Luminance weights of the three bands.
@@ -30,8 +31,8 @@ def raster_stats(pixels: DataFrame) -> DataFrame:
 def registered(headers: DataFrame) -> DataFrame:
     """Headers (raster_id, width, height, bands, res_x, unit) with ground sample distance in cm and band names."""
     gsd = F.when(F.col("unit") == "degree", F.col("res_x") * 11113900.0).otherwise(F.col("res_x") * 100.0)
-    names = F.when(F.col("bands") >= 4, "Red,Green,Blue,NIR").when(F.col("bands") == 3, "Red,Green,Blue").otherwise("Gray")
-    return headers.select("raster_id", "width", "height", rounded(gsd, 2).alias("gsd_cm"), names.alias("band_names"))
+    names = F.when(F.col("bands") == 4, "Red,Green,Blue,Near-Infrared (NIR)").when(F.col("bands") == 1, "Panchromatic/Grayscale").otherwise("Red,Green,Blue")
+    return headers.select("raster_id", "width", "height", rounded(gsd, 1).alias("gsd_cm"), names.alias("band_names"))
 
 
 def window(pixels: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -41,13 +42,42 @@ def window(pixels: DataFrame, box: tuple[float, float, float, float]) -> DataFra
 
 def zonal(parcels: DataFrame, pixels: DataFrame, cell: float = 64.0) -> DataFrame:
     """parcel_id, n, low, high, mean, relief, slope (degrees) of the valid pixels in each parcel's bounding box."""
-    zones = with_cells(parcels.select("parcel_id", bbox(F.col("ring")).alias("box")), "box", cell)
-    points = pixels.where(valid(F.col("elev"))).select("x", "y", "elev", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    met = points.join(zones.hint("merge"), ["cx", "cy"]).where(F.col("x").between(F.col("box.minx"), F.col("box.maxx")) & F.col("y").between(F.col("box.miny"), F.col("box.maxy")))
+    zones = shaped(parcels).select("parcel_id", S.bbox(F.col("shape")).alias("box"))
+    spot = F.struct(F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
+    return zone_stats(box_join(zones, pixels.where(valid(F.col("elev"))).select("elev", spot.alias("spot")), "box", "spot", cell))
+
+
+def zone_stats(met: DataFrame) -> DataFrame:
     found = met.groupBy("parcel_id").agg(F.count("*").alias("n"), F.min("elev").alias("low"), F.max("elev").alias("high"), rounded(F.avg("elev"), 4).alias("mean"))
     return found.withColumn("relief", F.col("high") - F.col("low")).withColumn("slope", rounded(F.degrees(F.atan2(F.col("relief"), F.lit(35.0))), 4))
 
 
+def scanlines(parcels: DataFrame, pitch: float, span: int = 64) -> DataFrame:
+    """parcel_id, row, cell, x0, x1: where each row of pixels (y a multiple of ``pitch``) runs inside a polygon, a row for each ``span`` pixels that it touches."""
+    rings = F.flatten(F.transform("shape.parts", G.edges))
+    box = S.bbox(F.col("shape"))
+    rows = shaped(parcels).where("shape.kind = 'polygon'").select("parcel_id", rings.alias("edges"), F.explode(F.sequence(F.ceil(box["miny"] / pitch), F.floor(box["maxy"] / pitch))).alias("row"))
+    y = F.col("row") * pitch
+    on = F.filter("edges", lambda e: (e["y1"] > y) != (e["y2"] > y))
+    xs = F.array_sort(F.transform(on, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+    rows = rows.select("parcel_id", "row", xs.alias("xs")).where(F.size("xs") > 1)
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.get("xs", 2 * k).alias("x0"), F.get("xs", 2 * k + 1).alias("x1")))
+    rows = rows.select("parcel_id", "row", F.explode(pairs).alias("p")).select("parcel_id", "row", "p.x0", "p.x1")
+    width = pitch * span
+    return rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width))))
+
+
+def zonal_masked(parcels: DataFrame, pixels: DataFrame, pitch: float, span: int = 64) -> DataFrame:
+    """parcel_id, n, low, high, mean, relief, slope of the valid pixels inside each polygon, holes left out; pixels stand at multiples of ``pitch`` in y.
+
+    Polygons are cut into the intervals that rows of pixels run inside them, which pixels are joined to by row and cell: no pixel is tested against a polygon.
+    """
+    width = pitch * span
+    points = pixels.where(valid(F.col("elev"))).select("x", "elev", F.round(F.col("y") / pitch).cast("long").alias("row"), F.floor(F.col("x") / width).alias("cell"))
+    met = points.join(scanlines(parcels, pitch, span).hint("merge"), ["row", "cell"]).where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
+    return zone_stats(met)
+
+
 def luminance(prefix: str) -> Column:
     return sum((w * F.col(f"{prefix}b{i}") for i, w in enumerate(LUMINANCE, 1)), F.lit(0.0))
 
@@ -110,11 +140,17 @@ def region_report(labels: DataFrame, difference: DataFrame, pixel_area: float =
         F.count("*").alias("pixels"), F.min("px_row").alias("row_min"), F.max("px_row").alias("row_max"), F.min("px_col").alias("col_min"), F.max("px_col").alias("col_max"),
         rounded(F.avg("g1") + 1e-9, 3).alias("mean_1"), rounded(F.avg("g2") + 1e-9, 3).alias("mean_2"),  # ties go up, whatever the order of the sum
     )
-    return found.where(F.col("pixels") >= least).withColumn("area", F.col("pixels") * pixel_area).withColumn("kind", region_class(F.col("mean_2") - F.col("mean_1"), F.col("pixels")))
+    found = found.where(F.col("pixels") >= least).withColumn("area", F.col("pixels") * pixel_area)
+    return found.withColumn("class", region_class(F.col("mean_2") - F.col("mean_1"), F.col("pixels"), F.col("area"))).select("*", "class.*").drop("class")
 
 
-def region_class(delta: Column, pixels: Column) -> Column:
-    return F.when(delta > 35, "ADDED").when(delta < -35, "REMOVED").when((F.abs(delta) > 15) & (pixels < 1500), "EXPANSION").otherwise("LAND_COVER")
+def region_class(delta: Column, pixels: Column, area: Column) -> Column:
+    """kind, confidence and description of a region by its change in luminance and its size."""
+    as_ = lambda kind, sure, text: F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"), F.format_string(text, rounded(area, 1)).alias("description"))
+    return (
+        F.when(delta > 35, as_("BUILDING_ADDED", 93.5, "New structure on open ground (%.1f m2)")).when(delta < -35, as_("BUILDING_REMOVED", 91.0, "Structure removed (%.1f m2)"))
+        .when((F.abs(delta) > 15) & (pixels < 1500), as_("BUILDING_EXPANSION", 89.5, "Structure extended (%.1f m2)")).otherwise(as_("SIGNIFICANT_LAND_COVER_CHANGE", 88.0, "Ground cover changed (%.1f m2)"))
+    )
 
 
 def tiles(headers: DataFrame, size: int = 640, overlap: int = 64) -> DataFrame:
@@ -126,7 +162,5 @@ def tiles(headers: DataFrame, size: int = 640, overlap: int = 64) -> DataFrame:
 
 def comparable(headers: DataFrame) -> DataFrame:
     """Pairs a < b of rasters of one CRS whose extents overlap: a, b. Joined on the CRS and grid cells."""
-    from .spatial_join import box_join
-
     side = lambda p: headers.select(F.col("raster_id").alias(p), "crs", F.struct("minx", "miny", "maxx", "maxy").alias(f"{p}_box"))
     return box_join(side("a"), side("b"), "a_box", "b_box", 4096.0, on=["crs"]).where("a < b").select("a", "b", "crs")

@@ -76,9 +76,20 @@ def filtered_changes(changes: DataFrame, tab: str) -> DataFrame:
 
 
 def recorded_changes(parcels: DataFrame, buildings: DataFrame, least: float = 20.0) -> DataFrame:
-    """Boundary shifts by recorded area difference, and new-building items: feature_id, change_type, magnitude."""
-    shifts = parcels.where(F.col("area_delta") > least).select(F.col("parcel_id").cast("string").alias("feature_id"), F.lit("Boundary Shift").alias("change_type"), F.col("area_delta").alias("magnitude"))
-    new = buildings.select(F.col("building_id").cast("string").alias("feature_id"), F.lit("New Building").alias("change_type"), F.col("area").alias("magnitude"))
+    """Boundary shifts by recorded area difference, and new-building items: feature_id, survey_no, change_type, severity, previous_value, current_value, magnitude.
+
+    ``parcels``: parcel_id, full_survey, area, area_delta; ``buildings``: building_id, area and, where known, building_type and survey_no. Values that are not recorded stay null.
+    """
+    of = lambda df, c: F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    shifted = parcels.where(F.col("area_delta") > least)
+    shifts = shifted.select(
+        F.col("parcel_id").cast("string").alias("feature_id"), of(shifted, "full_survey").alias("survey_no"), F.lit("Boundary Alignment Shift").alias("change_type"), F.lit("High").alias("severity"),
+        F.format_string("Legacy Map Extent: %.1f m2", "area").alias("previous_value"), F.format_string("Drone/GNSS Survey Extent: %.1f m2 (+%.1f m2)", rounded(F.col("area") + F.col("area_delta"), 1), rounded(F.col("area_delta"), 1)).alias("current_value"), F.col("area_delta").alias("magnitude"),
+    )
+    new = buildings.select(
+        F.col("building_id").cast("string").alias("feature_id"), of(buildings, "survey_no").alias("survey_no"), F.lit("New Building Construction").alias("change_type"), F.lit("Medium").alias("severity"), F.lit("Vacant Plot / Open Land").alias("previous_value"),
+        F.concat(F.lit("New Structure ("), F.concat_ws(", ", of(buildings, "building_type"), F.format_string("%.1f m2", "area")), F.lit(")")).alias("current_value"), F.col("area").alias("magnitude"),
+    )
     return shifts.unionByName(new)
 
 

@@ -6,19 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def contains_text(columns: list[str], text: str) -> Column:
-    """Whether any column holds the text, ASCII case ignored."""
-    out = F.lit(False)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def contains_text(columns: list[str], text: str, wildcards: bool = False) -> Column:
+    """Whether any column holds the text, ASCII case ignored; with ``wildcards``, % in it stands for any characters and _ for one."""
+    out, plain = F.lit(False), text.translate(str.maketrans(UPPER, LOWER))
     for c in columns:
-        out = out | F.contains(F.lower(F.col(c).cast("string")), F.lit(text.lower()))
+        low = F.translate(F.col(c).cast("string"), UPPER, LOWER)
+        out = out | (F.like(low, F.lit(f"%{plain}%"), F.lit("\x01")) if wildcards else F.contains(low, F.lit(plain)))
     return out
 
 
-def search(df: DataFrame, text: str | None, columns: list[str], order: str, **equal) -> DataFrame:
+def search(df: DataFrame, text: str | None, columns: list[str], order: str, wildcards: bool = False, **equal) -> DataFrame:
     """Rows with the given column values whose ``columns`` hold ``text``, in order. Equalities reach the scan."""
     for c, v in equal.items():
         df = df.where(F.col(c) == v)
-    return (df if text is None else df.where(contains_text(columns, text))).orderBy(order)
+    return (df if text is None else df.where(contains_text(columns, text, wildcards))).orderBy(order)
 
 
 def lookups(keys: DataFrame, parcels: DataFrame) -> DataFrame:

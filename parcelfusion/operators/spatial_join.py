@@ -1,9 +1,9 @@
-"""Spatial joins as equi-joins on grid cells.
+"""Spatial joins as equi-joins on the cells of a grid with several levels.
 
-A bounding-box condition alone would be planned as a nested loop over all pairs. Each side's boxes are
-exploded to the grid cells that they touch and joined on the cell; a pair is kept only in the cell that
-holds the lower corner of its common box, so it comes out once and no ``distinct`` is needed. A cell with very
-many boxes is split by adaptive execution like any skewed key.
+A bounding-box condition alone would be planned as a nested loop over all pairs. Each box has the level whose cells are at least twice its
+size, so it touches four of them at most, also when grown by as much as a box of that level or a finer one. The larger box of a pair goes
+to the cells that it touches so grown, the smaller one to the one cell of its lower corner on that level: a pair meets in one cell, so no ``distinct`` is
+needed, and a box over a whole district takes no more rows than a small one. A cell with very many boxes is split by adaptive execution like any skewed key.
 """
 
 from __future__ import annotations
@@ -11,37 +11,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox, boxes_meet, intersection_area
+from ..functions import shapes as S
+from ..functions.geometry import boxes_meet
+from ..scratch import stored
 
 
-def with_cells(df: DataFrame, box: str, cell: float) -> DataFrame:
-    """One row per grid cell that ``box`` touches: columns cx and cy."""
-    span = lambda low, high: F.sequence(F.floor(F.col(f"{box}.{low}") / cell), F.floor(F.col(f"{box}.{high}") / cell))
-    return df.withColumn("cx", F.explode(span("minx", "maxx"))).withColumn("cy", F.explode(span("miny", "maxy")))
+def shaped(df: DataFrame) -> DataFrame:
+    """The table with the ``shape`` of its rows, made from ``ring`` or ``line`` where it has none."""
+    if "shape" in df.columns:
+        return df
+    return df.withColumn("shape", S.of_ring(F.col("ring")) if "ring" in df.columns else S.of_line(F.col("line")))
+
+
+def level_of(box: Column, cell: float) -> Column:
+    """Level of the grid, from 0, whose cells (``cell`` * 2^level wide) are at least twice as wide as the box; null for a null box."""
+    size = F.greatest(box["maxx"] - box["minx"], box["maxy"] - box["miny"])
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(2.0 * size / cell, F.lit(1.0))))).cast("int")
+
+
+def wide_cells(df: DataFrame, box: str, cell: float) -> DataFrame:
+    """A row for each cell of its level that the box, grown to the lower sides by half a cell, touches; four at most."""
+    b, level = F.col(box), level_of(F.col(box), cell)
+    width = cell * F.pow(F.lit(2.0), level)
+    span = lambda low, high: F.sequence(F.floor((b[low] - width / 2) / width), F.floor(b[high] / width))
+    return df.withColumns({"level": level, "cx": F.explode(span("minx", "maxx"))}).withColumn("cy", F.explode(span("miny", "maxy")))
+
+
+def corner_cells(df: DataFrame, box: str, cell: float, levels: list[int], own: bool) -> DataFrame:
+    """A row for the cell of the box's lower corner on each of the ``levels`` that are coarser than its own, or its own too."""
+    b, level = F.col(box), level_of(F.col(box), cell)
+    some = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= level if own else v > level)
+    out = df.withColumn("level", F.explode(some))
+    width = cell * F.pow(F.lit(2.0), F.col("level"))
+    return out.withColumns({"cx": F.floor(b["minx"] / width), "cy": F.floor(b["miny"] / width)})
+
+
+def levels_of(df: DataFrame, box: str, cell: float) -> list[int]:
+    """The levels that occur, a few."""
+    return sorted(r["level"] for r in df.select(level_of(F.col(box), cell).alias("level")).distinct().collect() if r["level"] is not None)
 
 
 def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: float = 64.0, on: list[str] | None = None) -> DataFrame:
-    """Pairs whose boxes meet, each once. ``on``: further columns that must be equal."""
-    keys = [*(on or []), "cx", "cy"]
-    pairs = with_cells(left, left_box, cell).join(with_cells(right, right_box, cell).hint("merge"), keys)
-    a, b = F.col(left_box), F.col(right_box)
-    home = (F.col("cx") == F.floor(F.greatest(a["minx"], b["minx"]) / cell)) & (F.col("cy") == F.floor(F.greatest(a["miny"], b["miny"]) / cell))
-    return pairs.where(boxes_meet(a, b) & home).drop("cx", "cy")
+    """Pairs whose boxes meet, each once; rows without a box have none. ``on``: further columns that must be equal.
+
+    A row takes four rows at most as the larger box, and one for each level of the other side as the smaller.
+    """
+    keys = [*(on or []), "level", "cx", "cy"]
+    met = boxes_meet(F.col(left_box), F.col(right_box))
+    above, below = levels_of(left, left_box, cell), levels_of(right, right_box, cell)
+    pairs = wide_cells(left, left_box, cell).join(corner_cells(right, right_box, cell, above, True).hint("merge"), keys).where(met).drop(*keys[-3:])
+    if not above or not below or below[-1] <= above[0]:
+        return pairs  # no right box is larger than a left one
+    return pairs.unionByName(corner_cells(left, left_box, cell, below, False).join(wide_cells(right, right_box, cell).hint("merge"), keys).where(met).drop(*keys[-3:]))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, distance: Column, left_box: str, right_box: str, radius: float = 200.0, farthest: float | None = None) -> DataFrame:
+    """key, distance of the nearest row of ``right``, however far or up to ``farthest``; rows without a box, or with none in reach, get no row.
+
+    ``distance`` is that of a pair and never less than that of the boxes. A ring of ``radius`` holds every row within it, so a row with one inside is done; the others search a
+    ring four times as wide. A ring as wide as everything holds all, so the search ends there.
+    """
+    corners = lambda df, box: df.select(F.min(f"{box}.minx").alias("x0"), F.min(f"{box}.miny").alias("y0"), F.max(f"{box}.maxx").alias("x1"), F.max(f"{box}.maxy").alias("y1"))
+    left = stored(left.where(F.col(left_box).isNotNull()), "near-left")
+    right = stored(right.where(F.col(right_box).isNotNull()), "near-right")
+    found = left.select(key, F.lit(None).cast("double").alias("distance")).limit(0)
+    a, b = corners(left, left_box).first(), corners(right, right_box).first()
+    if a["x0"] is None or b["x0"] is None:
+        return found
+    reach = (max(a["x1"], b["x1"]) - min(a["x0"], b["x0"])) + (max(a["y1"], b["y1"]) - min(a["y0"], b["y0"])) + 1.0
+    reach = reach if farthest is None else min(reach, farthest)
+    radius = min(radius, reach)
+    grown = lambda by: F.struct(*[(F.col(f"{left_box}.{c}") + s * by).alias(c) for c, s in (("minx", -1), ("miny", -1), ("maxx", 1), ("maxy", 1))])
+    while True:
+        near = box_join(left.withColumn("_grown", grown(radius)), right, "_grown", right_box).withColumn("distance", distance).where(F.col("distance") <= radius)
+        near = stored(near.groupBy(key).agg(F.min("distance").alias("distance")), "near-found")
+        found = found.unionByName(near)
+        if radius >= reach:
+            return found
+        left = stored(left.join(near.hint("merge"), key, "left_anti"), "near-left")
+        if left.isEmpty():
+            return found
+        radius = min(4 * radius, reach)
 
 
 def candidates(parcels: DataFrame, drone: DataFrame, radius: float = 35.0, cell: float = 64.0) -> DataFrame:
     """Parcel and drone polygons whose boxes, the parcel's grown by ``radius``, meet.
 
-    ``parcels``: parcel_id, ring and others; ``drone``: feature_id, ring and others, which get the prefix d_.
+    ``parcels``: parcel_id, ring (or shape too) and others; ``drone``: feature_id, ring (or shape too) and others, which get the prefix d_.
     """
-    left = parcels.withColumn("p_box", bbox(F.col("ring"), radius))
-    right = drone.select(*[F.col(c).alias(c if c == "feature_id" else f"d_{c}") for c in drone.columns]).withColumn("d_box", bbox(F.col("d_ring")))
+    left = shaped(parcels).withColumn("p_box", S.bbox(F.col("shape"), radius))
+    right = shaped(drone)
+    right = right.select(*[F.col(c).alias(c if c == "feature_id" else f"d_{c}") for c in right.columns]).withColumn("d_box", S.bbox(F.col("d_shape")))
     return box_join(left, right, "p_box", "d_box", cell)
 
 
 def self_overlaps(parcels: DataFrame, least: float = 2.0, cell: float = 64.0) -> DataFrame:
-    """Pairs a < b of parcels that share more than ``least`` square metres: a, b, overlap, both rings."""
-    left = parcels.select(F.col("parcel_id").alias("a"), F.col("ring").alias("ring_a"), bbox(F.col("ring")).alias("box_a"))
-    right = parcels.select(F.col("parcel_id").alias("b"), F.col("ring").alias("ring_b"), bbox(F.col("ring")).alias("box_b"))
-    pairs = box_join(left, right, "box_a", "box_b", cell).where("a < b")
-    return pairs.withColumn("overlap", intersection_area(F.col("ring_a"), F.col("ring_b"))).where(F.col("overlap") > least).drop("box_a", "box_b")
+    """Pairs a < b of parcels that share more than ``least`` square metres: a, b, overlap, and the shape and ring of each."""
+    parcels = shaped(parcels)
+    parcels = parcels if "ring" in parcels.columns else parcels.withColumn("ring", F.get("shape.parts", F.lit(0)))
+    side = lambda n: parcels.select(F.col("parcel_id").alias(n), F.col("ring").alias(f"ring_{n}"), F.col("shape").alias(f"shape_{n}"), S.bbox(F.col("shape")).alias(f"box_{n}"))
+    pairs = box_join(side("a"), side("b"), "box_a", "box_b", cell).where("a < b")
+    return pairs.withColumn("overlap", S.intersection_area(F.col("shape_a"), F.col("shape_b"))).where(F.col("overlap") > least).drop("box_a", "box_b")

@@ -6,31 +6,40 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import shapes as S
 from ..functions.numbers import rounded
+from .spatial_join import shaped
 
 SLIVER_RATIO, SLIVER_AREA = 0.005, 5.0
 
 
 def validation_issues(parcels: DataFrame, overlaps: DataFrame, gnss: DataFrame) -> DataFrame:
-    """Issue rows: source, feature_id, issue, severity.
+    """Issue rows: source, feature_id, issue, severity, auto_fixed, description. Self-intersections are repaired (``repaired``), so they weigh less than overlaps.
 
-    ``gnss``: point_id, longitude, latitude. ``overlaps``: a, b, overlap.
+    ``parcels``: parcel_id, shape or ring; ``gnss``: point_id, longitude, latitude; ``overlaps``: a, b, overlap. Slivers are told by their outline for their
+    area, or by the area alone; rings that cross themselves are not judged by it.
     """
-    ring = F.col("ring")
-    row = lambda df, source, fid, issue, severity: df.select(F.lit(source).alias("source"), fid.cast("string").alias("feature_id"), F.lit(issue).alias("issue"), F.lit(severity).alias("severity"))
-    sized = parcels.withColumns({"_area": G.area(ring), "_length": G.perimeter(ring)})
-    pid = F.col("parcel_id")
-    return (
-        row(parcels.where(ring.isNull() | (F.size(ring) < 3)), "legacy", pid, "Missing Geometry", "High")
-        .unionByName(row(parcels.where(G.crosses_itself(ring)), "legacy", pid, "Self Intersection", "High"))
-        .unionByName(row(sized.where((F.col("_length") > 0) & ((F.col("_area") / (F.col("_length") * F.col("_length")) < SLIVER_RATIO) | (F.col("_area") < SLIVER_AREA)) & ~G.crosses_itself(ring)), "legacy", pid, "Sliver", "Medium"))
-        .unionByName(row(overlaps, "legacy", F.concat_ws("|", "a", "b"), "Overlap", "High"))
-        .unionByName(row(gnss.where((F.abs("latitude") > 90) | (F.abs("longitude") > 180) | F.col("latitude").isNull() | F.col("longitude").isNull()), "gnss", F.col("point_id"), "GNSS Out Of Range", "Medium"))
-    )
+    out = None
+
+    def put(df: DataFrame, source: str, fid: Column, issue: str, severity: str, text: Column, fixed: bool = False) -> None:
+        nonlocal out
+        one = df.select(F.lit(source).alias("source"), fid.cast("string").alias("feature_id"), F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.lit(fixed).alias("auto_fixed"), text.alias("description"))
+        out = one if out is None else out.unionByName(one)
+
+    pid, shape = F.col("parcel_id"), F.col("shape")
+    sized = shaped(parcels).withColumns({"_area": S.area(shape), "_length": S.perimeter(shape), "_crossed": F.coalesce(S.crosses_itself(shape), F.lit(False))})
+    put(sized.where(shape.isNull()), "legacy", pid, "Missing Geometry", "High", F.lit("No readable geometry"))
+    put(sized.where("_crossed"), "legacy", pid, "Self-Intersection", "Medium", F.lit("Ring crosses itself; its largest loop is kept"), True)
+    thin = F.col("_area") / (F.col("_length") * F.col("_length")) < SLIVER_RATIO
+    put(sized.where((F.col("_length") > 0) & (thin | (F.col("_area") < SLIVER_AREA)) & ~F.col("_crossed")), "legacy", pid, "Sliver", "Low", F.lit("Narrow or tiny polygon; verify its boundary"))
+    put(overlaps, "legacy", F.concat_ws(" & ", "a", "b"), "Overlap", "High", F.format_string("Parcels %s and %s overlap by %.1f m2", F.col("a").cast("string"), F.col("b").cast("string"), rounded(F.col("overlap"), 1)))
+    lost = (F.abs("latitude") > 90) | (F.abs("longitude") > 180) | F.col("latitude").isNull() | F.col("longitude").isNull()
+    put(gnss.where(lost), "gnss", F.col("point_id"), "GNSS Out Of Range", "Medium", F.lit("Position outside the range of degrees"))
+    return out
 
 
 def source_counts(**sources: DataFrame) -> DataFrame:
@@ -103,44 +112,91 @@ def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def loops(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
-    """The two loops of a ring that crosses itself once; no loops if it crosses more often."""
-    n, cuts = len(ring), []
+    """The loops of a ring that crosses or touches itself, each of which does neither; none if edges run along each other.
+
+    Every edge is cut where another meets it. Along the cut ring, a point that is met again closes a loop, which is taken out.
+    """
+    n = len(ring)
+    cuts: list[list[tuple[float, tuple[float, float]]]] = [[] for _ in range(n)]
     for i in range(n):
-        for j in range(i + 2, n):
-            if i == 0 and j == n - 1:
-                continue
+        for j in range(i + 1, n):
             (ax, ay), (bx, by), (cx, cy), (dx, dy) = ring[i], ring[(i + 1) % n], ring[j], ring[(j + 1) % n]
             den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
             if den:
                 t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
-                if 0 <= t <= 1 and 0 <= u <= 1:
-                    cuts.append((i, j, (ax + t * (bx - ax), ay + t * (by - ay))))
-    if len(cuts) != 1:
-        return []
-    i, j, x = cuts[0]
-    return [[x, *ring[i + 1 : j + 1]], [x, *ring[j + 1 :], *ring[: i + 1]]]
+                if 0 <= t <= 1 and 0 <= u <= 1 and j not in (i + 1, i + n - 1):
+                    at = ring[i] if t == 0 else ring[(i + 1) % n] if t == 1 else ring[j] if u == 0 else ring[(j + 1) % n] if u == 1 else (ax + t * (bx - ax), ay + t * (by - ay))
+                    cuts[i].append((t, at))
+                    cuts[j].append((u, at))
+            elif (bx - ax) * (cy - ay) == (by - ay) * (cx - ax):
+                along = lambda x, y: (x - ax) * (bx - ax) + (y - ay) * (by - ay)
+                if max(min(along(cx, cy), along(dx, dy)), 0.0) < min(max(along(cx, cy), along(dx, dy)), along(bx, by)):
+                    return []
+    path: list[tuple[float, float]] = []
+    place: dict[tuple[float, float], int] = {}
+    found = []
+    for i in range(n):
+        for at in [ring[i], *(p for _, p in sorted(cuts[i]))]:
+            if path and at == path[-1]:
+                continue
+            if at in place:
+                loop = path[place[at] :]
+                for p in loop[1:]:
+                    del place[p]
+                del path[place[at] + 1 :]
+                if len(loop) >= 3:
+                    found.append(loop)
+            else:
+                place[at] = len(path)
+                path.append(at)
+    return [*found, path] if len(path) >= 3 else found
+
 
+def signed(ring: list[tuple[float, float]]) -> float:
+    """Area, negative for a clockwise ring; about the first vertex, so that large coordinates cost no digits."""
+    x0, y0 = ring[0]
+    return math.fsum((a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
 
-REPAIRED = "parcel_id long, original_wkt string, repaired array<struct<x:double,y:double>>, outcome string"
+
+def largest_loop(ring: list[tuple[float, float]]) -> list[tuple[float, float]] | None:
+    """The loop of largest area, the first of equals; None for degenerate rings."""
+    found = [loop for loop in loops(ring) if signed(loop)]
+    return max(found, key=lambda loop: abs(signed(loop))) if found else None
+
+
+def _fixed(ring: list) -> list[dict] | None:
+    best = largest_loop([(p["x"], p["y"]) for p in ring])
+    return [{"x": x, "y": y} for x, y in best] if best else None
+
+
+REPAIRED = f"parcel_id long, original_wkt string, repaired {S.RING}, outcome string"
 
 
 def repaired(parcels: DataFrame) -> DataFrame:
-    """Rows of self-crossing rings with the larger of their two loops; several crossings are quarantined.
+    """Rows of rings that cross or touch themselves with the largest of their loops; rings whose edges run along each other, or without any area, are quarantined.
 
     Only flagged rows reach Python.
     """
 
-    def size(ring: list[tuple[float, float]]) -> float:
-        return abs(math.fsum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for pid, ring, text in zip(batch["parcel_id"], batch["ring"], batch["wkt"], strict=True):
-                found = loops([(p["x"], p["y"]) for p in ring])
-                best = max(found, key=size) if found else None
-                rows.append((pid, text, [{"x": x, "y": y} for x, y in best] if best else None, "REPAIRED" if best else "QUARANTINED"))
-            yield pd.DataFrame(rows, columns=["parcel_id", "original_wkt", "repaired", "outcome"])
+            best = [_fixed(ring) for ring in batch["ring"]]
+            yield pd.DataFrame({"parcel_id": batch["parcel_id"], "original_wkt": batch["wkt"], "repaired": best, "outcome": ["REPAIRED" if b else "QUARANTINED" for b in best]})
 
     flagged = parcels.where(G.crosses_itself(F.col("ring"))).select(F.col("parcel_id").cast("long"), "ring", G.wkt(F.col("ring")).alias("wkt"))
     return flagged.mapInPandas(run, REPAIRED)
+
+
+def repaired_polygons(flagged: DataFrame, key: str) -> DataFrame:
+    """key, original_wkt, repaired (shape), outcome: each ring of a shape that crosses itself becomes its largest loop; a shape with a ring that can't be repaired is quarantined."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            best = [[_fixed(ring) for ring in rings] for rings in batch["rings"]]
+            best = [b if all(b) else None for b in best]
+            yield pd.DataFrame({key: batch[key], "wkt": batch["wkt"], "rings": best, "outcome": ["REPAIRED" if b else "QUARANTINED" for b in best]})
+
+    kind = dict(flagged.dtypes)[key]
+    rows = flagged.select(key, F.col("shape.parts").alias("rings"), S.wkt(F.col("shape")).alias("wkt"))
+    fixed = rows.mapInPandas(run, f"{key} {kind}, wkt string, rings array<{S.RING}>, outcome string")
+    return fixed.select(key, F.col("wkt").alias("original_wkt"), F.when(F.col("rings").isNotNull(), S.of_rings(F.col("rings"))).alias("repaired"), "outcome")

@@ -88,6 +88,15 @@ SELECT s_suppkey AS feature_id, CASE WHEN s_suppkey % 4 = 0 THEN 'building' WHEN
        CAST(s_suppkey * 37 % {ROW * CELL} AS DOUBLE) AS x1, CAST(s_suppkey * 11 % 800 AS DOUBLE) + 0.5 AS y1,
        CAST(s_suppkey * 37 % {ROW * CELL} + 30 + s_suppkey % 50 AS DOUBLE) AS x2, CAST(s_suppkey * 11 % 800 + s_suppkey % 17 AS DOUBLE) + 0.5 AS y2
 FROM {{supplier}}""",
+    # Five usual types, one other and none; lines and points, and some without coordinates.
+    "utilities": f"""
+SELECT feature_id, CASE WHEN feature_id % 7 = 0 THEN 'Electricity' WHEN feature_id % 7 = 1 THEN 'Water' WHEN feature_id % 7 = 2 THEN 'Sewer' WHEN feature_id % 7 = 3 THEN 'Gas' WHEN feature_id % 7 = 4 THEN 'Telecom' WHEN feature_id % 7 = 5 THEN 'Steam' END AS utility_type,
+       CASE WHEN feature_id % 5 = 0 THEN 'point' ELSE 'line' END AS kind, x1, y1, CASE WHEN feature_id % 5 = 0 THEN x1 ELSE x1 + 30 + feature_id % 50 END AS x2, CASE WHEN feature_id % 5 = 0 THEN y1 ELSE y1 + feature_id % 17 END AS y2
+FROM (SELECT s_suppkey AS feature_id, CAST(CASE WHEN s_suppkey % 11 = 3 THEN NULL ELSE s_suppkey * 53 % {ROW * CELL} END AS DOUBLE) AS x1, CAST(s_suppkey * 17 % 900 AS DOUBLE) + 0.5 AS y1 FROM {{supplier}}) u0""",
+    # Squares with a square hole in them: some smaller than a parcel, some over many, some whose hole holds parcels.
+    "lakes": f"""
+SELECT feature_id, CASE WHEN feature_id % 4 = 0 THEN 'building' WHEN feature_id % 4 = 1 THEN 'water' WHEN feature_id % 4 = 2 THEN 'power' ELSE 'road' END AS layer, CASE WHEN feature_id % 13 = 5 THEN NULL ELSE x END AS x, y, w
+FROM (SELECT s_suppkey AS feature_id, CAST(s_suppkey * 131 % {ROW * CELL} AS DOUBLE) + 0.5 AS x, CAST(s_suppkey * 71 % 800 AS DOUBLE) + 0.25 AS y, CAST(12 + s_suppkey % 6 * 64 AS DOUBLE) AS w FROM {{supplier}}) k0""",
     "snapshot_old": """
 SELECT o_orderkey AS feature_id, CAST(o_custkey AS BIGINT) AS parcel_id, CAST(floor(o_totalprice) AS DOUBLE) AS area, o_orderpriority AS owner, o_orderkey % 1000 AS geom_key FROM {orders} WHERE o_orderkey % 11 <> 0""",
     "snapshot_new": """

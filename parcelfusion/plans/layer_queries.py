@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import shapes as S
 from ..functions import text as X
 from ..functions.numbers import rounded
 from ..operators import georeference as Q
@@ -76,7 +77,7 @@ def _bowties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = derived(spark, sf_dir, "gnss").select("point_id", (F.col("x") / 20).alias("longitude"), (F.col("y") / 20).alias("latitude"))
-    return T.validation_issues(_bowties(spark, sf_dir), _overlapping(spark, sf_dir), g).groupBy("source", "issue", "severity").agg(F.count("*").alias("n"))
+    return T.validation_issues(_bowties(spark, sf_dir), _overlapping(spark, sf_dir), g).groupBy("source", "issue", "severity", "auto_fixed").agg(F.count("*").alias("n"))
 
 
 def repaired_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,24 @@ def parcel_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parcel_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.parcel_utilities(derived(spark, sf_dir, "parcels"), derived(spark, sf_dir, "layers"))
+    return _counted(L.parcel_utilities(derived(spark, sf_dir, "parcels"), _assets(spark, sf_dir)))
+
+
+def parcel_utilities_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within 15 m, and the nearest asset from the parcel's boundary."""
+    return _counted(L.parcel_utilities(derived(spark, sf_dir, "parcels"), _assets(spark, sf_dir), 15.0, by_centroid=False))
+
+
+def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and points; one in eleven has no shape."""
+    u = derived(spark, sf_dir, "utilities")
+    shape = F.when(F.col("x1").isNull(), None).when(F.col("kind") == "point", S.of_point(F.col("x1"), F.col("y1"))).otherwise(S.of_line(F.col("line")))
+    return u.select("feature_id", "utility_type", shape.alias("shape"))
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    each = F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return found.withColumn("counts", F.array_join(each, ","))
 
 
 def parcel_utilities_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,40 +154,50 @@ _CROSS = (
 )
 
 
-def lines_sql(radius: float) -> str:
-    """CTE ln: parcels and lines whose boxes come within ``radius``, with their distance and that from the centroid."""
+def lines_sql(radius: float, table: str = "layers", others: str = "l.layer, ") -> str:
+    """CTE ln: parcels and lines of a table whose boxes come within ``radius``, with their distance and those from the centroid to the line and to its middle."""
     xs, ys = ", ".join(f"p.x{i}" for i in range(1, 5)), ", ".join(f"p.y{i}" for i in range(1, 5))
     line_to = lambda x, y: _seg("z.p", "z.").replace("z.px", x).replace("z.py", y).replace("z.ax", "l.x1").replace("z.ay", "l.y1").replace("z.bx", "l.x2").replace("z.by_", "l.y2")
     edge_to = lambda x, y: _seg("z.p", "z.").replace("z.px", x).replace("z.py", y).replace("z.", "e.")
     return f"""pe AS MATERIALIZED ({edge_rows("parcels", "parcel_id")}),
-lp AS (SELECT p.parcel_id, l.* FROM parcels p JOIN layers l ON least({xs}) - {radius} <= greatest(l.x1, l.x2) AND least(l.x1, l.x2) <= greatest({xs}) + {radius} AND least({ys}) - {radius} <= greatest(l.y1, l.y2) AND least(l.y1, l.y2) <= greatest({ys}) + {radius}),
+lp AS (SELECT p.parcel_id, l.* FROM parcels p JOIN {table} l ON least({xs}) - {radius} <= greatest(l.x1, l.x2) AND least(l.x1, l.x2) <= greatest({xs}) + {radius} AND least({ys}) - {radius} <= greatest(l.y1, l.y2) AND least(l.y1, l.y2) <= greatest({ys}) + {radius}),
 lc AS (
   SELECT e.id, any_value(e.ox) + sum((e.ax - e.ox + e.bx - e.ox) * w) / (3 * sum(w)) AS gx, any_value(e.oy) + sum((e.ay - e.oy + e.by_ - e.oy) * w) / (3 * sum(w)) AS gy
   FROM (SELECT a.*, o.ox, o.oy, (a.ax - o.ox) * (a.by_ - o.oy) - (a.bx - o.ox) * (a.ay - o.oy) AS w FROM pe a JOIN (SELECT id, ax AS ox, ay AS oy FROM pe WHERE i = 1) o USING (id)) e GROUP BY e.id),
 ln AS MATERIALIZED (
-  SELECT l.parcel_id, l.feature_id, l.layer, l.utility_type, any_value({line_to("c.gx", "c.gy")}) AS from_centroid,
+  SELECT l.parcel_id, l.feature_id, {others}l.utility_type, any_value(sqrt(((l.x1 + l.x2) / 2 - c.gx) * ((l.x1 + l.x2) / 2 - c.gx) + ((l.y1 + l.y2) / 2 - c.gy) * ((l.y1 + l.y2) / 2 - c.gy))) AS from_middle, any_value({line_to("c.gx", "c.gy")}) AS from_centroid,
          CASE WHEN bool_or({_CROSS}) OR sum(CASE WHEN (e.ay > l.y1) <> (e.by_ > l.y1) AND l.x1 < e.ax + (l.y1 - e.ay) * (e.bx - e.ax) / nullif(e.by_ - e.ay, 0) THEN 1 ELSE 0 END) % 2 = 1 THEN 0
               ELSE least(min({line_to("e.ax", "e.ay")}), min({edge_to("l.x1", "l.y1")}), min({edge_to("l.x2", "l.y2")})) END AS distance
   FROM lp l JOIN pe e ON e.id = l.parcel_id JOIN lc c ON c.id = l.parcel_id GROUP BY ALL)"""
 
 
 def building_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.building_audit(derived(spark, sf_dir, "buildings"), derived(spark, sf_dir, "parcels"), EXTENT)
+    found = L.building_audit(derived(spark, sf_dir, "buildings"), derived(spark, sf_dir, "parcels"), EXTENT)
+    return found.select("building_id", "parcel_id", "inside_pct", "outside_pct", "encroached", "in_extent", "rectangle", "conflict")
 
 
 def building_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.audit_summary(building_audit(spark, sf_dir))
 
 
+def touching(name: str, pairs: str, left: str, right: str, a: str, b: str) -> str:
+    """CTE ``name``(a, b): pairs of quadrilaterals (edges in the CTEs ``left`` and ``right``) that share a point: edges meet, or one holds the other's first corner."""
+    inside = lambda p, q: f"sum(CASE WHEN {p}.i = 1 AND ({q}.ay > {p}.ay) <> ({q}.by_ > {p}.ay) AND {p}.ax < {q}.ax + ({p}.ay - {q}.ay) * ({q}.bx - {q}.ax) / nullif({q}.by_ - {q}.ay, 0) THEN 1 ELSE 0 END) % 2 = 1"
+    cross = _CROSS.replace("l.x1", "l.ax").replace("l.y1", "l.ay").replace("l.x2", "l.bx").replace("l.y2", "l.by_")
+    return f"""{name} AS (SELECT {a}, {b} FROM {pairs} JOIN {left} e ON e.id = {a} JOIN {right} l ON l.id = {b} GROUP BY ALL HAVING bool_or({cross}) OR {inside("e", "l")} OR {inside("l", "e")})"""
+
+
 AUDIT = f"""be AS MATERIALIZED ({edge_rows("buildings", "building_id")}), pe AS MATERIALIZED ({edge_rows("parcels", "parcel_id")}),
 up AS (SELECT building_id, parcel_id FROM buildings p JOIN parcels d ON {meets("p", "d")}),
 {inter_cte("ui", "up", "be", "pe", "building_id", "parcel_id")},
-uo AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY {rnd("inter", 6)} DESC, parcel_id) AS n FROM ui WHERE inter > 0.000001),
+{touching("ut", "up", "be", "pe", "building_id", "parcel_id")},
+uo AS (SELECT ut.building_id, ut.parcel_id, CASE WHEN inter > 0.000001 THEN inter END AS inter, row_number() OVER (PARTITION BY ut.building_id ORDER BY CASE WHEN inter > 0.000001 THEN {rnd("inter", 6)} END DESC NULLS LAST, ut.parcel_id) AS n FROM ut LEFT JOIN ui USING (building_id, parcel_id)),
+ub AS (SELECT * FROM uo WHERE n = 1 AND inter IS NOT NULL),
 ua AS (
-  SELECT b.building_id, u.parcel_id, least(100, coalesce({rnd("u.inter", 6)}, 0) / ((x2 - x1) * (y4 - y1)) * 100.0) AS inside, coalesce(o.others, '') AS encroached,
-         x1 >= {EXTENT[0]} AND y1 >= {EXTENT[1]} AND x2 <= {EXTENT[2]} AND y4 <= {EXTENT[3]} AS in_extent
-  FROM buildings b LEFT JOIN (SELECT * FROM uo WHERE n = 1) u USING (building_id) LEFT JOIN (SELECT building_id, string_agg(parcel_id::VARCHAR, ',' ORDER BY parcel_id) AS others FROM uo WHERE n > 1 GROUP BY building_id) o USING (building_id)),
-au AS (SELECT building_id, parcel_id, {rnd("inside", 2)} AS inside_pct, {rnd("100.0 - inside", 2)} AS outside_pct, encroached, in_extent, true AS rectangle, inside < 95 AS conflict FROM ua)"""
+  SELECT b.building_id, u.parcel_id, {rnd(f"CASE WHEN u.inter IS NULL THEN 100 ELSE least(100, {rnd('u.inter', 6)} / ((x2 - x1) * (y4 - y1)) * 100.0) END", 1)} AS inside_pct, coalesce(o.others, '') AS encroached,
+         x1 <= {EXTENT[2]} AND x2 >= {EXTENT[0]} AND y1 <= {EXTENT[3]} AND y4 >= {EXTENT[1]} AS in_extent
+  FROM buildings b LEFT JOIN ub u USING (building_id) LEFT JOIN (SELECT uo.building_id, string_agg(uo.parcel_id::VARCHAR, ',' ORDER BY uo.parcel_id) AS others FROM uo LEFT JOIN ub ON ub.building_id = uo.building_id AND ub.parcel_id = uo.parcel_id WHERE ub.parcel_id IS NULL GROUP BY uo.building_id) o USING (building_id)),
+au AS (SELECT building_id, parcel_id, inside_pct, {rnd("100.0 - inside_pct", 1)} AS outside_pct, encroached, in_extent, true AS rectangle, {rnd("100.0 - inside_pct", 1)} > 5 AS conflict FROM ua)"""
 
 
 def plausible_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +210,7 @@ def lod1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sync_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.changes(derived(spark, sf_dir, "snapshot_old"), derived(spark, sf_dir, "snapshot_new"))
+    return Y.changes(derived(spark, sf_dir, "snapshot_old"), derived(spark, sf_dir, "snapshot_new")).select("feature_id", "parcel_id", "change")
 
 
 def sync_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +271,10 @@ def raster_zonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.zonal(derived(spark, sf_dir, "parcels"), derived(spark, sf_dir, "dem"))
 
 
+def raster_zonal_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.zonal_masked(derived(spark, sf_dir, "parcels"), derived(spark, sf_dir, "dem"), pitch=1.0)
+
+
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     cols = {"width": 500 + k % 7 * 311, "height": 400 + k % 5 * 420, "bands": 1 + k % 4, "res_x": (1 + k % 8) / 64, "unit": F.when(k % 6 == 0, "degree").otherwise("metre"), "crs": F.concat(F.lit("EPSG:3264"), (k % 3).cast("string")), "minx": (k * 97 % 20000).cast("double"), "miny": (k * 31 % 9000).cast("double")}
@@ -289,7 +321,7 @@ def change_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = P.region_report(_regions(spark, sf_dir), _difference(spark, sf_dir), least=3)
-    return found.select(F.col("region.px_row").alias("region_row"), F.col("region.px_col").alias("region_col"), "pixels", "area", "row_min", "row_max", "col_min", "col_max", "mean_1", "mean_2", "kind")
+    return found.select(F.col("region.px_row").alias("region_row"), F.col("region.px_col").alias("region_col"), "pixels", "area", "row_min", "row_max", "col_min", "col_max", "mean_1", "mean_2", "kind", "confidence")
 
 
 _LUM = rnd("0.0::DOUBLE + 0.299::DOUBLE * b1 + 0.587::DOUBLE * b2 + 0.114::DOUBLE * b3", 6)
@@ -442,12 +474,22 @@ _FIELDS = """rf AS (
   SELECT doc_id, 'status', regexp_extract(text, 'Status: ([A-Za-z]+)', 1), 0.95::DOUBLE FROM register_text)"""
 
 
+def _utilities_sql(within: float, measure: str) -> str:
+    """Counts by type within the distance; the nearest of all assets, 999 at most."""
+    five = ", ".join(f"coalesce(sum(n) FILTER (utility_type = '{k}'), 0)::BIGINT AS n_{k.lower()}" for k in L.UTILITIES)
+    return check(lines_sql(1e9, "utilities", "") + f""",
+uc AS (SELECT parcel_id, utility_type, count(*) AS n, min(distance) AS least FROM ln WHERE distance <= {within} GROUP BY ALL),
+us AS (SELECT parcel_id, coalesce(string_agg(utility_type, ',' ORDER BY utility_type) FILTER (least = 0), '') AS meets, coalesce(string_agg(utility_type, ',' ORDER BY utility_type), '') AS near, coalesce(string_agg(utility_type || ':' || n, ',' ORDER BY utility_type), '') AS counts, {five} FROM uc GROUP BY parcel_id),
+un AS (SELECT parcel_id, min({measure}) AS least FROM ln GROUP BY parcel_id)""", f"""SELECT p.parcel_id, coalesce(meets, '') AS meets, coalesce(near, '') AS near, coalesce(counts, '') AS counts, {", ".join(f"coalesce(n_{k.lower()}, 0) AS n_{k.lower()}" for k in L.UTILITIES)},
+  {" + ".join(f"coalesce(n_{k.lower()}, 0)" for k in L.UTILITIES)} AS utilities, {rnd("least(coalesce(un.least, 999), 999)", 1)} AS nearest_m FROM parcels p LEFT JOIN us USING (parcel_id) LEFT JOIN un USING (parcel_id)""", "parcels", "utilities")
+
+
 _SHARED = rnd("inter", 2)
 QUERIES = {
     "parcel_overlaps": (parcel_overlaps, check(OVERLAPS, f"SELECT a, b, {rnd('inter', 3)} AS overlap FROM ro", "drone")),
     "shared_boundaries": (shared_boundaries, check(OVERLAPS, f"SELECT a, b, w AS strategy, {_SHARED} AS overlap, {rnd('area_a', 2)} AS a_before, {rnd('area_b', 2)} AS b_before, {rnd('area_a - CASE WHEN w = $$PRIORITIZE_A$$ THEN 0 ELSE inter END', 2)} AS a_after, {rnd('area_b - CASE WHEN w = $$PRIORITIZE_A$$ THEN inter ELSE 0 END', 2)} AS b_after, CASE a % 3 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' ELSE 'PENDING' END AS decision FROM ro CROSS JOIN (SELECT unnest(['PRIORITIZE_A', 'PRIORITIZE_B']) AS w)", "drone")),
     "bisected_boundaries": (bisected_boundaries, _bisect_sql()),
-    "validation_issues": (validation_issues, check(OVERLAPS, "SELECT * FROM (SELECT 'legacy' AS source, 'Missing Geometry' AS issue, 'High' AS severity, count(*) AS n FROM parcels WHERE parcel_id % 47 = 7 AND parcel_id % 41 <> 5 AND parcel_id % 43 <> 6 UNION ALL SELECT 'legacy', 'Self Intersection', 'High', count(*) FROM parcels WHERE parcel_id % 41 = 5 UNION ALL SELECT 'legacy', 'Overlap', 'High', count(*) FROM ro UNION ALL SELECT 'gnss', 'GNSS Out Of Range', 'Medium', count(*) FROM gnss WHERE abs(y / 20) > 90 OR abs(x / 20) > 180 UNION ALL SELECT 'legacy', 'Sliver', 'Medium', count(*) FROM parcels WHERE parcel_id % 43 = 6 AND parcel_id % 41 <> 5) WHERE n > 0", "parcels", "drone", "gnss")),
+    "validation_issues": (validation_issues, check(OVERLAPS, "SELECT * FROM (SELECT 'legacy' AS source, 'Missing Geometry' AS issue, 'High' AS severity, false AS auto_fixed, count(*) AS n FROM parcels WHERE parcel_id % 47 = 7 AND parcel_id % 41 <> 5 AND parcel_id % 43 <> 6 UNION ALL SELECT 'legacy', 'Self-Intersection', 'Medium', true, count(*) FROM parcels WHERE parcel_id % 41 = 5 UNION ALL SELECT 'legacy', 'Overlap', 'High', false, count(*) FROM ro UNION ALL SELECT 'gnss', 'GNSS Out Of Range', 'Medium', false, count(*) FROM gnss WHERE abs(y / 20) > 90 OR abs(x / 20) > 180 UNION ALL SELECT 'legacy', 'Sliver', 'Low', false, count(*) FROM parcels WHERE parcel_id % 43 = 6 AND parcel_id % 41 <> 5) WHERE n > 0", "parcels", "drone", "gnss")),
     "repaired_rings": (repaired_rings, check("""t AS (SELECT *, ((x2 - x1) * (y4 - y2) - (y2 - y1) * (x4 - x2)) / ((x3 - x1) * (y4 - y2) - (y3 - y1) * (x4 - x2)) AS t FROM parcels WHERE parcel_id % 41 = 5),
 x AS (SELECT *, x1 + t * (x3 - x1) AS px, y1 + t * (y3 - y1) AS py FROM t)""", f"SELECT parcel_id, 'REPAIRED' AS outcome, {rnd('greatest(abs((x3 - px) * (y2 - py) - (y3 - py) * (x2 - px)), abs((x4 - px) * (y1 - py) - (y4 - py) * (x1 - px))) / 2', 3)} AS area FROM x", "parcels")),
     "duplicate_geometries": (duplicate_geometries, check("", "SELECT parcel_key AS first_id, 2::BIGINT AS n FROM drone WHERE parcel_key % 10 = 0", "drone")),
@@ -458,10 +500,11 @@ be AS (SELECT id, i, ax AS x1, ay AS y1, bx AS x2, by_ AS y2 FROM ({edge_rows("b
 bh AS (SELECT parcel_id, building_id FROM lb JOIN pe e ON e.id = lb.parcel_id JOIN be l ON l.id = lb.building_id GROUP BY ALL
   HAVING bool_or({_CROSS}) OR sum(CASE WHEN l.i = 1 AND (e.ay > l.y1) <> (e.by_ > l.y1) AND l.x1 < e.ax + (l.y1 - e.ay) * (e.bx - e.ax) / nullif(e.by_ - e.ay, 0) THEN 1 ELSE 0 END) % 2 = 1)""",
         f"SELECT p.parcel_id, coalesce(b.n, 0)::BIGINT AS buildings, coalesce(road_m, 0) AS road_m, coalesce(water, false) AS water, coalesce(power, false) AS power FROM parcels p LEFT JOIN (SELECT parcel_id, count(*) AS n FROM bh GROUP BY parcel_id) b ON b.parcel_id = p.parcel_id LEFT JOIN (SELECT parcel_id, {rnd('min(CASE WHEN layer = $$road$$ THEN distance END)', 2)} AS road_m, bool_or(layer = 'water' AND distance = 0) AS water, bool_or(layer = 'power' AND distance = 0) AS power FROM ln GROUP BY parcel_id) x ON x.parcel_id = p.parcel_id", "parcels", "layers", "buildings")),
-    "parcel_utilities": (parcel_utilities, check(lines_sql(35.0), f"SELECT p.parcel_id, coalesce(meets, '') AS meets, coalesce(near, '') AS near, coalesce(n_power, 0)::BIGINT AS n_power, coalesce(n_sewer, 0)::BIGINT AS n_sewer, coalesce(n_water, 0)::BIGINT AS n_water, nearest_m FROM parcels p LEFT JOIN (SELECT parcel_id, string_agg(DISTINCT utility_type, ',' ORDER BY utility_type) FILTER (distance = 0) AS meets, string_agg(DISTINCT utility_type, ',' ORDER BY utility_type) AS near, sum((utility_type = 'POWER')::INT) AS n_power, sum((utility_type = 'SEWER')::INT) AS n_sewer, sum((utility_type = 'WATER')::INT) AS n_water, {rnd('min(from_centroid)', 2)} AS nearest_m FROM ln WHERE distance <= 35 GROUP BY parcel_id) x ON x.parcel_id = p.parcel_id", "parcels", "layers")),
+    "parcel_utilities": (parcel_utilities, _utilities_sql(35, "from_middle")),
+    "parcel_utilities_edge": (parcel_utilities_edge, _utilities_sql(15, "distance")),
     "parcel_utilities_15m": (parcel_utilities_15m, check(lines_sql(15.0), f"SELECT parcel_id, feature_id, utility_type, {rnd('distance', 2)} AS distance FROM ln WHERE distance <= 15", "parcels", "layers")),
     "building_audit": (building_audit, check(AUDIT, "SELECT * FROM au", "parcels", "buildings")),
-    "building_audit_summary": (building_audit_summary, check(AUDIT, "SELECT count(*) AS validated, sum(in_extent::INT)::BIGINT AS in_extent, sum(conflict::INT)::BIGINT AS conflicts, sum((inside_pct >= 95)::INT)::BIGINT AS contained FROM au", "parcels", "buildings")),
+    "building_audit_summary": (building_audit_summary, check(AUDIT, "SELECT count(*) AS validated, sum(in_extent::INT)::BIGINT AS in_extent, sum(conflict::INT)::BIGINT AS conflicts, sum((NOT conflict)::INT)::BIGINT AS contained FROM au", "parcels", "buildings")),
     "plausible_buildings": (plausible_buildings, check(f"de AS MATERIALIZED ({edge_rows('detections', 'building_id')}), dp AS (SELECT id, abs(sum(ax * by_ - bx * ay)) / 2 AS area, sum(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))) AS around, max(ax) - min(ax) AS w, max(ay) - min(ay) AS h FROM de GROUP BY id)",
         "SELECT id AS building_id FROM dp WHERE area BETWEEN 15 AND 1800 AND greatest(w, h) <= 70 AND greatest(w, h) <= 4.5 * least(w, h) AND 4 * pi() * area / (around * around) >= 0.12", "detections")),
     "lod1_blocks": (lod1_blocks, check("", "SELECT building_id, 430.0::DOUBLE + h AS roof_elevation, (x2 - x1) * (y4 - y1) * h AS volume, 430.0::DOUBLE + h AS roof_z, h AS stratum_height FROM (SELECT *, (building_id % 9 + 3)::DOUBLE AS h FROM buildings)", "buildings")),
@@ -476,14 +519,15 @@ bh AS (SELECT parcel_id, building_id FROM lb JOIN pe e ON e.id = lb.parcel_id JO
     "raster_stats": (raster_stats, check("", f"SELECT raster_id, count(*) AS n, min(elev) AS low, max(elev) AS high, {rnd('avg(elev)', 4)} AS mean FROM dem WHERE elev <> -9999 GROUP BY raster_id", "dem")),
     "raster_window": (raster_window, check("", "SELECT raster_id, count(*) AS n FROM dem WHERE x BETWEEN 400 AND 1600 AND y BETWEEN 40 AND 160 GROUP BY raster_id", "dem")),
     "raster_zonal": (raster_zonal, check("", f"SELECT parcel_id, count(*) AS n, min(elev) AS low, max(elev) AS high, {rnd('avg(elev)', 4)} AS mean, max(elev) - min(elev) AS relief, {rnd('degrees(atan2(max(elev) - min(elev), 35.0))', 4)} AS slope FROM parcels p JOIN dem m ON m.x BETWEEN least(x1, x2, x3, x4) AND greatest(x1, x2, x3, x4) AND m.y BETWEEN least(y1, y2, y3, y4) AND greatest(y1, y2, y3, y4) WHERE elev <> -9999 GROUP BY parcel_id", "parcels", "dem")),
-    "raster_registration": (raster_registration, f"WITH {HEADERS} SELECT raster_id, {rnd('res_x * CASE WHEN unit = $$degree$$ THEN 11113900.0 ELSE 100.0 END', 2)} AS gsd_cm, CASE WHEN bands >= 4 THEN 'Red,Green,Blue,NIR' WHEN bands = 3 THEN 'Red,Green,Blue' ELSE 'Gray' END AS band_names FROM h"),
+    "raster_zonal_masked": (raster_zonal_masked, check(f"pe AS MATERIALIZED ({edge_rows('parcels', 'parcel_id')}), mp AS (SELECT parcel_id, m.rid, any_value(m.elev) AS elev FROM parcels p JOIN (SELECT *, row_number() OVER () AS rid FROM dem) m ON m.elev <> -9999 AND m.x BETWEEN least(x1, x2, x3, x4) AND greatest(x1, x2, x3, x4) AND m.y BETWEEN least(y1, y2, y3, y4) AND greatest(y1, y2, y3, y4) JOIN pe e ON e.id = p.parcel_id GROUP BY ALL HAVING sum(CASE WHEN (e.ay > m.y) <> (e.by_ > m.y) AND m.x < e.ax + (m.y - e.ay) * (e.bx - e.ax) / nullif(e.by_ - e.ay, 0) THEN 1 ELSE 0 END) % 2 = 1)".replace("GROUP BY ALL", "GROUP BY parcel_id, m.rid, m.x, m.y"), f"SELECT parcel_id, count(*) AS n, min(elev) AS low, max(elev) AS high, {rnd('avg(elev)', 4)} AS mean, max(elev) - min(elev) AS relief, {rnd('degrees(atan2(max(elev) - min(elev), 35.0))', 4)} AS slope FROM mp GROUP BY parcel_id", "parcels", "dem")),
+    "raster_registration": (raster_registration, f"WITH {HEADERS} SELECT raster_id, {rnd('res_x * CASE WHEN unit = $$degree$$ THEN 11113900.0 ELSE 100.0 END', 1)} AS gsd_cm, CASE bands WHEN 4 THEN 'Red,Green,Blue,Near-Infrared (NIR)' WHEN 1 THEN 'Panchromatic/Grayscale' ELSE 'Red,Green,Blue' END AS band_names FROM h"),
     "raster_tiles": (raster_tiles, f"WITH {HEADERS}, x AS (SELECT *, unnest(range(0, greatest(width - 64, 1), 576)) AS x0 FROM h), y AS (SELECT *, unnest(range(0, greatest(height - 64, 1), 576)) AS y0 FROM x) SELECT raster_id, x0, y0, least(640, width - x0) AS w, least(640, height - y0) AS h FROM y"),
     "raster_comparable": (raster_comparable, f"WITH {HEADERS} SELECT p.raster_id AS a, q.raster_id AS b, p.crs FROM h p JOIN h q ON p.raster_id < q.raster_id AND p.crs = q.crs AND p.minx <= q.maxx AND q.minx <= p.maxx AND p.miny <= q.maxy AND q.miny <= p.maxy"),
     "raster_difference": (raster_difference, check(DIFF, "SELECT * FROM df", "pixels_1", "pixels_2")),
     "raster_mask": (raster_mask, check(f"{DIFF},\n{MORPH}", "SELECT * FROM m4", "pixels_1", "pixels_2")),
     "change_regions": (change_regions, check(f"{DIFF},\n{MORPH},\n{REGIONS}", f"SELECT {NAMED}, count(*) AS pixels FROM rr GROUP BY region", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
     "change_region_report": (change_region_report, check(f"{DIFF},\n{MORPH},\n{REGIONS},\nq AS (SELECT region, count(*) AS pixels, count(*) * 0.25::DOUBLE AS area, min(px_row) AS row_min, max(px_row) AS row_max, min(px_col) AS col_min, max(px_col) AS col_max, {rnd('avg(g1) + 1e-9', 3)} AS mean_1, {rnd('avg(g2) + 1e-9', 3)} AS mean_2 FROM rr JOIN df USING (px_row, px_col) GROUP BY region HAVING count(*) >= 3)",
-        f"SELECT q.* EXCLUDE (region), {NAMED}, CASE WHEN mean_2 - mean_1 > 35 THEN 'ADDED' WHEN mean_2 - mean_1 < -35 THEN 'REMOVED' WHEN abs(mean_2 - mean_1) > 15 AND pixels < 1500 THEN 'EXPANSION' ELSE 'LAND_COVER' END AS kind FROM q", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
+        f"SELECT q.* EXCLUDE (region), {NAMED}, CASE WHEN mean_2 - mean_1 > 35 THEN 'BUILDING_ADDED' WHEN mean_2 - mean_1 < -35 THEN 'BUILDING_REMOVED' WHEN abs(mean_2 - mean_1) > 15 AND pixels < 1500 THEN 'BUILDING_EXPANSION' ELSE 'SIGNIFICANT_LAND_COVER_CHANGE' END AS kind, CASE WHEN mean_2 - mean_1 > 35 THEN 93.5 WHEN mean_2 - mean_1 < -35 THEN 91.0 WHEN abs(mean_2 - mean_1) > 15 AND pixels < 1500 THEN 89.5 ELSE 88.0 END::DOUBLE AS confidence FROM q", "pixels_1", "pixels_2").replace("WITH ", "WITH RECURSIVE ", 1)),
     "affine_residuals": (affine_residuals, check(_AFFINE, f"SELECT sheet_id, any_value(n) AS n, {rnd('sqrt(avg(sq))', 4)} AS rmse, {rnd('avg(sqrt(sq))', 4)} AS mean_residual, {rnd('sqrt(max(sq))', 4)} AS max_residual, sqrt(avg(sq)) <= 2.5 AS accepted FROM r GROUP BY sheet_id", "control_points")),
     "affine_to_map": (affine_to_map, check(_AFFINE, f"SELECT p.point_id, {rnd('mx', 3)} AS x, {rnd('my', 3)} AS y FROM control_points p LEFT JOIN r USING (point_id)", "control_points")),
     "utm_round_trip": (utm_round_trip, _utm_sql()),

@@ -364,7 +364,10 @@ _EXPLAINED = """CASE "case" WHEN 'survey_agrees' THEN 'Survey points and drone b
   WHEN 'high_confidence' THEN printf('Sources agree (%.1f%% confidence).', sc) WHEN 'displaced' THEN printf('The boundary is displaced (geometry agreement %.1f%%); verify in the field.', gm)
   WHEN 'area_differs' THEN printf('Register and polygon differ by %.1f m2; the drone extent is recommended until confirmed.', abs(coalesce(rev_area, 0) - area))
   WHEN 'missing' THEN 'No footprint was detected in the imagery; inspect on the ground.' ELSE printf('Evidence gives %.1f%% confidence.', sc) END"""
-_RECORDED = f"SELECT parcel_id::VARCHAR AS feature_id, 'Boundary Shift' AS change_type, {rnd('abs(d.area - p.area)', 1)} AS magnitude FROM parcels p JOIN drone d ON d.parcel_key = p.parcel_id WHERE {rnd('abs(d.area - p.area)', 1)} > 20 UNION ALL SELECT building_id::VARCHAR, 'New Building', (x2 - x1) * (y4 - y1) FROM buildings"
+_DELTA = rnd("abs(d.area - p.area)", 1)
+_RECORDED = f"""SELECT parcel_id::VARCHAR AS feature_id, full_survey AS survey_no, 'Boundary Alignment Shift' AS change_type, 'High' AS severity, printf('Legacy Map Extent: %.1f m2', p.area) AS previous_value,
+  printf('Drone/GNSS Survey Extent: %.1f m2 (+%.1f m2)', {rnd(f"p.area + {_DELTA}", 1)}, {_DELTA}) AS current_value, {_DELTA} AS magnitude FROM parcels p JOIN drone d ON d.parcel_key = p.parcel_id WHERE {_DELTA} > 20
+UNION ALL SELECT building_id::VARCHAR, NULL, 'New Building Construction', 'Medium', 'Vacant Plot / Open Land', printf('New Structure (%.1f m2)', (x2 - x1) * (y4 - y1)), (x2 - x1) * (y4 - y1) FROM buildings"""
 _TRUE = "(parcel_id % 17 = 3 OR parcel_id % 23 = 5 OR parcel_id % 19 = 4 OR parcel_id % 29 = 7)"
 _SHARE = lambda x, y: rnd(f"coalesce({x}::DOUBLE / nullif({y}, 0), 0) * 100.0", 2)
 

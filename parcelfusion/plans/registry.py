@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import layer_queries, match_queries, table_queries
+from . import layer_queries, match_queries, shape_queries, table_queries
 
-_ALL = match_queries.QUERIES | layer_queries.QUERIES | table_queries.QUERIES
+_ALL = match_queries.QUERIES | layer_queries.QUERIES | table_queries.QUERIES | shape_queries.QUERIES
 
 
 def queries() -> dict:

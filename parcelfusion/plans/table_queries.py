@@ -36,6 +36,10 @@ def _disputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("seq").alias("parcel_id"), "owner_ref", "land_use", "status").where("status = 'Disputed'")
 
 
+def parcel_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.search(derived(spark, sf_dir, "parcels"), "1_3/%2", ["parcel_id", "full_survey", "survey_no"], "parcel_id", wildcards=True).select("parcel_id", "full_survey")
+
+
 def conflict_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.search(_disputed(spark, sf_dir), "AGRI", ["owner_ref", "land_use", "status"], "parcel_id").select("parcel_id", "owner_ref", "land_use")
 
@@ -73,7 +77,15 @@ def line_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layer_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = derived(spark, sf_dir, "layers").select("layer", "feature_id", F.lit("LineString").alias("geom_type"))
     metadata = layers.select("layer").distinct().withColumn("title", F.concat(F.lit("Layer "), F.upper("layer")))
-    return I.layer_catalogue(layers, metadata)
+    return I.layer_catalogue(layers, metadata).select("layer", "n", "geom_type", "title")
+
+
+def layer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of layers read from files: their first geometry by position, and how many files hold them."""
+    found = I.layers(spark, _layer_files(spark, sf_dir), lines=True)
+    out = I.layer_catalogue(found, found.select("layer", F.lit("a layer").alias("title")).distinct())
+    counted = F.aggregate(F.map_values("files"), F.lit(0).cast("long"), lambda a, n: a + n)
+    return out.select("layer", "n", "geom_type", (counted == F.col("n")).alias("all_files"))
 
 
 def _layer_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
@@ -228,6 +240,7 @@ _KINDS = {"parcels": "VECTOR", "drone": "VECTOR", "gnss": "GNSS", "revenue": "RE
 
 QUERIES = {
     "parcel_search": (parcel_search, check("", "SELECT parcel_id, full_survey, area FROM parcels WHERE land_use = 'Commercial' AND (contains(full_survey, '3/2') OR contains(survey_no, '3/2'))", "parcels")),
+    "parcel_like": (parcel_like, check("", "SELECT parcel_id, full_survey FROM parcels WHERE full_survey LIKE '%1_3/%2%' OR survey_no LIKE '%1_3/%2%'", "parcels")),
     "parcel_lookup": (parcel_lookup, check("n AS (SELECT parcel_id, parcel_id::VARCHAR AS key FROM parcels UNION ALL SELECT parcel_id, full_survey FROM parcels UNION ALL SELECT parcel_id, survey_no FROM parcels)", "SELECT k.key, min(parcel_id) AS parcel_id FROM (SELECT DISTINCT (user_id % 400)::VARCHAR AS key FROM events) k LEFT JOIN n ON n.key = k.key GROUP BY k.key", "parcels")),
     "parcel_list": (parcel_list, check("", "SELECT parcel_id, survey_no, subdivision_no, full_survey, area, land_use FROM parcels", "parcels")),
     "conflict_search": (conflict_search, f"WITH {_DISPUTED} SELECT * FROM d WHERE contains(lower(land_use), 'agri') OR contains(lower(owner_ref), 'agri')"),
@@ -236,6 +249,7 @@ QUERIES = {
     "version_history": (version_history, "SELECT o_orderkey AS id, row_number() OVER w AS version, lead(o_orderdate) OVER w IS NULL AS active FROM orders WHERE o_custkey % 100 = 7 WINDOW w AS (ORDER BY o_orderdate, o_orderkey)"),
     "dataset_catalogue": (dataset_catalogue, check("", " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS n, '{k}' AS kind FROM {n}" for n, k in _KINDS.items()), *_KINDS)),
     "line_shares": (line_shares, check("", f"SELECT layer, metres, {rnd('metres / sum(metres) OVER () * 100.0', 2)} AS percent FROM (SELECT layer, sum(abs(x2 - x1)) AS metres FROM layers GROUP BY layer)", "layers")),
+    "layer_files": (layer_files, check("", "SELECT layer, count(*) AS n, 'LineString' AS geom_type, true AS all_files FROM layers GROUP BY layer", "layers")),
     "layer_catalogue": (layer_catalogue, check("", "SELECT layer, count(*) AS n, 'LineString' AS geom_type, 'Layer ' || upper(layer) AS title FROM layers GROUP BY layer", "layers")),
     "layers_in_box": (layers_in_box, check("", "SELECT feature_id, layer FROM layers WHERE least(x1, x2) <= 2500 AND greatest(x1, x2) >= 500 AND least(y1, y2) <= 600 AND greatest(y1, y2) >= 100", "layers")),
     "single_layer": (single_layer, check("", "SELECT feature_id, layer, least(x1, x2) AS minx FROM layers WHERE layer = 'road'", "layers")),

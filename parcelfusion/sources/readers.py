@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, largest_part, point
+from ..functions import shapes as S
 from ..functions.numbers import padded
 from ..functions.text import crs_code
 from ..scratch import stored
@@ -29,7 +29,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Inside a block of a file, ids that grow by one give the place; the blocks, a row each, give what comes before.
     """
     place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), *place)
+    lines = stored(spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), *place), "lines")  # ids once and for all
     blocks = lines.groupBy("path", "block").agg(F.min("row").alias("first"), (F.max("row") - F.min("row") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("path", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = stored(blocks.select("path", "block", (before - F.col("first")).alias("shift")), "blocks")
@@ -47,12 +47,10 @@ def features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return rows.select("pos", F.col("f.id").alias("id"), F.col("f.properties").alias("props"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"), "crs", crs_code(F.col("crs")).alias("epsg"), "file")
 
 
-def ring_of(geom_type: Column, coordinates: Column) -> Column:
-    """Outer ring of a Polygon, or of the largest part of a MultiPolygon, without its repeated last vertex; else null."""
-    opened = lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda p: point(p[0], p[1]))
-    one = F.from_json(coordinates, "array<array<array<double>>>")
-    many = F.transform(F.from_json(coordinates, "array<array<array<array<double>>>>"), lambda part: opened(part[0]))
-    return F.when(geom_type == "Polygon", opened(one[0])).when(geom_type == "MultiPolygon", largest_part(many))
+def read_shape(f: DataFrame) -> DataFrame:
+    """Features with their shape (see ``functions.shapes``) and, for polygons, ring: the outer ring of the largest part."""
+    geometry = F.col("geom_type"), F.col("coordinates")
+    return f.withColumns({"shape": S.of_geojson(*geometry), "ring": S.exterior_of_geojson(*geometry)})
 
 
 def prop(name: str) -> Column:
@@ -61,21 +59,21 @@ def prop(name: str) -> Column:
 
 def legacy_parcels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Cadastral parcels: ids, survey numbers and area filled in where they are missing."""
-    f = features(spark, path, lines).withColumn("ring", ring_of(F.col("geom_type"), F.col("coordinates")))
+    f = read_shape(features(spark, path, lines))
     n = F.col("pos") + 1
     survey = F.coalesce(prop("survey_no"), (F.col("pos") + 101).cast("string"))
     sub = F.coalesce(prop("subdivision_no"), F.lit("1"))
     return f.select(
         F.coalesce(prop("parcel_id"), F.concat(F.lit("P"), padded(n, 3))).alias("parcel_id"), survey.alias("survey_no"), sub.alias("subdivision_no"),
-        F.coalesce(prop("full_survey"), F.concat_ws("/", survey, sub)).alias("full_survey"), F.coalesce(prop("area").try_cast("double"), area(F.col("ring"))).alias("area"), prop("land_use").alias("land_use"), "ring", "props", "crs", "epsg",
+        F.coalesce(prop("full_survey"), F.concat_ws("/", survey, sub)).alias("full_survey"), F.coalesce(prop("area").try_cast("double"), S.area(F.col("shape"))).alias("area"), prop("land_use").alias("land_use"), "shape", "ring", "props", "crs", "epsg",
     )
 
 
 def drone_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Drone polygons: feature_id from the parcel id or position, candidate survey number, type, area."""
-    f = features(spark, path, lines).withColumn("ring", ring_of(F.col("geom_type"), F.col("coordinates")))
+    f = read_shape(features(spark, path, lines))
     fid = F.coalesce(prop("feature_id"), F.col("id"), prop("parcel_id"), F.concat(F.lit("FE_"), padded(F.col("pos") + 1, 3)))
-    return f.select(fid.alias("feature_id"), prop("survey_candidate").alias("survey_candidate"), prop("feature_type").alias("feature_type"), F.coalesce(prop("area").try_cast("double"), area(F.col("ring"))).alias("area"), "ring", "props", "crs", "epsg")
+    return f.select(fid.alias("feature_id"), prop("survey_candidate").alias("survey_candidate"), prop("feature_type").alias("feature_type"), F.coalesce(prop("area").try_cast("double"), S.area(F.col("shape"))).alias("area"), "shape", "ring", "props", "crs", "epsg")
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -88,48 +86,48 @@ def first_column(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*[F.col(f"`{found[n]}`") for n in names if n in found], F.lit(None).cast("string"))
 
 
+def place() -> Column:
+    """Where a row stands: file, block of the file, place in the block. Write it before it is used twice."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def gnss_points(spark: SparkSession, path: str) -> DataFrame:
-    """Survey points; rows whose position does not parse are dropped, accuracy defaults to 0.03."""
+    """Survey points; rows whose position does not parse are dropped, accuracy defaults to 0.03. ``seq`` orders them as they stand in the files."""
     df = csv(spark, path)
     points = df.select(
         first_column(df, "point_id", "id").alias("point_id"), F.trim(first_column(df, "survey_no")).alias("survey_no"), first_column(df, "latitude", "lat", "y").try_cast("double").alias("latitude"),
-        first_column(df, "longitude", "lon", "lng", "x").try_cast("double").alias("longitude"), F.coalesce(first_column(df, "accuracy_m", "accuracy").try_cast("double"), F.lit(0.03)).alias("accuracy_m"),
+        first_column(df, "longitude", "lon", "lng", "x").try_cast("double").alias("longitude"), F.coalesce(first_column(df, "accuracy_m", "accuracy").try_cast("double"), F.lit(0.03)).alias("accuracy_m"), place().alias("seq"),
     )
     return points.dropna(subset=["latitude", "longitude"])
 
 
 def revenue_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Register rows; an area that does not parse becomes 1000, land use and status have defaults."""
+    """Register rows; an area that does not parse becomes 1000, land use and status have defaults. ``seq`` orders them as they stand in the files."""
     df = csv(spark, path)
     text = lambda name, default: F.trim(F.coalesce(first_column(df, name), F.lit(default))).alias(name)
     return df.select(
-        text("survey_no", ""), text("subdivision_no", ""), text("owner_ref", ""), F.coalesce(first_column(df, "area").try_cast("double"), F.lit(1000.0)).alias("area"), text("land_use", "Residential"), text("status", "Active")
+        text("survey_no", ""), text("subdivision_no", ""), text("owner_ref", ""), F.coalesce(first_column(df, "area").try_cast("double"), F.lit(1000.0)).alias("area"), text("land_use", "Residential"), text("status", "Active"), place().alias("seq")
     )
 
 
 def utilities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Utility features with id, type and status defaults."""
-    f = features(spark, path, lines)
+    """Utility features with id, type and status defaults, and their shape: points, lines or polygons."""
+    f = read_shape(features(spark, path, lines))
     return f.select(
         F.coalesce(prop("utility_id"), F.col("id"), F.concat(F.lit("UTIL_"), padded(F.col("pos") + 1, 3))).alias("utility_id"), F.coalesce(prop("utility_type"), F.lit("UNKNOWN")).alias("utility_type"),
-        F.coalesce(prop("status"), F.lit("ACTIVE")).alias("status"), "geom_type", "coordinates",
+        F.coalesce(prop("status"), F.lit("ACTIVE")).alias("status"), "shape", "geom_type", "coordinates",
     )
 
 
 def layers(spark: SparkSession, paths: dict[str, str], lines: bool = False) -> DataFrame:
-    """One table of several layers: layer, feature_id, props, geom_type, coordinates, minx, miny, maxx, maxy.
+    """One table of several layers: layer, feature_id, props, shape, geom_type, coordinates, pos and file, minx, miny, maxx, maxy.
 
     ``writers.write_layers`` stores it partitioned by layer, so that ``layer`` reads that one alone; the box columns prune by range.
     """
-    numbers = F.transform(F.regexp_extract_all("coordinates", F.lit(r"\[\s*(-?[0-9.eE+-]+\s*,\s*-?[0-9.eE+-]+)"), F.lit(1)), lambda s: point(F.split(s, ",")[0].cast("double"), F.split(s, ",")[1].cast("double")))
     out = None
     for layer, path in sorted(paths.items()):
-        f = features(spark, path, lines).withColumn("pts", numbers)
-        ends = lambda c, fn: fn(F.transform("pts", lambda p: p[c]))
-        one = f.select(
-            F.lit(layer).alias("layer"), F.coalesce("id", prop("feature_id"), F.concat(F.lit(f"{layer}_"), F.col("pos").cast("string"))).alias("feature_id"), "props", "geom_type", "coordinates",
-            ends("x", F.array_min).alias("minx"), ends("y", F.array_min).alias("miny"), ends("x", F.array_max).alias("maxx"), ends("y", F.array_max).alias("maxy"),
-        )
+        f = features(spark, path, lines).withColumn("shape", S.of_geojson(F.col("geom_type"), F.col("coordinates"))).withColumn("box", S.bbox(F.col("shape")))
+        one = f.select(F.lit(layer).alias("layer"), F.coalesce("id", prop("feature_id"), F.concat(F.lit(f"{layer}_"), F.col("pos").cast("string"))).alias("feature_id"), "props", "shape", "geom_type", "coordinates", "pos", "file", "box.*")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -145,9 +143,16 @@ def inside_box(df: DataFrame, box: tuple[float, float, float, float]) -> DataFra
 
 
 def layer_catalogue(layers: DataFrame, metadata: DataFrame) -> DataFrame:
-    """layer, n, geom_type (of the first feature id), title: features per layer beside its metadata."""
-    counts = layers.groupBy("layer").agg(F.count("*").alias("n"), F.min_by("geom_type", "feature_id").alias("geom_type"))
-    return metadata.join(counts.hint("merge"), "layer", "left").select("layer", F.coalesce("n", F.lit(0)).alias("n"), "geom_type", "title")
+    """layer, n, geom_type, files, title: features per layer and the type of the first one by file and position, beside its metadata.
+
+    ``files`` maps each file of a layer to its number of features. ``layers``: layer, geom_type and, as read, file and pos.
+    """
+    place = [c for c in ("file", "pos", "feature_id") if c in layers.columns]
+    file = F.col("file") if "file" in layers.columns else F.lit(None).cast("string")
+    each = layers.groupBy("layer", file.alias("file")).agg(F.count("*").alias("n"), F.min(F.struct(*place, "geom_type")).alias("first"))
+    entry = F.when(F.col("file").isNotNull(), F.struct(F.col("file").alias("key"), F.col("n").alias("value")))
+    counts = each.groupBy("layer").agg(F.sum("n").alias("n"), F.min("first")["geom_type"].alias("geom_type"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("files"))
+    return metadata.join(counts.hint("merge"), "layer", "left").select("layer", F.coalesce("n", F.lit(0)).alias("n"), "geom_type", F.coalesce("files", F.create_map().cast("map<string,bigint>")).alias("files"), "title")
 
 
 #: A comma outside quotes.
@@ -169,11 +174,6 @@ def road_inventory(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[bare(i).alias(n) for i, n in enumerate(ROADS)]).select("*", *[number(n) for n in ROADS if n.endswith("_km")])
 
 
-def road_comparison(spark: SparkSession, path: str) -> DataFrame:
-    """The statewide inventory as it is."""
-    return csv(spark, path)
-
-
 def districts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """District rows out of GeoJSON properties; a missing text is "", a missing number 0."""
     text = lambda n: F.coalesce(prop(n), F.lit("")).alias(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import shapes as S
 from ..functions.geometry import centroid
 from ..operators.sync import upsert
 
@@ -29,6 +30,18 @@ def geojson_feature(ring: Column, feature_id: Column, props: list[Column]) -> Co
     return F.to_json(F.struct(F.lit("Feature").alias("type"), feature_id.cast("string").alias("id"), F.struct(*props).alias("properties"), geometry.alias("geometry")))
 
 
+def shape_feature(shape: Column, feature_id: Column, props: list[Column]) -> Column:
+    """A feature of any shape, several parts and holes included, as one line of JSON."""
+    pair = lambda p: F.array(p["x"], p["y"])
+    closed = lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), pair)
+    rings = F.transform(S.polygons(shape), lambda part: F.transform(part, closed))
+    lines = F.transform(shape["parts"], lambda r: F.transform(r, pair))
+    text = lambda kind, value: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), F.to_json(value), F.lit("}"))
+    geometry = F.when(shape["kind"] == "polygon", text("MultiPolygon", rings)).when(shape["kind"] == "line", text("MultiLineString", lines)).when(shape["kind"] == "point", text("MultiPoint", F.flatten(lines)))
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), feature_id.cast("string").alias("id"), F.struct(*props).alias("properties")))
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"))
+
+
 def line_feature(line: Column, feature_id: Column, props: list[Column]) -> Column:
     """A line feature as one line of JSON; nulls are left out."""
     geometry = F.struct(F.lit("LineString").alias("type"), F.transform(line, lambda p: F.array(p["x"], p["y"])).alias("coordinates"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from parcelfusion.functions import geometry as G
 from parcelfusion.functions import kernels as K
+from parcelfusion.functions import shapes as S
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -56,9 +57,9 @@ def test_predicates(spark):
     ring, x, y = F.col("ring"), F.col("x"), F.col("y")
     got = values(spark, f"ring {RING}, x double, y double", [(r, float(a), float(b)) for r, a, b in rows], inside=G.contains_point(ring, x, y), near=G.contains_within(ring, x, y, 0.75))
     assert [(r["inside"], r["near"]) for r in got] == [(True, True), (False, True), (False, False), (False, False), (False, False)]
-    line = F.col("line")
-    es = G.line_edges(line)
-    got = values(spark, f"ring {RING}, line {RING}", [(box(0, 0, 10, 10), pts((-5, 5), (20, 5))), (box(0, 0, 10, 10), pts((13, 0), (13, 9))), (box(0, 0, 10, 10), pts((2, 2), (3, 3))), (box(0, 0, 10, 10), pts((13, 14)))], meets=G.ring_meets(ring, line, es), d=G.ring_distance(ring, line, es))
+    df = spark.createDataFrame([(box(0, 0, 10, 10), pts((-5, 5), (20, 5))), (box(0, 0, 10, 10), pts((13, 0), (13, 9))), (box(0, 0, 10, 10), pts((2, 2), (3, 3))), (box(0, 0, 10, 10), pts((13, 14)))], f"ring {RING}, line {RING}")
+    df = df.select(S.of_ring(ring).alias("p"), S.of_line(F.col("line")).alias("l"))
+    got = df.select(S.meets(F.col("p"), F.col("l")).alias("meets"), S.distance(F.col("p"), F.col("l")).alias("d")).collect()
     assert [(r["meets"], r["d"]) for r in got] == [(True, 0.0), (False, 3.0), (True, 0.0), (False, 5.0)]
 
 
