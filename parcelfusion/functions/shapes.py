@@ -37,7 +37,8 @@ def oriented(rings: Column) -> Column:
 
 def of_ring(ring: Column) -> Column:
     """A polygon of one ring."""
-    return shape(F.lit("polygon"), oriented(F.array(ring)))
+    fine = lambda r: (F.size(r) >= 3) & ~F.exists(r, lambda p: F.isnull(p["x"] + p["y"]) | F.isnan(p["x"] + p["y"]))
+    return G.let(ring, lambda r: F.when(fine(r), F.struct(F.lit("polygon").alias("kind"), F.array(G.ccw(r)).alias("parts"))))
 
 
 def of_rings(rings: Column) -> Column:

@@ -46,9 +46,11 @@ def corner_cells(df: DataFrame, box: str, cell: float, levels: list[int], own: b
     return out.withColumns({"cx": F.floor(b["minx"] / width), "cy": F.floor(b["miny"] / width)})
 
 
-def levels_of(df: DataFrame, box: str, cell: float) -> list[int]:
-    """The levels that occur, a few."""
-    return sorted(r["level"] for r in df.select(level_of(F.col(box), cell).alias("level")).distinct().collect() if r["level"] is not None)
+def levels_of(sides: dict[str, tuple[DataFrame, str]], cell: float) -> dict[str, list[int]]:
+    """The levels that occur on each side, a few, by one job."""
+    each = [df.select(F.lit(n).alias("side"), level_of(F.col(box), cell).alias("level")) for n, (df, box) in sides.items()]
+    found = each[0].unionByName(each[1]).where("level is not null").distinct().collect()
+    return {n: sorted(r["level"] for r in found if r["side"] == n) for n in sides}
 
 
 def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: float = 64.0, on: list[str] | None = None) -> DataFrame:
@@ -58,7 +60,8 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, c
     """
     keys = [*(on or []), "level", "cx", "cy"]
     met = boxes_meet(F.col(left_box), F.col(right_box))
-    above, below = levels_of(left, left_box, cell), levels_of(right, right_box, cell)
+    levels = levels_of({"left": (left, left_box), "right": (right, right_box)}, cell)
+    above, below = levels["left"], levels["right"]
     pairs = wide_cells(left, left_box, cell).join(corner_cells(right, right_box, cell, above, True).hint("merge"), keys).where(met).drop(*keys[-3:])
     if not above or not below or below[-1] <= above[0]:
         return pairs  # no right box is larger than a left one
