@@ -7,7 +7,7 @@ its running total of words reaches the budget, the total of the corpus; the copy
 words. At that point every source has served its target, give or take a document.
 
 No task holds a source or the whole order. Cumulative words: hash-order buckets are summed first, the bucket sums are
-accumulated per source, and rows accumulate inside their own bucket. Running total: ranges of virtual finish are summed
+accumulated by levels of three digits of the hash, so a window has 4,096 rows at most, and rows accumulate inside their own bucket. Running total: ranges of virtual finish are summed
 first, and only the range in which the budget is reached is accumulated row by row. That gives the cut, one point of
 the order, and each document counts its copies before it. The copies that start before virtual time 1 together hold the
 budget, so those that finish after all of them need no place in the order.
@@ -66,6 +66,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     return s.select("src", "source_size", target.alias("target"))
 
 
+def offsets(sums: DataFrame, digits: int, step: int = 3) -> DataFrame:
+    """Adds offset, the words of the source in the buckets before, to src, bucket (``digits`` hex digits) and bucket_size.
+
+    Prefixes of ``step`` digits more are accumulated inside the prefix before them, so no window has more than 16^step rows.
+    """
+    cuts = [*range(step, digits, step), digits]
+    out = sums.withColumn("offset", F.lit(0).cast("long"))
+    for low, high in zip([0, *cuts], cuts, strict=False):
+        part = sums.groupBy("src", F.substring("bucket", 1, high).alias("prefix")).agg(F.sum("bucket_size").alias("held"))
+        earlier = W.partitionBy("src", F.substring("prefix", 1, low)).orderBy("prefix").rowsBetween(W.unboundedPreceding, -1)
+        part = part.select("src", "prefix", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("more"))
+        out = out.withColumn("prefix", F.substring("bucket", 1, high)).join(part.hint("merge"), ["src", "prefix"]).withColumn("offset", F.col("offset") + F.col("more")).drop("prefix", "more")
+    return out
+
+
 def queue(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str, keep_columns: bool) -> DataFrame:
     """doc_id, size, src, place, tie, source_size, target, start (words of the source before the document), and ``doc``."""
     text = F.coalesce("text", F.lit(""))
@@ -74,8 +89,7 @@ def queue(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str
     narrow = stored(docs.select(*keys, n_words(F.col("text")).alias("size"), "doc_id", F.xxhash64(text).alias("tie")), "mix-sizes")
     bucket = F.substring("place", 1, digits).alias("bucket")
     sums = narrow.groupBy("src", bucket).agg(F.sum("size").alias("bucket_size"))
-    earlier = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = stored(sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))), "mix-buckets")
+    sums = stored(offsets(stored(sums, "mix-sums"), digits), "mix-buckets")
     goal = targets(sums.groupBy("src").agg(F.sum("bucket_size").alias("source_size")), weights, max_repeats)
     sums = stored(sums.join(goal.hint("merge"), "src").drop("bucket_size"), "mix-offsets")
     rows = narrow

@@ -78,11 +78,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-ROUNDS, DAMPING = 9, 0.85
+#: The SQL walks so far that no verdict can change; the query stops as soon as it has proven all.
+ROUNDS, DAMPING = 120, 0.85
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(table(spark, sf_dir, "pages"), RULES, threshold=0.5, rounds=ROUNDS, damping=DAMPING)
+    return url_filter(table(spark, sf_dir, "pages"), RULES, threshold=0.5, damping=DAMPING)
 
 
 def _op6_sql() -> str:
@@ -119,7 +120,7 @@ n AS (SELECT *, links / sum(links) OVER (PARTITION BY src) AS o, links / sum(lin
 ways AS MATERIALIZED (
   SELECT src, dst, sum(t) AS t, sum(d) AS d FROM (SELECT src, dst, o AS t, 0 AS d FROM n UNION ALL SELECT dst, src, 0, i FROM n) GROUP BY ALL)
 {steps},
-b AS (SELECT host FROM r{ROUNDS} WHERE trust + distrust > 0 AND round(trust / (trust + distrust), 6) < 0.5)
+b AS (SELECT host FROM r{ROUNDS} WHERE trust + distrust > 0 AND trust / (trust + distrust) < 0.5 - 5e-7)
 SELECT page_id, p.host, path, rule, coalesce(said, CASE WHEN b.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM p LEFT JOIN b ON b.host = p.host
 """

@@ -2,8 +2,8 @@
 
 A page that a rule fits takes the longest rule's verdict. Its host becomes a seed, weighed by its pages:
 of trust if the rule allows, of distrust if it blocks. Personalised PageRank carries trust along host
-edges and distrust against them, ``rounds`` steps far (walks that are longer, which hold damping^(rounds + 1) of the whole at most, are left out,
-and what reaches a host without edges stays there); a page without a rule takes its host's verdict, blocked where trust is
+edges and distrust against them, until the part of the walk that is still to come can change no verdict
+(what reaches a host without edges stays there); a page without a rule takes its host's verdict, blocked where trust is
 under ``threshold`` of the two together. A host that neither reaches is allowed.
 
 Host edges are the absolute and scheme-relative links of the pages, and both ways between a host and its parent domain (two
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, sized_join, stored
 
+#: Shares this near the threshold are at it: sums of doubles in another order may differ by less.
+NEAR = 5e-7
 #: (verdict, host, path prefix)
 Rule = tuple[str, str, str]
 
@@ -65,8 +67,12 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """host, trust, distrust after ``rounds`` steps from the seeds (host, trust, distrust, each summing to 1)."""
+def spread(seeds: DataFrame, edges: DataFrame, threshold: float, damping: float, most: int = 200) -> DataFrame:
+    """host, trust, distrust of the hosts that the seeds (host, trust, distrust, each summing to 1) reach, walked until every verdict is proven.
+
+    After k steps what has arrived at a host is less than its final rank by damping^(k + 1) at most, whatever the graph. So trust over both lies between two bounds; the walk
+    ends once these lie on one side of the threshold for every host and no further host is reached, or after ``most`` steps, when damping^k is below 1e-14 and doubles hold no more.
+    """
     out_sum = edges.groupBy("src").agg(F.sum("links").alias("out"))
     in_sum = edges.groupBy("dst").agg(F.sum("links").alias("in"))
     e = edges.join(out_sum.hint("merge"), "src").join(in_sum.hint("merge"), "dst")
@@ -74,19 +80,27 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -> D
     ways = ways.unionByName(e.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("links") / F.col("in")).alias("d")))
     ways = stored(ways.groupBy("host", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "url-ways")
     start = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    ranks = seeds
-    for k in range(rounds):
+    ranks, left, reached = start, damping, -1
+    for k in range(1, most + 1):
         sent = ways.join(ranks.hint("merge"), "host").select(
             F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust")
         )
         ranks = sent.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % 3 == 2 or k == rounds - 1:
+        left *= damping
+        if k % 4 == 0 or k == most:
             ranks = stored(ranks, "url-ranks")
+            low = F.col("trust") / (F.col("trust") + F.col("distrust") + left)
+            high = (F.col("trust") + left) / (F.col("trust") + F.col("distrust") + left)
+            line = F.lit(threshold - NEAR)
+            hosts, open_ = ranks.agg(F.count("*"), F.count_if(~((low >= line) | (high < line)))).first()
+            if hosts == reached and open_ == 0:
+                break
+            reached = hosts
     return ranks
 
 
-def url_filter(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, rounds: int = 9, damping: float = 0.85) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict."""
+def url_filter(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5, damping: float = 0.85) -> DataFrame:
+    """Per page: page_id, host, path, rule, verdict. A host whose trust over trust and distrust is within 5e-7 of the threshold, or above, is allowed."""
     judged = ruled(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
     count = lambda says: F.sum(F.when(F.col("verdict") == says, 1.0).otherwise(0.0))
     hosts = stored(judged.where("host <> ''").groupBy("host").agg(count("allow").alias("trust"), count("block").alias("distrust")), "url-hosts")
@@ -94,8 +108,8 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.5,
     total = hosts.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))  # one row
     share = lambda c: F.when(F.col(f"all_{c}") > 0, F.col(c) / F.col(f"all_{c}")).otherwise(0.0).alias(c)
     seeds = stored(hosts.where("trust + distrust > 0").crossJoin(F.broadcast(total)).select("host", share("trust"), share("distrust")), "url-seeds")
-    ranks = spread(seeds, edges, rounds, damping)
-    bad = F.round(F.col("trust") / (F.col("trust") + F.col("distrust")), 6) < threshold
+    ranks = spread(seeds, edges, threshold, damping)
+    bad = F.col("trust") / (F.col("trust") + F.col("distrust")) < threshold - NEAR
     blocked = stored(ranks.where((F.col("trust") + F.col("distrust") > 0) & bad).select("host", F.lit("block").alias("spread")), "url-blocked")
     found = sized_join(judged, blocked, "host", "left", blocked.count())
     return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", "spread", F.lit("allow")).alias("verdict"))

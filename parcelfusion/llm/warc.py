@@ -40,7 +40,10 @@ EPOCH = "2024-01-01T00:00:00Z"
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for a response)."""
+    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for a response).
+
+    A row without a page_id revisits the largest page_id of its payload, if any copy has one; else all copies are responses. Rows that repeat the largest page_id are all responses.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
         "page_id",
@@ -53,7 +56,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     long = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("same", "payload_bytes")
     copies = stored(long.agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-copies")
     rows = sized_join(rows, copies, ["same", "payload_bytes"], "left", copies.count())
-    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~F.equal_null("first", "page_id"), F.col("first")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 1000, records_per_file: int = 20_000, compression: str = "gzip") -> None:

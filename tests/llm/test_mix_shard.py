@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from parcelfusion.llm.mixing import mix, mixed_documents
+from parcelfusion.llm.mixing import offsets, mix, mixed_documents
 from parcelfusion.llm.sharding import communication_matrix, hypergeometric, shard
 
 
@@ -114,3 +114,28 @@ def test_matrix_is_exact_and_uniform():
     real = rng.hypergeometric(30, 50, 20, 20_000)
     assert abs(draws.mean() - 7.5) < 0.05 and abs(draws.std() - real.std()) < 0.05
     assert hypergeometric(10**11, 10**11, 10**6, 0.5) in range(499_000, 501_000)
+
+
+def test_offsets_by_levels(spark):
+    """Bucket offsets added up by prefixes are those of one running sum, whatever the number of digits."""
+    rng = np.random.default_rng(3)
+    data = sorted({(str(s), f"{b:05x}") for s, b in zip(rng.integers(0, 3, 600), rng.integers(0, 1 << 20, 600), strict=True)})
+    sizes = rng.integers(0, 9, len(data)).tolist()
+    rows = [(s, b, n) for (s, b), n in zip(data, sizes, strict=True)]
+    want, done = {}, {}
+    for s, b, n in rows:
+        want[s, b] = done.get(s, 0)
+        done[s] = want[s, b] + n
+    df = spark.createDataFrame(rows, "src string, bucket string, bucket_size long").repartition(3)
+    for step in (1, 2, 3, 5, 7):
+        assert {(r.src, r.bucket): r.offset for r in offsets(df, 5, step).collect()} == want
+
+
+def test_shard_of_odd_tables(spark):
+    """Null and repeated ids, repeated rows and very long texts all get a slot of their own."""
+    long = "w " * 60_000
+    df = spark.createDataFrame([(None, None)] * 40 + [(1, "same")] * 40 + [(2, long), (2, "é"), (3, "")], "doc_id long, text string")
+    got = shard(df, 5).collect()
+    assert len(got) == 83 and len({(r.shard, r.slot) for r in got}) == 83 and {r.law for r in got} == {"rows"}
+    assert sorted(sum(r.shard == k for r in got) for k in range(5)) == [16, 16, 17, 17, 17]
+    assert {(r.doc_id, r.size) for r in got} == {(None, 8), (1, 12), (2, 120_008), (2, 10), (3, 8)}

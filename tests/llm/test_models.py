@@ -295,7 +295,7 @@ def test_licence_inside_a_long_line(spark):
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
-def brute_urls(pages, rounds=9, damping=0.85):
+def brute_urls(pages, rounds=300, damping=0.85):
     import re
 
     def split(u):

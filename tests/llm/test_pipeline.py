@@ -77,3 +77,16 @@ def test_names():
     names = list(queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
     assert set(oracle_sql()) <= set(names) and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    """No documents give no rows and the same columns; an empty benchmark drops nothing."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+    some = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (2, None, None, None, None)], schema)
+    assert corpus_pipeline.decontamination(spark, some, str(tmp_path)).count() == 2

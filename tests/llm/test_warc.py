@@ -69,3 +69,12 @@ def test_blocks_are_http_messages_and_plain_ones_are_read(spark, tmp_path):
     (tmp_path / "plain.warc").write_bytes(plain)
     got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in read_warc(spark, str(tmp_path / "plain.warc")).collect()}
     assert got == {k: (len(t), hashlib.sha1(t).hexdigest()) for k, t in enumerate([b"a\r\n\r\nb", b"", b"WARC/1.1\r\nx"])}
+
+
+def test_pages_without_an_id(spark):
+    """They revisit the largest id of their payload; without any id all copies are responses."""
+    long, other = "y" * 1200, "z" * 1300
+    got, _ = archive(spark, [(5, "a", long, None, None), (7, "b", long, None, None), (None, "c", long, None, None)])
+    assert {i: (r.record_type, r.refers_to, r.payload_bytes) for i, r in got.items()} == {5: ("revisit", 7, 1200), 7: ("response", None, 1200), None: ("revisit", 7, 1200)}
+    got, path = archive(spark, [(None, "c", other, None, None), (None, "d", other, None, None), (7, "e", other[:900], None, None)])
+    assert sorted((r.record_type, r.refers_to, r.payload_bytes) for r in read_warc(spark, path).collect()) == [("response", None, 900), ("response", None, 1300), ("response", None, 1300)]
