@@ -72,10 +72,10 @@ def reconcile_files(spark: SparkSession, legacy: str, drone: str, gnss: str, rev
     p, d = I.legacy_parcels(spark, legacy, lines), I.drone_features(spark, drone, lines)
     p, d = stored(p.withColumn("stated", I.prop("area").try_cast("double")), "run-legacy"), stored(d.withColumn("stated", I.prop("area").try_cast("double")), "run-drone")
     zone = zone or zone_of(p, d) or 43
-    area = F.coalesce("stated", rounded(S.area(F.col("shape")), 1))
-    p, d = (projected(t, zone, precision).withColumn("area", area).drop("stated", "props", "crs", "epsg") for t in (p, d))
-    p, repairs = repaired_shapes(stored(p, "run-projected"), "parcel_id")
-    d, more = repaired_shapes(stored(d, "run-projected"), "feature_id")
+    p, d = (stored(projected(t, zone, precision).drop("props", "crs", "epsg"), "run-projected") for t in (p, d))
+    p, repairs = repaired_shapes(p, "parcel_id")
+    d, more = repaired_shapes(d, "feature_id")
+    p, d = (t.withColumn("area", F.coalesce("stated", rounded(S.area(F.col("shape")), 1))).drop("stated") for t in (p, d))
     g = I.gnss_points(spark, gnss)
     snap = lambda c: c if precision is None else F.round(c / precision) * precision
     at = G.to_utm(F.col("longitude"), F.col("latitude"), F.lit(zone))
