@@ -452,7 +452,8 @@ def survey_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def register_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = derived(spark, sf_dir, "register_text").select("doc_id", X.revenue_fields(F.col("text")).alias("f"))
-    return t.select("doc_id", F.explode("f").alias("field", "v")).select("doc_id", "field", "v.value", "v.confidence")
+    # An outer explode, as the filter that Spark puts below an inner one would search the text again.
+    return t.select("doc_id", F.explode_outer("f").alias("field", "v")).where("field is not null").select("doc_id", "field", "v.value", "v.confidence")
 
 
 def register_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
