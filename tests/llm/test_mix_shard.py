@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from parcelfusion.llm.mixing import offsets, mix, mixed_documents
+from parcelfusion.llm.mixing import mix, mixed_documents, offsets
 from parcelfusion.llm.sharding import communication_matrix, hypergeometric, shard
 
 
