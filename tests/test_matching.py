@@ -173,9 +173,9 @@ def test_area_of_a_number_over_many_ranges(spark):
     assert got == {"1": (n, round(n / 2 * 100**2 * math.sin(2 * math.pi / n), 1)), "2": (3, 0.0)}
 
 
-def test_nearest_lines_at_any_distance(spark):
+def test_nearest_features_at_any_distance(spark):
     parcels = spark.createDataFrame([(k, box(0.0, 5000.0 * k, 10, 10)) for k in range(6)], f"parcel_id long, ring {RING}")
     lines = spark.createDataFrame([(1, pts((100, 0), (100, 10))), (2, pts((0, 30), (0, 40)))], f"feature_id long, line {RING}")
-    got = {r.parcel_id: round(r.distance, 3) for r in L.nearest_lines(parcels, lines).collect()}
+    got = {r.parcel_id: round(r.distance, 3) for r in L.nearest_features(parcels, lines).collect()}
     assert got == {0: 20.0, **{k: 5000.0 * k - 40.0 for k in range(1, 6)}}
-    assert L.nearest_lines(parcels, lines.limit(0)).count() == 0
+    assert L.nearest_features(parcels, lines.limit(0)).count() == 0

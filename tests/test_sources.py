@@ -26,7 +26,7 @@ def test_legacy_and_drone_geojson(spark, tmp_path):
     text = json.dumps({"type": "FeatureCollection", "crs": {"properties": {"name": "EPSG:32643"}}, "features": [
         {"type": "Feature", "properties": {"survey_no": "184", "subdivision_no": "2", "area": "7.5", "odd": "kept"}, "geometry": a}, {"type": "Feature", "id": "x9", "properties": {"area": "bad"}, "geometry": b}]})
     got = I.legacy_parcels(spark, put(tmp_path, "l.geojson", text)).collect()
-    assert [(r.parcel_id, r.full_survey, r.area, r.crs) for r in got] == [("P001", "184/2", 7.5, "EPSG:32643"), ("P002", "102/1", 9.0, "EPSG:32643")]
+    assert [(r.parcel_id, r.full_survey, r.area, r.crs) for r in got] == [("P001", "184/2", 7.5, "EPSG:32643"), ("P002", "102/1", 9.5, "EPSG:32643")]
     assert got[0].props["odd"] == "kept" and len(got[1].ring) == 4
     assert [r.feature_id for r in I.drone_features(spark, put(tmp_path, "d.geojson", text)).collect()] == ["FE_001", "x9"]
 
@@ -108,7 +108,7 @@ def test_repair_and_boundaries(spark):
     bow, star = pts((0, 0), (10, 10), (10, 0), (0, 6)), pts((0, 0), (10, 1), (0, 2), (10, 3), (5, -5))
     df = spark.createDataFrame([(1, bow), (2, box(0, 0, 1, 1)), (3, star)], f"parcel_id long, ring {RING}")
     got = {r.parcel_id: r for r in T.repaired(df).collect()}
-    assert got[1].outcome == "REPAIRED" and len(got[1].repaired) == 3 and got[1].original_wkt.startswith("POLYGON ((0.0 0.0") and got[3].outcome == "QUARANTINED" and 2 not in got
+    assert got[1].outcome == "REPAIRED" and len(got[1].repaired) == 3 and got[1].original_wkt.startswith("POLYGON ((0.0 0.0") and got[3].outcome == "REPAIRED" and 2 not in got
     pair = spark.createDataFrame([(1, 2, box(0, 0, 10, 10), box(8, 0, 10, 10), 20.0)], f"a long, b long, ring_a {RING}, ring_b {RING}, overlap double")
     got = {r.strategy: (r.overlap, r.a_after, r.b_after) for r in T.shared_boundary(pair).collect()}
     assert got == {"PRIORITIZE_A": (20.0, 100.0, 80.0), "PRIORITIZE_B": (20.0, 80.0, 100.0), "BISECT": (20.0, 90.0, 90.0)}
