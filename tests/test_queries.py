@@ -10,7 +10,7 @@ from parcelfusion.plans import registry
 from parcelfusion.plans.fixtures import BASE
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["candidate_pairs", "pair_overlap", "revenue_lookup", "gnss_lookup", "parcel_overlaps", "building_reference", "building_audit", "parcel_utilities", "sync_changes", "raster_zonal", "raster_mask", "harmonized_records", "register_fields", "reviewed_conflicts", "geojson_round_trip", "gnss_csv_round_trip", "stream_load", "stream_sync", "change_regions", "utm_round_trip", "plausible_buildings", "filled_ids", "road_inventory", "single_layer", "bisected_boundaries", "header_mapping"]
+QUICK = ["candidate_pairs", "pair_overlap", "revenue_lookup", "gnss_lookup", "parcel_overlaps", "building_reference", "building_audit", "parcel_utilities", "sync_changes", "raster_zonal", "raster_mask", "harmonized_records", "register_fields", "reviewed_conflicts", "geojson_round_trip", "gnss_csv_round_trip", "stream_load", "stream_sync", "change_regions", "utm_round_trip", "plausible_buildings", "filled_ids", "road_inventory", "single_layer", "bisected_boundaries", "header_mapping", "parcel_shapes", "courtyard_overlap", "crossed_rings", "sync_records", "parcel_utilities_edge", "raster_zonal_masked"]
 
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
 
