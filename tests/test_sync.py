@@ -111,3 +111,25 @@ def test_rules_of_names(spark):
     names = spark.createDataFrame([("A\\b%c",), ("axb",), ("É",)], "n string")
     assert [r.n for r in search(names, "a_b", ["n"], "n", wildcards=True).collect()] == ["A\\b%c", "axb"]
     assert [r.n for r in search(names, "\\b", ["n"], "n", wildcards=True).collect()] == ["A\\b%c"] and search(names, "é", ["n"], "n").count() == 0
+
+
+def test_opening_and_closing_by_tiles(spark):
+    """As one grid gives it, whatever the tiles: blocks across tile borders, holes, spots, negative places."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    grid = np.zeros((60, 70), bool)
+    for _ in range(25):
+        r, c, h, w = rng.integers(5, 45), rng.integers(5, 50), rng.integers(1, 12), rng.integers(1, 14)
+        grid[r : r + h, c : c + w] = True
+    grid &= rng.random(grid.shape) > 0.02
+    want = grid
+    for keep in (np.logical_and, np.logical_or, np.logical_or, np.logical_and):
+        wide = np.pad(want, 1)
+        want = keep.reduce([wide[i : i + 60, j : j + 70] for i in range(3) for j in range(3)])
+    rows = [(int(r) - 20, int(c) - 30) for r, c in zip(*np.nonzero(grid), strict=True)]
+    df = spark.createDataFrame([*rows, *rows[:9], (None, 3)], "px_row int, px_col int")
+    for tile in (4, 16, 256):
+        assert sorted(map(tuple, P.opened_closed(df, tile).collect())) == [(int(r) - 20, int(c) - 30) for r, c in zip(*np.nonzero(want), strict=True)]
+    plan = P.opened_closed(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
