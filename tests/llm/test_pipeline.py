@@ -75,7 +75,7 @@ def test_run_leaves_its_result_alone_behind(spark):
 
 def test_names():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(oracle_sql()) <= set(names) and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
