@@ -129,24 +129,93 @@ def opened_closed(pixels: DataFrame, tile: int = 256) -> DataFrame:
     return dealt.groupBy("tile_row", "tile_col").applyInPandas(run, "px_row long, px_col long")
 
 
-def regions(pixels: DataFrame) -> DataFrame:
+def _runs_labelled(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """For pixels in order of row and column, none twice: the position of the first pixel of each one's 8-connected region.
+
+    Pixels side by side form runs; a run joins those of the row above that it touches, corners included.
+    """
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (cols[1:] != cols[:-1] + 1)
+    first = np.flatnonzero(new)
+    row, low, high = rows[first], cols[first], cols[np.append(first[1:], len(rows)) - 1]
+    top = list(range(len(first)))
+
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    above = 0
+    for k in range(len(first)):
+        while row[above] < row[k] - 1 or (row[above] == row[k] - 1 and high[above] < low[k] - 1):
+            above += 1
+        j = above
+        while row[j] == row[k] - 1 and low[j] <= high[k] + 1:
+            x, y = root(j), root(k)
+            top[max(x, y)] = min(x, y)
+            j += 1
+    return first[[root(k) for k in range(len(first))]][np.cumsum(new) - 1]
+
+
+def tile_regions(pixels: DataFrame, tile: int) -> DataFrame:
+    """px_row, px_col, tile_row, tile_col, part: regions inside each tile alone, named by their smallest pixel. A group has tile^2 pixels at most."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["px_row", "px_col"], ignore_index=True)
+        rows, cols = group["px_row"].to_numpy(np.int64), group["px_col"].to_numpy(np.int64)
+        at = _runs_labelled(rows, cols)
+        return group.assign(part_row=rows[at], part_col=cols[at])
+
+    place = pixels.select(F.col("px_row").cast("long").alias("px_row"), F.col("px_col").cast("long").alias("px_col")).where("px_row is not null and px_col is not null")
+    dealt = place.withColumns({"tile_row": F.floor(F.col("px_row") / tile), "tile_col": F.floor(F.col("px_col") / tile)})
+    once = dealt.repartition("tile_row", "tile_col").dropDuplicates(["tile_row", "tile_col", "px_row", "px_col"])
+    found = once.groupBy("tile_row", "tile_col").applyInPandas(run, "px_row long, px_col long, tile_row long, tile_col long, part_row long, part_col long")
+    return found.select("px_row", "px_col", "tile_row", "tile_col", F.struct(F.col("part_row").alias("px_row"), F.col("part_col").alias("px_col")).alias("part"))
+
+
+def merged(links: DataFrame) -> DataFrame:
+    """part, region: the smallest part of each group of parts that links (a, b), in either order, hold together.
+
+    Each round every part hangs on its smallest neighbour if that is smaller, the chains are followed to their ends by doubling, and links
+    between ends go on. Each round's table is written, which cuts the lineage.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    left, found = stored(both, "links"), None
+    while not left.isEmpty():
+        up = stored(left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("part"), F.least("a", "b").alias("region")), "links-up")
+        while True:
+            next_ = up.select(F.col("part").alias("region"), F.col("region").alias("end"))
+            up = stored(up.join(next_.hint("merge"), "region").select("part", F.col("end").alias("region"), F.col("region").alias("was")), "links-up")
+            if up.where("region <> was").isEmpty():
+                break
+        up = up.drop("was")
+        if found is None:
+            found = up
+        else:
+            step = up.select(F.col("part").alias("region"), F.col("region").alias("end"))
+            found = stored(found.join(step.hint("merge"), "region", "left").select("part", F.coalesce("end", "region").alias("region")), "links-found")
+        end = lambda c: up.select(F.col("part").alias(c), F.col("region").alias(f"{c}_end"))
+        ends = left.join(end("a").hint("merge"), "a").join(end("b").hint("merge"), "b").select(F.col("a_end").alias("a"), F.col("b_end").alias("b"))
+        left = stored(ends.where("a <> b").distinct(), "links")
+    return found if found is not None else left.select(F.col("a").alias("part"), F.col("b").alias("region"))
+
+
+def regions(pixels: DataFrame, tile: int = 256) -> DataFrame:
     """px_row, px_col, region: 8-connected regions named by their smallest pixel, a struct of row and column.
 
-    Smallest labels spread to neighbours and then jump along the labels' own labels until none changes. Each round's
-    labels are written, which cuts the lineage.
+    Two levels: first the regions inside each tile, in one pass, then the groups of those that touch across a tile's border, for which only
+    pixels along borders are joined. Repeated rows count once; rows without a place are left out.
     """
-    labels = stored(pixels.select("px_row", "px_col", F.struct("px_row", "px_col").alias("region")), "regions")
-    while True:
-        step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-        spread = labels.withColumn("dr", step).withColumn("dc", step).select((F.col("px_row") + F.col("dr")).alias("px_row"), (F.col("px_col") + F.col("dc")).alias("px_col"), "region")
-        low = spread.groupBy("px_row", "px_col").agg(F.min("region").alias("low"))
-        near = labels.join(low.hint("merge"), ["px_row", "px_col"])
-        # The smallest label that any pixel of a region has met becomes the whole region's.
-        best = near.groupBy("region").agg(F.min("low").alias("best"))
-        new = stored(near.select("px_row", "px_col", "region").join(best.hint("merge"), "region").select("px_row", "px_col", F.col("best").alias("next"), F.col("region").alias("was")), "regions")
-        labels = new.select("px_row", "px_col", F.col("next").alias("region"))
-        if new.where("next <> was").isEmpty():
-            return labels
+    parts = stored(tile_regions(pixels, tile), "regions")
+    last = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    rim = parts.where(last("px_row") | last("px_col"))
+    # A pair meets once: from the pixel above, or on its left.
+    ahead = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    here = rim.withColumn("d", F.explode(ahead)).select((F.col("px_row") + F.col("d.r")).alias("px_row"), (F.col("px_col") + F.col("d.c")).alias("px_col"), F.col("part").alias("a"))
+    links = here.join(rim.select("px_row", "px_col", F.col("part").alias("b")).hint("merge"), ["px_row", "px_col"]).where("a <> b").select("a", "b")
+    out = parts.join(merged(links).hint("merge"), "part", "left")
+    return out.select("px_row", "px_col", F.coalesce("region", "part").alias("region"))
 
 
 def region_report(labels: DataFrame, difference: DataFrame, pixel_area: float = 0.25, least: int = 20) -> DataFrame:

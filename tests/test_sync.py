@@ -133,3 +133,52 @@ def test_opening_and_closing_by_tiles(spark):
         assert sorted(map(tuple, P.opened_closed(df, tile).collect())) == [(int(r) - 20, int(c) - 30) for r, c in zip(*np.nonzero(want), strict=True)]
     plan = P.opened_closed(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def labelled(places):
+    """Regions by a flood fill: place -> smallest place."""
+    left, out = set(places), {}
+    for start in sorted(left):
+        todo = [start] if start in left else []
+        left.discard(start)
+        while todo:
+            r, c = todo.pop()
+            out[r, c] = start
+            near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+    return out
+
+
+def test_regions_over_tiles(spark):
+    """As a flood fill gives them: noise, corners that meet at a tile's corner, repeated rows, places below zero; none of none."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(int(r) - 20, int(c) - 15) for r, c in zip(*np.nonzero(rng.random((40, 45)) < 0.42), strict=True)]
+    want = labelled(rows)
+    assert len(set(want.values())) > 5
+    df = spark.createDataFrame([*rows, *rows[:9], (None, 3), (4, None)], "px_row int, px_col int")
+    for tile in (4, 256):
+        out = P.regions(df, tile).collect()
+        assert len(out) == len(want) and {(r.px_row, r.px_col): tuple(r.region) for r in out} == want
+    corner = spark.createDataFrame([(3, 3), (4, 4), (3, 8), (4, 7), (9, 9)], "px_row int, px_col int")
+    assert len({tuple(r.region) for r in P.regions(corner, 4).collect()}) == 3
+    assert P.regions(df.limit(0)).count() == 0
+
+
+def test_a_spiral_over_a_hundred_tiles_ends_soon(spark, monkeypatch):
+    """One region whatever the way from its start to its end; the rounds follow the logarithm of its tiles."""
+    place, seen, (dr, dc) = (0, 0), {(0, 0)}, (0, 1)
+    for n in [39, *(k for k in range(39, 2, -2) for _ in (0, 1))]:
+        for _ in range(n):
+            place = (place[0] + dr, place[1] + dc)
+            seen.add(place)
+        dr, dc = dc, -dr
+    spiral = sorted(seen)
+    written = []
+    stored = P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: written.append(name) or stored(df, name))
+    out = P.regions(spark.createDataFrame(spiral, "px_row long, px_col long"), 4).collect()
+    assert len(out) == len(spiral) and {tuple(r.region) for r in out} == {(0, 0)} and set(labelled(spiral).values()) == {(0, 0)}
+    assert written.count("links") <= 8 and written.count("links-up") <= 30
