@@ -5,6 +5,8 @@ A raster is a table of pixels (px_row, px_col, values), so every step is a join
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,22 @@ def window(pixels: DataFrame, box: tuple[float, float, float, float]) -> DataFra
     return pixels.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
 
 
+def write_tiles(pixels: DataFrame, path: str, size: float) -> None:
+    """Pixels (x, y, ...) in folders tile_y and tile_x, squares of ``size``. Ranges split a crowded tile over tasks and keep its files few.
+
+    Pixels without a place stand in the folder of no tile, which no window reads.
+    """
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    dealt = pixels.withColumns({"tile_y": at("y"), "tile_x": at("x")}).repartitionByRange("tile_y", "tile_x", "y")
+    dealt.write.partitionBy("tile_y", "tile_x").parquet(path)
+
+
+def tile_window(tiled: DataFrame, box: tuple[float, float, float, float], size: float) -> DataFrame:
+    """``window`` of pixels read from ``write_tiles``: only the folders that the box meets are scanned."""
+    of = lambda c, low, high: F.col(c).between(math.floor(low / size), math.floor(high / size))
+    return window(tiled.where(of("tile_x", box[0], box[2]) & of("tile_y", box[1], box[3])), box).drop("tile_y", "tile_x")
+
+
 def zonal(parcels: DataFrame, pixels: DataFrame, cell: float = 64.0) -> DataFrame:
     """parcel_id, n, low, high, mean, relief, slope (degrees) of the valid pixels in each parcel's bounding box."""
     zones = shaped(parcels).select("parcel_id", S.bbox(F.col("shape")).alias("box"))

@@ -20,7 +20,7 @@ from ..operators import raster as P
 from ..operators import sync as Y
 from ..operators import topology as T
 from ..operators.spatial_join import self_overlaps
-from ..scratch import stored
+from ..scratch import shared_path, stored
 from .fixtures import derived
 from .match_queries import box, centroid_cte, check, edge_rows, inter_cte, meets, rnd, shoelace
 
@@ -264,7 +264,9 @@ def raster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.window(derived(spark, sf_dir, "dem"), (400.0, 40.0, 1600.0, 160.0)).groupBy("raster_id").agg(F.count("*").alias("n"))
+    path = shared_path(spark, "dem-tiles")
+    P.write_tiles(derived(spark, sf_dir, "dem"), path, 512.0)
+    return P.tile_window(spark.read.parquet(path), (400.0, 40.0, 1600.0, 160.0), 512.0).groupBy("raster_id").agg(F.count("*").alias("n"))
 
 
 def raster_zonal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,18 @@ def test_a_spiral_over_a_hundred_tiles_ends_soon(spark, monkeypatch):
     out = P.regions(spark.createDataFrame(spiral, "px_row long, px_col long"), 4).collect()
     assert len(out) == len(spiral) and {tuple(r.region) for r in out} == {(0, 0)} and set(labelled(spiral).values()) == {(0, 0)}
     assert written.count("links") <= 8 and written.count("links-up") <= 30
+
+
+def test_windows_scan_the_tiles_they_meet(spark, tmp_path):
+    """As the plain filter gives them, edges of box and tiles included; pixels without a place are in none."""
+    rows = [(1, float(x), float(y), float(x * y)) for x in range(-20, 21, 2) for y in range(-20, 21, 2)] + [(1, None, 3.0, 0.0), (1, 2.0, None, 0.0)]
+    pixels = spark.createDataFrame(rows, "raster_id long, x double, y double, elev double")
+    P.write_tiles(pixels, str(tmp_path / "tiles"), 8.0)
+    tiled = spark.read.parquet(str(tmp_path / "tiles"))
+    assert tiled.count() == len(rows)
+    for box in ((-16.0, -8.0, 8.0, 7.5), (0.0, 0.0, 0.0, 0.0), (30.0, 30.0, 40.0, 40.0), (-99.0, -99.0, 99.0, 99.0)):
+        out = P.tile_window(tiled, box, 8.0)
+        assert out.columns == pixels.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, P.window(pixels, box).collect()))
+    plan = P.tile_window(tiled, (0.0, 0.0, 4.0, 4.0), 8.0)._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "tile_x" in pruned and "tile_y" in pruned
