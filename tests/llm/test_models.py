@@ -356,6 +356,23 @@ def test_urls(spark):
     assert url_filter(df.limit(0), RULES).count() == 0
 
 
+def test_urls_at_the_threshold_and_very_long_ones(spark):
+    """As much trust as distrust is allowed; urls and pages of megabytes are read whole."""
+    to = lambda host: f'<a href="https://{host}/x">'
+    filler = "words " * 400_000
+    pages = [
+        (1, "https://t.org/", to("mid.net")), (2, "https://mid.net/", filler + to("bad.com")), (3, "https://bad.com/de/", None), (4, "https://mid.net/" + "p" * 2_000_000, None),
+        (6, "https://late.net/?" + "q" * 2_000_000 + "/de/", None),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter(df, RULES, damping=0.5).collect()}  # a tie is walked to the end, which is nearer so
+    assert {k: r.verdict for k, r in got.items()} == {1: "allow", 2: "allow", 3: "block", 4: "allow", 6: "allow"}
+    assert len(got[4].path) == 2_000_001 and got[6].path == "/" and got[6].rule is None
+    # Without the trusted page distrust alone reaches the host.
+    alone = spark.createDataFrame([*pages[1:3], (5, "https://" + "a." * 60 + "org/", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter(alone, RULES).collect()} == {2: "block", 3: "block", 5: "allow"}
+
+
 def test_held_out_is_crc(spark):
     got = spark.range(50).select("id", langid.held_out(F.col("id"), 5, 0).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
