@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import shapes as S
 from ..functions.numbers import rounded
+from ..scratch import dealt
 from .spatial_join import shaped
 
 SLIVER_RATIO, SLIVER_AREA = 0.005, 5.0
@@ -164,27 +166,33 @@ def largest_loop(ring: list[tuple[float, float]]) -> list[tuple[float, float]] |
     return max(found, key=lambda loop: abs(signed(loop))) if found else None
 
 
-def _fixed(ring: list) -> list[dict] | None:
-    best = largest_loop([(p["x"], p["y"]) for p in ring])
-    return [{"x": x, "y": y} for x, y in best] if best else None
+def _fixed(flat: np.ndarray) -> list[float] | None:
+    """The largest loop of a ring given as x, y, x, y, ..., in the same form."""
+    xs = flat.tolist()
+    best = largest_loop(list(zip(xs[::2], xs[1::2], strict=True)))
+    return [c for p in best for c in p] if best else None
 
 
-REPAIRED = f"parcel_id long, original_wkt string, repaired {S.RING}, outcome string"
+def _ring(flat: Column) -> Column:
+    """The ring of x, y, x, y, ...; null for null."""
+    at = F.when(flat.isNotNull(), F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1))
+    return F.transform(at, lambda i: G.point(F.get(flat, 2 * i), F.get(flat, 2 * i + 1)))
 
 
 def repaired(parcels: DataFrame) -> DataFrame:
     """Rows of rings that cross or touch themselves with the largest of their loops; rings whose edges run along each other, or without any area, are quarantined.
 
-    Only flagged rows reach Python.
+    Rows are dealt out first, as they are small in bytes; only flagged ones are cut into loops.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            best = [_fixed(ring) for ring in batch["ring"]]
-            yield pd.DataFrame({"parcel_id": batch["parcel_id"], "original_wkt": batch["wkt"], "repaired": best, "outcome": ["REPAIRED" if b else "QUARANTINED" for b in best]})
+            best = [_fixed(flat) for flat in batch["flat"]]
+            yield pd.DataFrame({"parcel_id": batch["parcel_id"], "flat": batch["flat"], "best": best, "outcome": ["REPAIRED" if b else "QUARANTINED" for b in best]})
 
-    flagged = parcels.where(G.crosses_itself(F.col("ring"))).select(F.col("parcel_id").cast("long"), "ring", G.wkt(F.col("ring")).alias("wkt"))
-    return flagged.mapInPandas(run, REPAIRED)
+    rows = dealt(parcels.select(F.col("parcel_id").cast("long"), "ring"), "parcel_id").where(G.crosses_itself(F.col("ring")))
+    found = rows.select("parcel_id", G.flat(F.col("ring")).alias("flat")).mapInPandas(run, "parcel_id long, flat array<double>, best array<double>, outcome string")
+    return found.select("parcel_id", G.wkt(_ring(F.col("flat"))).alias("original_wkt"), _ring(F.col("best")).cast(S.RING).alias("repaired"), "outcome")
 
 
 def repaired_polygons(flagged: DataFrame, key: str) -> DataFrame:
@@ -192,11 +200,11 @@ def repaired_polygons(flagged: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            best = [[_fixed(ring) for ring in rings] for rings in batch["rings"]]
+            best = [[_fixed(flat) for flat in rings] for rings in batch["rings"]]
             best = [b if all(b) else None for b in best]
             yield pd.DataFrame({key: batch[key], "wkt": batch["wkt"], "rings": best, "outcome": ["REPAIRED" if b else "QUARANTINED" for b in best]})
 
     kind = dict(flagged.dtypes)[key]
-    rows = flagged.select(key, F.col("shape.parts").alias("rings"), S.wkt(F.col("shape")).alias("wkt"))
-    fixed = rows.mapInPandas(run, f"{key} {kind}, wkt string, rings array<{S.RING}>, outcome string")
-    return fixed.select(key, F.col("wkt").alias("original_wkt"), F.when(F.col("rings").isNotNull(), S.of_rings(F.col("rings"))).alias("repaired"), "outcome")
+    rows = flagged.select(key, F.transform("shape.parts", G.flat).alias("rings"), S.wkt(F.col("shape")).alias("wkt"))
+    fixed = rows.mapInPandas(run, f"{key} {kind}, wkt string, rings array<array<double>>, outcome string")
+    return fixed.select(key, F.col("wkt").alias("original_wkt"), F.when(F.col("rings").isNotNull(), S.of_rings(F.transform("rings", _ring).cast(f"array<{S.RING}>"))).alias("repaired"), "outcome")

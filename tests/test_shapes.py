@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelfusion.functions import shapes as S
 from parcelfusion.operators import layers as L
 from parcelfusion.operators.matching import evidence
+from parcelfusion.operators.topology import repaired
 from parcelfusion.operators.spatial_join import box_join, corner_cells, self_overlaps, wide_cells
 from parcelfusion.sources import readers as I
 from parcelfusion.sources import writers as O
@@ -170,3 +171,16 @@ def test_rows_per_box_are_few(spark):
     pairs = sorted(map(tuple, box_join(df.select(F.col("i").alias("a"), F.col("box").alias("x")), df.select(F.col("i").alias("b"), F.col("box").alias("y")), "x", "y").select("a", "b").collect()))
     meet = lambda p, q: p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]
     assert pairs == sorted((p[0], q[0]) for p in boxes for q in boxes if meet(p, q))
+
+
+def test_crossings_by_kernel_and_dealt_rows(spark):
+    """Edges that meet, touch or run along each other, by part; null for null. Rows of one small file go to all cores before they are tested and cut."""
+    bow, fine, touch = pts((0, 0), (10, 10), (10, 0), (0, 6)), box(0, 0, 5, 5), pts((0, 0), (16, 0), (16, 16), (16, 0), (32, 0), (32, 8))
+    rows = [(1, [fine, bow]), (2, [fine, fine]), (3, [touch]), (4, None), (5, [bow[:3]]), (6, []), (7, [fine, None])]
+    df = spark.createDataFrame(rows, f"id int, parts array<{RING}>")
+    got = {r.id: r.c for r in df.select("id", S.crosses_itself(F.struct(F.lit("polygon").alias("kind"), "parts")).alias("c")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: None, 5: False, 6: False, 7: None}
+    parcels = spark.createDataFrame([(i, bow if i % 2 else fine) for i in range(100)], f"parcel_id long, ring {RING}").coalesce(1)
+    out = repaired(parcels)
+    assert out.rdd.getNumPartitions() >= 8 and sorted(r.parcel_id for r in out.collect()) == list(range(1, 100, 2))
+    assert all(len(r.repaired) == 3 and r.original_wkt.startswith("POLYGON ((0.0 0.0, 10.0 10.0") for r in out.collect())
