@@ -4,14 +4,15 @@ import json
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from parcelfusion.functions import shapes as S
 from parcelfusion.operators import layers as L
 from parcelfusion.operators.matching import evidence
+from parcelfusion.operators.spatial_join import box_join, corner_cells, nearest, self_overlaps, wide_cells
 from parcelfusion.operators.topology import repaired
-from parcelfusion.operators.spatial_join import box_join, corner_cells, self_overlaps, wide_cells
 from parcelfusion.sources import readers as I
 from parcelfusion.sources import writers as O
 
@@ -184,3 +185,25 @@ def test_crossings_by_kernel_and_dealt_rows(spark):
     out = repaired(parcels)
     assert out.rdd.getNumPartitions() >= 8 and sorted(r.parcel_id for r in out.collect()) == list(range(1, 100, 2))
     assert all(len(r.repaired) == 3 and r.original_wkt.startswith("POLYGON ((0.0 0.0, 10.0 10.0") for r in out.collect())
+
+
+def test_nearest_compares_with_few(spark):
+    """Far from everything, among the features, and between copies: the distances of all pairs, from a few pairs a row."""
+    rng, seen = random.Random(9), spark.sparkContext.accumulator(0)
+    spots = [(rng.uniform(0, 400), rng.uniform(0, 80)) for _ in range(300)] * 3
+    rows = [(i, rng.choice((0.0, 300.0, 5e4)) + rng.uniform(0, 100), rng.choice((0.0, 2e3, 8e4)) + rng.uniform(0, 100)) for i in range(300)] + [(1000 + i, 7e4, 10.0) for i in range(50)]
+    box_of = "named_struct('minx', x, 'miny', y, 'maxx', x, 'maxy', y)"
+    left = spark.createDataFrame(rows, "id int, x double, y double").selectExpr("id", f"{box_of} AS l_box")
+    right = spark.createDataFrame(spots, "x double, y double").selectExpr(f"{box_of} AS r_box", "array(named_struct('x', x, 'y', y)) AS r_spots")
+
+    @F.pandas_udf("double")
+    def distance(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        seen.add(len(a))
+        return ((a.minx - b.minx) ** 2 + (a.miny - b.miny) ** 2) ** 0.5
+
+    want = {i: min(math.hypot(x - u, y - v) for u, v in spots) for i, x, y in rows}
+    got = {r.id: r.distance for r in nearest(left, right, "id", distance("l_box", "r_box"), "l_box", "r_box", "r_spots").collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(d, abs=1e-6) for i, d in want.items())
+    assert 0 < seen.value < 40 * len(rows)
+    near = {r.id: r.distance for r in nearest(left, right, "id", distance("l_box", "r_box"), "l_box", "r_box", "r_spots", farthest=1e3).collect()}
+    assert near.keys() == {i for i, d in want.items() if d <= 1e3} and all(near[i] == pytest.approx(want[i], abs=1e-6) for i in near)
