@@ -13,6 +13,7 @@ from parcelfusion.operators import layers as L
 from parcelfusion.operators.matching import evidence
 from parcelfusion.operators.spatial_join import box_join, corner_cells, nearest, self_overlaps, wide_cells
 from parcelfusion.operators.topology import repaired
+from parcelfusion.plans.fixtures import derived
 from parcelfusion.sources import readers as I
 from parcelfusion.sources import writers as O
 
@@ -207,3 +208,9 @@ def test_nearest_compares_with_few(spark):
     assert 0 < seen.value < 40 * len(rows)
     near = {r.id: r.distance for r in nearest(left, right, "id", distance("l_box", "r_box"), "l_box", "r_box", "r_spots", farthest=1e3).collect()}
     assert near.keys() == {i for i, d in want.items() if d <= 1e3} and all(near[i] == pytest.approx(want[i], abs=1e-6) for i in near)
+
+
+def test_derived_tables_are_dealt_before_their_geometry(spark):
+    """A table of one small file has its rings and lines made by all cores."""
+    for name in ("parcels", "layers"):
+        assert derived(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() >= 8
