@@ -6,13 +6,16 @@ A raster is a table of pixels (px_row, px_col, values), so every step is a join
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions import geometry as G
+from ..functions import kernels as K
 from ..functions import shapes as S
 from ..functions.numbers import rounded
 from ..scratch import stored
@@ -74,17 +77,26 @@ def zone_stats(met: DataFrame) -> DataFrame:
 
 def scanlines(parcels: DataFrame, pitch: float, span: int = 64) -> DataFrame:
     """parcel_id, row, cell, x0, x1: where each row of pixels (y a multiple of ``pitch``) runs inside a polygon, a row for each ``span`` pixels that it touches."""
-    rings = F.flatten(F.transform("shape.parts", G.edges))
-    box = S.bbox(F.col("shape"))
-    rows = shaped(parcels).where("shape.kind = 'polygon'").select("parcel_id", rings.alias("edges"), F.explode(F.sequence(F.ceil(box["miny"] / pitch), F.floor(box["maxy"] / pitch))).alias("row"))
-    y = F.col("row") * pitch
-    on = F.filter("edges", lambda e: (e["y1"] > y) != (e["y2"] > y))
-    xs = F.array_sort(F.transform(on, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    rows = rows.select("parcel_id", "row", xs.alias("xs")).where(F.size("xs") > 1)
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda k: F.struct(F.get("xs", 2 * k).alias("x0"), F.get("xs", 2 * k + 1).alias("x1")))
-    rows = rows.select("parcel_id", "row", F.explode(pairs).alias("p")).select("parcel_id", "row", "p.x0", "p.x1")
-    width = pitch * span
-    return rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width))))
+    flat, sizes, _ = S.flat(F.col("shape"))
+    rings = shaped(parcels).where("shape.kind = 'polygon'").select("parcel_id", flat.alias("flat"), sizes.alias("sizes"))
+    width, names = pitch * span, ["parcel_id", "row", "cell", "x0", "x1"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = K.Lists.of(batch.column("flat")), K.Lists.of(batch.column("sizes"))
+            # Rows that a polygon's edges cross, so that a batch of large ones is cut.
+            edges = K.Shapes(x, n, np.full(len(x), 2))
+            rows = np.bincount(edges.of, np.abs(edges.to[:, 1] - edges.at[:, 1]) / pitch + 2, len(x))
+            ends = np.flatnonzero(np.diff(np.cumsum(rows) // K.RUN)) + 1
+            for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(x)], strict=True):
+                of, row, x0, x1 = K.scanned(K.Shapes(x[i:j], n[i:j], np.full(j - i, 2)), pitch)
+                first = np.floor(x0 / width).astype(np.int64)
+                m = np.floor(x1 / width).astype(np.int64) - first + 1
+                of, row, x0, x1, cell = (np.repeat(c, m) for c in (of, row, x0, x1, first))
+                cell += np.arange(len(cell)) - np.repeat(np.cumsum(m) - m, m)
+                yield pa.RecordBatch.from_arrays([batch.column("parcel_id").take(pa.array(of + i)), *map(pa.array, (row, cell, x0, x1))], names)
+
+    return rings.mapInArrow(scan, StructType([rings.schema["parcel_id"], *[StructField(c, LongType()) for c in names[1:3]], *[StructField(c, DoubleType()) for c in names[3:]]]))
 
 
 def zonal_masked(parcels: DataFrame, pixels: DataFrame, pitch: float, span: int = 64) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from parcelfusion.functions import kernels as K
 from parcelfusion.functions import shapes as S
 from parcelfusion.operators import matching as M
-from test_geometry import box
+from parcelfusion.operators import raster as P
+from test_geometry import RING, box
 from test_matching import DRONE, GNSS, PARCEL
 
 
@@ -58,3 +59,25 @@ def test_lists_keep_rows_through_masks_and_slices():
     assert lists.n.tolist() == [2, 0, 0, 1, 3] and lists[1:4].values.tolist() == [3.0]
     assert lists[np.array([True, False, True, False, True])].values.tolist() == [1.0, 2.0, 4.0, 5.0, 6.0]
     assert K.Lists.of(pa.array([[9.0], [1.0, 2.0], [7.0]]).slice(1, 1)).values.tolist() == [1.0, 2.0]
+
+
+def test_scanlines_of_a_kernel_are_the_pixels_inside(spark):
+    rng = np.random.default_rng(5)
+    rings = [[(float(np.floor(x * 8) / 8), float(np.floor(y * 8) / 8)) for x, y in np.column_stack([np.cos(t), np.sin(t)]) * rng.uniform(3, 150) + rng.uniform(-200, 200, 2)] for t in (np.sort(rng.uniform(0, 6.2, 7)) for _ in range(20))]
+    parcels = spark.createDataFrame([*[(f"p{i}", [dict(x=x, y=y) for x, y in r]) for i, r in enumerate(rings)], ("none", None)], f"parcel_id string, ring {RING}")
+    lines = P.scanlines(parcels, 2.0, 8)
+    assert "MapInArrow" in lines._jdf.queryExecution().executedPlan().toString()
+    got = lines.collect()
+    assert all(np.floor(r.x0 / 16) <= r.cell <= np.floor(r.x1 / 16) for r in got)
+    met = {(r.parcel_id, r.row, r.x0, r.x1) for r in got}
+    for i, ring in enumerate(rings):
+        shape = K.Shapes(K.Lists.of([np.array(ring).ravel()]), K.Lists.of([np.array([len(ring)])]), np.array([2]))
+        xs, rows = np.arange(-400, 400) + 0.3, range(-200, 200)
+        for row in rows:
+            spots = np.column_stack([xs, np.full(len(xs), row * 2.0)])
+            want = K.holds(shape, spots, np.zeros(len(xs), np.int64))
+            mine = np.zeros(len(xs), bool)
+            for p, r, x0, x1 in met:
+                if p == f"p{i}" and r == row:
+                    mine |= (xs >= x0) & (xs < x1)
+            assert (mine == want).all()
