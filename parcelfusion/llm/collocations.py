@@ -20,13 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, stored
-from .wordruns import STEP, Run, bitmap, byte_classes, filter_size, hashed, mixed, passes, runs
+from .common import LOWER_BYTES, arrow_batches, stored
+from .wordruns import RUN, STEP, Run, bitmap, byte_classes, filter_size, hashed, mixed, passes, runs
 
 BREAKS = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int8()), ("phrase", pa.string()), ("n", pa.int64())])
 #: Filters of frequent phrases by their number of words, from 1.
 Filters = list[np.ndarray]
+#: Bytes of a batch of texts: one run, as a task holds a batch several times over, in the JVM and in Python.
+BATCH = RUN * 19 // 20
 
 
 def extended(h: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -126,6 +128,12 @@ def filters_of(frequent: DataFrame, size: int, before: Filters | None = None) ->
 
 
 def frequent_phrases(docs: DataFrame, least: int = 10, size: int = 3, sample: float = 1 / 16, lowered: float = 0.8) -> DataFrame:
+    """``counted_phrases``, whose passes all run here, on batches of bounded size."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return counted_phrases(docs, least, size, sample, lowered)
+
+
+def counted_phrases(docs: DataFrame, least: int, size: int, sample: float, lowered: float) -> DataFrame:
     """lang, size, phrase, n of all phrases of up to ``size`` words that occur ``least`` times in a language, and its number of words (size 0).
 
     ``sample``: share of the documents that proposes; there a phrase counts as frequent from ``lowered`` times its share of ``least`` on. Neither changes the result.

@@ -3,11 +3,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcelfusion.llm import collocations as C
 from parcelfusion.llm import wordruns
 from parcelfusion.llm.collocations import collocations, frequent_phrases
+from parcelfusion.llm.common import arrow_batches
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -109,3 +111,22 @@ def test_scores_beyond_64_bits(spark):
     a, left, right = 3_000_000_000, 4_000_000_001, 5_000_000_003
     row = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(C.score("a", "l", "r").alias("s")).first()
     assert row.s == 1_000_000 * a * a // (left * right)
+
+
+def test_passes_run_on_batches_of_bounded_bytes(spark, monkeypatch):
+    """A batch of 10,000 long texts, held several times over, took an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, during, write = spark.conf.get(name), [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, path: (during.append(spark.conf.get(name)), write(df, path))[1])
+    docs = spark.createDataFrame([(i, "en", "a long word " * 40) for i in range(50)], "doc_id long, lang string, text string")
+    assert frequent_phrases(docs).count() > 0
+    assert during and set(during) == {f"{C.BATCH}b"} and C.BATCH < wordruns.RUN
+    assert spark.conf.get(name) == before
+
+
+def test_arrow_batches_hold_few_bytes(spark):
+    docs = spark.range(1000).coalesce(1).selectExpr("repeat('x', 1000) AS text")
+    size = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    with arrow_batches(spark, 20_000):
+        sizes = [r["n"] for r in docs.mapInArrow(size, "n long").collect()]
+    assert len(sizes) >= 40 and max(sizes) <= 30_000
