@@ -66,7 +66,11 @@ def normalized_survey(survey: Column) -> Column:
 
 def survey_similarity(a: Column, b: Column) -> Column:
     """100 equal, 80 same base number, 50 if either is blank, else 20."""
-    x, y = normalized_survey(a), normalized_survey(b)
+    return normal_similarity(normalized_survey(a), normalized_survey(b))
+
+
+def normal_similarity(x: Column, y: Column) -> Column:
+    """``survey_similarity`` of numbers that are normalized already."""
     base = lambda s: F.split_part(s, F.lit("/"), F.lit(1))
     return F.when((x == "") | (y == ""), 50.0).when(x == y, 100.0).when(base(x) == base(y), 80.0).otherwise(20.0)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import shapes as S
 from ..functions.numbers import rounded
+from ..functions.scoring import LEAST_SCORE
 from ..scratch import stored
 from ..sources import readers as I
 from . import matching as M
@@ -82,5 +83,5 @@ def reconcile_files(spark: SparkSession, legacy: str, drone: str, gnss: str, rev
     g = stored(g.select("point_id", "survey_no", "seq", snap(at["x"]).alias("x"), snap(at["y"]).alias("y"), "accuracy_m"), "run-gnss")
     r = stored(I.revenue_rows(spark, revenue), "run-revenue")
     p = M.with_gnss_key(stored(p, "run-parcels"), g)
-    matched = M.revenue_lookup(M.best_matches(p, M.evidence(p, stored(d, "run-features"), g)), r).join(M.gnss_areas(g).hint("merge"), "gnss_key", "left")
+    matched = M.revenue_lookup(M.best_matches(p, M.evidence(p, stored(d, "run-features"), g, best=LEAST_SCORE)), r).join(M.gnss_areas(g).hint("merge"), "gnss_key", "left")
     return Run(R.assessed(matched), repairs.withColumnRenamed("parcel_id", "id").unionByName(more.withColumnRenamed("feature_id", "id")))

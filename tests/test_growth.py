@@ -8,6 +8,7 @@ from parcelfusion.functions import kernels as K
 from parcelfusion.functions import shapes as S
 from parcelfusion.operators import matching as M
 from parcelfusion.operators import raster as P
+from parcelfusion.plans.fixtures import derived
 from test_geometry import RING, box
 from test_matching import DRONE, GNSS, PARCEL
 
@@ -81,3 +82,26 @@ def test_scanlines_of_a_kernel_are_the_pixels_inside(spark):
                 if p == f"p{i}" and r == row:
                     mine |= (xs >= x0) & (xs < x1)
             assert (mine == want).all()
+
+
+def test_only_pairs_that_may_lead_are_compared(spark):
+    """Boundaries, overlaps and survey points of a parcel's other candidates took most of the time, though only its first one was asked for."""
+    sf = "/root/testdata/sf0.001"
+    p, d, g = (derived(spark, sf, n) for n in ("parcels", "drone", "gnss"))
+    every, some = M.evidence(p, d, g).persist(), M.evidence(p, d, g, best=40.0).persist()
+    assert some.count() * 4 < every.count()
+    names = ["parcel_id", "feature_id", "score", "iou", "mean_dev", "hausdorff", "gnss_pct", "flags", "d_area"]
+    rows = lambda df: sorted(map(str, M.best_matches(p, df).select(*names).collect()))
+    assert rows(some) == rows(every) and M.best_matches(p, some).where("score is not null").count() > 0
+    scores = lambda df: sorted(map(str, M.ranked(df).select("parcel_id", "feature_id", "score", "rank").collect()))
+    assert scores(M.evidence(p, d, g, scores=True)) == scores(every)
+
+
+def test_marks_of_cells_lose_no_point_inside_a_box(spark):
+    """Only pairs whose box shares a marked cell with the parcel's points are joined with them."""
+    boxes = spark.range(40).selectExpr("id", "struct(id * 13.7 - 200 AS minx, id * 7.1 - 90 AS miny, id * 13.7 - 200 + id * id AS maxx, id * 7.1 - 60 AS maxy) AS box")
+    points = boxes.selectExpr("cast(id AS string) AS survey_no", "explode(sequence(0, 10)) AS i", "box").selectExpr("survey_no", "box.minx - 0.75 + (box.maxx - box.minx + 1.5) * i / 10 AS x", "box.miny - 0.75 + (box.maxy - box.miny + 1.5) * ((i * 7) % 11) / 10 AS y")
+    marks = points.selectExpr("concat(survey_no, '-', x) AS survey_no", "x", "y")
+    one = M.gnss_marks(marks).selectExpr("cast(split(gnss_key, '-')[0] AS long) AS id", "marks", "points")
+    met = boxes.withColumn("box_marks", M.box_marks(F.col("box"))).join(one.hint("merge"), "id")
+    assert met.count() > 300 and met.where("marks & box_marks = 0").isEmpty()
