@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import shapes as S
 from ..functions.numbers import rounded
-from ..scratch import dealt
+from ..scratch import dealt, stored
 from .spatial_join import shaped
 
 SLIVER_RATIO, SLIVER_AREA = 0.005, 5.0
@@ -33,11 +33,13 @@ def validation_issues(parcels: DataFrame, overlaps: DataFrame, gnss: DataFrame)
         out = one if out is None else out.unionByName(one)
 
     pid, shape = F.col("parcel_id"), F.col("shape")
-    sized = shaped(parcels).withColumns({"_area": S.area(shape), "_length": S.perimeter(shape), "_crossed": F.coalesce(S.crosses_itself(shape), F.lit(False))})
-    put(sized.where(shape.isNull()), "legacy", pid, "Missing Geometry", "High", F.lit("No readable geometry"))
-    put(sized.where("_crossed"), "legacy", pid, "Self-Intersection", "Medium", F.lit("Ring crosses itself; its largest loop is kept"), True)
-    thin = F.col("_area") / (F.col("_length") * F.col("_length")) < SLIVER_RATIO
-    put(sized.where((F.col("_length") > 0) & (thin | (F.col("_area") < SLIVER_AREA)) & ~F.col("_crossed")), "legacy", pid, "Sliver", "Low", F.lit("Narrow or tiny polygon; verify its boundary"))
+    judged = shaped(parcels).select("parcel_id", shape.isNull().alias("lost"), S.area(shape).alias("area"), S.perimeter(shape).alias("length"), F.coalesce(S.crosses_itself(shape), F.lit(False)).alias("crossed"))
+    # Written, so that a parcel is judged once; and Spark can't run a kernel inside a filter that also builds the shapes which the kernel reads.
+    judged = stored(judged, "judged-parcels")
+    put(judged.where("lost"), "legacy", pid, "Missing Geometry", "High", F.lit("No readable geometry"))
+    put(judged.where("crossed"), "legacy", pid, "Self-Intersection", "Medium", F.lit("Ring crosses itself; its largest loop is kept"), True)
+    thin = F.col("area") / (F.col("length") * F.col("length")) < SLIVER_RATIO
+    put(judged.where((F.col("length") > 0) & (thin | (F.col("area") < SLIVER_AREA)) & ~F.col("crossed")), "legacy", pid, "Sliver", "Low", F.lit("Narrow or tiny polygon; verify its boundary"))
     put(overlaps, "legacy", F.concat_ws(" & ", "a", "b"), "Overlap", "High", F.format_string("Parcels %s and %s overlap by %.1f m2", F.col("a").cast("string"), F.col("b").cast("string"), rounded(F.col("overlap"), 1)))
     lost = (F.abs("latitude") > 90) | (F.abs("longitude") > 180) | F.col("latitude").isNull() | F.col("longitude").isNull()
     put(gnss.where(lost), "gnss", F.col("point_id"), "GNSS Out Of Range", "Medium", F.lit("Position outside the range of degrees"))
