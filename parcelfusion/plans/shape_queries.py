@@ -90,7 +90,7 @@ def courtyard_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def courtyard_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d = _holed_sides(spark, sf_dir)
-    found = M.evidence(p, d, derived(spark, sf_dir, "gnss"))
+    found = M.overlap_evidence(p, d, derived(spark, sf_dir, "gnss"))
     return found.select("parcel_id", "feature_id", rounded(F.col("iou"), 4).alias("iou"), "area_pct", "centroid_dist", "gnss_pct")
 
 
